@@ -6,9 +6,34 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import bytepairs, repetition
-from lodestone.llm.tables import read
+from lodestone.llm import bytepairs, chat, packing, pseudonyms, repetition, ruleset, simjoin, topk, toxicity, webpages
+from lodestone.llm.tables import held_out, read
+
+#: The key of the registered query; a real one comes from a secret store.
+PSEUDONYM_KEY = "registered query"
+BIN_WORDS = 2048
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1 as a prompt and response record."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(1).select(F.lit(-1).alias("conv_id"), F.to_json(F.struct(F.lit(said).alias("prompt"), F.lit(said).alias("response"))).alias("record"))
+    turns = chat.turns_from_table(read(spark, sf_dir, "conversations")).unionByName(chat.turns_from_table(extra))
+    return chat.chat_digests(chat.render(turns))
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simjoin.jaccard_join(read(spark, sf_dir, "documents"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_pack(read(spark, sf_dir, "documents"), BIN_WORDS)
+
+
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymize(read(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,13 +41,41 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepairs.encode_documents(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webpages.extract_pages(read(spark, sf_dir, "pages"))
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(read(spark, sf_dir, "embeddings"), 5, F.col("vec_id") % 50 == 0)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    rules = ruleset.train_quality(documents, read(spark, sf_dir, "labels"))
+    return ruleset.quality_scores(documents, rules).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(read(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    net = toxicity.train_toxicity(documents, read(spark, sf_dir, "labels"))
+    return toxicity.toxicity_scores(documents, net).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_html_text": op6_html_text,
+    "op7_exact_topk": op7_exact_topk,
+    "op8_quality_rules": op8_quality_rules,
     "op9_repetition_rules": op9_repetition_rules,
+    "op10_toxicity": op10_toxicity,
 }
 
 _WINDOW = """
@@ -71,4 +124,33 @@ FROM m
 """
 )
 
-SQL: dict[str, str] = {"op9_repetition_rules": _OP9}
+_CONTROL_COUNT = " + ".join(f"(len(x) - len(replace(x, '{c}', ''))) // {len(c)}" for c in chat.CONTROLS)
+_OP1 = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), w AS (
+  SELECT *, {len(chat.TURN) + len(chat.END) + 2} + len(r) + len(x) + len(x) - len(replace(x, chr(92), '')) + 2 * ({_CONTROL_COUNT}) AS n FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
+  CAST(sum(CASE WHEN r = 'assistant' THEN len(x) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN r = 'assistant' THEN x END, '' ORDER BY turn NULLS FIRST, r, x), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM w GROUP BY conv_id
+"""
+
+_OP7 = """
+WITH v AS (
+  SELECT vec_id, min([CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding]) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+  GROUP BY vec_id
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum([q.e[i] * v.e[i] for i in range(1, len(q.e) + 1)]) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)
+), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+SQL: dict[str, str] = {"op1_chat_format": _OP1, "op7_exact_topk": _OP7, "op9_repetition_rules": _OP9}
