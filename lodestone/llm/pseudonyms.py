@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 KINDS = ("email", "card", "iban", "ssn", "phone", "ipv4", "date")
 ROUNDS = 8
@@ -261,8 +262,8 @@ def pseudonymize(documents: DataFrame, key: str, kinds: tuple[str, ...] = KINDS,
     of which nothing else was changed."""
     names = ("doc_id", *keep)
     counts = [f"n_{k}" for k in KINDS]
-    fields = [(f.name, f.dataType.simpleString()) for f in documents.select(*names).schema]
-    schema = ", ".join(f"`{n}` {t}" for n, t in [*fields, ("text", "string"), *((c, "int") for c in counts)])
+    fields = [*documents.select(*names).schema, StructField("text", StringType()), *(StructField(c, IntegerType()) for c in counts)]
+    schema = StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Pseudonymizer(key.encode(), kinds, back)
@@ -281,3 +282,18 @@ def pseudonymize(documents: DataFrame, key: str, kinds: tuple[str, ...] = KINDS,
     suspect = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
     clean = rows.filter(~suspect).select(*names, "text", *(F.lit(0).alias(c) for c in counts))
     return clean.unionByName(rows.filter(suspect).mapInArrow(run, schema))
+
+
+def pseudonymized(documents: DataFrame, key: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """``documents`` with pseudonyms in ``text``, in the same columns; where a text
+    has changed, ``n_chars`` is its new length.  Other cases as in ``pseudonymize``."""
+    rows = documents.select(F.struct(*(c for c in documents.columns if c != "text")).alias("doc_id"), "text")
+    done = pseudonymize(rows, key, kinds)
+    found = F.lit(0)
+    for kind in KINDS:
+        found = found + F.col(f"n_{kind}")
+    own = {c: F.col("doc_id").getField(c).alias(c) for c in documents.columns if c != "text"} | {"text": F.col("text")}
+    if "n_chars" in own:
+        as_type = documents.schema["n_chars"].dataType
+        own["n_chars"] = F.when(found > 0, F.length("text").cast(as_type)).otherwise(F.col("doc_id").getField("n_chars")).alias("n_chars")
+    return done.select(*(own[c] for c in documents.columns))

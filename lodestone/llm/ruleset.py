@@ -8,6 +8,7 @@ DataFrame functions; only the fit on a bounded sample is numpy, on the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -22,39 +23,47 @@ from lodestone.llm.tables import labelled_sample
 Condition = tuple[str, bool, float]
 
 
-def statistics(documents: DataFrame, *keep: str) -> DataFrame:
-    """A struct ``row`` of the columns ``keep``, and the statistics of ``text`` as doubles.
-
-    A null text counts as empty."""
-    rows = documents.select(F.struct(*keep).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
-    counts = rows.select(
-        "row",
-        F.length("t").cast("double").alias("chars"),
-        F.regexp_count("t", F.lit(r"[^\x20\x09-\x0D]+")).cast("double").alias("words"),
-        F.regexp_count("t", F.lit(r"(?<![^ \n])([^ \n]++)[ \n]\1(?![^ \n])")).cast("double").alias("again"),
-        F.regexp_count("t", F.lit(r"\p{Lu}")).cast("double").alias("upper"),
-        F.size(F.array_distinct(F.split("t", "[ \n]+"))).cast("double").alias("distinct"),
-        F.split("t", "\n").alias("lines"),
-        *((F.length("t") - F.length(F.translate("t", chars, ""))).cast("double").alias(name) for name, chars in _CLASSES.items()),
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: Catalyst does not copy it into its uses."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _counts(t: Column) -> Column:
+    return F.struct(
+        F.length(t).cast("double").alias("chars"),
+        F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")).cast("double").alias("words"),
+        F.regexp_count(t, F.lit(r"(?<![^ \n])([^ \n]++)[ \n]\1(?![^ \n])")).cast("double").alias("again"),
+        F.regexp_count(t, F.lit(r"\p{Lu}")).cast("double").alias("upper"),
+        F.size(F.array_distinct(F.split(t, "[ \n]+"))).cast("double").alias("distinct"),
+        F.size(F.split(t, "\n")).cast("double").alias("lines"),
+        F.size(F.array_distinct(F.split(t, "\n"))).cast("double").alias("distinct_lines"),
+        *((F.length(t) - F.length(F.translate(t, chars, ""))).cast("double").alias(name) for name, chars in _CLASSES.items()),
     )
-    per = lambda x, n: F.col(x) / F.greatest(F.col(n), F.lit(1.0))
-    return counts.select(
-        "row",
-        F.log1p("words").alias("log_words"),
+
+
+def _shares(c: Column) -> Column:
+    per = lambda x, n: c[x] / F.greatest(c[n], F.lit(1.0))
+    return F.struct(
+        F.log1p(c["words"]).alias("log_words"),
         per("chars", "words").alias("chars_per_word"),
         per("again", "words").alias("repeated_words"),
         per("upper", "chars").alias("upper_share"),
         per("distinct", "words").alias("distinct_words"),
-        (F.size(F.array_distinct("lines")) / F.size("lines")).alias("distinct_lines"),
+        per("distinct_lines", "lines").alias("distinct_lines"),
         per("n_symbols", "words").alias("symbols"),
         per("n_bars", "words").alias("bars"),
         per("n_marks", "words").alias("marks"),
         per("n_stops", "words").alias("stops"),
         per("n_digits", "chars").alias("digits"),
-        (F.size("lines") / F.greatest("words", F.lit(1.0))).alias("lines_per_word"),
+        per("lines", "words").alias("lines_per_word"),
     )
 
 
+def statistics(text: Column) -> Column:
+    """A struct of the statistics NAMES, doubles, of a text; null counts as empty."""
+    return _bind(F.coalesce(text, F.lit("")), lambda t: _bind(_counts(t), _shares))
+
+
 _CLASSES = {"n_symbols": "#*$%&<>@=~^{}[]\\", "n_bars": "|", "n_marks": "!?", "n_stops": ".,;:", "n_digits": "0123456789"}
 NAMES = (
     "log_words", "chars_per_word", "repeated_words", "upper_share", "distinct_words", "distinct_lines",
@@ -83,9 +92,9 @@ class Rules:
     weighted: tuple[tuple[tuple[Condition, ...], float], ...]
     intercept: float
 
-    def score(self) -> Column:
-        """The probability of label 1 as a column expression over the statistics."""
-        one = lambda c: F.col(c[0]) > c[2] if c[1] else F.col(c[0]) <= c[2]
+    def score(self, s: Column) -> Column:
+        """The probability of label 1 as a column expression over a struct of statistics."""
+        one = lambda c: s[c[0]] > c[2] if c[1] else s[c[0]] <= c[2]
         total = F.lit(self.intercept)
         for conditions, weight in self.weighted:
             total = total + F.when(reduce(and_, map(one, conditions)), F.lit(weight)).otherwise(0.0)
@@ -193,7 +202,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, how: RuleFit | None = None) -> Rules
 def train_quality(documents: DataFrame, labels: DataFrame, label: str = "quality", how: RuleFit | None = None) -> Rules:
     """Rules from at most ``how.sample`` labelled rows outside the held-out fold."""
     how = how or RuleFit()
-    sample = statistics(labelled_sample(documents, labels, label, how.sample), "doc_id", "label").select("row.label", "row.doc_id", *NAMES).orderBy("doc_id", *NAMES).toPandas()
+    rows = labelled_sample(documents, labels, label, how.sample)
+    sample = rows.select("doc_id", "label", statistics(F.col("text")).alias("s")).select("doc_id", "label", "s.*").orderBy("doc_id", *NAMES).toPandas()
     return fit_rules(sample[list(NAMES)].to_numpy(float), sample["label"].to_numpy(float), how)
 
 
@@ -203,5 +213,14 @@ def quality_scores(documents: DataFrame, rules: Rules, *keep: str, accept: float
     Null and empty texts are scored by the same rules with all counts 0.  Null ids
     stay null, repeated rows give repeated results, an empty table an empty result;
     other columns are not read and their names don't matter."""
-    scored = statistics(documents, "doc_id", *keep).select("row", rules.score().alias("score"))
+    scored = documents.select(F.struct("doc_id", *keep).alias("row"), _score(rules).alias("score"))
     return scored.select("row.*", "score", (F.col("score") >= accept).cast("int").alias("predicted"))
+
+
+def _score(rules: Rules) -> Column:
+    return _bind(statistics(F.col("text")), rules.score)
+
+
+def good_documents(documents: DataFrame, rules: Rules, accept: float = 0.3) -> DataFrame:
+    """The rows of ``documents``, all columns, whose score is at least ``accept``."""
+    return documents.filter(_score(rules) >= accept)
