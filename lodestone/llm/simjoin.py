@@ -287,16 +287,16 @@ class _Join:
             if large.isEmpty():
                 break
             chosen = [F.pmod(F.xxhash64("path", F.lit(i)), F.lit(COORDINATES)).cast("int") for i in range(2)]
-            children = large.join(nodes.select("node", "sig"), "node").select(
-                "path", "n", "node", F.explode(F.array(*(F.xxhash64("path", F.lit("child"), c, value(c)) for c in chosen))).alias("child")
-            )
+            child = [F.xxhash64("path", F.lit("child"), c, value(c)) for c in chosen]
+            signed = large.join(nodes.select("node", "sig"), "node")
             split = (
-                children.select("path", "n", "child", "node").distinct().groupBy("path", "n", "child").agg(F.count(F.lit(1)).alias("m"))
+                signed.select("path", "n", child[0].alias("child")).groupBy("path", "n", "child").agg(F.count(F.lit(1)).alias("m"))
                 .groupBy("path").agg((F.max("m") / F.first("n")).alias("together"))
             )
-            whole = split.filter(F.col("together") >= plan.alike).select("path")
+            whole = split.filter(F.col("together") >= plan.alike).select("path").checkpoint()
+            children = signed.join(whole, "path", "left_anti").select("node", F.explode(F.array(*child)).alias("path"))
             done.append(large.join(whole, "path", "left_semi").select("path", "node").checkpoint())
-            level = self._shared(children.join(whole, "path", "left_anti").select(F.col("child").alias("path"), "node").distinct()).checkpoint()
+            level = self._shared(children.distinct()).checkpoint()
             done.append(level.filter(F.col("n") <= plan.small).select("path", "node"))
             large = level.filter(F.col("n") > plan.small)
         else:
