@@ -1,10 +1,619 @@
-"""The registered queries over the driver's tables, with their SQL."""
+"""The registered queries over the driver's tables, with their SQL.
+
+The tables stand in for the engine's own: embeddings for index vectors, documents
+for chunks, conversations for questions and answers, events for logs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as tx
+from lodestone.operators import approval, chunking, conversation, evaluation, evidence, htmltables, index, quality, retrieval
+from lodestone.sources import sinks
+from lodestone.streaming import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL if there is any."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+# Retrieval.  Every fifth vector is a part of the one before; labels are documents.
+
+CONFIG = retrieval.RetrievalConfig()
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("vec_id")
+    kind = F.when(F.col("label") < 3, "law").when(F.col("label") == 3, "form").otherwise("other")
+    return _read(spark, sf_dir, "embeddings").select(
+        v.alias("chunk_id"),
+        F.when(v % 5 == 4, v - 1).alias("parent_chunk_id"),
+        F.col("label").alias("doc_id"),
+        kind.alias("kind"),
+        F.when(v % 3 != 0, F.get(F.array(*map(F.lit, ("ko", "en"))), (v % 2).cast("int"))).alias("language"),
+        "embedding",
+    )
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+
+
+_CHUNKS = """
+c AS (
+  SELECT vec_id AS chunk_id, CASE WHEN vec_id % 5 = 4 THEN vec_id - 1 END AS parent_chunk_id, label AS doc_id,
+    CASE WHEN label < 3 THEN 'law' WHEN label = 3 THEN 'form' ELSE 'other' END AS kind,
+    coalesce(CASE WHEN vec_id % 3 <> 0 THEN CASE WHEN vec_id % 2 = 0 THEN 'ko' ELSE 'en' END END, 'ko') AS language, embedding FROM embeddings
+)"""
+
+
+def _ranked(where: str, pairs: str = "TRUE", k: int = 5, caps: bool = True) -> str:
+    cap = "kind NOT IN ('law', 'form') OR (kind = 'law' AND rg <= 2) OR (kind = 'form' AND rg <= 1)" if caps else "TRUE"
+    return f"""{_CHUNKS},
+d AS (
+  SELECT q.vec_id AS qid, coalesce(parent_chunk_id, chunk_id) AS unit, chunk_id, doc_id, kind,
+    1 - list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS dist
+  FROM embeddings q JOIN c ON {pairs} WHERE {where}
+),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, unit ORDER BY dist, chunk_id) AS r FROM d) WHERE r = 1),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY dist, unit) AS rn FROM u) WHERE rn <= 2),
+g AS (SELECT *, row_number() OVER (PARTITION BY qid, kind ORDER BY dist, unit) AS rg FROM p),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, unit) AS INTEGER) AS rank FROM g WHERE {cap}),
+hits AS (
+  SELECT qid, rank, unit AS chunk_id, CASE WHEN chunk_id <> unit THEN chunk_id END AS part_id, doc_id, kind, 1 - dist AS score FROM t WHERE rank <= {k}
+)"""
+
+
+_HITS = "SELECT qid, rank, chunk_id, part_id, doc_id, kind, round(score, 6) AS score FROM hits"
+
+
+def _rounded(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_ranked("q.vec_id = 0 AND c.language IN ('ko', 'en') AND c.doc_id <> 7")} SELECT h.*, CAST(e.label AS INTEGER) AS label FROM ({_HITS}) h JOIN embeddings e ON e.vec_id = h.chunk_id")
+def vec_topk_constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The constrained top-k of one question: scope and language filters, parts under parents, caps, late join."""
+    chunks = _chunks(spark, sf_dir)
+    asked = _questions(spark, sf_dir).filter("qid = 0").withColumns({"excluded_docs": F.array(F.lit("7")), "languages": F.array(F.lit("ko"), F.lit("en"))})
+    hits = _rounded(retrieval.top_k(chunks, asked, CONFIG))
+    return retrieval.with_chunks(hits, chunks.withColumn("label", F.col("doc_id").cast("int")), "label").select("qid", "rank", "chunk_id", "part_id", "doc_id", "kind", "score", "label")
+
+
+@query(f"WITH {_ranked('q.vec_id % 50 = 0')} {_HITS}")
+def vec_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(retrieval.top_k(_chunks(spark, sf_dir), _questions(spark, sf_dir), CONFIG))
+
+
+def _second_score(c):
+    return (c * 37 % 101) / F.lit(101.0)
+
+
+@query(
+    f"""WITH {_ranked('q.vec_id % 50 = 0', k=30, caps=False)},
+s AS (SELECT *, (chunk_id * 37 % 101) / 101.0::DOUBLE AS rerank FROM hits),
+f AS (SELECT *, CASE WHEN rank <= 15 THEN 0.5 * rerank + 0.5 * score ELSE score - 1 END AS key FROM s),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid, kind ORDER BY key DESC, chunk_id) AS own FROM f),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY key DESC, chunk_id) AS INTEGER) AS place FROM o
+  WHERE kind = 'other' OR (kind = 'law' AND own <= 2) OR (kind = 'form' AND own <= 1))
+SELECT qid, place AS rank, chunk_id, kind, round(key, 6) AS key FROM k WHERE place <= 5"""
+)
+def rerank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty candidates without kind caps, the first fifteen fused with a second score, then the caps."""
+    wide = retrieval.RetrievalConfig(k=30)
+    pool = retrieval.top_k(_chunks(spark, sf_dir), _questions(spark, sf_dir), wide, capped_kinds=False).withColumn("rerank", _second_score(F.col("chunk_id")))
+    return retrieval.rerank(pool, CONFIG).select("qid", "rank", "chunk_id", "kind", F.round("key", 6).alias("key"))
+
+
+@query(
+    f"""WITH {_ranked('q.vec_id % 50 = 0 AND c.chunk_id <> q.vec_id')},
+best AS (SELECT qid, max(score) AS top_score FROM hits GROUP BY qid)
+SELECT q.vec_id AS qid, round(top_score, 6) AS top_score, CASE WHEN top_score IS NULL OR top_score < 0.48 THEN 'unknown' ELSE 'answer' END AS route
+FROM (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) q LEFT JOIN best b ON b.qid = q.vec_id"""
+)
+def route_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions whose best evidence (their own vector aside) is weak."""
+    asked = _questions(spark, sf_dir)
+    own = asked.withColumn("excluded_chunks", F.array("qid"))
+    hits = retrieval.top_k(_chunks(spark, sf_dir), own, CONFIG)
+    return retrieval.route(asked.withColumn("question", F.lit("")), hits.withColumn("evidence", F.lit("")), CONFIG).withColumn("top_score", F.round("top_score", 6))
+
+
+@query(
+    f"""WITH {_ranked('q.vec_id % 50 = 0')},
+gold AS (SELECT a.vec_id AS qid, b.vec_id AS chunk_id FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id AND b.vec_id % 2 = 0),
+r AS (SELECT g.qid, min(h.rank) AS rank FROM (SELECT DISTINCT qid FROM gold) g LEFT JOIN (SELECT h.* FROM hits h JOIN gold USING (qid, chunk_id)) h USING (qid) GROUP BY g.qid)
+SELECT count(*) AS n, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END) AS hit_at_1, avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END) AS hit_at_3,
+  avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END) AS hit_at_5, round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE / rank ELSE 0.0 END), 9) AS mrr_at_5 FROM r"""
+)
+def eval_hits_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the batch retrieval against gold chunks of the same label."""
+    v = _read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    asked = v.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "qid")
+    gold = asked.join(v.filter("vec_id % 2 = 0"), "label").filter("vec_id <> qid").select("qid", F.col("vec_id").alias("chunk_id"))
+    hits = retrieval.top_k(_chunks(spark, sf_dir), _questions(spark, sf_dir), CONFIG)
+    return evaluation.retrieval_scores(evaluation.first_gold_ranks(hits, gold, "chunk_id")).withColumn("mrr_at_5", F.round("mrr_at_5", 9))
+
+
+@query(
+    f"""WITH {_ranked('q.vec_id % 50 = 0 AND c.chunk_id <> q.vec_id')},
+s AS (SELECT CASE WHEN qid % 100 = 0 THEN 'off_topic' ELSE 'related' END AS grp, max(score) AS score FROM hits GROUP BY qid)
+SELECT *, low_max < high_min AS apart, CASE WHEN low_max < high_min THEN round((low_max + high_min) / 2, 6) END AS midpoint FROM (
+  SELECT round(min(score) FILTER (grp = 'off_topic'), 6) AS low_min, round(median(score) FILTER (grp = 'off_topic'), 6) AS low_median, round(max(score) FILTER (grp = 'off_topic'), 6) AS low_max,
+    round(min(score) FILTER (grp = 'related'), 6) AS high_min, round(median(score) FILTER (grp = 'related'), 6) AS high_median, round(max(score) FILTER (grp = 'related'), 6) AS high_max FROM s)"""
+)
+def threshold_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _questions(spark, sf_dir).withColumn("excluded_chunks", F.array("qid"))
+    hits = retrieval.top_k(_chunks(spark, sf_dir), own, CONFIG)
+    scores = hits.groupBy("qid").agg(F.max("score").alias("score")).select(F.when(F.col("qid") % 100 == 0, "off_topic").otherwise("related").alias("grp"), F.round("score", 6).alias("score"))
+    out = evaluation.threshold(scores, "off_topic", "related")
+    return out.select(*(F.round(c, 6).alias(c) if c != "apart" else c for c in out.columns))
+
+
+@query(
+    f"""WITH {_ranked('q.vec_id % 50 = 0')},
+b AS (SELECT qid, rank, chunk_id, score + CASE WHEN qid % 100 = 0 AND rank = 2 THEN 0.001 ELSE 0 END AS sb FROM hits)
+SELECT count(*) AS questions, sum(wrong) AS mismatches, round(max(most), 6) AS max_diff, round(sum(total) / sum(n), 9) AS mean_diff, count(*) AS same_top_1, count(*) AS same_top_5
+FROM (SELECT qid, CAST(0 AS BIGINT) AS wrong, max(abs(score - sb)) AS most, sum(abs(score - sb)) AS total, count(*) AS n FROM hits JOIN b USING (qid, rank) GROUP BY qid)"""
+)
+def ranking_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ranking against a copy with some scores moved."""
+    hits = retrieval.top_k(_chunks(spark, sf_dir), _questions(spark, sf_dir), CONFIG)
+    moved = hits.withColumn("score", F.col("score") + F.when((F.col("qid") % 100 == 0) & (F.col("rank") == 2), 0.001).otherwise(0.0))
+    out = evaluation.parity(hits, moved)
+    return out.withColumns({"max_diff": F.round("max_diff", 6), "mean_diff": F.round("mean_diff", 9)})
+
+
+# Corpus quality.
+
+_LINES = "SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents"
+
+
+@query(f"SELECT lang, line, count(DISTINCT doc_id) AS n_docs FROM ({_LINES}) WHERE length(line) < 60 GROUP BY lang, line HAVING count(DISTINCT doc_id) >= 3")
+def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.line_frequencies(_read(spark, sf_dir, "documents")).filter("n_docs >= 3")
+
+
+@query(
+    f"""WITH l AS ({_LINES}),
+r AS (SELECT lang, line FROM l WHERE length(line) < 60 GROUP BY lang, line HAVING count(DISTINCT doc_id) >= 3),
+k AS (SELECT l.* FROM l LEFT JOIN r ON l.lang = r.lang AND l.line = r.line WHERE r.line IS NULL OR regexp_matches(l.line, '[|—]'))
+SELECT d.doc_id, sha256(coalesce(t, '')) AS text_sha256 FROM documents d LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS t FROM k GROUP BY doc_id) USING (doc_id)"""
+)
+def repeated_lines_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.without_repeated_lines(_read(spark, sf_dir, "documents"), least_docs=3).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+def first_occurrence_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.first_occurrences(_read(spark, sf_dir, "documents"), F.sha2("text", 256), "doc_id").select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE text NOT IN (SELECT text FROM benchmark)")
+def hash_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.without_copies_of(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("doc_id")
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, [trim(x, E' \t\r') for x in string_split(text, chr(10)) if trim(x, E' \t\r') <> ''] AS ls FROM documents),
+s AS (SELECT len(ls) AS n, len([1 for x in ls if length(x) <= 8]) AS short,
+  len([1 for x in ls if regexp_matches(x, '^(\d+\)|\d+\.)') AND length(x) < 40]) AS outline FROM l)
+SELECT reason, count(*) AS n FROM (SELECT CASE WHEN n = 0 THEN 'empty' WHEN n >= 30 AND short / n::DOUBLE > 0.6 THEN 'fragments'
+  WHEN n >= 15 AND outline / n::DOUBLE > 0.7 THEN 'outline' ELSE 'kept' END AS reason FROM s) GROUP BY reason"""
+)
+def low_quality_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.low_quality_counts(_read(spark, sf_dir, "documents"))
+
+
+@query(
+    f"""WITH l AS ({_LINES}), k AS (SELECT *, regexp_replace(line, '\\s+', '', 'g') AS key FROM l),
+f AS (SELECT *, length(key) < 4 OR row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) = 1 AS kept FROM k)
+SELECT doc_id, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '')) AS text_sha256, count(*) FILTER (NOT kept) AS removed FROM f GROUP BY doc_id"""
+)
+def repeated_lines_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.once_in_order(_read(spark, sf_dir, "documents")).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "removed")
+
+
+@query("SELECT doc_id FROM documents WHERE length(regexp_replace(text, '\\s+', '', 'g')) < 30")
+def near_empty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").filter(quality.near_empty(F.col("text"))).select("doc_id")
+
+
+# Sources and approval.
+
+POLICY = approval.SourcePolicy(
+    allowed_hosts=("blog.tionble.example.com", "tionsh.example.net"),
+    blocked_paths=("/de/",),
+    blocked_query={"utm_source": ("feed",)},
+    flag_notes={"plain": None, "toxic_checked": "checked for toxicity"},
+    excluding_flags=("poor",),
+)
+
+
+@query(
+    r"""SELECT page_id, coalesce(starts_with(lower(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)), '/de/') OR regexp_matches(url, '\?(.*&)?utm_source=feed(&|#|$)'), FALSE) AS blocked,
+  regexp_matches(url, '^https://(blog\.tionble\.example\.com|tionsh\.example\.net)([/?]|$)') AND NOT contains(url, '#') AND NOT (starts_with(lower(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)), '/de/') OR regexp_matches(url, '\?(.*&)?utm_source=feed(&|#|$)')) AS admitted
+FROM pages"""
+)
+def blocked_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return _read(spark, sf_dir, "pages").select("page_id", approval.blocked(url, POLICY).alias("blocked"), approval.url_admitted(url, POLICY).alias("admitted"))
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    d = F.col("doc_id")
+    host = F.when(F.col("source") == "src0", "other.example.org").otherwise("tionsh.example.net")
+    flags = F.when(F.col("quality") == 0, F.array(F.lit("plain"), F.lit("poor"))).when(F.col("toxic") == 1, F.array(F.lit("unheard"))).otherwise(F.array(F.lit("toxic_checked")))
+    rows = docs.join(labels, "doc_id", "left").select(
+        d.alias("chunk_id"), "doc_id", F.concat(F.lit("https://"), host, F.lit("/"), F.lower("lang"), F.lit("/x")).alias("source_url"), F.lit("page").alias("chunk_kind"), "text",
+        F.when(d % 11 == 0, "0").otherwise(F.sha2("text", 256)).alias("chunk_text_sha256"), F.lit("s1").alias("source_snapshot"),
+        F.when(d % 2 == 0, flags).otherwise(F.array().cast("array<string>")).alias("review_flags"), F.when(d % 7 == 0, "conflicting").otherwise("known").alias("date_status"),
+    )
+    checks = docs.select("doc_id", F.when(d % 13 == 0, "s2").otherwise("s1").alias("latest_snapshot"), F.when(d % 17 != 0, d % 19 != 0).alias("current"), F.lit("page changed").alias("detail"))
+    return approval.decide(rows, checks, POLICY)
+
+
+_DECIDED = """
+x AS (SELECT d.doc_id, source, lang, text, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+y AS (SELECT *, CASE WHEN doc_id % 2 <> 0 THEN 'none' WHEN quality = 0 THEN 'poor' WHEN toxic = 1 THEN 'unheard' ELSE 'checked' END AS flag FROM x),
+decided AS (SELECT doc_id, CASE
+  WHEN lang = 'de' THEN 'excluded' WHEN source = 'src0' THEN 'held' WHEN trim(text) = '' OR doc_id % 11 = 0 THEN 'held' WHEN doc_id % 13 = 0 THEN 'held'
+  WHEN doc_id % 17 = 0 THEN 'held' WHEN doc_id % 19 = 0 THEN 'held' WHEN flag = 'poor' THEN 'excluded' WHEN flag = 'unheard' THEN 'held'
+  WHEN flag = 'checked' OR doc_id % 7 = 0 THEN 'approved_with_notes' ELSE 'approved' END AS status, flag FROM y)"""
+
+
+@query(f"WITH {_DECIDED} SELECT doc_id, status, CASE WHEN status = 'approved_with_notes' THEN (CASE WHEN flag = 'checked' THEN 1 ELSE 0 END + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) WHEN status = 'approved' THEN 0 ELSE 1 END AS n_notes FROM decided")
+def approval_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir).select("doc_id", "status", F.size("notes").alias("n_notes"))
+
+
+@query(f"WITH {_DECIDED} SELECT CASE WHEN grouping(doc_id) = 0 THEN doc_id END AS doc_id, status, grouping(doc_id) = 1 AS total, count(*) AS n FROM decided GROUP BY GROUPING SETS ((doc_id, status), (status))")
+def approval_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return approval.status_counts(_decided(spark, sf_dir))
+
+
+@query(
+    """SELECT d.doc_id AS chunk_id, CASE WHEN d.doc_id % 3 = 0 THEN 'not_reviewed' WHEN d.doc_id % 5 = 0 THEN 'stale' WHEN d.doc_id % 7 = 0 THEN 'held' ELSE 'approved' END AS review_status,
+  NOT (d.doc_id % 3 = 0 OR d.doc_id % 5 = 0 OR d.doc_id % 7 = 0) AS index_approved FROM documents d"""
+)
+def approval_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", F.sha2("text", 256).alias("chunk_text_sha256"))
+    d = F.col("chunk_id")
+    ledger = docs.filter(d % 3 != 0).select("chunk_id", F.when(d % 7 == 0, "held").otherwise("approved").alias("status"), F.when(d % 5 == 0, "old").otherwise(F.col("chunk_text_sha256")).alias("chunk_text_sha256"))
+    now = F.lit("2024-02-01").cast("timestamp")
+    return approval.apply_ledger(docs, ledger, F.lit("2024-01-20").cast("timestamp"), now, POLICY).select("chunk_id", "review_status", "index_approved")
+
+
+@query("SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return approval.latest(_read(spark, sf_dir, "events").select("user_id", "ts", "event_id"), "user_id", "ts")
+
+
+@query(
+    """SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NULL THEN 'new' WHEN b.user_id IS NULL THEN 'gone' WHEN a.n = b.n THEN 'same' ELSE 'changed' END AS state
+FROM (SELECT user_id, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY 1) b ON a.user_id = b.user_id"""
+)
+def changed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events")
+    of = lambda r: e.filter(F.col("event_id") % 2 == r).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return approval.changed_versions(of(0), of(1), "user_id", "n")
+
+
+# Chunks.
+
+
+@query()
+def chunk_pack_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed chunks of whole documents; tests hold them against a loop."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("Document "), "doc_id").alias("title"))
+    return chunking.packed_chunks(docs).select("doc_id", "chunk_index", "n_chunks", "chunk_id", F.length("text").alias("n_chars"))
+
+
+_SPANS = f"""
+l AS (SELECT doc_id, pos, length(line) + 1 AS n FROM ({_LINES})),
+e AS (SELECT doc_id, pos, n, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM l),
+spans AS (SELECT e.doc_id, CAST(pos AS INTEGER) AS line, CAST(e - n AS BIGINT) AS s, CAST(least(e, length(d.text)) AS BIGINT) AS t FROM e JOIN documents d USING (doc_id))"""
+
+
+@query(
+    f"""WITH {_SPANS}, w AS (SELECT doc_id, unnest(range(0, CAST(ceil(length(text) / 500.0) AS BIGINT))) AS u, length(text) AS n FROM documents)
+SELECT spans.doc_id, line AS segment, u AS unit, greatest(s, 500 * u) AS "start", least(t, least(500 * u + 500, n)) AS "end"
+FROM spans JOIN w ON spans.doc_id = w.doc_id AND greatest(s, 500 * u) < least(t, least(500 * u + 500, n))"""
+)
+def range_join_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines against windows of 500 characters: which parts of which windows each line has."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = chunking.line_spans(docs).withColumnRenamed("line", "id")
+    n = F.length("text")
+    units = docs.filter(n > 0).select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0), F.ceil(n / 500).cast("int") - 1)).alias("u"))
+    units = units.select("doc_id", F.col("u").cast("long").alias("id"), (F.col("u") * 500).cast("long").alias("start"), F.least(F.col("u") * 500 + 500, "n").cast("long").alias("end"))
+    return chunking.overlapping(lines, units)
+
+
+@query("SELECT doc_id, TRUE AS covered FROM documents")
+def coverage_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line spans of every document tile its text."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunking.coverage(chunking.line_spans(docs).select("doc_id", "start", "end"), docs)
+
+
+@query(
+    f"""WITH l AS ({_LINES}), h AS (SELECT *, CASE WHEN pos % 10 = 0 THEN line END AS c FROM l),
+g AS (SELECT *, count(c) OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM h)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, sha256(coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos), '')) AS chapter,
+  sha256(coalesce(last_value(CASE WHEN contains(line, ',') THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id, n ORDER BY pos), '')) AS section FROM g"""
+)
+def headings_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth line as a chapter, lines with a comma as sections."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    marked = docs.withColumn("line", F.when(F.col("pos") % 10 == 0, F.concat(F.lit("\u0001"), "line")).otherwise(F.col("line")))
+    rows = chunking.with_headings(marked, "^\u0001", ",")
+    sha = lambda c: F.sha2(F.coalesce(F.regexp_replace(c, "^\u0001", ""), F.lit("")), 256).alias(c)
+    return rows.select("doc_id", "pos", sha("chapter"), sha("section"))
+
+
+# Conversations.
+
+
+@query(
+    r"""WITH t AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER w AS previous, last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER w AS reply
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+u AS (SELECT *, trim(coalesce(text, ''), E' \t\r\n') AS q FROM t WHERE role = 'user')
+SELECT conv_id, turn, q AS question, CASE WHEN length(q) < 15 AND previous IS NOT NULL THEN previous || chr(10) || q ELSE q END AS search_text,
+  CASE WHEN NOT (length(q) < 15 AND previous IS NOT NULL) THEN 'question' WHEN coalesce(trim(reply, E' \t\r\n') LIKE '%?', FALSE) THEN 'choice' ELSE 'follow_up' END AS kind FROM u"""
+)
+def followup_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.effective_questions(_read(spark, sf_dir, "conversations"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, role, array_agg(role || ': ' || coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS h FROM conversations)
+SELECT conv_id, turn, CAST(coalesce(len(h), 0) AS INTEGER) AS n_history, coalesce(array_to_string(h, chr(10)), '') AS history FROM t WHERE role = 'user'"""
+)
+def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.with_history(_read(spark, sf_dir, "conversations"))
+
+
+@query(
+    r"""WITH f AS (SELECT conv_id, turn, CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) < 2 THEN NULL WHEN len(string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) > 1 THEN 'en' END AS found
+  FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, coalesce(last_value(found IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), 'ko') AS language FROM f"""
+)
+def lang_by_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.question_languages(_read(spark, sf_dir, "conversations"))
+
+
+@query(
+    """SELECT conv_id, problem FROM (SELECT conv_id, CASE WHEN count(*) > 4 THEN 'too many turns' WHEN bool_or(role NOT IN ('user', 'assistant', 'system')) THEN 'unknown role'
+  WHEN bool_or(length(coalesce(text, '')) = 0) THEN 'empty text' WHEN bool_or(length(text) > 4000) THEN 'text too long' WHEN arg_max(role, turn) <> 'user' THEN 'last turn is not the user''s'
+  WHEN arg_max(length(text), turn) > 200 THEN 'question too long' END AS problem FROM conversations GROUP BY conv_id) WHERE problem IS NOT NULL"""
+)
+def request_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.request_problems(_read(spark, sf_dir, "conversations"), most=4, question=200)
+
+
+# Answers.  Replies get citations and numbers, as the texts have none.
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _read(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    c = F.col("conv_id")
+    answer = F.concat(F.lit("Fee "), c * 1000 + F.col("turn"), F.lit(" ["), c % 7, F.lit("]\n"), F.coalesce("text", F.lit("")), F.lit("\nSee ["), c % 3 + 1, F.lit("] [port_key] 2,"), F.lpad((c % 900 + 100).cast("string"), 3, "0"))
+    return t.select("conv_id", "turn", answer.alias("answer"), F.concat(F.lit("Fee "), c * 1000, F.lit(" or 2"), F.lpad((c % 900 + 100).cast("string"), 3, "0")).alias("evidence"))
+
+
+_ANSWERS = """
+a AS (SELECT conv_id, turn, 'Fee ' || (conv_id * 1000 + turn) || ' [' || (conv_id % 7) || ']' || chr(10) || coalesce(text, '') || chr(10) || 'See [' || (conv_id % 3 + 1) || '] [port_key] 2,' || lpad(CAST(conv_id % 900 + 100 AS VARCHAR), 3, '0') AS answer,
+  'Fee ' || (conv_id * 1000) || ' or 2' || lpad(CAST(conv_id % 900 + 100 AS VARCHAR), 3, '0') AS evidence FROM conversations WHERE role = 'assistant')"""
+
+
+@query(
+    rf"""WITH {_ANSWERS},
+n AS (SELECT *, list_distinct([regexp_replace(x, '[,.]+$', '') for x in regexp_extract_all(regexp_replace(answer, '\[\d+\]', ' ', 'g'), '\d[\d,.]*')]) AS ns FROM a)
+SELECT conv_id, turn, array_to_string(regexp_extract_all(answer, '\[(\d+)\]', 1), ',') AS cited,
+  (CASE WHEN conv_id % 7 = 0 OR conv_id % 7 > 3 THEN 'bad_citation,action_name' ELSE 'action_name' END) AS broken,
+  len([1 for x in ns if NOT contains(evidence, x) AND NOT contains(replace(evidence, ',', ''), replace(x, ',', ''))]) AS n_unsupported,
+  len([1 for x in string_split(answer, chr(10)) if trim(x) <> '' AND NOT regexp_matches(x, '\[\d+\]')]) AS n_uncited FROM n"""
+)
+def citations_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = F.col("answer")
+    return _answers(spark, sf_dir).select(
+        "conv_id", "turn", F.array_join(tx.citations(a).cast("array<string>"), ",").alias("cited"), F.array_join(tx.violations(a, F.lit(3)), ",").alias("broken"),
+        F.size(tx.unsupported_numbers(a, F.col("evidence"))).cast("long").alias("n_unsupported"), F.size(tx.uncited_lines(a)).cast("long").alias("n_uncited"),
+    )
+
+
+@query(
+    """SELECT conv_id, string_agg('[' || (turn + 1) || '] Turn ' || turn || ' · ' || role || chr(10) || CASE WHEN length(trim(text, E' \\t\\r\\n')) <= 200 THEN trim(text, E' \\t\\r\\n') ELSE left(trim(text, E' \\t\\r\\n'), 200) || ' …' END, chr(10) || chr(10) ORDER BY turn) AS evidence, count(*) AS n
+FROM conversations GROUP BY conv_id"""
+)
+def evidence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of a conversation as numbered evidence."""
+    t = _read(spark, sf_dir, "conversations")
+    hits = t.select(F.col("conv_id").alias("qid"), (F.col("turn") + 1).alias("rank"), F.concat(F.lit("Turn "), "turn").alias("title"), F.col("role").alias("locator"), F.lit("").alias("date"), "text")
+    return evidence.evidence_text(hits, most=200).select(F.col("qid").alias("conv_id"), "evidence", "n")
+
+
+@query(
+    f"""WITH {_ANSWERS},
+c AS (SELECT conv_id, turn, list_distinct([CAST(x AS INTEGER) for x in regexp_extract_all(answer, '\\[(\\d+)\\]', 1)]) AS cs, regexp_extract_all(answer, '\\[(\\d+)\\]', 1) AS raw FROM a WHERE turn = 1),
+x AS (SELECT conv_id, unnest(cs) AS rank, raw FROM c),
+d AS (SELECT conv_id, rank, list_position(raw, CAST(rank AS VARCHAR)) AS place, n_nationkey % 5 + 1 AS doc, n_nationkey, n_name FROM x JOIN nation ON n_nationkey % 5 + 1 = rank),
+f AS (SELECT conv_id, n_name AS label, 'r' || (n_nationkey % 3) AS phone, min((place, n_nationkey)) AS f FROM d GROUP BY 1, 2, 3)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY f) AS INTEGER) AS place, label, phone FROM f"""
+)
+def cited_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as contacts of the sources that first replies cite."""
+    answers = _answers(spark, sf_dir).filter("turn = 1").select(F.col("conv_id").alias("qid"), "answer")
+    hits = answers.select("qid", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank")).withColumn("doc_id", F.col("rank").cast("string"))
+    n = F.col("n_nationkey")
+    contacts = _read(spark, sf_dir, "nation").select(n.alias("key"), F.col("n_name").alias("label"), F.concat(F.lit("r"), n % 3).alias("phone"), F.array((n % 5 + 1).cast("string")).alias("doc_ids"))
+    return evidence.cited_contacts(answers, hits, contacts).withColumnRenamed("qid", "conv_id")
+
+
+# Evaluation and logs.
+
+
+@query(
+    """SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, quantile_disc(value, 0.95) AS p95, max(value) AS max,
+  round(avg(CASE WHEN value <= 5 THEN 1.0 ELSE 0.0 END), 9) AS share_within FROM events WHERE value IS NOT NULL GROUP BY event_type"""
+)
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluation.latency(_read(spark, sf_dir, "events"), "value", 5.0, "event_type")
+    return out.withColumns({"mean": F.round("mean", 6), "median": F.round("median", 6), "share_within": F.round("share_within", 9)})
+
+
+@query(
+    """WITH l AS (SELECT event_type AS grp, unnest(['high', 'even', 'early']) AS "check", unnest([CASE WHEN value IS NOT NULL THEN value > 50 END, CASE WHEN user_id % 3 <> 0 THEN event_id % 2 = 0 END, CASE WHEN TRUE THEN hour(ts) < 12 END]) AS ok FROM events)
+SELECT CASE WHEN grouping(grp) = 0 THEN grp END AS grp, "check", grouping(grp) = 1 AS total, count(*) FILTER (ok) AS passed, count(ok) AS applicable FROM l WHERE ok IS NOT NULL GROUP BY GROUPING SETS ((grp, "check"), ("check"))"""
+)
+def rate_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events")
+    checks = F.create_map(F.lit("high"), F.col("value") > 50, F.lit("even"), F.when(F.col("user_id") % 3 != 0, F.col("event_id") % 2 == 0), F.lit("early"), F.hour("ts") < 12)
+    return evaluation.rates(e.select("event_type", checks.alias("checks")), "event_type")
+
+
+@query("SELECT user_id % 5 AS grp, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY 1")
+def type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events").withColumn("grp", F.col("user_id") % 5)
+    return evaluation.histogram(e, "grp", "event_type", ["click", "view", "purchase"])
+
+
+@query(
+    """SELECT outcome, count(*) AS n, round(median(s), 6) AS median_s, round(max(s), 6) AS max_s FROM (SELECT value AS s, CASE WHEN user_id % 2 = 0 AND event_id % 3 = 0 THEN 'false_block' WHEN user_id % 2 = 1 AND event_id % 3 = 0 THEN 'true_block'
+  WHEN user_id % 2 = 1 THEN 'missed' ELSE 'passed' END AS outcome FROM events) GROUP BY outcome"""
+)
+def gate_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events").select((F.col("user_id") % 2 == 0).alias("answerable"), (F.col("event_id") % 3 != 0).alias("allowed"), F.col("value").alias("seconds"))
+    return evaluation.gate_confusion(e).withColumns({"median_s": F.round("median_s", 6), "max_s": F.round("max_s", 6)})
+
+
+@query("SELECT l.doc_id AS qid, d.doc_id IS NOT NULL AS indexed FROM labels l LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 4 <> 0) d USING (doc_id) WHERE d.doc_id IS NULL")
+def gold_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents that an index without every fourth document lacks."""
+    gold = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("qid"), "doc_id")
+    idx = _read(spark, sf_dir, "documents").filter("doc_id % 4 <> 0").select("doc_id")
+    return evaluation.dangling(gold, idx, "doc_id").select("qid", F.lit(False).alias("indexed"))
+
+
+@query("SELECT doc_id, CAST((quality = 1) AND (toxic = 0) AS BOOLEAN) AS required_met, quality = 1 OR toxic = 1 AS overlaps FROM labels")
+def set_ops_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required within shown within allowed, and gold that overlaps what is shown."""
+    labels = _read(spark, sf_dir, "labels")
+    shown = F.filter(F.array(F.when(F.col("quality") == 1, "q"), F.when(F.col("toxic") == 1, "t")), lambda x: x.isNotNull())
+    required, allowed = F.array(F.lit("q")), F.array(F.lit("q"))
+    met = (F.size(F.array_except(required, shown)) == 0) & (F.size(F.array_except(shown, allowed)) == 0)
+    return labels.select("doc_id", met.alias("required_met"), F.arrays_overlap(shown, F.array(F.lit("q"), F.lit("t"))).alias("overlaps"))
+
+
+@query("SELECT message_id, rating, n FROM (SELECT event_id % 100 AS message_id, arg_max(event_type, (ts, event_type)) AS rating, count(*) AS n FROM events WHERE event_id % 100 < 90 GROUP BY 1)")
+def feedback_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events").withColumn("message_id", F.col("event_id") % 100)
+    logs = e.filter("message_id < 90").groupBy("message_id").agg(F.count(F.lit(1)).alias("n"))
+    known, _ = sinks.with_feedback(logs, e.select("message_id", F.col("event_type").alias("rating"), "ts"))
+    return known.select("message_id", "rating", "n")
+
+
+# Index.
+
+
+@query(
+    """SELECT coalesce(d.lang, 'all') AS lang, count(*) AS chunks, max(length(text)) AS max_chars, round(avg(length(text)), 6) AS mean_chars, CAST(sum(length(text)) AS BIGINT) AS chars
+FROM documents d GROUP BY GROUPING SETS ((d.lang), ())"""
+)
+def index_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = index.manifest(_read(spark, sf_dir, "documents").withColumnRenamed("lang", "chunk_kind"))
+    return out.select(F.when(F.col("total"), "all").otherwise(F.col("chunk_kind")).alias("lang"), "chunks", F.col("max_chars").cast("long"), F.round("mean_chars", 6).alias("mean_chars"), "chars")
+
+
+@query()
+def index_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version digest of all documents; tests hold it against reordered and changed rows."""
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.sha2("text", 256).alias("chunk_text_sha256"))
+    return index.version_digest(docs, "r1")
+
+
+@query("SELECT d.doc_id AS chunk_id, (d.text IN (SELECT text FROM documents WHERE doc_id % 2 = 0)) AS reused FROM documents d")
+def vector_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of documents, taken from those of the even ones where the text is the same."""
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("input"))
+    known = docs.filter("chunk_id % 2 = 0").select(F.sha2("input", 256).alias("input_hash"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    return index.embed(docs, known).select("chunk_id", "reused")
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT count(*) AS n FROM embeddings), l AS (SELECT vec_id AS src, (vec_id * 2 + 1) % n AS dst FROM embeddings, n UNION ALL SELECT vec_id, (vec_id * 3) % n FROM embeddings, n),
+r AS (SELECT CAST(1 AS BIGINT) AS page, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN l ON src = page WHERE depth < 40 AND dst % 10 <> 7)
+SELECT page, min(depth) AS depth FROM r GROUP BY page"""
+)
+def reachable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A breadth-first walk over a made link graph, without pages whose number ends with 7."""
+    v = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("src"))
+    n = v.count()
+    links = v.select("src", ((F.col("src") * 2 + 1) % n).alias("dst")).unionByName(v.select("src", ((F.col("src") * 3) % n).alias("dst")))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+    return index.reachable(spark, spark.range(1, 2).select(F.col("id").alias("page")), links, F.col("dst") % 10 == 7)
+
+
+@query(
+    """WITH e AS (SELECT lang, source AS path, 'P-' || lang || '-' || lpad(CAST(row_number() OVER (PARTITION BY lang ORDER BY source) AS VARCHAR), 4, '0') AS id FROM (SELECT DISTINCT lang, source FROM documents WHERE source < 'src2')),
+f AS (SELECT DISTINCT lang, source AS path FROM documents WHERE NOT source < 'src2'), b AS (SELECT lang, count(*) AS n FROM e GROUP BY lang)
+SELECT * FROM e UNION ALL SELECT f.lang, path, 'P-' || f.lang || '-' || lpad(CAST(coalesce(n, 0) + row_number() OVER (PARTITION BY f.lang ORDER BY path) AS VARCHAR), 4, '0') FROM f LEFT JOIN b USING (lang)"""
+)
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of two collections: those of the first keep their ids."""
+    paths = _read(spark, sf_dir, "documents").select("lang", F.col("source").alias("path")).distinct()
+    none = paths.filter("false").select("lang", "path", F.lit("").alias("id"))
+    first = index.stable_ids(none, paths.filter("path < 'src2'"), "P")
+    return index.stable_ids(first, paths, "P")
+
+
+# Pages.
+
+
+@query(
+    r"""SELECT page_id, 'link' AS kind, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) FROM pages) GROUP BY page_id"""
+)
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = htmltables.page_links(_read(spark, sf_dir, "pages"))
+    return links.filter("kind = 'link'").groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Streams, as batches; tests run them as streams.
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS \"start\", time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ev.tumbling(_read(spark, sf_dir, "events"), "1 day", "event_type")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, s"""
+)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ev.sessions(_read(spark, sf_dir, "events"), "6 hours", "user_id")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
