@@ -212,7 +212,7 @@ def _verified(plan: JoinPlan) -> Callable:
             sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
             sizes = np.array([len(s) for s in sets], float)
             both = sizes[left][:, None] + sizes[right][None, :]
-            linked = (1 + plan.threshold) * _overlaps(sets, left, right) >= plan.threshold * both - 1e-6
+            linked = (1 + plan.threshold) * _overlaps(sets, left, right).astype(float) >= plan.threshold * both - 1e-6
             if same:
                 np.fill_diagonal(linked, False)
             if not linked.any():
