@@ -78,7 +78,8 @@ def record_fingerprint(record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> Co
     known = sorted({p for x in layouts for p in x.paths})
     lists = sorted({x.items[0] for x in layouts if x.items})
     keys = lambda json: F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
-    nested = [F.transform(keys(F.get_json_object(record, f"$.{name}[0]")), lambda k, n=name: F.concat(F.lit(f"{n}[]."), k)) for name in lists]
+    inside = lambda name: F.transform(keys(F.get_json_object(record, f"$.{name}[0]")), lambda k: F.concat(F.lit(f"{name}[]."), k))
+    nested = [inside(name) for name in lists]
     paths = F.array_sort(F.array_distinct(F.array_intersect(F.concat(F.json_object_keys(record), *nested), F.array(*map(F.lit, known)))))
     return F.sha2(F.array_join(paths, "\n"), 256)
 

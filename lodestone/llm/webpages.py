@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.DOTALL)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(>|\Z)", re.DOTALL)
 _RAW_END = {t: re.compile(rf"</{t}[\s/>]|\Z", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template")}
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?![\w-])""", re.IGNORECASE)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,7 +31,7 @@ _BLOCK = frozenset(
 )
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th figure figcaption caption hr article main body html".split())
 _CHROME = frozenset(
-    "head script style noscript template iframe object embed svg canvas math nav footer aside form button select option input textarea label dialog menu search video audio map".split()
+    "head title script style noscript template iframe object embed svg canvas math nav footer aside form button select option input textarea label dialog menu search video audio map".split()
 )
 _CHROME_NAME = re.compile(
     r"^(?:ads?|adverts?|advertisements?|adsbygoogle|banners?|sponsor(?:ed|s)?|promos?|nav(?:bar|igation)?|menus?|breadcrumbs?|header|site-?header|page-?header|"
@@ -63,10 +63,22 @@ class Element:
     content: bool = False
     children: list = field(default_factory=list)  # texts and elements
 
-    def furniture(self) -> bool:
-        """By its tag, role or name no part of an article."""
+    def has_heading(self) -> bool:
+        todo = [self]
+        while todo:
+            e = todo.pop()
+            if e.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+                return True
+            todo += [c for c in e.children if isinstance(c, Element)]
+        return False
+
+    def furniture(self, within: bool = False) -> bool:
+        """By its tag, role or name no part of an article.  A header is, unless it is ``within`` a
+        content element and has a heading."""
         if self.tag in ("html", "body"):
             return False
+        if self.tag == "header" and not (within and self.has_heading()):
+            return True
         return self.tag in _CHROME or self.hidden or self.role in _CHROME_ROLE or any(_CHROME_NAME.match(n) for n in self.names)
 
 
@@ -166,7 +178,7 @@ def _removable(root: Element) -> Iterator[Element]:
     todo = [(root, False)]
     while todo:
         e, within = todo.pop()
-        if e.tag in _BLOCK and e.tag not in ("html", "body", "title") and not e.content and not (within and e.tag in _PROSE and not e.furniture()):
+        if e.tag in _BLOCK and e.tag not in ("html", "body", "title") and not e.content and not (within and e.tag in _PROSE and not e.furniture(True)):
             yield e
         todo += [(c, within or e.content) for c in e.children if isinstance(c, Element)]
 
@@ -188,7 +200,7 @@ def main_text(page: str, recurring: set[int]) -> str:
         _hashes(root, hashes)
         cut = {id(e) for e in _removable(root) if hashes[id(e)] in recurring}
     found = _content(root, cut)
-    text = _text(found or [root], cut)
+    text = _text(found or [root], cut, bool(found))
     return text if text or not cut or found else _text([root], set())
 
 
@@ -227,7 +239,7 @@ def _articles(e: Element, cut: set[int]) -> list[Element]:
     return out
 
 
-def _text(roots: list[Element], cut: set[int]) -> str:
+def _text(roots: list[Element], cut: set[int], within: bool = False) -> str:
     blocks: list[str] = []
     run: list[str] = []
 
@@ -248,7 +260,7 @@ def _text(roots: list[Element], cut: set[int]) -> str:
             run.append(x)
         elif x.tag == "br":
             run.append(" ")
-        elif id(x) not in cut and not (x.furniture() and not x.content):
+        elif id(x) not in cut and not (x.furniture(within) and not x.content):
             if x.tag in _BLOCK:
                 close()
                 todo.append(None)
