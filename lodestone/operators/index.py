@@ -34,11 +34,10 @@ def embed(chunks: DataFrame, known: DataFrame, encode: Callable[[Column], Column
 def version_digest(chunks: DataFrame, revision: str, buckets: int = 4096) -> DataFrame:
     """(n, digest) over the ids and text hashes of all chunks, whatever their order.
 
-    Rows are hashed into buckets, of which each has the sorted digests of its rows; the bucket
-    digests, a fixed number, make the digest of the version."""
+    Rows are hashed into buckets; a bucket's digest is over the sums of its rows' hashes, so it
+    needs no order; the bucket digests, a fixed number, make the digest of the version."""
     row = F.sha2(F.concat_ws("\u001f", F.col("chunk_id").cast("string"), "chunk_text_sha256"), 256)
     rows = chunks.select(row.alias("h")).withColumn("b", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    # Sums of 12-digit hex parts: an order-free digest of a bucket in bounded memory.
     part = lambda i: F.sum(F.conv(F.substring("h", 12 * i + 1, 12), 16, 10).cast("decimal(38,0)"))
     own = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"), *(part(i).alias(f"p{i}") for i in range(5)))
     digests = own.select("n", F.struct("b", F.sha2(F.concat_ws(":", "b", "n", *(f"p{i}" for i in range(5))), 256).alias("d")).alias("x"))

@@ -5,6 +5,7 @@ Schemas are given, never inferred.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +54,15 @@ def file_format(content: Column) -> Column:
     )
 
 
-def decoded_page(content: Column, second: str = "EUC-KR") -> Column:
-    """Page bytes as UTF-8, else in the second encoding."""
-    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, second))
+def decoded_page(content: Column, second: str = "cp949") -> Column:
+    """Page bytes as UTF-8, else in the second encoding (bytes that it lacks are replaced); only such pages go to Python."""
+
+    @F.pandas_udf("string")
+    def other(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: None if b is None else bytes(b).decode(second, "replace"))
+
+    good = F.is_valid_utf8(content.cast("string"))
+    return F.coalesce(F.when(good, content.cast("string")), other(F.when(~good, content)))
 
 
 def verified(files: DataFrame, metadata: DataFrame, blocked_hashes: DataFrame) -> DataFrame:
@@ -76,7 +83,7 @@ def as_list(json: str, path: str, element: str) -> Column:
     return F.when(value.isNull(), None).when(value.startswith("["), many).otherwise(one)
 
 
-def law_units(laws: DataFrame, longest_paragraph: int = 1_000_000) -> DataFrame:
+def law_units(laws: DataFrame) -> DataFrame:
     """(serial, article, unit, text) of laws (a struct column ``law``): the article's text, then each
     paragraph with its items and sub-items on lines of their own.  Deleted articles are left out."""
     sub = lambda s: F.concat(F.lit("  "), s["text"])
@@ -113,5 +120,5 @@ def sse_events(streams: DataFrame) -> DataFrame:
     rows = streams.select("message_id", F.posexplode(done).alias("seq", "block"))
     own = F.filter(F.split("block", "\n"), lambda x: ~x.startswith(":"))
     value = lambda name: F.transform(F.filter(own, lambda x: x.startswith(f"{name}:")), lambda x: F.regexp_replace(x, f"^{name}: ?", ""))
-    events = rows.select("message_id", "seq", F.coalesce(F.element_at(value("event"), F.when(F.size(value("event")) > 0, F.lit(-1))), F.lit("message")).alias("event"), value("data").alias("d"))
+    events = rows.select("message_id", "seq", F.coalesce(F.get(F.reverse(value("event")), F.lit(0)), F.lit("message")).alias("event"), value("data").alias("d"))
     return events.filter(F.size("d") > 0).select("message_id", "seq", "event", F.array_join("d", "\n").alias("data"))
