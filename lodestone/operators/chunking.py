@@ -149,3 +149,25 @@ def citing_articles(forms: DataFrame, articles: DataFrame, citation: str) -> Dat
     cited = articles.select("doc_id", "article", F.explode(labels).alias("form"))
     found = forms.select("doc_id", "form").join(cited, ["doc_id", "form"], "left")
     return found.groupBy("doc_id", "form").agg(F.array_sort(F.collect_set("article")).alias("articles"))
+
+
+def unit_spans(documents: DataFrame, start: str) -> DataFrame:
+    """(doc_id, unit, start, end, text): a text cut before each match of ``start``; unit 0 is what comes before the first.
+
+    The units tile the text, so positions are sums of lengths."""
+    pieces = documents.select("doc_id", F.posexplode(F.split("text", f"(?m)(?={start})", -1)).alias("unit", "text")).filter("text <> ''")
+    w = Window.partitionBy("doc_id").orderBy("unit")
+    end = F.sum(F.length("text")).over(w).cast("long")
+    rows = pieces.withColumn("end", end)
+    number = F.when(F.col("text").rlike(f"^(?m)(?:{start})"), 1).otherwise(0)
+    return rows.select("doc_id", F.sum(number).over(w).cast("int").alias("unit"), (F.col("end") - F.length("text")).alias("start"), "end", "text")
+
+
+def numbered_breaks(text: Column, marks: str = "[①-⑳]", items: str = r"\d{1,2}\.") -> Column:
+    """Run-on text with a line break before each paragraph mark, and before item numbers that follow a space."""
+    return F.regexp_replace(F.regexp_replace(text, f"(?<=\\S)\\s*(?={marks})", "\n"), f"(?<=[^\\d\\n])\\s+(?={items}\\s)", "\n")
+
+
+def ranged_ids(ranges: DataFrame, listed: DataFrame) -> DataFrame:
+    """The ids in ranges (lo, hi) and in a list, each once; a range is opened row by row."""
+    return ranges.select(F.explode(F.sequence("lo", "hi")).alias("id")).unionByName(listed.select("id")).distinct()
