@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -282,6 +283,7 @@ class _Join:
         level = nodes.select("node", F.explode(F.array(*roots)).alias("p")).select(F.col("p.path").alias("path"), "node")
         level = self._shared(level).checkpoint()
         done = [level.filter(F.col("n") <= plan.small).select("path", "node")]
+        alike = []
         large = level.filter(F.col("n") > plan.small)
         for _ in range(plan.depth):
             if large.isEmpty():
@@ -295,20 +297,30 @@ class _Join:
             )
             whole = split.filter(F.col("together") >= plan.alike).select("path").checkpoint()
             children = signed.join(whole, "path", "left_anti").select("node", F.explode(F.array(*child)).alias("path"))
-            done.append(large.join(whole, "path", "left_semi").select("path", "node").checkpoint())
+            alike.append(large.join(whole, "path", "left_semi").select("path", "node").checkpoint())
             level = self._shared(children.distinct()).checkpoint()
             done.append(level.filter(F.col("n") <= plan.small).select("path", "node"))
             large = level.filter(F.col("n") > plan.small)
         else:
             done.append(large.select("path", "node"))
-        rows = done[0]
-        for more in done[1:]:
-            rows = rows.unionByName(more)
+        if alike:
+            done.append(self._families(reduce(DataFrame.unionByName, alike)))
+        rows = reduce(DataFrame.unionByName, done)
         rows = rows.select(F.col("path").alias("leaf"), "node").distinct()
         members = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node))").alias("a"), F.expr("bit_xor(xxhash64(node, 1))").alias("b"))
         first = members.groupBy("n", "a", "b").agg(F.min("leaf").alias("leaf")).select("leaf")
         return rows.join(first, "leaf", "left_semi").checkpoint()
 
+    @staticmethod
+    def _families(rows: DataFrame) -> DataFrame:
+        """Large buckets of alike texts that share members, as one: the runs find the same texts
+        again, so they are compared once.  Buckets that two rounds don't join stay apart."""
+        for _ in range(2):
+            own = rows.groupBy("node").agg(F.min("path").alias("least"))
+            to = rows.join(own, "node").groupBy("path").agg(F.min("least").alias("to"))
+            rows = rows.join(to, "path").select(F.col("to").alias("path"), "node").distinct().checkpoint()
+        return rows
+
     @staticmethod
     def _shared(rows: DataFrame) -> DataFrame:
         """The rows of paths that two texts or more have, with their number n."""
