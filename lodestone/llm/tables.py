@@ -34,7 +34,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: i
 
     Rows whose held-out remainder is 0 never take part, nor null labels.  The
     choice is by hash of the id, so it is the same at every run; the chosen ids
-    number at most ``most``, which is the proven bound of the broadcast."""
+    number at most ``most``, which is the proven bound of the broadcast.  Of repeated
+    rows with one id and label the least text counts."""
     chosen = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
         .filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
@@ -42,4 +43,5 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: i
         .limit(most)
         .dropDuplicates(["doc_id"])
     )
-    return documents.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").limit(2 * most)
+    rows = documents.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
