@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from lodestone.llm.tables import row_of
+
 KINDS = ("email", "card", "iban", "ssn", "phone", "ipv4", "date")
 ROUNDS = 8
 
@@ -287,7 +289,7 @@ def pseudonymize(documents: DataFrame, key: str, kinds: tuple[str, ...] = KINDS,
 def pseudonymized(documents: DataFrame, key: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """``documents`` with pseudonyms in ``text``, in the same columns; where a text
     has changed, ``n_chars`` is its new length.  Other cases as in ``pseudonymize``."""
-    rows = documents.select(F.struct(*(c for c in documents.columns if c != "text")).alias("doc_id"), "text")
+    rows = documents.select(row_of([c for c in documents.columns if c != "text"]).alias("doc_id"), "text")
     done = pseudonymize(rows, key, kinds)
     found = F.lit(0)
     for kind in KINDS:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.tables import labelled_sample
+from lodestone.llm.tables import labelled_sample, row_of
 
 #: (statistic, greater, threshold)
 Condition = tuple[str, bool, float]
@@ -213,7 +213,7 @@ def quality_scores(documents: DataFrame, rules: Rules, *keep: str, accept: float
     Null and empty texts are scored by the same rules with all counts 0.  Null ids
     stay null, repeated rows give repeated results, an empty table an empty result;
     other columns are not read and their names don't matter."""
-    scored = documents.select(F.struct("doc_id", *keep).alias("row"), _score(rules).alias("score"))
+    scored = documents.select(row_of(["doc_id", *keep]).alias("row"), _score(rules).alias("score"))
     return scored.select("row.*", "score", (F.col("score") >= accept).cast("int").alias("predicted"))
 
 

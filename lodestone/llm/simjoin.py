@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
-from lodestone.llm.tables import shared_folder
+from lodestone.llm.tables import row_of, shared_folder
 from lodestone.llm.textblocks import Block, blocks, mix, rolling, span_hashes, window_mask
 
 COORDINATES = 32
@@ -408,7 +408,7 @@ def one_of_each_class(documents: DataFrame, plan: JoinPlan | None = None) -> Dat
     classes = join.classes().checkpoint()
     kept = classes.select(F.col("rep_id").alias("k"), F.col("rep_node").alias("n")).distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("node"), text.rlike(r"[^\x20\x09-\x0D]").alias("words"))
+    rows = documents.select(row_of(documents.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("node"), text.rlike(r"[^\x20\x09-\x0D]").alias("words"))
     none = rows.filter(~F.col("words")).select("row.*")
     # Keys are alike only for rows that are alike, so one of them is taken.
     some = rows.filter("words").join(kept, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("k")))

@@ -11,6 +11,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def row_of(names: list[str]) -> Column:
+    """A struct of columns by their names, whatever characters these have."""
+    return F.struct(*(F.col("`" + n.replace("`", "``") + "`") for n in names))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -41,6 +41,7 @@ _CHROME_NAME = re.compile(
     r"cookie|banner|newsletter|share|promo))$",
     re.IGNORECASE,
 )
+_HEADINGS, _TITLES = frozenset(("h1", "h2", "h3", "h4", "h5", "h6")), frozenset(("h1",))
 _CHROME_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _CONTENT_NAME = re.compile(r"^(?:(?:article|post|entry|story|page|main)[-_]?(?:body|content|text)|articlebody|main-?content|content)$", re.IGNORECASE)
 #: Elements that an opening tag closes, up to the nearest of the second set.
@@ -63,22 +64,25 @@ class Element:
     content: bool = False
     children: list = field(default_factory=list)  # texts and elements
 
-    def has_heading(self) -> bool:
-        todo = [self]
+    def holds(self, tags: frozenset[str], content: bool = False) -> bool:
+        """Whether there is an element of ``tags`` below, or a content element if that is asked for."""
+        todo = [c for c in self.children if isinstance(c, Element)]
         while todo:
             e = todo.pop()
-            if e.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            if e.tag in tags or content and e.content:
                 return True
             todo += [c for c in e.children if isinstance(c, Element)]
         return False
 
     def furniture(self, within: bool = False) -> bool:
         """By its tag, role or name no part of an article.  A header is, unless it is ``within`` a
-        content element and has a heading."""
+        content element and has a heading; a form is, unless it is around a page's content or title."""
         if self.tag in ("html", "body"):
             return False
-        if self.tag == "header" and not (within and self.has_heading()):
+        if self.tag == "header" and not (within and self.holds(_HEADINGS)):
             return True
+        if self.tag == "form" and self.holds(_TITLES, content=True):
+            return False
         return self.tag in _CHROME or self.hidden or self.role in _CHROME_ROLE or any(_CHROME_NAME.match(n) for n in self.names)
 
 

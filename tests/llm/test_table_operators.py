@@ -90,7 +90,7 @@ def test_join_of_large_groups(spark):
 
 def test_one_of_each_class(spark):
     docs = near_copies(12, groups=12) + STRANGE
-    df = spark.createDataFrame([(i, t, "n", "k") for i, t in docs], "doc_id long, text string, n string, k string")
+    df = spark.createDataFrame([(i, t, "n", "k") for i, t in docs], "doc_id long, text string, n string, `k.dot` string")
     got = simjoin.one_of_each_class(df)
     classes = {c for (i, c, _), (_, t) in zip(by_brute_force(docs), docs) if (t or "").strip()}
     assert got.columns == df.columns
@@ -170,6 +170,7 @@ def test_top_k_with_large_numbers(spark):
         ("<article><ul><li>a<li>b<ul><li>c</ul></ul><table><tr><td>1<td>2<tr><td>3</table></article>", "a\nb\nc\n1\n2\n3"), ("<article><p>cut here <a href='x", "cut here"), ("<article>a<br>b<hr>c</article>", "a b\nc"),
         ("<header><h1>h</h1></header><article><header>h</header><p>x</p></article><article><header><h2>t</h2></header><p>y</p></article>", "x\nt\ny"), ("<p>a</b></i></p></div>b", "a\nb"), ("<title>t</title><style>s</style><p>z", "z"), ("<p>a&nbsp;&nbsp;b　c</p>", "a b c"),
         ("<article><blockquote>q</blockquote><pre>p  p</pre></article>", "q\np p"), ("a < b and 3 > 2", "a < b and 3 > 2"),
+        ("<form><h1>t</h1><p>all in a form</p><form><input>q</form></form>", "t\nall in a form"), ("<p title=it's>one</p><p title='a>b'>two</p>", "one\ntwo"),
     ],
 )
 def test_main_text(page, want):

@@ -255,6 +255,7 @@ def test_toxicity(spark, odd):
     assert auc(own.score.to_numpy(), own.toxic.to_numpy()) > 0.97 and (own.predicted == own.toxic).mean() > 0.95
     strange = toxicity.toxicity_scores(odd, net, "row", "label")
     assert strange.count() == len(ODD) and strange.filter("score is null or score < 0 or score > 1").count() == 0
+    odd = odd.withColumnRenamed("label", "la.bel")
     kept = toxicity.without_toxic(odd, net)
     assert kept.columns == odd.columns and kept.filter("doc_id = 2").count() == 1
     none = toxicity.train_toxicity(table, labels.filter("false"))
