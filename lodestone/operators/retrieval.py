@@ -68,6 +68,14 @@ def _scored(chunks: DataFrame, questions: DataFrame, config: RetrievalConfig) ->
     return pairs.filter(admitted).select("qid", "chunk_id", "unit", "doc_id", "kind", dist.alias("dist"))
 
 
+def _cap(config: RetrievalConfig) -> Column:
+    """The cap of a row's kind; null if it has none."""
+    cap = F.lit(None).cast("int")
+    for kind, n in config.kind_caps.items():
+        cap = F.when(F.col("kind") == kind, n).otherwise(cap)
+    return cap
+
+
 def top_k(chunks: DataFrame, questions: DataFrame, config: RetrievalConfig | None = None, capped_kinds: bool = True) -> DataFrame:
     """The best chunks of each question: qid, rank, chunk_id (the unit), part_id, doc_id, kind, score.
 
@@ -85,11 +93,8 @@ def top_k(chunks: DataFrame, questions: DataFrame, config: RetrievalConfig | Non
     by = lambda *keys: Window.partitionBy("qid", *keys).orderBy("dist", "unit")
     few = best.withColumn("rn", F.row_number().over(by("doc_id"))).filter(F.col("rn") <= config.per_doc).drop("rn")
     if capped_kinds and config.kind_caps:
-        free = few.filter(~F.coalesce(F.col("kind").isin(*config.kind_caps), F.lit(False)))
-        for kind, cap in config.kind_caps.items():
-            own = few.filter(F.col("kind") == kind).withColumn("rn", F.row_number().over(by())).filter(F.col("rn") <= cap).drop("rn")
-            free = free.unionByName(own)
-        few = free
+        # What is left by now is small: per_doc units of a document and question.
+        few = few.withColumn("rg", F.row_number().over(by("kind"))).filter(_cap(config).isNull() | (F.col("rg") <= _cap(config))).drop("rg")
     ranked = few.withColumn("rank", F.row_number().over(by())).filter(F.col("rank") <= config.k)
     return ranked.select(
         "qid",
@@ -121,9 +126,7 @@ def select_capped(hits: DataFrame, key: Column, config: RetrievalConfig | None =
     config = config or RetrievalConfig()
     order = Window.partitionBy("qid").orderBy(F.desc("key"), "chunk_id")
     within = Window.partitionBy("qid", "kind").orderBy(F.desc("key"), "chunk_id")
-    cap = F.lit(None).cast("int")
-    for kind, n in config.kind_caps.items():
-        cap = F.when(F.col("kind") == kind, n).otherwise(cap)
+    cap = _cap(config)
     kept = hits.withColumn("key", key).withColumn("own", F.row_number().over(within)).filter(cap.isNull() | (F.col("own") <= cap)).drop("own")
     return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= config.k)
 
