@@ -14,13 +14,15 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.tables import shared_folder
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(>|\Z)", re.DOTALL)
 _RAW_END = {t: re.compile(rf"</{t}[\s/>]|\Z", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template")}
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?![\w-])""", re.IGNORECASE)
@@ -273,10 +275,12 @@ def _text(roots: list[Element], cut: set[int], within: bool = False) -> str:
     return "\n".join(blocks)
 
 
-def extract_pages(pages: DataFrame, least_pages: int = 20, salts: int = 8) -> DataFrame:
+def extract_pages(pages: DataFrame, least_pages: int = 20, salts: int = 8, sent_templates: int = 100_000) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
-    A subtree is part of a template if ``least_pages`` rows of its host have it.  A page
+    A subtree is part of a template if ``least_pages`` rows of its host have it.  Up to
+    ``sent_templates`` of them are counted and sent to the tasks, more are joined to
+    their pages; the rows are the same.  A page
     without content element gives what its body has left; if the templates leave
     nothing of such a page, they are not cut from it.  Null and empty html give an empty
     text; pages without a readable host share the host ''.  Null ids stay null, repeated
@@ -294,24 +298,38 @@ def extract_pages(pages: DataFrame, least_pages: int = 20, salts: int = 8) -> Da
             hashes = [template_hashes(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64()))], names=["page", "host", "hashes"])
 
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(x, set(r or ())) for x, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"]
-            )
+    def extracted(batch: pa.RecordBatch, recurring: Iterable[Iterable[int] | None]) -> pa.RecordBatch:
+        texts = [main_text(x, r if isinstance(r, set) else set(r or ())) for x, r in zip(batch.column(2).to_pylist(), recurring)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"]
+        )
 
+    out = "page_id long, url string, text string, n_chars long"
     trees = (
         rows.select("page", "host", "html")
         .mapInArrow(first, "page long, host string, hashes array<bigint>")
         .select("page", "host", F.explode("hashes").alias("hash"), F.pmod("page", F.lit(salts)).cast("int").alias("salt"))
     )
-    templates = (
-        trees.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages)
-        .select("host", "hash", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    )
+    spark = pages.sparkSession
+    shared_folder(spark, spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+    templates = trees.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages).select("host", "hash").checkpoint()
+    if templates.count() <= sent_templates:
+        known: dict[str, set[int]] = {}
+        for r in templates.collect():
+            known.setdefault(r["host"], set()).add(r["hash"])
+        sent = spark.sparkContext.broadcast(known)
+
+        def by_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield extracted(batch, (sent.value.get(h) for h in batch.column(3).to_pylist()))
+
+        return rows.select("page_id", "url", "html", "host").mapInArrow(by_host, out)
+
+    def by_page(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield extracted(batch, batch.column(3).to_pylist())
+
+    wide = templates.select("host", "hash", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     # A page has a bounded set: its own subtrees.
-    per_page = trees.join(templates, ["host", "hash", "salt"]).groupBy("page").agg(F.collect_set("hash").alias("recurring"))
-    return (
-        rows.join(per_page, "page", "left").select("page_id", "url", "html", "recurring").mapInArrow(second, "page_id long, url string, text string, n_chars long")
-    )
+    per_page = trees.join(wide, ["host", "hash", "salt"]).groupBy("page").agg(F.collect_set("hash").alias("recurring"))
+    return rows.join(per_page, "page", "left").select("page_id", "url", "html", "recurring").mapInArrow(by_page, out)

@@ -177,14 +177,15 @@ def test_main_text(page, want):
     assert webpages.main_text(page, set()) == want
 
 
-def test_templates_are_removed(spark):
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_templates_are_removed(spark, sent):
     box = "<div><p>Join us today</p></div>"
     rows = [(i, f"https://a.org/{i}", f"<body>{box}<p>own {i}</p><div>odd {i}</div></body>") for i in range(30)]
     rows += [(100 + i, f"https://b.org/{i}", f"<article>{box}<p>Quoted by all</p><p>text {i}</p></article>") for i in range(30)]
     rows += [(200, "https://c.org/x", f"<body>{box}</body>"), (201, None, None), (202, "::", "<p>x"), (1, "https://a.org/1", rows[1][2])]
     rows += [(300 + i, "https://d.org/", "<body><div>all the same</div></body>") for i in range(25)]
     df = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, page long")
-    got = [tuple(r) for r in webpages.extract_pages(df).collect()]
+    got = [tuple(r) for r in webpages.extract_pages(df, sent_templates=sent).collect()]
     assert len(got) == len(rows) and all(n == len(t) for _, _, t, n in got)
     text = {i: t for i, _, t, _ in got}
     assert text[3] == "own 3\nodd 3" and text[103] == "Quoted by all\ntext 3" and text[200] == "Join us today" and text[201] == "" and text[202] == "x" and text[305] == "all the same"
