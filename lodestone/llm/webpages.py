@@ -25,7 +25,8 @@ from lodestone.llm.tables import shared_folder
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(>|\Z)", re.DOTALL)
 _RAW_END = {t: re.compile(rf"</{t}[\s/>]|\Z", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template")}
-_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?![\w-])""", re.IGNORECASE)
+#: One attribute, name[=value]; read one after another, so that a value is never taken for a name.
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -101,7 +102,7 @@ def _open(tag: str, attributes: str) -> Element:
                 element.content |= element.role in ("main", "article")
             elif name == "itemprop":
                 element.content |= value.lower() == "articlebody"
-            else:
+            elif name in ("hidden", "aria-hidden"):
                 element.hidden |= name == "hidden" or value.lower() == "true"
         element.names = tuple(names)
         element.content |= any(_CONTENT_NAME.match(n) for n in names)

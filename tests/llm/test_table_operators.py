@@ -177,6 +177,22 @@ def test_main_text(page, want):
     assert webpages.main_text(page, set()) == want
 
 
+@pytest.mark.parametrize(
+    "attributes",
+    [
+        'style="overflow:hidden"', 'style="visibility: hidden"', "title='the hidden gem'", 'href="/p?id=ads"', 'data-x="a class=nav b"', "title=hidden", 'data-hidden data-role="menu"', 'alt="say id=ads" class="wide"', 'title="a"class="wide"',
+        'aria-hidden="false"', "style='role=navigation hidden'/",
+    ],
+)
+def test_values_of_attributes_are_no_attributes(attributes):
+    assert webpages.main_text(f"<div {attributes}><article><p>kept</p></article></div>", set()) == "kept"
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'title="a" HIDDEN', "aria-hidden = 'true'", 'title="x"class="nav"', "id=ads", 'style="a:b" role=navigation', 'class="hidden menu"', "hidden/"])
+def test_attributes_hide(attributes):
+    assert webpages.main_text(f"<p>seen</p><div {attributes}>gone</div>", set()) == "seen"
+
+
 @pytest.mark.parametrize("sent", [0, 1000])
 def test_templates_are_removed(spark, sent):
     box = "<div><p>Join us today</p></div>"
