@@ -34,19 +34,18 @@ def shared_folder(spark: SparkSession, fallback: str) -> str:
     return folder
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """Text and 0/1 label of at most ``most`` labelled training documents.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: int, after: int = 0) -> DataFrame:
+    """Text and 0/1 label of at most ``most`` labelled training documents, without the first ``after``.
 
     Rows whose held-out remainder is 0 never take part, nor null labels.  The
     choice is by hash of the id, so it is the same at every run; the chosen ids
     number at most ``most``, which is the proven bound of the broadcast.  Of repeated
     rows with one id and label the least text counts."""
-    chosen = (
+    ordered = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
         .filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
-        .limit(most)
-        .dropDuplicates(["doc_id"])
     )
+    chosen = (ordered.offset(after) if after else ordered).limit(most).dropDuplicates(["doc_id"])
     rows = documents.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
     return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))

@@ -263,6 +263,25 @@ def test_toxicity(spark, odd):
     assert toxicity.toxicity_scores(odd.filter("false"), net).count() == 0
 
 
+def test_each_language_has_its_own_threshold(spark):
+    rng = random.Random(9)
+    plain = ["".join(rng.choice("abcdeiou") for _ in range(rng.randint(3, 7))) for _ in range(800)]
+    texts = []
+    for i in range(2400):
+        words = [rng.choice(plain) for _ in range(rng.randint(5, 20))] + toxicity.FUNCTION_WORDS[toxicity.LANGUAGES[i % 4]].split()
+        if i % 5 == 0:
+            words[rng.randrange(10)] = "zqidiot"
+        texts.append((i, " ".join(words), int(i % 5 == 0)))
+    table = spark.createDataFrame(texts, "doc_id long, text string, toxic int").cache()
+    how = toxicity.ConvFit(sample=300)  # a fifth of it has about 3 toxic texts of a language
+    net = toxicity.train_toxicity(table.drop("toxic"), table.select("doc_id", "toxic"), how=how)
+    assert len(set(net.shift[:4])) == 4
+    scored = toxicity.toxicity_scores(table, net, "toxic").toPandas()
+    assert (scored.predicted == scored.toxic).mean() > 0.95
+    few = toxicity.train_toxicity(table.drop("toxic"), table.filter("doc_id < 300").select("doc_id", "toxic"), how=how)
+    assert len(set(few.shift)) == 1
+
+
 def test_network_is_a_convolution():
     """The tables give what sliding the filters over the words gives."""
     rng = np.random.default_rng(3)
