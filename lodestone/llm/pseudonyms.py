@@ -4,7 +4,9 @@ Numbers and dates that pass their validation are replaced by a keyed permutation
 of their own format: digits stay digits, a card number keeps a right check digit,
 a date stays a real date in the same notation.  Equal values get equal
 pseudonyms in all documents, however they are punctuated, and the key holder can
-invert them.  Prefixes, domains and punctuation stay.
+invert them.  Prefixes, domains and punctuation stay.  In a run of digits that could
+be read in more than one way, a value may get the pseudonym of its pseudonym, so that
+the run can be inverted.
 """
 
 from __future__ import annotations
@@ -205,6 +207,8 @@ def _email(f: Feistel, text: str, back: bool) -> str | None:
     return "".join(reversed(out)) + "@" + domain
 
 
+_PHONE = r"""(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}
+        |\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,8}){1,5})(?![0-9A-Za-z]|[.-][0-9])"""
 _PATTERN = re.compile(
     r"""(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-]))
     |(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
@@ -212,10 +216,17 @@ _PATTERN = re.compile(
     |(?P<date>(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]|\.[0-9]))
     |(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))
     |(?P<card>(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9]))
-    |(?P<phone>(?<![0-9A-Za-z.+-])(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}
-        |\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,8}){1,5})(?![0-9A-Za-z]|[.-][0-9]))""",
+    |(?P<phone>(?<![0-9A-Za-z.+-])"""
+    + _PHONE
+    + ")",
     re.ASCII | re.VERBOSE,
 )
+#: A run of digit groups, without the beginning of an address or date; its groups, and what can begin at one.
+_RUN = re.compile(r"[0-9](?:[ -]?[0-9])*(?![0-9A-Za-z@_%+]|[.-][0-9]|/[0-9]{2}/)", re.ASCII)
+_GROUP = re.compile(r"[0-9]+", re.ASCII)
+_IN_RUN = {
+    "date": re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9/-]|\.[0-9])", re.ASCII), "ssn": re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", re.ASCII), "phone": re.compile(_PHONE, re.ASCII | re.VERBOSE),
+}
 _MAKE: dict[str, Callable[[Feistel, str, bool], str | None]] = {
     "email": _email, "card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "ipv4": _ipv4, "date": _date,
 }
@@ -243,15 +254,55 @@ class Pseudonymizer:
         """The text with its pseudonyms, and how many values of each kind it had."""
         counts: dict[str, int] = {}
 
-        def put(m: re.Match) -> str:
-            kind = m.lastgroup
-            new = self.value(kind, m[0])
-            if new is None:
-                return m[0]
-            counts[kind] = counts.get(kind, 0) + 1
-            return new
-
-        return _PATTERN.sub(put, text), counts
+        out: list[str] = []
+        at = 0
+        while (m := _PATTERN.search(text, at)) is not None:
+            kind, end = m.lastgroup, m.end()
+            if kind == "card":
+                run = _RUN.match(text, m.start())
+                end = run.end() if run else end
+                new, found = self._run(text[m.start() : end])
+            else:
+                new = self.value(kind, m[0])
+                new, found = (m[0], []) if new is None else (new, [kind])
+            for k in found:
+                counts[k] = counts.get(k, 0) + 1
+            out += (text[at : m.start()], new)
+            at = end
+        out.append(text[at:])
+        return "".join(out), counts
+
+    def _run(self, run: str) -> tuple[str, list[str]]:
+        """A run of digit groups with pseudonyms, and the kinds of its values.  All of them are permuted
+        until the run is read in the same parts again, so that it can be undone."""
+        parts = self._parts(run)
+        while parts:
+            for a, b, kind in parts:
+                run = run[:a] + self.value(kind, run[a:b]) + run[b:]
+            if self._parts(run) == parts:
+                break
+        return run, [kind for _, _, kind in parts]
+
+    def _parts(self, run: str) -> list[tuple[int, int, str]]:
+        """The values in a run: from each group on the longest card of whole groups, else a date, SSN or phone."""
+        groups = [m.span() for m in _GROUP.finditer(run)]
+        parts: list[tuple[int, int, str]] = []
+        at = 0
+        for i, (a, _) in enumerate(groups):
+            if a < at:
+                continue
+            ends, n = [], 0
+            for first, last in groups[i : i + 19]:
+                n += last - first
+                if 13 <= n <= 19:
+                    ends.append(last)
+            found = [(b, "card") for b in reversed(ends)] + [(m.end(), kind) for kind, p in _IN_RUN.items() if (m := p.match(run, a)) is not None]
+            for b, kind in found:
+                if self.value(kind, run[a:b]) is not None:
+                    parts.append((a, b, kind))
+                    at = b
+                    break
+        return parts
 
 
 def pseudonymize(documents: DataFrame, key: str, kinds: tuple[str, ...] = KINDS, keep: tuple[str, ...] = (), back: bool = False) -> DataFrame:

@@ -144,6 +144,30 @@ def test_pseudonyms_keep_format_and_go_back(kind):
     assert there.text("x 4598495729440943")[0].split()[1] == re.sub(r"\D", "", there.text("x 4598-4957-2944-0943")[0])
 
 
+@pytest.mark.parametrize(
+    "text, hidden, kinds",
+    [
+        ("4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"], {"card": 1}), ("4111 1111 1111 1111 123", ["4111 1111 1111 1111"], {"card": 1}), ("1 4111 1111 1111 1111", ["4111 1111 1111 1111"], {"card": 1}),
+        ("555 123 4567 555 987 6543", ["555 987 6543"], {"phone": 1}), ("555 423 4567 555 987 6543", ["555 423 4567", "555 987 6543"], {"phone": 2}), ("1-4111-1111-1111-1111", ["4111-1111-1111-1111"], {"card": 1}),
+        ("4012 4111 1111 1111 1111", ["4111 1111 1111 1111"], {"card": 1}), ("4111 1111 1111 1112 8.8.4.4", ["8.8.4.4"], {"ipv4": 1}), ("4111 1111 1111 1111 14/02/2001", ["4111 1111 1111 1111", "14/02/2001"], {"card": 1, "date": 1}),
+    ],
+)
+def test_values_next_to_other_digits(text, hidden, kinds):
+    new, counts = pseudonyms.Pseudonymizer(b"k").text(f"x {text} y")
+    assert counts == kinds and shape(new) == shape(f"x {text} y" if "ipv4" not in kinds else new) and not any(h in new for h in hidden)
+    assert pseudonyms.Pseudonymizer(b"k", back=True).text(new)[0] == f"x {text} y"
+
+
+def test_runs_of_digits_go_back():
+    rng = random.Random(3)
+    there, back = pseudonyms.Pseudonymizer(b"k"), pseudonyms.Pseudonymizer(b"k", back=True)
+    for _ in range(1000):
+        card = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        card += pseudonyms.luhn_digit(card)
+        text = f"{rng.choice(['', '2 ', '4012 '])}{card[:4]} {card[4:8]} {card[8:12]} {card[12:]}{rng.choice([' 12/27', ' 123', ' 555 987 6543', '-9876'])}"
+        assert back.text(there.text(text)[0])[0] == text
+
+
 def test_what_is_not_valid_stays():
     for value in KEPT:
         assert pseudonyms.Pseudonymizer(b"k").text(f"x {value} y") == (f"x {value} y", {})
