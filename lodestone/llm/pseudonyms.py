@@ -208,7 +208,7 @@ def _email(f: Feistel, text: str, back: bool) -> str | None:
 
 
 _PHONE = r"""(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}
-        |\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,8}){1,5})(?![0-9A-Za-z]|[.-][0-9])"""
+        |\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{1,8}){1,5})(?![0-9A-Za-z]|[.-][0-9])"""
 _PATTERN = re.compile(
     r"""(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-]))
     |(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
@@ -263,8 +263,10 @@ class Pseudonymizer:
                 end = run.end() if run else end
                 new, found = self._run(text[m.start() : end])
             else:
-                new = self.value(kind, m[0])
-                new, found = (m[0], []) if new is None else (new, [kind])
+                if kind == "phone":
+                    end = self._phone_end(text, m.start(), end)
+                new = self.value(kind, text[m.start() : end])
+                new, found = (text[m.start() : end], []) if new is None else (new, [kind])
             for k in found:
                 counts[k] = counts.get(k, 0) + 1
             out += (text[at : m.start()], new)
@@ -272,6 +274,13 @@ class Pseudonymizer:
         out.append(text[at:])
         return "".join(out), counts
 
+    def _phone_end(self, text: str, start: int, end: int) -> int:
+        """Where a phone number ends: groups that make it too long are not its own."""
+        for b in reversed([m.end() for m in _GROUP.finditer(text, start, end)]):
+            if self.value("phone", text[start:b]) is not None:
+                return b
+        return end
+
     def _run(self, run: str) -> tuple[str, list[str]]:
         """A run of digit groups with pseudonyms, and the kinds of its values.  All of them are permuted
         until the run is read in the same parts again, so that it can be undone."""

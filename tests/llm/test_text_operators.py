@@ -168,6 +168,19 @@ def test_runs_of_digits_go_back():
         assert back.text(there.text(text)[0])[0] == text
 
 
+@pytest.mark.parametrize("text", ["+33 1 23 45 67 89", "+33 6 12 34 56 78", "+33.6.12.34.56.78", "+33 (0)1 23 45 67 89", "+49 30 1234567", "+34 9 1234 5678"])
+def test_phones_with_groups_of_one_digit(text):
+    new, counts = pseudonyms.Pseudonymizer(b"k").text(f"x {text} y")
+    assert counts == {"phone": 1} and text not in new and shape(new) == shape(f"x {text} y")
+    assert pseudonyms.Pseudonymizer(b"k", back=True).text(new)[0] == f"x {text} y"
+
+
+def test_a_digit_after_a_long_phone_is_not_its_own():
+    new, counts = pseudonyms.Pseudonymizer(b"k").text("+49 30 12345678901 5 apples")
+    assert counts == {"phone": 1} and new.endswith(" 5 apples") and "12345678901" not in new
+    assert pseudonyms.Pseudonymizer(b"k", back=True).text(new)[0] == "+49 30 12345678901 5 apples"
+
+
 def test_what_is_not_valid_stays():
     for value in KEPT:
         assert pseudonyms.Pseudonymizer(b"k").text(f"x {value} y") == (f"x {value} y", {})
