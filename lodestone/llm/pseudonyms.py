@@ -145,19 +145,25 @@ def _phone(f: Feistel, text: str, back: bool) -> str | None:
 
 
 def _ipv4(f: Feistel, text: str, back: bool) -> str | None:
-    """The first octet stays in its class: private, local and special ranges are kept as they are."""
+    """Private and local ranges stay.  Others are permuted within their class: host addresses, and
+    those that begin with 0 or with 224 and more."""
     parts = text.split(".")
     if any(len(p) > 1 and p[0] == "0" or int(p) > 255 for p in parts):
         return None
 
-    def public(v: int) -> bool:
+    def local(v: int) -> bool:
         a, b = v >> 24, v >> 16 & 255
-        return 0 < a < 224 and a not in (10, 127) and (a, b) not in ((169, 254), (192, 168)) and not (a == 172 and 16 <= b < 32)
+        return a in (10, 127) or (a, b) in ((169, 254), (192, 168)) or a == 172 and 16 <= b < 32
+
+    def host(v: int) -> bool:
+        return 0 < v >> 24 < 224
 
     v = int.from_bytes(bytes(map(int, parts)), "big")
-    if not public(v):
+    if local(v):
         return None
-    return ".".join(map(str, f.until(v, 1 << 32, b"ipv4", public, back).to_bytes(4, "big")))
+    of_host = host(v)
+    allowed = lambda x: host(x) == of_host and not local(x)
+    return ".".join(map(str, f.until(v, 1 << 32, b"ipv4", allowed, back).to_bytes(4, "big")))
 
 
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()

@@ -181,6 +181,18 @@ def test_a_digit_after_a_long_phone_is_not_its_own():
     assert pseudonyms.Pseudonymizer(b"k", back=True).text(new)[0] == "+49 30 12345678901 5 apples"
 
 
+@pytest.mark.parametrize("text", ["233.254.104.120", "224.0.0.1", "255.1.2.3", "0.12.13.14", "223.1.1.1"])
+def test_all_addresses_but_local_ones(text):
+    new, counts = pseudonyms.Pseudonymizer(b"k").text(f"x {text} y")
+    assert counts == {"ipv4": 1} and text not in new and (int(new[2:].split(".")[0]) in range(1, 224)) == text.startswith("223")
+    assert pseudonyms.Pseudonymizer(b"k", back=True).text(new)[0] == f"x {text} y"
+
+
+def test_local_addresses_stay():
+    for text in ("10.0.0.1", "127.0.0.1", "169.254.1.1", "192.168.1.1", "172.31.0.1"):
+        assert pseudonyms.Pseudonymizer(b"k").text(f"x {text} y") == (f"x {text} y", {})
+
+
 def test_what_is_not_valid_stays():
     for value in KEPT:
         assert pseudonyms.Pseudonymizer(b"k").text(f"x {value} y") == (f"x {value} y", {})
