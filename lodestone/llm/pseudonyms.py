@@ -3,20 +3,22 @@
 Numbers and dates that pass their validation are replaced by a keyed permutation
 of their own format: digits stay digits, a card number keeps a right check digit,
 a date stays a real date in the same notation.  Equal values get equal
-pseudonyms in all documents, however they are punctuated, and the key holder can
-invert them.  Prefixes, domains and punctuation stay.  In a run of digits that could
-be read in more than one way, a value may get the pseudonym of its pseudonym, so that
-the run can be inverted.
+pseudonyms in all documents, whatever their punctuation, case or notation, and the
+key holder can invert them.  Prefixes, domains and punctuation stay.  Only where
+digits stand next to each other so that the pseudonym would be read in other parts,
+a value gets the pseudonym of its pseudonym, so that the text can be inverted.
 """
 
 from __future__ import annotations
 
 import datetime
-import hashlib
 import hmac
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,9 +48,7 @@ class Feistel:
             raise ValueError("value out of range")
         if below == 1:
             return 0
-        b = 1
-        while b * b < below:
-            b += 1 if b < 4096 else b // 4096
+        b = math.isqrt(below - 1) + 1
         a = -(-below // b)
         while True:
             left, right = divmod(value, b)
@@ -97,17 +97,28 @@ def _card(f: Feistel, text: str, back: bool) -> str | None:
     return _refill(text, new + luhn_digit(new))
 
 
+#: The length of an IBAN by country, of the public registry.
+IBAN_LENGTHS = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 "
+        "GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 "
+        "NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
+_IBAN = {n: re.compile(rf"[A-Za-z]{{2}}[0-9]{{2}}(?:[ -]?[A-Za-z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(IBAN_LENGTHS.values())}
+
+
 def _iban(f: Feistel, text: str, back: bool) -> str | None:
-    """Letters of the account part stay; its digits are permuted and the check digits made anew."""
-    s = text.replace(" ", "")
+    """Letters stay, in their case; the digits of the account part are permuted and the check digits made anew."""
+    s = re.sub("[ -]", "", text).upper()
     number = lambda x: int("".join(str(int(c, 36)) for c in x))
-    if not 15 <= len(s) <= 34 or number(s[4:] + s[:4]) % 97 != 1:
+    if len(s) != IBAN_LENGTHS.get(s[:2]) or number(s[4:] + s[:4]) % 97 != 1:
         return None
     d = _digits(s[4:])
     shape = re.sub(r"\d", "0", s[4:])
     account = _refill(s[4:], str(f.permute(int(d), 10 ** len(d), f"iban{s[:2]}{shape}".encode(), back)).zfill(len(d))) if d else s[4:]
-    it = iter(s[:2] + str(98 - number(account + s[:2] + "00") % 97).zfill(2) + account)
-    return "".join(c if c == " " else next(it) for c in text)
+    return _refill(text, str(98 - number(account + s[:2] + "00") % 97).zfill(2) + _digits(account))
 
 
 def _ssn(f: Feistel, text: str, back: bool) -> str | None:
@@ -170,11 +181,13 @@ _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 3
 
 
 def _date(f: Feistel, text: str, back: bool) -> str | None:
-    """yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, dd/mm/yyyy, or mm/dd/yyyy where only that is a date."""
+    """yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, dd/mm/yyyy, or mm/dd/yyyy where only that is a date.
+
+    A day is permuted once, whatever its notation.  Days after the 12th of a month stay such
+    days, so that a date with slashes is read in the same order again."""
     sep = next(c for c in text if not c.isdigit())
-    a, b, c = text.split(sep)
-    orders = ((0, 1, 2),) if len(a) == 4 else ((2, 1, 0), (2, 0, 1)) if sep == "/" else ((2, 1, 0),)
-    parts = (a, b, c)
+    parts = text.split(sep)
+    orders = ((0, 1, 2),) if len(parts[0]) == 4 else ((2, 1, 0), (2, 0, 1)) if sep == "/" else ((2, 1, 0),)
     for order in orders:
         try:
             day = datetime.date(*(int(parts[i]) for i in order))
@@ -182,9 +195,8 @@ def _date(f: Feistel, text: str, back: bool) -> str | None:
             continue
         if not _FIRST <= day.toordinal() <= _LAST:
             return None
-        # A slashed date is read as dd/mm first, so mm/dd results must not read as dd/mm.
-        clear = order == (2, 0, 1)
-        allowed = lambda v: not clear or datetime.date.fromordinal(_FIRST + v).day > 12  # noqa: B023, E731
+        late = day.day > 12
+        allowed = lambda v: (datetime.date.fromordinal(_FIRST + v).day > 12) == late  # noqa: B023, E731
         new = datetime.date.fromordinal(_FIRST + f.until(day.toordinal() - _FIRST, _LAST - _FIRST + 1, b"date", allowed, back))
         values = {order[0]: f"{new.year:04}", order[1]: f"{new.month:02}", order[2]: f"{new.day:02}"}
         return sep.join(values[i] for i in range(3))
@@ -215,10 +227,12 @@ def _email(f: Feistel, text: str, back: bool) -> str | None:
 
 _PHONE = r"""(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}
         |\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{1,8}){1,5})(?![0-9A-Za-z]|[.-][0-9])"""
-_PATTERN = re.compile(
-    r"""(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-]))
-    |(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
-    |(?P<ipv4>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))
+#: Where a value may be; what may begin there; what an e-mail may begin with.
+_HIT = re.compile("[0-9]+|@", re.ASCII)
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])")
+_BEGIN = re.compile(
+    r"""(?P<ipv4>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))
     |(?P<date>(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]|\.[0-9]))
     |(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))
     |(?P<card>(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9]))
@@ -233,6 +247,10 @@ _GROUP = re.compile(r"[0-9]+", re.ASCII)
 _IN_RUN = {
     "date": re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9/-]|\.[0-9])", re.ASCII), "ssn": re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", re.ASCII), "phone": re.compile(_PHONE, re.ASCII | re.VERBOSE),
 }
+#: How cards are usually grouped; as such they come before phones, in other groups after them.
+_CARD_GROUPS = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}", re.ASCII)
+#: A value changes only how values are read that begin at most so many values before it: cards have 19 digits at most, dates 8.
+_NEAR = 3
 _MAKE: dict[str, Callable[[Feistel, str, bool], str | None]] = {
     "email": _email, "card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "ipv4": _ipv4, "date": _date,
 }
@@ -259,26 +277,50 @@ class Pseudonymizer:
     def text(self, text: str) -> tuple[str, dict[str, int]]:
         """The text with its pseudonyms, and how many values of each kind it had."""
         counts: dict[str, int] = {}
-
         out: list[str] = []
-        at = 0
-        while (m := _PATTERN.search(text, at)) is not None:
+        done = at = 0
+        while (hit := _HIT.search(text, at)) is not None:
+            found = self._value_at(text, hit.start(), done)
+            if found is None:
+                at = hit.end()
+                continue
+            start, at, new, kinds = found
+            out += (text[done:start], new)
+            done = at
+            for k in kinds:
+                counts[k] = counts.get(k, 0) + 1
+        out.append(text[done:])
+        return "".join(out), counts
+
+    def _value_at(self, text: str, at: int, done: int) -> tuple[int, int, str, list[str]] | None:
+        """Start, end, pseudonym and kinds of what is around the digits or the at sign at ``at``, not before ``done``."""
+        if text.find("@", at, at + 65) >= 0:
+            start = at
+            while start > max(done, at - 64) and text[start - 1] in _LOCAL:
+                start -= 1
+            m = _EMAIL.match(text, start)
+            if m and m.end() > at and (new := self.value("email", m[0])) is not None:
+                return start, m.end(), new, ["email"]
+        if text[at] == "@":
+            return None
+        if at - 2 >= done and (n := IBAN_LENGTHS.get(text[at - 2 : at].upper())) and (at == 2 or not text[at - 3].isalnum()):
+            m = _IBAN[n].match(text, at - 2)
+            if m and (new := self.value("iban", m[0])) is not None:
+                return at - 2, m.end(), new, ["iban"]
+        for start in (at - 1, at) if at > done and text[at - 1] in "+(" else (at,):
+            m = _BEGIN.match(text, start)
+            if m is None:
+                continue
             kind, end = m.lastgroup, m.end()
             if kind == "card":
-                run = _RUN.match(text, m.start())
+                run = _RUN.match(text, start)
                 end = run.end() if run else end
-                new, found = self._run(text[m.start() : end])
-            else:
-                if kind == "phone":
-                    end = self._phone_end(text, m.start(), end)
-                new = self.value(kind, text[m.start() : end])
-                new, found = (text[m.start() : end], []) if new is None else (new, [kind])
-            for k in found:
-                counts[k] = counts.get(k, 0) + 1
-            out += (text[at : m.start()], new)
-            at = end
-        out.append(text[at:])
-        return "".join(out), counts
+                return start, end, *self._run(text[start:end])
+            if kind == "phone":
+                end = self._phone_end(text, start, end)
+            if (new := self.value(kind, text[start:end])) is not None:
+                return start, end, new, [kind]
+        return None
 
     def _phone_end(self, text: str, start: int, end: int) -> int:
         """Where a phone number ends: groups that make it too long are not its own."""
@@ -288,21 +330,32 @@ class Pseudonymizer:
         return end
 
     def _run(self, run: str) -> tuple[str, list[str]]:
-        """A run of digit groups with pseudonyms, and the kinds of its values.  All of them are permuted
-        until the run is read in the same parts again, so that it can be undone."""
-        parts = self._parts(run)
-        while parts:
-            for a, b, kind in parts:
-                run = run[:a] + self.value(kind, run[a:b]) + run[b:]
-            if self._parts(run) == parts:
-                break
-        return run, [kind for _, _, kind in parts]
-
-    def _parts(self, run: str) -> list[tuple[int, int, str]]:
-        """The values in a run: from each group on the longest card of whole groups, else a date, SSN or phone."""
+        """A run of digit groups with pseudonyms, and the kinds of its values.
+
+        One value after the other (backwards the last one first, so the others are then as they
+        were) is permuted until the values around it are read as before."""
         groups = [m.span() for m in _GROUP.finditer(run)]
-        parts: list[tuple[int, int, str]] = []
-        at = 0
+        parts = list(self._parts(run, groups, 0))
+        chars = list(run)
+        for i in reversed(range(len(parts))) if self.back else range(len(parts)):
+            a, b, kind = parts[i]
+            first = max(i - _NEAR, 0)
+            lo = parts[first - 1][1] if first else 0
+            near = parts[first : i + 1]
+            hi = groups[min(bisect_left(groups, (b, 0)) + 19, len(groups) - 1)][1]
+            within = groups[bisect_left(groups, (lo, 0)) : bisect_right(groups, (hi, hi))]
+            shifted = [(x - lo, y - lo) for x, y in within]
+            value = run[a:b]
+            while True:
+                value = self.value(kind, value)
+                chars[a:b] = value
+                if [(x + lo, y + lo, k) for x, y, k in islice(self._parts("".join(chars[lo:hi]), shifted, 0), len(near))] == near:
+                    break
+        return "".join(chars), [kind for _, _, kind in parts]
+
+    def _parts(self, run: str, groups: list[tuple[int, int]], at: int) -> Iterator[tuple[int, int, str]]:
+        """The values in a run: from each group on the longest card as cards are grouped, else a date, SSN or
+        phone, else the longest card of whole groups."""
         for i, (a, _) in enumerate(groups):
             if a < at:
                 continue
@@ -310,14 +363,14 @@ class Pseudonymizer:
             for first, last in groups[i : i + 19]:
                 n += last - first
                 if 13 <= n <= 19:
-                    ends.append(last)
-            found = [(b, "card") for b in reversed(ends)] + [(m.end(), kind) for kind, p in _IN_RUN.items() if (m := p.match(run, a)) is not None]
+                    ends.insert(0, last)
+            usual = [b for b in ends if _CARD_GROUPS.fullmatch(run, a, b)]
+            found = [(b, "card") for b in usual] + [(m.end(), kind) for kind, p in _IN_RUN.items() if (m := p.match(run, a)) is not None] + [(b, "card") for b in ends if b not in usual]
             for b, kind in found:
                 if self.value(kind, run[a:b]) is not None:
-                    parts.append((a, b, kind))
+                    yield a, b, kind
                     at = b
                     break
-        return parts
 
 
 def pseudonymize(documents: DataFrame, key: str, kinds: tuple[str, ...] = KINDS, keep: tuple[str, ...] = (), back: bool = False) -> DataFrame:

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.llm import bytepairs, packing, pseudonyms, repetition, ruleset, toxicity
+from lodestone.llm import bytepairs, packing, pseudonyms, queries, repetition, ruleset, toxicity
 from lodestone.llm.textblocks import blocks, span_hashes
 
 ODD = [
@@ -175,6 +175,86 @@ def test_phones_with_groups_of_one_digit(text):
     assert pseudonyms.Pseudonymizer(b"k", back=True).text(new)[0] == f"x {text} y"
 
 
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("card 4111111111111111 12/25", "4111111111111111"), ("card 4111 1111 1111 1111 123", "4111 1111 1111 1111"), ("AT611904300234573201 PAID", "AT611904300234573201"),
+        ("AT61 1904 3002 3457 3201 PAID IN FULL", "AT61 1904 3002 3457 3201"), ("IBAN ES9121000418450200051332 ON", "ES9121000418450200051332"), ("at611904300234573201.", "at611904300234573201"),
+        ("(AT61-1904-3002-3457-3201)", "AT61-1904-3002-3457-3201"), ("411111 1111111111 x", "411111 1111111111"),
+    ],
+)
+def test_values_next_to_words_and_dates(text, value):
+    new, counts = pseudonyms.Pseudonymizer(b"k").text(text)
+    assert value not in new and shape(new) == shape(text) and sum(counts.values()) == 1 and new.replace(pseudonyms.Pseudonymizer(b"k").value([*counts][0], value), value) == text
+    assert pseudonyms.Pseudonymizer(b"k", back=True).text(new)[0] == text
+
+
+def test_equal_values_are_linked_in_every_notation():
+    p = pseudonyms.Pseudonymizer(b"k")
+    for month, day in ((12, 25), (7, 4), (2, 28)):
+        iso = p.value("date", f"1990-{month:02}-{day:02}")
+        y, m, d = iso.split("-")
+        assert p.value("date", f"1990/{month:02}/{day:02}") == f"{y}/{m}/{d}" and p.value("date", f"{day:02}.{month:02}.1990") == f"{d}.{m}.{y}" and p.value("date", f"{day:02}/{month:02}/1990") == f"{d}/{m}/{y}"
+        if day > 12:
+            assert p.value("date", f"{month:02}/{day:02}/1990") == f"{m}/{d}/{y}"
+    plain = lambda x: re.sub(r"\W", "", x).upper()
+    assert len({plain(p.value("iban", x)) for x in ("AT611904300234573201", "at61 1904 3002 3457 3201", "AT61-1904-3002-3457-3201")}) == 1
+    assert len({plain(p.value("card", x)) for x in ("4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111")}) == 1
+    assert len({re.sub(r"\D", "", p.value("phone", x))[-10:] for x in ("737-555-3887", "(737) 555-3887", "+1 737.555.3887")}) == 1
+    assert p.value("email", "Ann.B2@X.org").lower() == p.value("email", "ann.b2@x.org")
+
+
+def test_long_runs_of_numbers():
+    rng = random.Random(4)
+    run = " ".join(f"{i} 4111 1111 1111 1111" if rng.random() < 0.5 else f"{rng.randint(200, 999)} {rng.randint(200, 999)} {rng.randint(1000, 9999)}" for i in range(2000))
+    new, counts = pseudonyms.Pseudonymizer(b"k").text(run)
+    assert counts["card"] > 900 and counts["phone"] > 900 and pseudonyms.Pseudonymizer(b"k", back=True).text(new)[0] == run
+    for text in ("a1" * 100_000, "1" * 100_000, "1@" * 50_000, "a." * 50_000 + "1@", "-1" * 50_000):
+        assert pseudonyms.Pseudonymizer(b"k").text(text) == (text, {})
+
+
+def seen_personal(text):
+    """Cards, e-mails, phones, IBANs, public addresses by a loop over all places, written without the operator's patterns."""
+    found = set()
+    glued = lambda c: c.isascii() and c.isalnum()
+    for a in range(len(text)):
+        if a and glued(text[a - 1]):
+            continue
+        for b in range(a + 7, min(len(text), a + 42) + 1):
+            if b < len(text) and glued(text[b]):
+                continue
+            x = text[a:b]
+            digits = [int(c) for c in x if c in "0123456789"]
+            if len(digits) in range(13, 20) and all(c in "0123456789 -" for c in x) and x[0] in "23456" and x[-1] in "0123456789" and "  " not in x:
+                if sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))) % 10 == 0:
+                    found.add(x)
+            quad = x.split(".")
+            if len(quad) == 4 and all(q.isascii() and q.isdigit() and str(int(q)) == q and int(q) < 256 for q in quad) and (b == len(text) or text[b : b + 1] != "." or not text[b + 1 : b + 2].isdigit()):
+                if not (a and text[a - 1] == ".") and not (quad[0] in ("10", "127") or quad[:2] in (["192", "168"], ["169", "254"]) or quad[0] == "172" and 16 <= int(quad[1]) < 32):
+                    found.add(x)
+            s = x.replace(" ", "")
+            if len(s) in range(15, 35) and s[:2].isalpha() and s.isascii() and s.isalnum() and s[2:4].isdigit() and pseudonyms.IBAN_LENGTHS.get(s[:2].upper()) == len(s):
+                if int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1:
+                    found.add(x)
+    found |= {w.strip(".,;:!?()*#&%$|<>\"'") for w in text.split() if "@" in w[1:-1] and "." in w.split("@")[-1][1:-1]}
+    for a in range(len(text) - 13):
+        x = text[a : a + 17]
+        if x[:3] == "+1 " and x[3] == "(" and x[4:7].isdigit() and x[7:9] == ") " and x[9:12].isdigit() and x[12] == "-" and x[13:17].isdigit():
+            found.add(x)
+    return found
+
+
+def test_a_brute_force_detector_finds_nothing_left(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text rlike '[0-9@]' and length(text) < 20000").select("doc_id", "text").collect()}
+    new = {r.doc_id: r.text for r in queries.op4_pii_pseudonyms(spark, sf_dir).select("doc_id", "text").collect()}
+    n = 0
+    for doc_id, text in docs.items():
+        for value in seen_personal(text):
+            n += 1
+            assert value not in new[doc_id], (doc_id, value)
+    assert n >= 8
+
+
 def test_a_digit_after_a_long_phone_is_not_its_own():
     new, counts = pseudonyms.Pseudonymizer(b"k").text("+49 30 12345678901 5 apples")
     assert counts == {"phone": 1} and new.endswith(" 5 apples") and "12345678901" not in new
