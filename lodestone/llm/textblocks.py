@@ -90,36 +90,45 @@ def blocks(column: pa.ChunkedArray | pa.Array) -> Iterator[Block]:
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20) -> np.ndarray:
     """A 64-bit hash of the bytes of each span; the spans are sorted and do not overlap.
 
-    A polynomial hash by running sums, over about ``step`` bytes at a time (a
-    longer span is taken alone), so memory does not grow with the text."""
+    Eight bytes at a time are mixed with a key of their place in the span, and summed.  About
+    ``step`` bytes are hashed at once (a longer span alone), so memory does not grow with
+    the text.  No pattern of bytes makes sums meet, as a polynomial's would."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + step, "right")))
         lo = starts[i]
-        out[i:j] = _polynomial(data[lo : ends[j - 1]], starts[i:j] - lo, ends[i:j] - lo)
+        out[i:j] = _sums(data[lo : ends[j - 1]], starts[i:j] - lo, ends[i:j] - lo)
         i = j
     return mix(out ^ mix((ends - starts).astype(np.uint64)))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = ONE
-        np.multiply.accumulate(out, out=out)
-    return out
+#: The first bytes of eight, by their number.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
 
+def _place_keys(n: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * BASE)
 
-_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_UP, _DOWN = _powers(BASE, (1 << 20) + 1), _powers(_INVERSE, (1 << 20) + 1)
 
+_KEYS = _place_keys(1 << 17)
 
-def _polynomial(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    n = len(data)
-    up, down = (_UP, _DOWN) if n < len(_UP) else (_powers(BASE, n + 1), _powers(_INVERSE, n + 1))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + ONE) * up[:n], out=sums[1:])
-    return (sums[ends] - sums[starts]) * down[starts]
+
+def _sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))  # those from each byte on
+    length = ends - starts
+    n = -(-length // 8)
+    first = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(first, n)
+    keys = _KEYS if n.max(initial=0) <= len(_KEYS) else _place_keys(int(n.max()))
+    left = np.minimum(np.repeat(length, n) - 8 * place, 8)
+    mixed = mix((eight[np.repeat(starts, n) + 8 * place] & _FIRST_BYTES[left]) ^ keys[place])
+    out = np.zeros(len(starts), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        out[some] = np.add.reduceat(mixed, first[some])
+    return out
 
 
 def rolling(words: np.ndarray, n: int) -> np.ndarray:

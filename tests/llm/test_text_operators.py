@@ -116,6 +116,19 @@ def test_span_hashes_do_not_depend_on_steps():
     assert len(np.unique(span_hashes(data, starts, ends))) == 500
 
 
+def test_structured_lines_are_not_equal(spark):
+    """Lines and their complements, for which polynomials modulo a power of two meet."""
+    lines = ["".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n)) for n in (64, 1024, 4096) for flip in (0, 1)]
+    row = repetition.repetition_rules(spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines + lines))], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert (row[0].n_dup_lines, row[0].dup_line_chars, row[1].n_dup_lines) == (0, 0, 6)
+    data = np.frombuffer("".join(lines).encode(), np.uint8)
+    ends = np.cumsum([len(x) for x in lines])
+    assert len(set(span_hashes(data, ends - [len(x) for x in lines], ends).tolist())) == 6
+    lengths = range(1, 40)
+    zeros = np.zeros(sum(lengths), np.uint8)
+    assert len(set(span_hashes(zeros, np.cumsum(lengths) - lengths, np.cumsum(lengths)).tolist())) == 39
+
+
 # Pseudonyms.
 
 VALUES = {
