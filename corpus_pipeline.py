@@ -7,13 +7,12 @@ and read again before the next.  All but the last return the columns of document
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import packing, pseudonyms, queries, ruleset, simjoin, toxicity
-from lodestone.llm.tables import read, shared_folder
+from lodestone.llm.tables import Scratch, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +53,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage returns is a table in the shared folder
-    before the next one reads it, so a lost executor costs tasks of one stage only."""
-    fallback = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-    folder = f"{shared_folder(spark, fallback).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before the next one reads it, so a lost executor costs tasks of one stage only.  A table
+    is removed when the next one is written; the last one is what the result reads."""
+    scratch = Scratch(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.cut(stage(spark, docs, sf_dir))
+        scratch.clear(keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)

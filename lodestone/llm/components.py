@@ -5,32 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.tables import Scratch, spread_join
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+
+def _stars(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
     """Each node's neighbours are linked to the least of them and itself: the larger
     neighbours in a large star, the node and its smaller neighbours in a small one."""
     if large:
         pairs = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = pairs.join(least, "a")
+    least = scratch.cut(pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")))
+    joined = spread_join(pairs, least, "a", "b")
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    return scratch.cut(out.filter("a <> b").distinct())
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) for each node of the edges (a, b): root is the least node of its component.
 
-    Edges of a node to itself don't count.  Each round is cut with a checkpoint; the
-    number of rounds grows with the logarithm of the largest component."""
-    edges = edges.filter("a <> b").select("a", "b").distinct().checkpoint()
+    Edges of a node to itself don't count.  The edges of a node with many neighbours are
+    spread over tasks.  Each step is a written table of ``scratch``; the number of rounds
+    grows with the logarithm of the largest component."""
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    edges = scratch.cut(edges.filter("a <> b").select("a", "b").distinct())
     before = None
     while True:
-        edges = _stars(_stars(edges, True), False).checkpoint()
+        edges = _stars(_stars(edges, True, scratch), False, scratch)
         state = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
         if state == before:
             break

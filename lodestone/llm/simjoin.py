@@ -24,14 +24,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
-from lodestone.llm.tables import row_of, shared_folder
+from lodestone.llm.tables import Scratch, row_of, spread_join
 from lodestone.llm.textblocks import Block, blocks, mix, rolling, span_hashes, window_mask
 
 COORDINATES = 32
+WORD = r"[^\x20\x09-\x0D]"
 _MULTIPLIERS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
@@ -52,6 +53,8 @@ class JoinPlan:
     block_shingles: int = 1 << 20
     #: At most so many 8-byte keys are broadcast; more are joined by a shuffle.
     broadcast_keys: int = 500_000
+    #: Keys with more rows are not joined in one task.
+    hot: int = 1024
 
     @property
     def runs(self) -> int:
@@ -231,18 +234,27 @@ def _verified(plan: JoinPlan) -> Callable:
     return run
 
 
-def _in_units(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def _check(text: Column) -> Column:
+    """A second hash: from another seed."""
+    return F.xxhash64(F.lit("check"), text)
+
+
+def _in_units(rows: DataFrame, sizes: DataFrame, plan: JoinPlan) -> DataFrame:
     """Each row (leaf, node, ...) once for each pair of blocks of its leaf that has the row's block.
 
-    ``sizes`` has the number of blocks of each leaf; a text's block is by its hash."""
+    ``sizes`` has the number of rows and of blocks of each leaf; a text's block is by its hash."""
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("bi"), F.greatest(b, F.col("block")).alias("bj"))
     )
     return (
-        rows.join(sizes, "leaf")
+        spread_join(rows, sizes, "leaf", "node", hot=plan.hot, broadcast_keys=plan.broadcast_keys)
         .withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("n_blocks")).cast("int"))
         .withColumn("pair", F.explode(pairs))
-        .withColumn("bi", F.col("pair.bi")).withColumn("bj", F.col("pair.bj")).drop("pair", "n_blocks")
+        .withColumn("bi", F.col("pair.bi")).withColumn("bj", F.col("pair.bj")).drop("pair", "n_blocks", "n")
     )
 
 
@@ -251,37 +263,64 @@ class _Join:
 
     def __init__(self, documents: DataFrame, plan: JoinPlan):
         self.plan, self.spark = plan, documents.sparkSession
-        shared_folder(self.spark, self.spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
-        self.rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+        self.scratch = Scratch(self.spark, "jaccard")
+        self.cut = self.scratch.cut
+        self.clashes: DataFrame | None = None
+        self.documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+    def keyed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (text, ...) with ``node``, which stands for the text: its hash, or a hash of its second
+        hash if different texts have the first.  Texts without words have none."""
+        rows = rows.withColumn("node", F.when(F.col("text").rlike(WORD), text_hash(F.col("text"))))
+        if self.clashes is None:
+            return rows
+        side = F.broadcast(self.clashes) if self.clashes.count() <= self.plan.broadcast_keys else self.clashes
+        again = F.when(F.col("clash").isNotNull(), F.xxhash64("node", _check(F.col("text")))).otherwise(F.col("node"))
+        return rows.join(side, F.col("node") == F.col("clash"), "left").withColumn("node", again).drop("clash")
 
     def nodes(self) -> DataFrame:
         """node, rep (least id), copies, n_shingles, sig: one row for each different text with words."""
+        found = self.cut(self._nodes())
+        clashes = found.filter("check_min <> check_max").select(F.col("node").alias("clash"))
+        if not clashes.isEmpty():
+            self.clashes = Scratch(self.spark, "jaccard").cut(clashes)
+            found = self.cut(self._nodes())
+        return found.drop("check_min", "check_max")
+
+    def _nodes(self) -> DataFrame:
         n = self.plan.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for block in blocks(batch.column(2)):
+                for block in blocks(batch.column(3)):
                     hashes, number = shingles(block, n)
                     sig = signatures(hashes, number)
                     own = slice(block.first, block.first + block.n)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0)[own], batch.column(1)[own], pa.array(number.astype(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary())],
-                        names=["doc_id", "node", "n_shingles", "sig"],
+                        [*(batch.column(i)[own] for i in range(3)), pa.array(number.astype(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary())],
+                        names=["doc_id", "node", "check", "n_shingles", "sig"],
                     )
 
-        signed = self.rows.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, n_shingles long, sig binary")
+        rows = self.keyed(self.documents).select("doc_id", "node", _check(F.col("text")).alias("check"), "text")
+        signed = rows.mapInArrow(run, "doc_id long, node long, check long, n_shingles long, sig binary")
         return (
             signed.filter("n_shingles > 0").groupBy("node")
-            .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+            .agg(
+                F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"),
+                F.min("check").alias("check_min"), F.max("check").alias("check_max"),
+            )
         )
 
+    def spread(self, rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
+        return spread_join(rows, facts, key, "node", how, self.plan.hot, self.plan.broadcast_keys)
+
     def leaves(self, nodes: DataFrame) -> DataFrame:
         """(leaf, node): the buckets of two texts or more that are compared; of buckets with the same members one."""
         plan = self.plan
         value = lambda c: F.substring(F.col("sig"), c * 4 + 1, 4)
         roots = [F.struct(F.xxhash64(F.lit(r), value(F.lit(r))).alias("path")) for r in range(plan.runs)]
         level = nodes.select("node", F.explode(F.array(*roots)).alias("p")).select(F.col("p.path").alias("path"), "node")
-        level = self._shared(level).checkpoint()
+        level = self.cut(self._shared(level))
         done = [level.filter(F.col("n") <= plan.small).select("path", "node")]
         alike = []
         large = level.filter(F.col("n") > plan.small)
@@ -293,12 +332,12 @@ class _Join:
             signed = large.join(nodes.select("node", "sig"), "node")
             split = (
                 signed.select("path", "n", child[0].alias("child")).groupBy("path", "n", "child").agg(F.count(F.lit(1)).alias("m"))
-                .groupBy("path").agg((F.max("m") / F.first("n")).alias("together"))
+                .groupBy("path").agg((F.max("m") / F.first("n")).alias("together"), F.first("n").alias("n"))
             )
-            whole = split.filter(F.col("together") >= plan.alike).select("path").checkpoint()
-            children = signed.join(whole, "path", "left_anti").select("node", F.explode(F.array(*child)).alias("path"))
-            alike.append(large.join(whole, "path", "left_semi").select("path", "node").checkpoint())
-            level = self._shared(children.distinct()).checkpoint()
+            told = self.cut(self.spread(signed.drop("n"), self.cut(split), "path"))
+            children = told.filter(F.col("together") < plan.alike).select("node", F.explode(F.array(*child)).alias("path"))
+            alike.append(told.filter(F.col("together") >= plan.alike).select("path", "node"))
+            level = self.cut(self._shared(children.distinct()))
             done.append(level.filter(F.col("n") <= plan.small).select("path", "node"))
             large = level.filter(F.col("n") > plan.small)
         else:
@@ -306,25 +345,24 @@ class _Join:
         if alike:
             done.append(self._families(reduce(DataFrame.unionByName, alike)))
         rows = reduce(DataFrame.unionByName, done)
-        rows = rows.select(F.col("path").alias("leaf"), "node").distinct()
+        rows = self.cut(rows.select(F.col("path").alias("leaf"), "node").distinct())
         members = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node))").alias("a"), F.expr("bit_xor(xxhash64(node, 1))").alias("b"))
-        first = members.groupBy("n", "a", "b").agg(F.min("leaf").alias("leaf")).select("leaf")
-        return rows.join(first, "leaf", "left_semi").checkpoint()
+        first = self.cut(members.groupBy("n", "a", "b").agg(F.min("leaf").alias("leaf")).select("leaf", "n"))
+        return self.cut(self.spread(rows, first, "leaf").select("leaf", "node"))
 
-    @staticmethod
-    def _families(rows: DataFrame) -> DataFrame:
+    def _families(self, rows: DataFrame) -> DataFrame:
         """Large buckets of alike texts that share members, as one: the runs find the same texts
         again, so they are compared once.  Buckets that two rounds don't join stay apart."""
         for _ in range(2):
             own = rows.groupBy("node").agg(F.min("path").alias("least"))
-            to = rows.join(own, "node").groupBy("path").agg(F.min("least").alias("to"))
-            rows = rows.join(to, "path").select(F.col("to").alias("path"), "node").distinct().checkpoint()
+            to = self.cut(rows.join(own, "node").groupBy("path").agg(F.min("least").alias("to"), F.count(F.lit(1)).alias("n")))
+            rows = self.cut(self.spread(rows, to, "path").select(F.col("to").alias("path"), "node").distinct())
         return rows
 
-    @staticmethod
-    def _shared(rows: DataFrame) -> DataFrame:
+    def _shared(self, rows: DataFrame) -> DataFrame:
         """The rows of paths that two texts or more have, with their number n."""
-        return rows.join(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "path")
+        rows = self.cut(rows)
+        return self.spread(rows, self.cut(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")), "path")
 
     def compared(self, nodes: DataFrame, leaves: DataFrame) -> DataFrame:
         """(node, links, label) of the comparisons."""
@@ -333,18 +371,18 @@ class _Join:
         known = nodes.join(lists, "node").select("node", "rep", "copies", "n_shingles", "sig", "leaves")
         members = leaves.join(known, "node")
         count = F.count(F.lit(1))
-        sizes = leaves.groupBy("leaf").agg(F.ceil(count / plan.block_rows).cast("int").alias("n_blocks"))
+        sizes = self.cut(leaves.groupBy("leaf").agg(F.ceil(count / plan.block_rows).cast("int").alias("n_blocks"), count.alias("n")))
         keys = ["leaf", "bi", "bj"]
-        first = _in_units(members.select("leaf", "node", "sig", "leaves"), sizes)
-        worth = (
+        first = _in_units(members.select("leaf", "node", "sig", "leaves"), sizes, plan)
+        worth = self.cut(
             first.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "block", "node", "sig", "leaves")
-            .mapInArrow(_worth(plan), "leaf long, node long").distinct().checkpoint()
+            .mapInArrow(_worth(plan), "leaf long, node long").distinct()
         )
         left = worth.join(known.select("node", "copies", "n_shingles", "leaves"), "node")
         blocks_of = F.greatest(F.ceil(count / plan.block_rows), F.ceil(F.sum("n_shingles") / plan.block_shingles)).cast("int")
-        sizes = left.groupBy("leaf").agg(blocks_of.alias("n_blocks"))
+        sizes = self.cut(left.groupBy("leaf").agg(blocks_of.alias("n_blocks"), count.alias("n")))
         sets = self._shingles(known.join(worth.select("node").distinct(), "node", "left_semi").select("node", "rep"))
-        second = _in_units(left.select("leaf", "node", "copies", "leaves"), sizes).join(sets, "node")
+        second = _in_units(left.select("leaf", "node", "copies", "leaves"), sizes, plan).join(sets, "node")
         return (
             second.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "block", "node", "copies", "leaves", "shingles")
             .mapInArrow(_verified(plan), "node long, links long, label long")
@@ -362,24 +400,27 @@ class _Join:
                     sets = [np.unique(hashes[e - k : e]).tobytes() for e, k in zip(ends, number)]
                     yield pa.RecordBatch.from_arrays([batch.column(0)[block.first : block.first + block.n], pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-        wanted = wanted.select("node", F.col("rep").alias("doc_id")).checkpoint()
+        wanted = self.cut(wanted.select("node", F.col("rep").alias("doc_id")))
         side = F.broadcast(wanted) if wanted.count() <= self.plan.broadcast_keys else wanted
-        rows = self.rows.alias("r").join(side.alias("w"), (F.col("r.node") == F.col("w.node")) & F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")))
+        rows = self.keyed(self.documents).alias("r").join(side.alias("w"), (F.col("r.node") == F.col("w.node")) & F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")))
         return rows.select("r.node", "r.text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
     def classes(self) -> DataFrame:
         """node, copies, links, rep_id, rep_node: each different text with words, and its component's representative."""
-        nodes = self.nodes().checkpoint()
-        found = self.compared(nodes, self.leaves(nodes)).checkpoint()
+        nodes = self.nodes()
+        found = self.cut(self.compared(nodes, self.leaves(nodes)))
         links = found.groupBy("node").agg(F.sum("links").alias("links"))
-        roots = connected_components(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        own = (
+        roots = connected_components(found.select(F.col("node").alias("a"), F.col("label").alias("b")), self.scratch)
+        own = self.cut(
             nodes.select("node", "rep", "copies").join(links, "node", "left").join(roots, "node", "left")
             .select("node", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
         )
         last = F.coalesce(F.col("rep"), F.lit(2**63 - 1))
-        reps = own.groupBy("root").agg(F.min(F.struct(last.alias("order"), F.col("rep").alias("rep_id"), F.col("node").alias("rep_node"))).alias("r"))
-        return own.join(reps, "root").select("node", "copies", "links", "r.rep_id", "r.rep_node")
+        least = F.min(F.struct(last.alias("order"), F.col("rep").alias("rep_id"), F.col("node").alias("rep_node"))).alias("r")
+        reps = self.cut(own.groupBy("root").agg(least, F.count(F.lit(1)).alias("n")))
+        out = self.cut(self.spread(own, reps, "root").select("node", "copies", "links", "r.rep_id", "r.rep_node"))
+        self.scratch.clear(keep=1)
+        return out
 
 
 def jaccard_join(documents: DataFrame, plan: JoinPlan | None = None) -> DataFrame:
@@ -392,9 +433,9 @@ def jaccard_join(documents: DataFrame, plan: JoinPlan | None = None) -> DataFram
     is their own id.  Repeated rows are copies of each other.  An empty table gives an empty
     result; other columns are not read."""
     join = _Join(documents, plan or JoinPlan())
-    classes = join.classes()
+    classes = join.classes().withColumn("n", F.col("copies"))
     found = F.col("rep_node").isNotNull()
-    return join.rows.select("doc_id", "node").join(classes, "node", "left").select(
+    return join.spread(join.keyed(join.documents).select("doc_id", "node"), classes, "node", "left").select(
         "doc_id",
         F.when(found, F.col("rep_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
@@ -405,11 +446,10 @@ def one_of_each_class(documents: DataFrame, plan: JoinPlan | None = None) -> Dat
     """The rows of ``documents``, all columns, but of each class only one row: the one with
     the least id.  Texts without words are kept all."""
     join = _Join(documents, plan or JoinPlan())
-    classes = join.classes().checkpoint()
-    kept = classes.select(F.col("rep_id").alias("k"), F.col("rep_node").alias("n")).distinct()
+    kept = join.classes().select(F.col("rep_id").alias("k"), F.col("rep_node").alias("n")).distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.select(row_of(documents.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("node"), text.rlike(r"[^\x20\x09-\x0D]").alias("words"))
+    rows = documents.select(row_of(documents.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), text.alias("text"), text.rlike(WORD).alias("words"))
     none = rows.filter(~F.col("words")).select("row.*")
     # Keys are alike only for rows that are alike, so one of them is taken.
-    some = rows.filter("words").join(kept, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("k")))
+    some = join.keyed(rows.filter("words")).drop("text").join(kept, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("k")))
     return some.dropDuplicates(["id", "node"]).select("row.*").unionByName(none)

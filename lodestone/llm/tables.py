@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,27 +27,75 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def shared_folder(spark: SparkSession, fallback: str) -> str:
-    """The folder that driver and executors share, for checkpoints and written tables."""
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    folder = own or fallback
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, for checkpoints and written tables: that of
+    ``spark.checkpoint.dir``.  Without the setting a local session uses its warehouse; a cluster has no such folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    return folder.rstrip("/")
+
+
+class Scratch:
+    """Tables in the shared folder that cut lineage: a lost executor costs tasks of one step only,
+    and Spark knows their sizes.  ``clear`` removes them when what was made of them is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", []
+
+    def cut(self, rows: DataFrame) -> DataFrame:
+        """``rows``, written and to be read from there."""
+        self.paths.append(f"{self.folder}/{len(self.paths)}")
+        rows.write.parquet(self.paths[-1])
+        return self.spark.read.schema(rows.schema).parquet(self.paths[-1])
+
+    def clear(self, keep: int = 0) -> None:
+        """Removes the tables but for the last ``keep``."""
+        jvm = self.spark.sparkContext._jvm
+        for path in self.paths[: len(self.paths) - keep]:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+SALTS = 64
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, by: str, how: str = "inner", hot: int = 1024, broadcast_keys: int = 500_000) -> DataFrame:
+    """``rows`` joined to ``facts`` on ``key``, of which no task gets all rows of a frequent key.
+
+    ``facts`` has one row for each key, with the number ``n`` of its rows, and is cheap to
+    read again (a written table).  Keys of more than ``hot`` rows are broadcast if they are counted
+    to be at most ``broadcast_keys``; else their rows are dealt by the hash of the column ``by`` as well."""
+    frequent = facts.filter(F.col("n") > hot)
+    n_frequent = frequent.count()
+    if not n_frequent:
+        return rows.join(facts, key, how)
+    others = facts.filter(F.col("n") <= hot)
+    if n_frequent <= broadcast_keys:
+        spread, rest = rows.join(F.broadcast(frequent), key), rows.join(F.broadcast(frequent.select(key)), key, "left_anti")
+    else:
+        salt = "salt of " + key
+        wide = frequent.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(wide, [key, salt], "left").drop(salt)
+        spread, rest = marked.filter("n IS NOT NULL"), marked.filter("n IS NULL").select(rows.columns)
+    return spread.unionByName(rest.join(others, key, how))
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: int, after: int = 0) -> DataFrame:
     """Text and 0/1 label of at most ``most`` labelled training documents, without the first ``after``.
 
-    Rows whose held-out remainder is 0 never take part, nor null labels.  The
-    choice is by hash of the id, so it is the same at every run; the chosen ids
-    number at most ``most``, which is the proven bound of the broadcast.  Of repeated
-    rows with one id and label the least text counts."""
+    Rows whose held-out remainder is 0 never take part, nor null labels.  The choice is by
+    hash of the id, so it is the same at every run; the chosen ids number at most ``most``,
+    which is the proven bound of the broadcast.  Of an id with both labels the least
+    counts, of repeated rows with one id the least text."""
     ordered = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
         .filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
-    )
-    chosen = (ordered.offset(after) if after else ordered).limit(most).dropDuplicates(["doc_id"])
+        .groupBy("doc_id").agg(F.min("label").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+    )
+    chosen = (ordered.offset(after) if after else ordered).limit(most)
     rows = documents.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
     return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.tables import shared_folder
+from lodestone.llm.tables import Scratch
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(>|\Z)", re.DOTALL)
 _RAW_END = {t: re.compile(rf"</{t}[\s/>]|\Z", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template")}
@@ -312,8 +312,7 @@ def extract_pages(pages: DataFrame, least_pages: int = 20, salts: int = 8, sent_
         .select("page", "host", F.explode("hashes").alias("hash"), F.pmod("page", F.lit(salts)).cast("int").alias("salt"))
     )
     spark = pages.sparkSession
-    shared_folder(spark, spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
-    templates = trees.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages).select("host", "hash").checkpoint()
+    templates = Scratch(spark, "templates").cut(trees.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages).select("host", "hash"))
     if templates.count() <= sent_templates:
         known: dict[str, set[int]] = {}
         for r in templates.collect():

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -12,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import chat, components, queries, simjoin, topk, webpages
+from lodestone.llm.tables import Scratch
 
 # The join.
 
@@ -69,7 +72,7 @@ def near_copies(seed, groups=25, most=30):
 STRANGE = [(900, None), (901, ""), (902, " \n"), (903, " \n"), (904, "a b"), (905, "a b"), (906, "a  b"), (None, "a b c d e f g"), (None, "a b c d e f g"), (907, "a b c d e f g"), (908, "q " * 40_000), (909, "q " * 40_001)]
 
 
-@pytest.mark.parametrize("plan", [simjoin.JoinPlan(), simjoin.JoinPlan(small=4, block_rows=8, block_shingles=900, broadcast_keys=0)])
+@pytest.mark.parametrize("plan", [simjoin.JoinPlan(), simjoin.JoinPlan(small=4, block_rows=8, block_shingles=900, broadcast_keys=0, hot=3), simjoin.JoinPlan(small=4, block_rows=8, hot=3)])
 def test_join_is_brute_force(spark, plan):
     docs = near_copies(11) + STRANGE
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, n_links long, node string").repartition(5)
@@ -88,6 +91,15 @@ def test_join_of_large_groups(spark):
     assert Counter(map(tuple, simjoin.jaccard_join(df, plan).collect())) == Counter(by_brute_force(docs))
 
 
+def test_texts_with_one_hash_stay_apart(spark, monkeypatch):
+    docs = near_copies(13, groups=8, most=6) + STRANGE[:10]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(simjoin, "text_hash", lambda text: F.length(text).cast("long") % 3)
+    assert Counter(map(tuple, simjoin.jaccard_join(df).collect())) == Counter(by_brute_force(docs))
+    classes = {c for (_, c, _), (_, t) in zip(by_brute_force(docs), docs) if (t or "").strip()}
+    assert {r.doc_id for r in simjoin.one_of_each_class(df).collect() if (r.text or "").strip()} == classes
+
+
 def test_one_of_each_class(spark):
     docs = near_copies(12, groups=12) + STRANGE
     df = spark.createDataFrame([(i, t, "n", "k") for i, t in docs], "doc_id long, text string, n string, `k.dot` string")
@@ -115,7 +127,6 @@ def test_components(spark):
         if a != b:
             x, y = sorted((find(a), find(b)))
             parent[y] = x
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
 
@@ -124,30 +135,24 @@ def test_components(spark):
 
 
 def top_by_loop(rows, k, asks, dim_of=len):
-    import math
-
-    own = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        n = [math.floor(256.0 * x) for x in v]
-        own[i] = min(own.get(i, n), n)
-    out = set()
-    for q, v in own.items():
+    own = [(i, [math.floor(256.0 * x) for x in v]) for i, v in rows if i is not None and v is not None and not any(x is None or not math.isfinite(x) for x in v)]
+    out = Counter()
+    for n, (q, v) in enumerate(own):
         if asks(q):
-            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in own.items() if i != q and len(w) == len(v))[:k]
-            out |= {(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)}
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(own) if m != n and len(w) == len(v))[:k]
+            out.update((q, r, i, -s) for r, (s, i) in enumerate(scored, 1))
     return out
 
 
-@pytest.mark.parametrize("blocks", [topk.Blocks(), topk.Blocks(candidates=16, queries=4, segments=(8, 2)), topk.Blocks(segments=())])
+@pytest.mark.parametrize("blocks", [topk.Blocks(), topk.Blocks(candidates=16, queries=4, segments=(8, 2)), topk.Blocks(candidate_bytes=1000, query_bytes=200, candidates=8, queries=2), topk.Blocks(segments=())])
 def test_top_k_is_the_loop(spark, blocks):
     rng = random.Random(6)
     draw = lambda n: [rng.choice((0.0, 0.25, -0.5, rng.gauss(0, 1))) for _ in range(n)]
-    rows = [(i, draw(20)) for i in range(150)] + [(200 + i, [0.5] * 20) for i in range(40)] + [(300, None), (None, draw(20)), (301, [1.0, None] * 10), (302, [float("nan")] * 20), (303, [float("inf")] * 20), (5, draw(20)), (5, rows_five := draw(20)), (5, rows_five)]
+    rows = [(i, draw(20)) for i in range(150)] + [(200 + i, [0.5] * 20) for i in range(40)] + [(300, None), (None, draw(20)), (301, [1.0, None] * 10), (302, [float("nan")] * 20), (303, [float("inf")] * 20), (5, draw(20)), (5, five := draw(20)), (5, five)]
+    rows += [(500, draw(20)), (500, five), (500, five), (510, [3.0] * 20), (510, [3.0] * 20), (510, [3.0] * 20), (511, [3.0] * 20), *[(512, [2.0] * 20)] * 9, (520, [300.0] * 20)]
     rows += [(400, []), (410, []), (420, [1.0, 2.0]), (430, [1.0, 3.0]), (440, [7.0])]
     df = spark.createDataFrame([(i, v, 1, 1.0) for i, v in rows], "vec_id long, embedding array<double>, rank int, score double")
-    got = set(map(tuple, topk.exact_top_k(df, 5, F.col("vec_id") % 10 == 0, blocks=blocks).collect()))
+    got = Counter(map(tuple, topk.exact_top_k(df, 5, F.col("vec_id") % 10 == 0, blocks=blocks).collect()))
     assert got == top_by_loop(rows, 5, lambda i: i % 10 == 0)
     assert topk.exact_top_k(df.filter("false"), 5, F.col("vec_id") % 10 == 0).count() == 0
 
@@ -155,7 +160,9 @@ def test_top_k_is_the_loop(spark, blocks):
 def test_top_k_with_large_numbers(spark):
     rows = [(i, [float((i * 7919 + j * 104729) % 1000003) for j in range(12)]) for i in range(40)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert set(map(tuple, topk.exact_top_k(df, 3, F.col("vec_id") % 10 == 0).collect())) == top_by_loop(rows, 3, lambda i: i % 10 == 0)
+    assert Counter(map(tuple, topk.exact_top_k(df, 3, F.col("vec_id") % 10 == 0).collect())) == top_by_loop(rows, 3, lambda i: i % 10 == 0)
+    with pytest.raises(Exception, match="too large"):
+        topk.exact_top_k(spark.createDataFrame([(0, [1e17]), (1, [1e17])], df.schema), 3, F.col("vec_id") % 10 == 0).collect()
 
 
 # Pages.
@@ -170,6 +177,8 @@ def test_top_k_with_large_numbers(spark):
         ("<article><ul><li>a<li>b<ul><li>c</ul></ul><table><tr><td>1<td>2<tr><td>3</table></article>", "a\nb\nc\n1\n2\n3"), ("<article><p>cut here <a href='x", "cut here"), ("<article>a<br>b<hr>c</article>", "a b\nc"),
         ("<header><h1>h</h1></header><article><header>h</header><p>x</p></article><article><header><h2>t</h2></header><p>y</p></article>", "x\nt\ny"), ("<p>a</b></i></p></div>b", "a\nb"), ("<title>t</title><style>s</style><p>z", "z"), ("<p>a&nbsp;&nbsp;b　c</p>", "a b c"),
         ("<article><blockquote>q</blockquote><pre>p  p</pre></article>", "q\np p"), ("a < b and 3 > 2", "a < b and 3 > 2"),
+        ("<article><p class='market-share'>a</p><p id='comment-on-law'>b</p><section class='social'><p>c</p></section><p>x<sup><math><mi>y</mi></math></sup></p></article>", "a\nb\nc\nxy"),
+        ("<article><div class='share-buttons'>s</div><div class='post-nav'>n</div><p>a &am<b>p;</b> &amp;<i>lt;</i> b</p><p style='color:red; display:none'>h</p></article>", "a &amp; &lt; b"),
         ("<form><h1>t</h1><p>all in a form</p><form><input>q</form></form>", "t\nall in a form"), ("<p title=it's>one</p><p title='a>b'>two</p>", "one\ntwo"),
     ],
 )
@@ -219,6 +228,22 @@ def test_pages_of_the_test_data(spark, sf_dir):
         assert r.text == "\n".join(x for x in parts if x)
 
 
+@pytest.mark.parametrize("tags", [("<div>", "</div>"), ("<header>", "</header>"), ("<table><tr><td>", "</td></tr></table>"), ("<ul><li>", "</li></ul>"), ("<form>", "</form>"), ("<i>", "</i>")])
+def test_nested_closed_tags_take_linear_time(tags):
+    began = time.perf_counter()
+    page = "<article>" + tags[0] * 40_000 + "x" + tags[1] * 40_000 + "<p>y</p></article>"
+    text = webpages.main_text(page, {1})
+    assert text.split() == (["y"] if tags[0] in ("<header>", "<form>") else ["x", "y"])
+    assert time.perf_counter() - began < 10  # about 1 s on an idle machine
+
+
+def test_templates_by_share_of_a_large_host(spark):
+    """A subtree on 20 pages is a template of a host of 100 pages, not of one of 5,000."""
+    rows = [(i, f"https://{h}.org/{i}", f"<body><div>box {h}</div><p>text {h} {i}</p></body>" if i < 20 else f"<body><p>text {h} {i}</p></body>") for h, n in (("a", 100), ("b", 5000)) for i in range(n)]
+    got = {(r.url, r.text) for r in webpages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).filter("page_id = 3").collect()}
+    assert got == {("https://a.org/3", "text a 3"), ("https://b.org/3", "box b\ntext b 3")}
+
+
 def test_very_deep_and_long_pages():
     assert webpages.main_text("<div>" * 20_000 + "deep", set()) == "deep"
     assert webpages.template_hashes("<div>" * 3_000 + "x")
@@ -257,6 +282,15 @@ def test_chat_round_trip(spark):
     assert chat.chat_digests(chat.render(chat.turns_from_table(df.filter("false")))).count() == 0
 
 
+def test_rows_without_an_id_and_long_conversations(spark):
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", "b")] + [(7, i, ("user", "assistant")[i % 2], f"turn {i} [INST]") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    got = {(r.conv_id, r.n_turns, r.loss_chars, r.turns_sha256) for r in chat.chat_digests(chat.render(chat.turns_from_table(df))).collect()}
+    of = lambda own: hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in own).encode()).hexdigest()
+    assert got == {(None, 1, 0, of(rows[:1])), (None, 1, 1, of(rows[2:3])), (7, 20_000, sum(len(x) for _, _, r, x in rows[3:] if r == "assistant"), of(rows[3:]))}
+    assert chat.chat_digests(chat.render(chat.turns_from_table(df))).filter("conv_id IS NULL").count() == 3
+
+
 def test_record_layouts(spark):
     records = {
         1: '{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b","extra":1}],"id":9}', 2: '{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}]}',
@@ -300,9 +334,9 @@ def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns, before = docs.columns, docs.count()
+    columns, before, scratch = docs.columns, docs.count(), Scratch(spark, "test")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf_dir).checkpoint()
+        docs = scratch.cut(stage(spark, docs, sf_dir))
         assert docs.columns == columns and 0 < docs.count() <= before, name
         before = docs.count()
         if name == "near duplicates":
