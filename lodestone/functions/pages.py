@@ -1,4 +1,4 @@
-"""Page and answer texts as expressions: markup to text, cells, addresses, answer blocks, stand-ins for models."""
+"""Page and answer texts as expressions: markup to text, cells, addresses, answer blocks, trailers."""
 
 from __future__ import annotations
 
@@ -58,6 +58,18 @@ def body_text(c: Column, start: str, end: str, least: int = 20) -> Column:
     return F.struct(F.when(problem.isNull(), text).alias("text"), problem.alias("problem"))
 
 
+def page_contact(c: Column, label: str, phone: str = PHONE) -> Column:
+    """(department, phone) from the line of a page that begins with ``label``; null if there is none."""
+    own = F.get(F.filter(tx.lines(c), lambda x: tx.strip(x).startswith(label)), F.lit(0))
+    dept = tx.squeeze(F.regexp_replace(F.substring(tx.strip(own), F.lit(len(label) + 1), F.length(own)), f"{phone}|[:|]", " "))
+    return F.when(own.isNotNull(), F.struct(F.nullif(dept, F.lit("")).alias("department"), F.nullif(F.regexp_extract(own, f"({phone})", 1), F.lit("")).alias("phone")))
+
+
+def body_or_content(c: Column, start: str, end: str, content: str, least: int = 20) -> Column:
+    """The text of a page's bounded body, else (pages of another layout) of what the first group of ``content`` matches."""
+    return F.coalesce(body_text(c, start, end, least)["text"], F.nullif(markup_text(F.regexp_extract(c, content, 1)), F.lit("")))
+
+
 def without_leading(lines: Column, furniture: Column) -> Column:
     """Lines without those at the start that are in ``furniture``."""
     first = F.array_position(F.transform(lines, lambda x: F.array_contains(furniture, x)), False)
@@ -88,11 +100,6 @@ def answer_blocks(c: Column) -> Column:
     return F.transform(own, lambda x: F.struct(kind(x).alias("kind"), plain(x).alias("text"), tx.citations(x).alias("cited")))
 
 
-def fragments(c: Column) -> Column:
-    """A text as words with the white space after them, as a model would send it."""
-    return F.regexp_extract_all(c, F.lit(r"(\s*\S+\s*)"), F.lit(1))
-
-
 @F.pandas_udf(StringType())
 def _merged(c: pd.Series) -> pd.Series:
     def pairs(items: list) -> dict:
@@ -126,16 +133,3 @@ def trailer(c: Column) -> Column:
         F.when(parsed["type"].isin("answer", "clarify", "unknown"), parsed["type"]).otherwise("answer").alias("type"),
         F.slice(F.array_distinct(some(parsed["options"])), 1, 4).alias("options"), F.array_distinct(some(parsed["actions"])).alias("actions"), F.array_distinct(forms).alias("forms"),
     )
-
-
-def approximate_tokens(c: Column) -> Column:
-    """A stand-in for a tokenizer: a token for each 4 Latin characters, or for each other letter."""
-    other = F.regexp_count(c, F.lit(r"[^\x00-\x{24F}\s]"))
-    return (F.ceil((F.length(c) - other) / 4) + other).cast("int")
-
-
-def word_overlap(question: Column, c: Column) -> Column:
-    """A stand-in for a re-ranker: the share of the question's words that a text has, 0 to 1."""
-    words = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), r"(?U)\W+"), lambda w: w != ""))
-    own = words(question)
-    return F.when(F.size(own) > 0, F.size(F.array_intersect(own, words(c))) / F.size(own)).otherwise(0.0)

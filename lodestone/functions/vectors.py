@@ -25,13 +25,6 @@ def unit(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: (x / n).cast("float"))).otherwise(a)
 
 
-def word_vector(text: Column, dim: int = 64) -> Column:
-    """An offline stand-in for an encoder: counts of words by hash, at unit length."""
-    slots = F.transform(F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("float"))
-    return unit(counts)
-
-
 def literal(a: Column) -> Column:
     """The text form [x,y,...]."""
     return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: x.cast("string")), ","), F.lit("]"))

@@ -32,9 +32,15 @@ def test_replace_version(spark, tmp_path):
     sinks.replace_version(v("a", 3), path, 2)
     sinks.replace_version(v("b", 2), path, 2)
     sinks.replace_version(v("a", 1), path, 2)
-    assert {r["index_version"]: r["count"] for r in spark.read.parquet(path).groupBy("index_version").count().collect()} == {"a": 1, "b": 2}
+    now = lambda: {r["index_version"]: r["count"] for r in sinks.read_current(spark, path, verify=True).groupBy("index_version").count().collect()}
+    assert now() == {"a": 1, "b": 2}
     with pytest.raises(Exception, match="components"):
         sinks.replace_version(v("a", 1), path, 3)
+    assert now() == {"a": 1, "b": 2}  # a job that fails changes nothing
+    folder = spark.read.json(f"{path}/current").filter("index_version = 'b'").first()["folder"]
+    v("b", 9).write.mode("append").partitionBy("index_version").parquet(folder)
+    with pytest.raises(sinks.VersionConflict):
+        now()
 
 
 def test_append_feedback_differences(spark, tmp_path):
@@ -50,7 +56,16 @@ def test_append_feedback_differences(spark, tmp_path):
     b = spark.createDataFrame([(1, "t"), (2, "u"), (4, "t")], "id long, t string")
     assert {r.id: r.state for r in sinks.differences(rows(1, 2, 3), b, "id").collect()} == {2: "different", 3: "extra", 4: "missing"}
     assert sinks.evolved(rows(1), spark.createDataFrame([(2, 5)], "id long, n int")).columns == ["id", "t", "n"]
-    assert {r.status: r.n for r in sinks.held_and_done(spark.createDataFrame([(1, "done"), (2, "held")], "id long, status string"), f"file://{tmp_path}/batch").collect()} == {"done": 1, "held": 1}
+    batch, where = spark.createDataFrame([(1, "done"), (2, "held")], "id long, status string"), f"file://{tmp_path}/batch"
+    for name in ("one", "two"):
+        assert {r.status: r.n for r in sinks.held_and_done(batch, where, name).collect()} == {"done": 1, "held": 1}
+    assert spark.read.parquet(where).count() == 4
+    with pytest.raises(sinks.HeldRows):
+        sinks.held_and_done(batch, where, "one", stop=True)
+    with pytest.raises(Exception, match="(?i)parquet"):  # a damaged table is no table that begins now
+        (tmp_path / "bad").mkdir()
+        (tmp_path / "bad" / "x.parquet").write_text("no parquet")
+        sinks.append_new(rows(1), f"file://{tmp_path}/bad", "id")
 
 
 def test_readers(spark, tmp_path):
@@ -121,8 +136,13 @@ def cut(text, rng):
     return out
 
 
-def run_chain(pieces):
-    chain = filters.Chain(filters.FilterConfig(), 3, EVIDENCE)
+CONFIG = filters.FilterConfig(
+    markers=("@@META", "\nforms:", "\ntype:"), labels=(("[evidence]", "the official sources"),), contact=r"https?://[!-(*-\[^-~]+|[a-z.]+@[a-z.]+[a-z]|0[0-9]{1,2}-[0-9]{3,4}-[0-9]{4}"
+)
+
+
+def run_chain(pieces, config=CONFIG):
+    chain = filters.Chain(config, 3, EVIDENCE)
     return "".join(chain.push(p) for p in pieces) + chain.end(), chain.trailer
 
 
@@ -136,6 +156,35 @@ def test_filters_do_not_depend_on_fragments():
         assert run_chain(cut(ANSWER, rng)) == whole
 
 
+def test_what_is_held_is_bounded_and_can_be_stored():
+    config = filters.FilterConfig(markers=("@@",), contact="x@y", longest_rule=10, longest_word=20, longest_trailer=30)
+    chain = filters.Chain(config, 1, "")
+    out = "".join(chain.push(p) for p in ["-" * 50, "a" * 5000, " x@y ", "b" * 15, "@@" + "t" * 900, "t" * 900])
+    assert out + chain.end() == "-" * 50 + "a" * 5000 + " (see the official notice) " + "b" * 15 and len(chain.trailer) == 30
+    for text in ("-" * 500, "a" * 500, "[" * 500, "\n" * 500):
+        chain = filters.Chain(config, 1, "")
+        chain.push(text)
+        assert sum(len(s.held) for s in chain.steps) < 60
+    rng, (text, trailer) = random.Random(6), run_chain([ANSWER])
+    for _ in range(50):
+        chain, out = filters.Chain(CONFIG, 3, EVIDENCE), ""
+        for p in cut(ANSWER, rng):
+            chain = filters.Chain(CONFIG, 3, EVIDENCE).restore(chain.state())
+            out += chain.push(p)
+        assert (out + chain.end(), chain.trailer) == (text, trailer)
+
+
+def test_steps_are_the_expressions(spark):
+    """Any text gives in fragments what the column expressions give for the whole."""
+    rng = random.Random(8)
+    words = ["a", " ", "\n", "-", "- -", "***", "___", "[1]", "[9]", "[", "12]", "[evid", "[evidence]", "x@y.org", "061-123-4567", "02-999-8888.", "https://ok.org/a)", "@@", "@@META", "\nforms:", "é가", "\t"]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randint(0, 25))) for _ in range(400)] + ["x" * 2500 + "02-999-8888", "-" * 300]
+    rows = spark.createDataFrame([(str(i), 0, t, 3, EVIDENCE) for i, t in enumerate(texts)], "message_id string, seq long, fragment string, n_sources int, evidence string")
+    got = {int(r.message_id): (r.text, r.trailer) for r in filters.filtered(rows, CONFIG).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == run_chain(cut(t, rng)) == run_chain([t]), t
+
+
 def test_held_text_comes_out_at_the_end():
     for text in ("ends with @@MET", "ends with [1", "ends with [evid", "a\n--", "word", "", "\n"):
         assert run_chain(list(text))[0] == text
@@ -152,7 +201,7 @@ def fragments(spark, seed=5):
 
 def test_filtered_batch(spark):
     want = {f"m{m}": run_chain([ANSWER + str(m)]) for m in range(6)}
-    assert {r.message_id: (r.text, r.trailer) for r in filters.filtered(fragments(spark)).collect()} == want
+    assert {r.message_id: (r.text, r.trailer) for r in filters.filtered(fragments(spark), CONFIG).collect()} == want
 
 
 def test_filtered_stream(spark, tmp_path):
@@ -161,7 +210,7 @@ def test_filtered_stream(spark, tmp_path):
     for part in range(3):
         rows.filter(f"seq div 20 = {part}" if part < 2 else "seq div 20 >= 2").coalesce(1).write.mode("append").json(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(source)
-    out = filters.filtered_stream(stream)
+    out = filters.filtered_stream(stream, CONFIG)
     q = out.writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/cp").option("path", f"file://{tmp_path}/out").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(180)
     got: dict[str, list] = {}

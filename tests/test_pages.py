@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import pages as pg
@@ -36,13 +35,10 @@ def test_lines_and_addresses(spark):
 def test_answers(spark):
     got = one(spark, pg.answer_blocks(F.lit("Intro **bold** [1]\n1. first [2]\n- dot\n\n")))
     assert [(b.kind, b.text, b.cited) for b in got] == [("paragraph", "Intro bold", [1]), ("ordered", "first", [2]), ("bullet", "dot", [])]
-    assert "".join(one(spark, pg.fragments(F.lit("a  b\nc ")))) == "a  b\nc "
     t = one(spark, pg.trailer(F.lit('@@ {"type":"clarify","options":["a","a","b"],"forms":["[2]",3],"forms":[3,"x"],"type":"answer"} rest')))
     assert (t.type, t.options, t.actions, t.forms) == ("clarify", ["a", "b"], [], [2, 3])
     t = one(spark, pg.trailer(F.lit("none")))
     assert (t.type, t.options, t.forms) == ("answer", [], [])
-    assert one(spark, pg.approximate_tokens(F.lit("abcdefgh 가나"))) == 5
-    assert one(spark, pg.word_overlap(F.lit("port fees now"), F.lit("The port has fees."))) == pytest.approx(2 / 3)
 
 
 def test_sheets(spark):
