@@ -109,6 +109,14 @@ def questions(spark: SparkSession, path: str, schema: str, only: list[str] | Non
     return rows.dropDuplicates(["id", "question"])
 
 
+def ndjson_tokens(streams: DataFrame) -> DataFrame:
+    """Tokens of whole NDJSON streams (message_id, body): message_id, seq, token, done; lines that are no JSON object are left out."""
+    rows = streams.select("message_id", F.posexplode(F.split("body", "\r?\n")).alias("seq", "line"))
+    parsed = rows.withColumn("j", F.from_json("line", "struct<message:struct<content:string>,done:boolean>"))
+    some = parsed.filter(F.col("j.message.content").isNotNull() | F.col("j.done").isNotNull())
+    return some.select("message_id", "seq", F.coalesce("j.message.content", F.lit("")).alias("token"), F.coalesce("j.done", F.lit(False)).alias("done"))
+
+
 def sse_events(streams: DataFrame) -> DataFrame:
     """Server-sent events of whole streams (message_id, body): message_id, seq, event, data.
 

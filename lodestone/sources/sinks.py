@@ -6,15 +6,22 @@ the version is unfinished.  All paths go through Spark, so they may be remote.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from lodestone.sources.work import exists
 
 
 class VersionConflict(Exception):
     """A version exists with other contents."""
 
 
+class HeldRows(Exception):
+    """A batch has rows that were not done."""
+
+
 def content_digest(rows: DataFrame) -> str:
     """A digest of the rows in any order: their number, sum and exclusive or of their hashes."""
     h = F.xxhash64(*(F.to_json(F.struct(c)) for c in sorted(rows.columns)))
@@ -23,10 +30,9 @@ def content_digest(rows: DataFrame) -> str:
 
 
 def _manifest(spark: SparkSession, path: str) -> str | None:
-    try:
-        rows = spark.read.schema("digest string").json(f"{path}/manifest").limit(2).collect()
-    except AnalysisException:
+    if not exists(spark, f"{path}/manifest"):
         return None
+    rows = spark.read.schema("digest string").json(f"{path}/manifest").limit(2).collect()
     return rows[0]["digest"] if rows else None
 
 
@@ -62,9 +68,39 @@ def replace_partitions(rows: DataFrame, path: str, *partitions: str) -> None:
 
 
 def replace_version(vectors: DataFrame, path: str, dim: int) -> None:
-    """The index versions in ``vectors`` (index_version, chunk_id, embedding, ...), after a check of the dimension."""
+    """The index versions in ``vectors`` (index_version, chunk_id, embedding, ...), after a check of the dimension.
+
+    The rows are written to a folder of their own; then one line for each version, in one small file, names that
+    folder, so that a reader sees a version as it was or as it is, and a job that fails changes nothing."""
+    spark, folder = vectors.sparkSession, f"{path}/data/{uuid.uuid4().hex}"
     checked = F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(F.raise_error(F.lit(f"a vector has not {dim} components")))
-    replace_partitions(vectors.withColumn("embedding", checked), path, "index_version")
+    vectors.withColumn("embedding", checked).write.partitionBy("index_version").parquet(folder)
+    written = spark.read.parquet(folder)
+    known = _pointers(spark, path).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] if exists(spark, f"{path}/current") else 0
+    lines = written.groupBy("index_version").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("index_version").cast("string").alias("index_version"), F.lit(folder).alias("folder"), "n", F.lit(known + 1).alias("seq"), F.lit(content_digest(written)).alias("digest")
+    )
+    lines.coalesce(1).write.mode("append").json(f"{path}/current")
+
+
+def _pointers(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("index_version string, folder string, n long, seq long, digest string").json(f"{path}/current")
+
+
+def read_current(spark: SparkSession, path: str, verify: bool = False) -> DataFrame:
+    """The rows of all index versions as they are now; ``verify`` compares the folders with their digests."""
+    last = _pointers(spark, path).groupBy("index_version").agg(F.max(F.struct("seq", "folder", "digest")).alias("p")).select("index_version", "p.folder", "p.digest")
+    out = None
+    folders: dict[tuple[str, str], list[str]] = {}
+    for r in last.collect():  # as many as there are versions
+        folders.setdefault((r["folder"], r["digest"]), []).append(r["index_version"])
+    for (folder, digest), versions in sorted(folders.items()):
+        rows = spark.read.parquet(folder)
+        if verify and content_digest(rows) != digest:
+            raise VersionConflict(f"{folder} is unfinished or changed")
+        rows = rows.filter(F.col("index_version").cast("string").isin(versions))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
 
 
 def differences(stored: DataFrame, expected: DataFrame, key: str) -> DataFrame:
@@ -80,10 +116,8 @@ def append_new(rows: DataFrame, path: str, key: str) -> None:
     """Rows whose key the table doesn't have yet are appended, of repeated keys one."""
     spark = rows.sparkSession
     rows = rows.dropDuplicates([key])
-    try:
+    if exists(spark, path):
         rows = rows.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
-    except AnalysisException:
-        pass  # the table begins now
     rows.write.mode("append").parquet(path)
 
 
@@ -100,7 +134,14 @@ def evolved(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
-def held_and_done(rows: DataFrame, path: str, status: str = "status") -> DataFrame:
-    """A batch by status, each in its own partition, and the number of rows of each."""
-    rows.write.mode("overwrite").partitionBy(status).parquet(path)
-    return rows.sparkSession.read.parquet(path).groupBy(status).agg(F.count(F.lit(1)).alias("n"))
+def held_and_done(rows: DataFrame, path: str, batch: str, status: str = "status", stop: bool = False) -> DataFrame:
+    """A batch by status, each in its own partition of the batch, and the number of rows of each.
+
+    A batch that is run again replaces itself and no other.  ``stop`` raises HeldRows, after the
+    rows are written, if any have the status 'held'."""
+    spark = rows.sparkSession
+    rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", status).parquet(path)
+    counts = spark.read.parquet(path).filter(F.col("batch").cast("string") == batch).groupBy(status).agg(F.count(F.lit(1)).alias("n"))
+    if stop and (held := counts.filter(F.col(status) == "held").first()):
+        raise HeldRows(f"{held['n']} rows of the batch {batch} are held")
+    return counts
