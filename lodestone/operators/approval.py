@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -145,6 +145,41 @@ def selected(chunks: DataFrame, policy: SourcePolicy) -> tuple[DataFrame, DataFr
     return rows.filter("_reason is null").drop("_reason"), rows.filter("_reason is not null").groupBy(F.col("_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def numbered(rows: DataFrame, group: str, order: str, base: Column) -> DataFrame:
-    """Ids in order within a group, from a base; existing ids are for the caller to leave out and pass as base."""
-    return rows.withColumn("id", base + F.row_number().over(Window.partitionBy(group).orderBy(order)))
+def law_current(stored_serial: Column, stored_date: Column, serial: Column, date: Column, chunk_dates: Column, today: Column) -> Column:
+    """(ok, detail): a law is current if serial and date are those of the look-up, the date is over
+    and all chunks have it; a failed look-up (null serial) is not ok."""
+    detail = (
+        F.when(serial.isNull(), "look-up failed").when(~stored_serial.eqNullSafe(serial) | ~stored_date.eqNullSafe(date), "changed")
+        .when(date > today, "not yet in force").when(~F.forall(chunk_dates, lambda d: d.eqNullSafe(date)), "chunks of another date").otherwise("same")
+    )
+    return F.struct((detail == "same").alias("ok"), detail.alias("detail"))
+
+
+def file_current(stored_sha256: Column, sha256: Column) -> Column:
+    """(ok, detail) of a file by its hash; no hash is a failed look-up."""
+    detail = F.when(sha256.isNull(), "look-up failed").when(stored_sha256.eqNullSafe(sha256), "same").otherwise("changed")
+    return F.struct((detail == "same").alias("ok"), detail.alias("detail"))
+
+
+def table_current(stored: Column, first: Column, again: Column) -> Column:
+    """(ok, detail) of a table's rows (arrays, in any order); an empty look-up is tried ``again``, and if that is
+    empty too it has failed and says nothing of a change."""
+    some = lambda rows: F.coalesce(F.size(rows), F.lit(0)) > 0
+    found = F.when(some(first), first).when(some(again), again)
+    detail = F.when(found.isNull(), "look-up failed").when(F.array_sort(found) == F.array_sort(stored), "same").otherwise("changed")
+    return F.struct((detail == "same").alias("ok"), detail.alias("detail"))
+
+
+def only_current(listed: DataFrame, *keep: str) -> DataFrame:
+    """(name, ...): of the laws listed under a name (name, current, ...) the one that is current; a name with none
+    or several stops the job."""
+    one = F.when(F.count_if("current") == 1, F.min(F.when(F.col("current"), F.struct(*keep)))).otherwise(F.raise_error(F.concat(F.lit("not exactly one current "), F.col("name"))))
+    return listed.groupBy("name").agg(one.alias("r")).select("name", "r.*")
+
+
+def disagreements(catalog: DataFrame, policy: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(key, problem): entries that only one of two tables has, or whose columns differ."""
+    a, b = (d.select(key, F.struct(*columns).alias(n)) for d, n in ((catalog, "a"), (policy, "b")))
+    differing = F.array_join(F.filter(F.array(*(F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in columns)), lambda x: x.isNotNull()), ",")
+    problem = F.when(F.col("a").isNull(), "only in the policy").when(F.col("b").isNull(), "only in the catalog").when(differing != "", differing)
+    return a.join(b, key, "full").select(key, problem.alias("problem")).filter("problem is not null")

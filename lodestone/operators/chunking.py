@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +46,10 @@ def packed_chunks(documents: DataFrame, most: int = 2500) -> DataFrame:
 
 
 def paragraph_parts(
-    chunks: DataFrame, mark: str = "[①-⑳]", title: str = r"^(?U)\s*제\s*\d+\s*조(?:의\s*\d+)?\s*\([^)\n]*\)", longer: int = 800, least: int = 2, kinds: tuple[str, ...] = ("article",)
+    chunks: DataFrame, title: str, mark: str = "[①-⑳]", longer: int = 800, least: int = 2, kinds: tuple[str, ...] = ("article",)
 ) -> DataFrame:
-    """The children of long chunks of ``kinds``: one for each marked paragraph, with the chunk's
-    title line before it.  Chunks of another kind, short ones and those with fewer than
+    """The children of long chunks of ``kinds``: one for each marked paragraph, with what ``title``
+    matches at the chunk's beginning before it.  Chunks of another kind, short ones and those with fewer than
     ``least`` paragraphs have none.  What stands before the first mark is in no child."""
     pieces = F.split("text", f"(?m)(?:^|(?<=\\s))(?={mark})")
     marked = F.filter(F.transform(pieces, tx.strip), lambda x: x.rlike(f"^{mark}"))
@@ -67,9 +69,9 @@ def paragraph_parts(
     return out.drop("_parts", "_n", "_body", "_head")
 
 
-def with_parts(chunks: DataFrame, **how) -> DataFrame:
+def with_parts(chunks: DataFrame, title: str, **how) -> DataFrame:
     """Parents and their children."""
-    return chunks.withColumn("chunk_id", F.col("chunk_id").cast("string")).unionByName(paragraph_parts(chunks, **how), allowMissingColumns=True)
+    return chunks.withColumn("chunk_id", F.col("chunk_id").cast("string")).unionByName(paragraph_parts(chunks, title, **how), allowMissingColumns=True)
 
 
 def line_spans(documents: DataFrame) -> DataFrame:
@@ -171,3 +173,69 @@ def numbered_breaks(text: Column, marks: str = "[①-⑳]", items: str = r"\d{1,
 def ranged_ids(ranges: DataFrame, listed: DataFrame) -> DataFrame:
     """The ids in ranges (lo, hi) and in a list, each once; a range is opened row by row."""
     return ranges.select(F.explode(F.sequence("lo", "hi")).alias("id")).unionByName(listed.select("id")).distinct()
+
+
+def classified_spans(spans: DataFrame, rules: Mapping[str, str], most: int = 1200) -> DataFrame:
+    """Spans (doc_id, start, end, text) as pieces of at most ``most`` characters with a status: the first of ``rules``
+    (pattern -> status, as 'held' or 'excluded') that the span's text matches, else 'chunk'.  Pieces tile the span."""
+    status = F.lit(None).cast("string")
+    for pattern, name in reversed(rules.items()):
+        status = F.when(F.col("text").rlike(pattern), name).otherwise(status)
+    pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / most).cast("int") - 1, F.lit(0)))
+    rows = spans.select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"), F.coalesce(status, F.lit("chunk")).alias("status"), F.explode(pieces).alias("i"))
+    start = F.col("s") + F.col("i") * most
+    return rows.select("doc_id", "status", start.alias("start"), F.least(start + most, "e").alias("end"))
+
+
+def span_totals(spans: DataFrame) -> DataFrame:
+    """(doc_id, status, n, chars) of spans (doc_id, status, start, end)."""
+    return spans.groupBy("doc_id", "status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+
+
+def within_limits(chunks: DataFrame, limits: Mapping[str, int], other: int) -> DataFrame:
+    """``chunks`` (chunk_kind, text, ...) with a status: 'held' with a reason if a text is blank or longer than its kind may be."""
+    limit = F.lit(other)
+    for kind, n in limits.items():
+        limit = F.when(F.col("chunk_kind") == kind, n).otherwise(limit)
+    n = F.length(F.coalesce("text", F.lit("")))
+    reason = F.when(tx.strip(F.coalesce("text", F.lit(""))) == "", "blank").when(n > limit, F.concat(F.lit("longer than "), limit.cast("string")))
+    return chunks.withColumn("reason", reason).withColumn("status", F.when(reason.isNull(), "ready").otherwise("held"))
+
+
+def law_chunks(units: DataFrame, laws: DataFrame, most: int = 2500) -> DataFrame:
+    """(serial, chunk_id, article, chunk_index, text): the units of an article (serial, article, unit, text), packed under its
+    heading: the law's name (``laws``: serial, name) and the article."""
+    whole = units.groupBy("serial", "article").agg(F.array_join(F.array_sort(F.collect_list(F.struct("unit", "text")))["text"], "\n").alias("text"))
+    titled = whole.join(laws.select("serial", "name"), "serial").withColumn("title", F.concat_ws(" ", "name", "article"))
+    rows = titled.select("serial", "article", F.posexplode(pack_lines(F.col("text"), F.col("title"), most)).alias("chunk_index", "text"))
+    return rows.select("serial", chunk_id(F.col("serial"), F.col("article"), F.col("chunk_index")).alias("chunk_id"), "article", "chunk_index", "text")
+
+
+def flat_fields(text: Column, most: int = 700, cut: str = " …") -> Column:
+    """The lines of a form's fields as one text, joined by commas, without ruled borders and blanks; cut at ``most`` characters."""
+    fields = F.filter(F.transform(tx.lines(text), lambda x: tx.squeeze(F.regexp_replace(x, r"[│┃|─━┌┐└┘├┤┬┴┼+_]+", " "))), lambda x: x != "")
+    flat = F.array_join(F.array_distinct(fields), ", ")
+    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.substring(flat, 1, most), F.lit(cut)))
+
+
+def page_chunks(pages: DataFrame, blocks: DataFrame, transcribed: DataFrame, deadline: str) -> DataFrame:
+    """(doc_id, page, text, flags): the text of an annex's pages (doc_id, page) from its blocks (doc_id, page, pos, text),
+    or as it was ``transcribed`` by hand (doc_id, page, text); the flag 'deadline' if it matches that."""
+    read = blocks.groupBy("doc_id", "page").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "text")))["text"], "\n").alias("read"))
+    hand = transcribed.select("doc_id", "page", F.col("text").alias("hand"))
+    rows = pages.select("doc_id", "page").distinct().join(read, ["doc_id", "page"], "left").join(hand, ["doc_id", "page"], "left")
+    rows = rows.select("doc_id", "page", F.coalesce("hand", "read", F.lit("")).alias("text"))
+    flags = F.array(F.when(F.col("text").rlike(deadline), "deadline"), F.when(tx.strip(F.col("text")) == "", "blank"))
+    return rows.withColumn("flags", F.filter(flags, lambda x: x.isNotNull()))
+
+
+def site_chunks(pages: DataFrame, images: DataFrame, apart: tuple[str, ...] = ("notice",)) -> DataFrame:
+    """(doc_id, part, text): the text of site pages (doc_id, kind, text) with any Unicode line break as a newline; what was read
+    from their images (doc_id, pos, text) is a part of its own for the kinds ``apart``, else at the end of the text."""
+    plain = F.regexp_replace("text", "[\u2028\u2029\u000b\u000c\u001c-\u001e\u0085]", "\n")
+    shown = images.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "text")))["text"], "\n").alias("shown"))
+    rows = pages.select("doc_id", "kind", plain.alias("text")).join(shown, "doc_id", "left")
+    own = F.col("kind").isin(*apart) & F.col("shown").isNotNull()
+    text = F.when(own | F.col("shown").isNull(), F.col("text")).otherwise(F.concat_ws("\n", "text", "shown"))
+    parts = F.array(F.struct(F.lit(0).alias("part"), text.alias("text")), F.when(own, F.struct(F.lit(1).alias("part"), F.col("shown").alias("text"))))
+    return rows.select("doc_id", F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p")).select("doc_id", "p.part", "p.text")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 
 
-
 def _by_turn() -> WindowSpec:
     return Window.partitionBy("conv_id").orderBy("turn")
 
@@ -63,3 +64,22 @@ def request_problems(turns: DataFrame, most: int = 20, longest: int = 4000, ques
         .when(F.coalesce(F.col("last.role") != "user", F.lit(True)), "last turn is not the user's").when(F.col("last.n") > question, "question too long")
     )
     return own.select("conv_id", problem.alias("problem")).filter("problem is not null")
+
+
+def reclassified(answer_type: Column, answer: Column, n_cited: Column, no_evidence: str, notes: Mapping[str, Column], short: int = 200) -> Column:
+    """(answer_type, answer) after an answer is complete: a short one that says there is nothing to go by, and cites
+    nothing, is 'unknown'; to others the ``notes`` (text -> condition) whose condition holds are added."""
+    nothing = (answer_type == "answer") & (F.length(answer) <= short) & answer.rlike(no_evidence) & (n_cited == 0)
+    kind = F.when(nothing, "unknown").otherwise(answer_type)
+    added = F.filter(F.array(*(F.when(c, F.lit(note)) for note, c in notes.items())), lambda x: x.isNotNull())
+    told = F.when((kind == "answer") & (F.size(added) > 0), F.concat(answer, F.lit("\n\n"), F.array_join(added, "\n"))).otherwise(answer)
+    return F.struct(kind.alias("answer_type"), told.alias("answer"))
+
+
+def backend_route(error: Column, answer: Column, fallback: str) -> Column:
+    """(route, answer) by how a model's call ended: without an error as it is; after a transport error a fixed text with
+    the route 'unavailable'; any other error, such as a wrong setting, stops the job."""
+    transport = error.isin("timeout", "refused", "reset", "unreachable")
+    other = F.raise_error(F.concat(F.lit("model call failed: "), error))
+    route = F.when(error.isNull(), "answer").when(transport, "unavailable").otherwise(other)
+    return F.struct(route.alias("route"), F.when(error.isNull(), answer).otherwise(fallback).alias("answer"))

@@ -131,9 +131,12 @@ def unanswered(golden: DataFrame, answers: DataFrame) -> DataFrame:
     return golden.select("qid").distinct().join(answers.select("qid"), "qid", "left_anti")
 
 
-def compare_runs(answers: DataFrame, *values: str) -> DataFrame:
-    """Answers (config, id, ...) of two or more configurations side by side, a row for each question."""
-    configs = [r[0] for r in answers.select("config").distinct().orderBy("config").limit(100).collect()]
+def compare_runs(answers: DataFrame, *values: str, most: int = 100) -> DataFrame:
+    """Answers (config, id, ...) of two or more configurations side by side, a row for each question.
+    More than ``most`` configurations are an error, as each has its columns."""
+    configs = [r[0] for r in answers.select("config").distinct().orderBy("config").limit(most + 1).collect()]
+    if len(configs) > most:
+        raise ValueError(f"more than {most} configurations")
     return answers.groupBy("id").pivot("config", configs).agg(*(F.first(v).alias(v) for v in values))
 
 
@@ -141,3 +144,27 @@ def every_nth(rows: DataFrame, n: int, group: str, *order: str) -> DataFrame:
     """A systematic sample: of each group the first row of every n."""
     w = Window.partitionBy(group).orderBy(*order)
     return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") % n == (1 % n)).drop("_r")
+
+
+def with_gold(answers: DataFrame, golden: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Answers with their gold rows (both by qid), and the ids of questions that have no answer."""
+    return answers.join(golden, "qid"), unanswered(golden, answers)
+
+
+def by_headers(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Sheet rows (sheet, row, cells) as columns, by the texts of each sheet's first row: ``names`` is
+    column -> header.  A sheet without one of the headers stops the job."""
+    heads = rows.filter("row = 0").select("sheet", F.transform("cells", lambda c: tx.squeeze(F.coalesce(c, F.lit("")))).alias("heads"))
+
+    def cell(header: str) -> Column:
+        at = F.array_position("heads", header)
+        return F.when(at > 0, F.get("cells", at.cast("int") - 1)).otherwise(F.raise_error(F.lit(f"no column {header}")))
+
+    return rows.filter("row > 0").join(heads, "sheet").select("sheet", "row", *(cell(header).alias(column) for column, header in names.items()))
+
+
+def report(summary: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """One JSON text for each group ``key``: its summary row, and how many rows it has."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    packed = F.to_json(F.struct(F.struct(*(c for c in summary.columns if c != key)).alias("summary"), F.coalesce("_rows", F.lit(0)).alias("rows")))
+    return summary.join(counts, key, "left").select(key, packed.alias("report"))

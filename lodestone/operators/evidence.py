@@ -64,16 +64,15 @@ def action_lists(answers: DataFrame, hits: DataFrame, links: DataFrame) -> DataF
     seen = hits.groupBy("qid").agg(F.lower(F.array_join(F.collect_list("evidence"), " ")).alias("evidence"))
     keyed = real.select("qid", F.posexplode(F.array_distinct("keys")).alias("ord", "key")).join(links, "key").join(seen, "qid")
     linked = keyed.filter(F.contains("evidence", F.lower("word"))).select("qid", F.lit(1).alias("part"), "ord", F.lit("link").alias("type"), "label", "url")
-    main = answers.filter("answer_type = 'unknown'").join(links.filter("key = 'main'"), F.lit(True)).select("qid", F.lit(2).alias("part"), F.lit(0).alias("ord"), F.lit("contact").alias("type"), "label", "url")
+    main = answers.filter("answer_type = 'unknown'").withColumn("key", F.lit("main")).join(links, "key").select("qid", F.lit(2).alias("part"), F.lit(0).alias("ord"), F.lit("contact").alias("type"), "label", "url")
     every = forms.unionByName(linked).unionByName(main)
     place = F.row_number().over(Window.partitionBy("qid").orderBy("part", "ord"))
     return every.select("qid", place.alias("place"), "type", "label", "url")
 
 
 def localized(actions: DataFrame, labels: DataFrame, language: Column, fallback: str = "en") -> DataFrame:
-    """Labels in the asker's language, else in the fallback, else as they are.  ``labels``: label, lang, text;
-    a fixed table of the interface."""
-    table = lambda name: F.broadcast(labels.select(F.col("label").alias(f"_{name}_label"), F.col("lang").alias(f"_{name}_lang"), F.col("text").alias(f"_{name}")))
+    """Labels in the asker's language, else in the fallback, else as they are.  ``labels``: label, lang, text."""
+    table = lambda name: labels.select(F.col("label").alias(f"_{name}_label"), F.col("lang").alias(f"_{name}_lang"), F.col("text").alias(f"_{name}"))
     rows = actions.withColumn("_lang", language)
     rows = rows.join(table("own"), (F.col("label") == F.col("_own_label")) & (F.col("_lang") == F.col("_own_lang")), "left")
     rows = rows.join(table("other"), (F.col("label") == F.col("_other_label")) & (F.col("_other_lang") == fallback), "left")
@@ -98,3 +97,26 @@ def only_value(rows: DataFrame, value: str, *groups: str) -> DataFrame:
     """The one value of each group; a group with several stops the job."""
     one = F.when(F.countDistinct(value) == 1, F.min(value)).otherwise(F.raise_error(F.lit(f"more than one {value}")))
     return rows.filter(F.col(value).isNotNull()).groupBy(*groups).agg(one.alias(value))
+
+
+def source(title: Column, url: Column, publisher: Column, date: Column, where: Column, text: Column) -> Column:
+    """What is shown of a chunk as a source; texts that are empty are null."""
+    known = lambda c: F.nullif(tx.strip(c), F.lit(""))
+    return F.struct(known(title).alias("title"), known(url).alias("url"), known(publisher).alias("publisher"), known(date).alias("date"), known(where).alias("locator"), known(text).alias("snippet"))
+
+
+def form_download(chunk_kind: Column, title: Column, url: Column, pages: Column, source_format: str = "hwp") -> Column:
+    """(label, url, format) of a whole form: a PDF if it has pages, else its own format; null of other chunks."""
+    return F.when(chunk_kind == "whole_form", F.struct(title.alias("label"), url.alias("url"), F.when(F.size(pages) > 0, "pdf").otherwise(source_format).alias("format")))
+
+
+def split_actions(actions: DataFrame, contacts: tuple[str, ...] = ("contact",)) -> DataFrame:
+    """(qid, links, contacts): the labels of an answer's actions (qid, place, type, label), in order, by what they do."""
+    of = lambda test: F.array_sort(F.collect_list(F.when(test, F.struct("place", "label"))))["label"]
+    own = F.col("type").isin(*contacts)
+    return actions.groupBy("qid").agg(of(~own).alias("links"), of(own).alias("contacts"))
+
+
+def grouped_contacts(rows: DataFrame) -> DataFrame:
+    """(role, region, phone, doc_ids): the documents, sorted, that name a contact (role, region, phone, doc_id)."""
+    return rows.groupBy("role", "region", "phone").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))

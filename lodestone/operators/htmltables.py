@@ -76,8 +76,9 @@ class _Cells(HTMLParser):
             rows = self.tables[-1]["rows"]
             if not rows:
                 rows.append([])
-            span = lambda k: int(own[k]) if str(own.get(k) or "").isdigit() else 1
-            self.cell = {"header": tag == "th", "rowspan": max(span("rowspan"), 1), "colspan": max(span("colspan"), 1), "text": []}
+            # The limits are those of the HTML standard.
+            span = lambda k, most: min(max(int(own[k]), 1), most) if str(own.get(k) or "").isdecimal() else 1
+            self.cell = {"header": tag == "th", "rowspan": span("rowspan", 65534), "colspan": span("colspan", 1000), "text": []}
             rows[-1].append(self.cell)
         elif tag == "br" and self.cell:
             self.cell["text"].append(" ")
@@ -105,10 +106,10 @@ def place_cells(rows: list[list[dict]]) -> list[dict]:
         for cell in row:
             while (r, c) in taken:
                 c += 1
-            taken |= {(r + i, c + j) for i in range(min(cell["rowspan"], len(rows) - r)) for j in range(min(cell["colspan"], 1000))}
+            taken |= {(r + i, c + j) for i in range(min(cell["rowspan"], len(rows) - r)) for j in range(cell["colspan"])}
             text = " ".join("".join(cell["text"]).split())
             out.append({"row": r, "col": c, "rowspan": cell["rowspan"], "colspan": cell["colspan"], "header": cell["header"], "text": text})
-            c += min(cell["colspan"], 1000)
+            c += cell["colspan"]
     return out
 
 
@@ -195,3 +196,38 @@ def spanned_groups(cells: DataFrame) -> DataFrame:
     before = F.max("row_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = rows.withColumn("new", F.when(before.isNull() | (F.col("row") > before), 1).otherwise(0))
     return new.select("page_id", "table", "row", F.sum("new").over(w).alias("row_group"))
+
+
+def rendered_groups(cells: DataFrame) -> DataFrame:
+    """(page_id, table, row_group, text): body rows that spans tie together as lines
+    '- row r, column c [headers]: value', counted from 1, with the range of a merged cell and '(blank)'."""
+    keys = ["page_id", "table"]
+    heads = cells.filter("header").select(*keys, F.explode(F.sequence("col", F.col("col") + F.col("colspan") - 1)).alias("col"), "row", F.col("text").alias("head"))
+    top = heads.filter("head <> ''").groupBy(*keys, "col").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("row", "head")))["head"]).alias("heads"))
+    span = lambda at, n: F.when(F.col(n) > 1, F.concat((F.col(at) + 1).cast("string"), F.lit("-"), (F.col(at) + F.col(n)).cast("string"))).otherwise((F.col(at) + 1).cast("string"))
+    head = F.when(F.size("heads") > 0, F.concat(F.lit(" ["), F.array_join("heads", " / "), F.lit("]"))).otherwise("")
+    line = F.concat(F.lit("- row "), span("row", "rowspan"), F.lit(", column "), span("col", "colspan"), head, F.lit(": "), F.when(F.col("text") == "", "(blank)").otherwise(F.col("text")))
+    body = cells.filter("not header").join(top, [*keys, "col"], "left").join(spanned_groups(cells), [*keys, "row"])
+    lines = F.array_sort(F.collect_list(F.struct("row", "col", line.alias("line"))))["line"]
+    return body.groupBy(*keys, "row_group").agg(F.array_join(lines, "\n").alias("text"))
+
+
+def linked_cells(paragraphs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(section, record_number, state) of cell paragraphs against the blocks of a document, both
+    (section, record_number, text): 'linked', 'other text', 'repeated' if one record stands for several, 'no block'
+    or, of a block that no paragraph has, 'left over'."""
+    key = ["section", "record_number"]
+    own = paragraphs.groupBy(*key).agg(F.count(F.lit(1)).alias("np"), F.min("text").alias("pt"))
+    other = blocks.groupBy(*key).agg(F.count(F.lit(1)).alias("nb"), F.min("text").alias("bt"))
+    state = (
+        F.when(F.col("np").isNull(), "left over").when(F.col("nb").isNull(), "no block").when((F.col("np") > 1) | (F.col("nb") > 1), "repeated")
+        .when(F.col("pt").eqNullSafe(F.col("bt")), "linked").otherwise("other text")
+    )
+    return own.join(other, key, "full").select(*key, state.alias("state"))
+
+
+def duty_rows(cells: DataFrame, dept: str, phone: str = r"\d{2,3}-\d{3,4}-\d{4}") -> DataFrame:
+    """(page_id, pos, task, phone) of the table rows of a department: three cells, the first its name, the last a phone number."""
+    rows = cells.filter("not header").groupBy("page_id", "table", "row").agg(F.array_sort(F.collect_list(F.struct("col", "text")))["text"].alias("c"))
+    own = rows.filter((F.size("c") == 3) & (F.col("c")[0] == dept) & F.col("c")[2].rlike(f"^(?:{phone})$"))
+    return own.select("page_id", F.col("row").alias("pos"), F.col("c")[1].alias("task"), F.col("c")[2].alias("phone"))

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import vectors as vx
-
 
 def input_text(title: Column, sections: Column, text: Column) -> Column:
     """What an encoder reads: title, section titles, text."""
@@ -20,9 +18,9 @@ def token_guard(tokens: Column, most: int, chunk_id: Column) -> Column:
     return F.when(tokens <= most, tokens).otherwise(F.raise_error(F.concat(F.lit("too many tokens: "), chunk_id.cast("string"))))
 
 
-def embed(chunks: DataFrame, known: DataFrame, encode: Callable[[Column], Column] = vx.word_vector) -> DataFrame:
+def embed(chunks: DataFrame, known: DataFrame, encode: Callable[[Column], Column]) -> DataFrame:
     """(chunk_id, embedding, reused): the vector of each chunk's ``input``, from ``known`` (input_hash,
-    embedding) where that has it.  Each new input is encoded once, however many chunks have it."""
+    embedding) where that has it, else by ``encode``, the column expression of an encoder.  Each new input is encoded once, however many chunks have it."""
     keyed = chunks.select("chunk_id", "input", F.sha2("input", 256).alias("input_hash"))
     old = known.select("input_hash", "embedding").dropDuplicates(["input_hash"])
     new = keyed.join(old, "input_hash", "left_anti").groupBy("input_hash").agg(F.min("input").alias("input"))
@@ -34,10 +32,10 @@ def embed(chunks: DataFrame, known: DataFrame, encode: Callable[[Column], Column
 def version_digest(chunks: DataFrame, revision: str, buckets: int = 4096) -> DataFrame:
     """(n, digest) over the ids and text hashes of all chunks, whatever their order.
 
-    Rows are hashed into buckets; a bucket's digest is over the sums of its rows' hashes, so it
-    needs no order; the bucket digests, a fixed number, make the digest of the version."""
+    Rows go to buckets by the beginning of their hashes; a bucket's digest is over the sums of
+    their parts, so it needs no order; the bucket digests, a fixed number, make the digest of the version."""
     row = F.sha2(F.concat_ws("\u001f", F.col("chunk_id").cast("string"), "chunk_text_sha256"), 256)
-    rows = chunks.select(row.alias("h")).withColumn("b", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+    rows = chunks.select(row.alias("h")).withColumn("b", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
     part = lambda i: F.sum(F.conv(F.substring("h", 12 * i + 1, 12), 16, 10).cast("decimal(38,0)"))
     own = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"), *(part(i).alias(f"p{i}") for i in range(5)))
     digests = own.select("n", F.struct("b", F.sha2(F.concat_ws(":", "b", "n", *(f"p{i}" for i in range(5))), 256).alias("d")).alias("x"))
@@ -57,9 +55,10 @@ def reachable(spark: SparkSession, roots: DataFrame, links: DataFrame, blocked:
 
     One join of the frontier a step; pages whose ``blocked`` expression (over dst) holds are not
     entered.  Each frontier is cut with a checkpoint, and their union at every eighth step."""
-    edges = links.select("src", "dst").distinct()
+    edges = links.select("src", "dst")
     if blocked is not None:
         edges = edges.filter(~F.coalesce(blocked, F.lit(False)))
+    edges = edges.distinct().checkpoint()
     seen = roots.select("page").distinct().withColumn("depth", F.lit(0)).checkpoint()
     frontier, depth = seen, 0
     while True:
@@ -73,10 +72,29 @@ def reachable(spark: SparkSession, roots: DataFrame, links: DataFrame, blocked:
             seen = seen.checkpoint()
 
 
+def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """``rows`` with their ``number`` in the order of a group, from 1, without a task that has a whole group.
+
+    Rows are sorted by ranges; each range's first place of a group is known from counts, of which
+    there is one for each group and range.  Rows that are equal in group and order are in any order."""
+    placed = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(group, part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(group).alias("_group"), "_part", "_first", before.alias("_before"))
+    joined = placed.withColumn("_own", part).join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_own") == F.col("_part")))
+    return joined.withColumn("number", F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_at", "_own", "_group", "_part", "_first", "_before")
+
+
+def in_order(chunks: DataFrame) -> DataFrame:
+    """Chunks in the one order that does not depend on how they were made: by document, then chunk."""
+    return chunks.orderBy("doc_id", "chunk_id")
+
+
 def stable_ids(existing: DataFrame, paths: DataFrame, prefix: str) -> DataFrame:
     """(lang, path, id): paths that have an id keep it, new ones of a language are numbered on in order."""
     base = existing.groupBy("lang").agg(F.max(F.regexp_extract("id", r"(\d+)$", 1).try_cast("int")).alias("base"))
-    fresh = paths.select("lang", "path").distinct().join(existing.select("lang", "path"), ["lang", "path"], "left_anti").join(base, "lang", "left")
-    number = F.coalesce("base", F.lit(0)) + F.row_number().over(Window.partitionBy("lang").orderBy("path"))
-    made = fresh.select("lang", "path", F.format_string(f"{prefix}-%s-%04d", F.col("lang"), number).alias("id"))
+    fresh = numbered(paths.select("lang", "path").distinct().join(existing.select("lang", "path"), ["lang", "path"], "left_anti"), "lang", "path")
+    number = F.coalesce("base", F.lit(0)) + F.col("number")
+    made = fresh.join(base, "lang", "left").select("lang", "path", F.format_string(f"{prefix}-%s-%04d", F.col("lang"), number).alias("id"))
     return existing.select("lang", "path", "id").unionByName(made)

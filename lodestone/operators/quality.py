@@ -18,8 +18,8 @@ def without_repeated_lines(documents: DataFrame, least_docs: int = 5, longest: i
     """(doc_id, text): without the lines that ``least_docs`` documents of the language have,
     but for those that match ``spare``.
 
-    Only short lines are looked up; the rest of a document is not moved through
-    the join, and a line that many documents have is joined in parts by salt."""
+    Only short lines are looked up, and a line that many documents have is joined in parts by
+    salt.  The texts move once, to the positions that are dropped from them."""
     salts = 16
     listed = documents.select("doc_id", "lang", F.posexplode(tx.lines(F.col("text"))).alias("pos", "line"))
     candidates = listed.filter((F.length("line") < longest) & ~F.col("line").rlike(spare)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
@@ -42,9 +42,9 @@ def without_copies_of(rows: DataFrame, blocked: DataFrame, text: str = "text") -
     return rows.withColumn("_h", F.sha2(F.col(text), 256)).join(hashes, F.col("_h") == F.col("h"), "left_anti").drop("_h")
 
 
-def low_quality_counts(documents: DataFrame) -> DataFrame:
+def low_quality_counts(documents: DataFrame, policy: tx.ProsePolicy) -> DataFrame:
     """(reason, n): how many documents are no prose, by reason; 'kept' for the others."""
-    reason = F.coalesce(tx.low_quality(F.col("text")), F.lit("kept"))
+    reason = F.coalesce(tx.low_quality(F.col("text"), policy), F.lit("kept"))
     return documents.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -69,11 +69,11 @@ def image_states(images: DataFrame, references: DataFrame, noise: str, repeated:
     return rows.withColumn("wanted", F.col("state").isin("ocr", "alt", "none", "foreign") & ~no_file)
 
 
-def transcript_route(text: Column, finish: Column, repeats: Column, about: Column, decor: str, maps: str) -> Column:
+def transcript_route(text: Column, finish: Column, repeats: Column, about: Column, decor: str, maps: str, gaps: str) -> Column:
     """(route, text) of a machine transcript: 'review' if cut or repeating or of a map, 'none' if decoration or
-    under 20 characters, else 'auto'."""
+    under 20 characters, else 'auto'.  Lines of ``decor`` and what ``gaps`` matches are not in the text."""
     kept = F.array_join(F.filter(tx.lines(tx.strip(text)), lambda x: ~x.rlike(decor)), "\n")
-    clean = tx.strip(F.regexp_replace(kept, r"\[정보 없음:[^\]]*\]", ""))
+    clean = tx.strip(F.regexp_replace(kept, gaps, ""))
     route = (
         F.when((finish == "length") | (repeats >= 3), "review").when(tx.strip(text).rlike(decor), "none").when(about.rlike(maps), "review")
         .when(tx.dense_length(clean) < 20, "none").otherwise("auto")
@@ -83,10 +83,28 @@ def transcript_route(text: Column, finish: Column, repeats: Column, about: Colum
 
 def once_in_order(documents: DataFrame, shortest: int = 4) -> DataFrame:
     """(doc_id, text, removed): each line once, the first; lines with fewer than ``shortest``
-    characters besides white space always stay."""
-    lined = documents.select("doc_id", F.posexplode(tx.lines(F.col("text"))).alias("pos", "line"))
-    key = F.regexp_replace("line", r"(?U)\s+", "")
-    place = F.row_number().over(Window.partitionBy("doc_id", key).orderBy("pos"))
-    flagged = lined.withColumn("kept", (F.length(key) < shortest) | (place == 1))
-    ordered = F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("pos", "line"))))
-    return flagged.groupBy("doc_id").agg(F.array_join(ordered["line"], "\n").alias("text"), F.count_if(~F.col("kept")).alias("removed"))
+    characters besides white space always stay.  A null text stays null.  All within the row."""
+    key = lambda x: F.regexp_replace(x, r"(?U)\s+", "")
+    entry = lambda x, i: F.struct(key(x).alias("key"), i.alias("i"), x.alias("line"))
+    first = lambda all_, e, j: (F.length(e["key"]) < shortest) | (j == 0) | (F.get(all_, j - 1)["key"] != e["key"])
+    by_key = F.array_sort(F.transform(tx.lines(F.col("text")), entry))
+    firsts = tx.bound(by_key, lambda all_: F.filter(all_, lambda e, j: first(all_, e, j)))
+    in_order = lambda kept: F.array_sort(F.transform(kept, lambda e: F.struct(e["i"].alias("i"), e["line"].alias("line"))))["line"]
+    rows = documents.select("doc_id", "text", firsts.alias("firsts"))
+    return rows.select("doc_id", F.array_join(in_order(F.col("firsts")), "\n").alias("text"), (F.size(tx.lines(F.col("text"))) - F.size("firsts")).cast("long").alias("removed"))
+
+
+def image_inventory(images: DataFrame, files: DataFrame, read: DataFrame) -> DataFrame:
+    """Images (sha256, lang, alt, file) with the size of their files (file, width, height; 0 if unknown)
+    and what was read from them (sha256, read; '' if nothing)."""
+    known = images.join(files, "file", "left").join(read, "sha256", "left")
+    return known.select(*images.columns, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("width", "height")), F.coalesce("read", F.lit("")).alias("read"))
+
+
+def with_transcripts(images: DataFrame, *sources: tuple[str, DataFrame]) -> DataFrame:
+    """(sha256, origin, text): of the sources, (name, (sha256, text)) by priority, the first with a text that is not blank."""
+    rows, found = images.select("sha256").distinct(), []
+    for name, texts in sources:
+        rows = rows.join(texts.select("sha256", F.col("text").alias(f"_{name}")), "sha256", "left")
+        found.append(F.when(tx.strip(F.col(f"_{name}")) != "", F.struct(F.lit(name).alias("origin"), F.col(f"_{name}").alias("text"))))
+    return rows.select("sha256", F.coalesce(*found).alias("t")).select("sha256", "t.origin", "t.text")

@@ -6,6 +6,7 @@ are joined for the k rows that are left.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,12 +29,12 @@ class RetrievalConfig:
     weak_below: float = 0.48
     rerank_head: int = 15
     rerank_weight: float = 0.5
-    #: More questions than this are joined by a shuffle of blocks instead of a broadcast.
-    broadcast_questions: int = 10_000
+    #: More bytes of questions than this are joined by a shuffle of blocks instead of a broadcast.
+    broadcast_bytes: int = 32 << 20
     block: int = 512
 
 
-def _scored(chunks: DataFrame, questions: DataFrame, config: RetrievalConfig) -> DataFrame:
+def _scored(chunks: DataFrame, questions: DataFrame, config: RetrievalConfig, one: bool) -> DataFrame:
     """(qid, chunk_id, unit, doc_id, kind, dist) of the chunks that a question may see.
 
     ``questions``: qid, vector, and if wanted excluded_docs, excluded_chunks and languages;
@@ -54,8 +55,11 @@ def _scored(chunks: DataFrame, questions: DataFrame, config: RetrievalConfig) ->
         F.coalesce("language", F.lit(config.default_language)).alias("language"),
         "embedding",
     )
-    n = questions.count()
-    if n <= config.broadcast_questions:
+    # One question is a row of bounded size; more are counted, with their lists.
+    length = lambda c: F.coalesce(F.size(c), F.lit(0))
+    size = F.sum(64 + 8 * F.greatest(length("q_vector"), F.lit(0)) + 32 * (F.greatest(length("q_excluded"), F.lit(0)) + F.greatest(length("q_chunks"), F.lit(0))))
+    n, size_of = (1, 0) if one else asked.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    if size_of <= config.broadcast_bytes:
         pairs = narrow.join(F.broadcast(asked), F.lit(True))
     else:
         blocks = -(-n // config.block)
@@ -76,16 +80,17 @@ def _cap(config: RetrievalConfig) -> Column:
     return cap
 
 
-def top_k(chunks: DataFrame, questions: DataFrame, config: RetrievalConfig | None = None, capped_kinds: bool = True) -> DataFrame:
+def top_k(chunks: DataFrame, questions: DataFrame, config: RetrievalConfig | None = None, capped_kinds: bool = True, one: bool = False) -> DataFrame:
     """The best chunks of each question: qid, rank, chunk_id (the unit), part_id, doc_id, kind, score.
 
     Children stand for their parents with their best distance (``part_id`` is the child that
     won, null if the parent did); then at most ``per_doc`` units of a document and, in what is
     left, the caps of the kinds; then k.  Ties go to the smaller unit, then chunk.  Without
-    ``capped_kinds`` the candidates of a later re-ranking come out."""
+    ``capped_kinds`` the candidates of a later re-ranking come out.  ``one`` says that there is
+    only one question, so that it need not be counted."""
     config = config or RetrievalConfig()
     best = (
-        _scored(chunks, questions, config)
+        _scored(chunks, questions, config, one)
         .groupBy("qid", "unit")
         .agg(F.min(F.struct("dist", "chunk_id", "doc_id", "kind")).alias("b"))
         .select("qid", "unit", "b.*")
@@ -93,8 +98,8 @@ def top_k(chunks: DataFrame, questions: DataFrame, config: RetrievalConfig | Non
     by = lambda *keys: Window.partitionBy("qid", *keys).orderBy("dist", "unit")
     few = best.withColumn("rn", F.row_number().over(by("doc_id"))).filter(F.col("rn") <= config.per_doc).drop("rn")
     if capped_kinds and config.kind_caps:
-        # What is left by now is small: per_doc units of a document and question.
-        few = few.withColumn("rg", F.row_number().over(by("kind"))).filter(_cap(config).isNull() | (F.col("rg") <= _cap(config))).drop("rg")
+        # No kind can have more than k, so that each side of the shuffle keeps k rows of a kind at most.
+        few = few.withColumn("rg", F.row_number().over(by("kind"))).filter(F.col("rg") <= config.k).filter(F.col("rg") <= F.coalesce(_cap(config), F.lit(config.k))).drop("rg")
     ranked = few.withColumn("rank", F.row_number().over(by())).filter(F.col("rank") <= config.k)
     return ranked.select(
         "qid",
@@ -112,13 +117,19 @@ def with_chunks(hits: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
     return chunks.select("chunk_id", *columns).join(hits, "chunk_id")
 
 
-def scope_exclusions(questions: DataFrame, rules: DataFrame) -> DataFrame:
-    """(qid, excluded_docs): a document of ``rules`` (doc_id, words) is excluded from a question
-    with none of its words.  Rules are configuration, so they are few."""
-    hit = F.exists("words", lambda w: F.contains(F.col("question"), w))
-    excluded = questions.join(F.broadcast(rules), ~F.coalesce(hit, F.lit(False)))
-    lists = excluded.groupBy("qid").agg(F.array_sort(F.collect_set("doc_id")).alias("excluded_docs"))
-    return questions.select("qid").join(lists, "qid", "left").withColumn("excluded_docs", F.coalesce("excluded_docs", F.array().cast("array<string>")))
+def kind_of(chunk_kind: Column, doc_id: Column, forms: tuple[str, ...] = ("whole_form",), laws: tuple[str, ...] = ("LAW-",)) -> Column:
+    """'form' by the kind of a chunk, else 'law' by the beginning of its document's id, else 'other'."""
+    law = F.lit(False)
+    for prefix in laws:
+        law = law | doc_id.cast("string").startswith(prefix)
+    return F.when(chunk_kind.isin(*forms), "form").when(law, "law").otherwise("other")
+
+
+def scope_exclusions(question: Column, rules: Mapping[str, tuple[str, ...]]) -> Column:
+    """The documents that are excluded from a question, sorted: those of ``rules`` (document -> words) of
+    whose words it has none.  Rules are configuration; a null question has no words."""
+    absent = lambda words: ~F.coalesce(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(question, w)), F.lit(False))
+    return F.filter(F.array(*(F.when(absent(words), F.lit(doc)) for doc, words in sorted(rules.items()))), lambda x: x.isNotNull())
 
 
 def select_capped(hits: DataFrame, key: Column, config: RetrievalConfig | None = None) -> DataFrame:

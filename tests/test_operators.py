@@ -45,15 +45,18 @@ def test_pack_lines_is_the_loop(spark):
         assert all(len(x) <= 100 for x in want)
 
 
+TITLE = r"^제\d+조\([^)]*\)"
+
+
 def test_paragraph_parts(spark):
     long = "제5조(사용) 머리말\n① " + "가" * 500 + "\n② " + "나" * 500 + " ③ 끝"
     chunks = spark.createDataFrame(
         [("c1", "article", long), ("c2", "article", "제1조 ① a ② b"), ("c3", "table", long), ("c4", "article", "가" * 900)], "chunk_id string, chunk_kind string, text string"
     )
-    got = rows(chunking.paragraph_parts(chunks).select("chunk_id", "parent_chunk_id", "chunk_kind", "text"), "chunk_id")
+    got = rows(chunking.paragraph_parts(chunks, TITLE).select("chunk_id", "parent_chunk_id", "chunk_kind", "text"), "chunk_id")
     assert [r[0] for r in got] == ["c1#p1", "c1#p2", "c1#p3"] and {r[1] for r in got} == {"c1"} and {r[2] for r in got} == {"article_part"}
     assert all(r[3].startswith("제5조(사용)\n") for r in got) and got[2][3].endswith("③ 끝")
-    assert chunking.with_parts(chunks).count() == 7
+    assert chunking.with_parts(chunks, TITLE).count() == 7
 
 
 def test_merge_short(spark):
@@ -181,7 +184,7 @@ def test_quality(spark):
 
 
 def test_transcript_route(spark):
-    of = lambda text, finish="stop", repeats=0, about="": spark.range(1).select(quality.transcript_route(F.lit(text), F.lit(finish), F.lit(repeats), F.lit(about), "^photo", "map").alias("x")).first()["x"].route
+    of = lambda text, finish="stop", repeats=0, about="": spark.range(1).select(quality.transcript_route(F.lit(text), F.lit(finish), F.lit(repeats), F.lit(about), "^photo", "map", r"\[none\]").alias("x")).first()["x"].route
     assert [of("a text of more than twenty letters"), of("x" * 30, "length"), of("x" * 30, repeats=3), of("photo of a ship"), of("x" * 30, about="a map"), of("short")] == ["auto", "review", "review", "none", "review", "none"]
 
 
@@ -203,7 +206,7 @@ def test_retrieval_caps_and_parts(spark):
     asked = spark.createDataFrame([(1, [1.0])], "qid long, vector array<float>")
     got = rows(retrieval.top_k(chunks, asked, retrieval.RetrievalConfig(k=6)).select("rank", "chunk_id", "part_id"), "rank")
     assert got == [(1, "p", "c"), (2, "q", None), (3, "l1", None), (4, "l2", None), (5, "f1", None), (6, "e", None)]
-    many = retrieval.RetrievalConfig(k=6, broadcast_questions=0)
+    many = retrieval.RetrievalConfig(k=6, broadcast_bytes=0)
     assert rows(retrieval.top_k(chunks, asked, many).select("rank", "chunk_id", "part_id"), "rank") == got
     wide = retrieval.top_k(chunks, asked, retrieval.RetrievalConfig(k=9), capped_kinds=False)
     assert wide.filter("kind = 'law'").count() == 3
@@ -213,8 +216,9 @@ def test_retrieval_caps_and_parts(spark):
 
 def test_scope_and_routes(spark):
     asked = spark.createDataFrame([(1, "passing ships"), (2, "TEU rules"), (3, "none")], "qid long, question string")
-    rules = spark.createDataFrame([("d28", ["passing"]), ("d30", ["TEU", "DWT"])], "doc_id string, words array<string>")
-    assert rows(retrieval.scope_exclusions(asked, rules), "qid") == [(1, ["d30"]), (2, ["d28"]), (3, ["d28", "d30"])]
+    rules = {"d30": ("TEU", "DWT"), "d28": ("passing",)}
+    assert rows(asked.select("qid", retrieval.scope_exclusions(F.col("question"), rules)), "qid") == [(1, ["d30"]), (2, ["d28"]), (3, ["d28", "d30"])]
+    assert asked.select(retrieval.scope_exclusions(F.lit(None).cast("string"), rules)).first()[0] == ["d28", "d30"]
     hits = spark.createDataFrame([(1, 0.6, "x"), (2, 0.3, "about teu")], "qid long, score double, evidence string")
     first = retrieval.route(asked, hits)
     assert {r.qid: r.route for r in first.collect()} == {1: "answer", 2: "answer", 3: "unknown"}
@@ -239,6 +243,8 @@ def test_evaluation(spark):
     assert checks == {"type": True, "retrieval": True, "retrieval_at_1": False, "mention": True, "no_mention": True, "no_lead": True, "forms": False}
     runs = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y"), ("a", 2, "z")], "config string, id long, answer string")
     assert rows(evaluation.compare_runs(runs, "answer"), "id") == [(1, "x", "y"), (2, "z", None)]
+    with pytest.raises(ValueError, match="more than 1"):
+        evaluation.compare_runs(runs, "answer", most=1)
     assert evaluation.every_nth(spark.range(13).withColumn("g", F.lit(1)), 6, "g", "id").count() == 3
 
 
@@ -272,8 +278,8 @@ def test_index_digest(spark):
 def test_embed_encodes_once(spark):
     chunks = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c")], "chunk_id long, input string")
     known = spark.createDataFrame([("c", [9.0])], "t string, embedding array<float>").select(F.sha2("t", 256).alias("input_hash"), "embedding")
-    got = {r.chunk_id: (r.reused, len(r.embedding)) for r in index.embed(chunks, known).collect()}
-    assert got == {1: (False, 64), 2: (False, 64), 3: (True, 1)}
+    got = {r.chunk_id: (r.reused, list(r.embedding)) for r in index.embed(chunks, known, lambda x: F.array(F.length(x).cast("float"), F.lit(1.0).cast("float"))).collect()}
+    assert got == {1: (False, [3.0, 1.0]), 2: (False, [3.0, 1.0]), 3: (True, [9.0])}
     with pytest.raises(Exception, match="too many tokens"):
         chunks.select(index.token_guard(F.length("input"), 2, F.col("chunk_id"))).collect()
 
