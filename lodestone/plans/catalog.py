@@ -6,36 +6,17 @@ for chunks, conversations for questions and answers, events for logs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators import approval, chunking, conversation, evaluation, evidence, htmltables, index, quality, retrieval
+from lodestone.plans.registry import QUERIES, SQL, query
+from lodestone.plans.registry import read as _read
 from lodestone.sources import sinks
+from lodestone.sources.work import shared_folder
 from lodestone.streaming import events as ev
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL if there is any."""
-
-    def put(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
 # Retrieval.  Every fifth vector is a part of the one before; labels are documents.
 
 CONFIG = retrieval.RetrievalConfig()
@@ -95,7 +76,7 @@ def vec_topk_constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The constrained top-k of one question: scope and language filters, parts under parents, caps, late join."""
     chunks = _chunks(spark, sf_dir)
     asked = _questions(spark, sf_dir).filter("qid = 0").withColumns({"excluded_docs": F.array(F.lit("7")), "languages": F.array(F.lit("ko"), F.lit("en"))})
-    hits = _rounded(retrieval.top_k(chunks, asked, CONFIG))
+    hits = _rounded(retrieval.top_k(chunks, asked, CONFIG, one=True))
     return retrieval.with_chunks(hits, chunks.withColumn("label", F.col("doc_id").cast("int")), "label").select("qid", "rank", "chunk_id", "part_id", "doc_id", "kind", "score", "label")
 
 
@@ -221,7 +202,7 @@ SELECT reason, count(*) AS n FROM (SELECT CASE WHEN n = 0 THEN 'empty' WHEN n >=
   WHEN n >= 15 AND outline / n::DOUBLE > 0.7 THEN 'outline' ELSE 'kept' END AS reason FROM s) GROUP BY reason"""
 )
 def low_quality_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.low_quality_counts(_read(spark, sf_dir, "documents"))
+    return quality.low_quality_counts(_read(spark, sf_dir, "documents"), tx.ProsePolicy(outline=r"^(\d+\)|\d+\.)"))
 
 
 @query(
@@ -322,7 +303,20 @@ def changed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Chunks.
 
 
-@query()
+@query(
+    """WITH RECURSIVE d AS (SELECT doc_id, 'Document ' || doc_id AS title, 2500 - length('Document ' || doc_id) - 9 AS room, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, title, room, unnest(ls) AS x, unnest(range(0, len(ls))) AS j FROM d),
+q AS (SELECT doc_id, title, x, j, room, unnest(range(0, greatest(CAST(ceil(length(x) / room::DOUBLE) AS BIGINT), 1))) AS k FROM l),
+p AS (SELECT doc_id, title, row_number() OVER (PARTITION BY doc_id ORDER BY j, k) AS i, substr(x, k * room + 1, room) AS piece FROM q),
+r AS (
+  SELECT doc_id, title, CAST(0 AS BIGINT) AS i, 0 AS idx, '' AS body, 0 AS n, CAST(NULL AS VARCHAR) AS done FROM d
+  UNION ALL
+  SELECT r.doc_id, r.title, p.i, CASE WHEN full_ THEN r.idx + 1 ELSE r.idx END, CASE WHEN full_ THEN chr(10) || piece ELSE r.body || chr(10) || piece END, CASE WHEN full_ THEN 1 ELSE r.n + 1 END, CASE WHEN full_ THEN head || r.body END
+  FROM (SELECT *, title || CASE WHEN idx = 0 THEN '' ELSE ' (cont.)' END AS head FROM r) r JOIN LATERAL (SELECT p.i, p.piece, r.n > 0 AND length(r.head) + length(r.body) + 1 + length(p.piece) > 2500 AS full_ FROM p WHERE p.doc_id = r.doc_id AND p.i = r.i + 1) p ON TRUE),
+c AS (SELECT doc_id, idx - 1 AS chunk_index, done AS text FROM r WHERE done IS NOT NULL
+  UNION ALL SELECT doc_id, idx, title || CASE WHEN idx = 0 THEN '' ELSE ' (cont.)' END || body FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1) WHERE n > 0 AND trim(body, E' \\t\\r\\n') <> '')
+SELECT doc_id, chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS n_chunks, doc_id || '-' || left(sha256(chunk_index || chr(31) || text), 24) AS chunk_id, CAST(length(text) AS INTEGER) AS n_chars FROM c"""
+)
 def chunk_pack_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed chunks of whole documents; tests hold them against a loop."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("Document "), "doc_id").alias("title"))
@@ -438,7 +432,7 @@ SELECT conv_id, turn, array_to_string(regexp_extract_all(answer, '\[(\d+)\]', 1)
 def citations_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("answer")
     return _answers(spark, sf_dir).select(
-        "conv_id", "turn", F.array_join(tx.citations(a).cast("array<string>"), ",").alias("cited"), F.array_join(tx.violations(a, F.lit(3)), ",").alias("broken"),
+        "conv_id", "turn", F.array_join(tx.citations(a).cast("array<string>"), ",").alias("cited"), F.array_join(tx.violations(a, F.lit(3), r"https?://|[a-z]+@[a-z]+\.[a-z]+"), ",").alias("broken"),
         F.size(tx.unsupported_numbers(a, F.col("evidence"))).cast("long").alias("n_unsupported"), F.size(tx.uncited_lines(a)).cast("long").alias("n_uncited"),
     )
 
@@ -456,19 +450,19 @@ def evidence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_ANSWERS},
-c AS (SELECT conv_id, turn, list_distinct([CAST(x AS INTEGER) for x in regexp_extract_all(answer, '\\[(\\d+)\\]', 1)]) AS cs, regexp_extract_all(answer, '\\[(\\d+)\\]', 1) AS raw FROM a WHERE turn = 1),
-x AS (SELECT conv_id, unnest(cs) AS rank, raw FROM c),
-d AS (SELECT conv_id, rank, list_position(raw, CAST(rank AS VARCHAR)) AS place, n_nationkey % 5 + 1 AS doc, n_nationkey, n_name FROM x JOIN nation ON n_nationkey % 5 + 1 = rank),
-f AS (SELECT conv_id, n_name AS label, 'r' || (n_nationkey % 3) AS phone, min((place, n_nationkey)) AS f FROM d GROUP BY 1, 2, 3)
-SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY f) AS INTEGER) AS place, label, phone FROM f"""
+c AS (SELECT conv_id, turn, list_distinct([CAST(x AS INTEGER) for x in regexp_extract_all(answer, '\\[(\\d+)\\]', 1)]) AS cs, regexp_extract_all(answer, '\\[(\\d+)\\]', 1) AS raw FROM a),
+x AS (SELECT conv_id, turn, unnest(cs) AS rank, raw FROM c),
+d AS (SELECT conv_id, turn, rank, list_position(raw, CAST(rank AS VARCHAR)) AS place, n_nationkey % 5 + 1 AS doc, n_nationkey, n_name FROM x JOIN nation ON n_nationkey % 5 + 1 = rank),
+f AS (SELECT conv_id, turn, n_name AS label, 'r' || (n_nationkey % 3) AS phone, min((place, n_nationkey)) AS f FROM d GROUP BY 1, 2, 3, 4)
+SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY f) AS INTEGER) AS place, label, phone FROM f"""
 )
 def cited_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as contacts of the sources that first replies cite."""
-    answers = _answers(spark, sf_dir).filter("turn = 1").select(F.col("conv_id").alias("qid"), "answer")
+    """Nations as contacts of the sources that replies cite."""
+    answers = _answers(spark, sf_dir).select(F.struct("conv_id", "turn").alias("qid"), "answer")
     hits = answers.select("qid", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank")).withColumn("doc_id", F.col("rank").cast("string"))
     n = F.col("n_nationkey")
     contacts = _read(spark, sf_dir, "nation").select(n.alias("key"), F.col("n_name").alias("label"), F.concat(F.lit("r"), n % 3).alias("phone"), F.array((n % 5 + 1).cast("string")).alias("doc_ids"))
-    return evidence.cited_contacts(answers, hits, contacts).withColumnRenamed("qid", "conv_id")
+    return evidence.cited_contacts(answers, hits, contacts).select("qid.conv_id", "qid.turn", "place", "label", "phone")
 
 
 # Evaluation and logs.
@@ -546,7 +540,15 @@ def index_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.when(F.col("total"), "all").otherwise(F.col("chunk_kind")).alias("lang"), "chunks", F.col("max_chars").cast("long"), F.round("mean_chars", 6).alias("mean_chars"), "chars")
 
 
-@query()
+_PARTS = ", ".join(f"CAST(sum(CAST(('0x' || substr(h, {12 * i + 1}, 12)) AS HUGEINT)) AS VARCHAR) AS p{i}" for i in range(5))
+
+
+@query(
+    f"""WITH r AS (SELECT sha256(doc_id || chr(31) || sha256(text)) AS h FROM documents),
+b AS (SELECT CAST(('0x' || left(h, 8)) AS BIGINT) % 4096 AS b, count(*) AS n, {_PARTS} FROM r GROUP BY 1),
+d AS (SELECT b, n, sha256(concat_ws(':', b, n, p0, p1, p2, p3, p4)) AS d FROM b)
+SELECT CAST(sum(n) AS BIGINT) AS n, left(sha256('r1' || string_agg(d, '' ORDER BY b)), 12) AS digest FROM d"""
+)
 def index_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The version digest of all documents; tests hold it against reordered and changed rows."""
     docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.sha2("text", 256).alias("chunk_text_sha256"))
@@ -558,7 +560,7 @@ def vector_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of documents, taken from those of the even ones where the text is the same."""
     docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("input"))
     known = docs.filter("chunk_id % 2 = 0").select(F.sha2("input", 256).alias("input_hash"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
-    return index.embed(docs, known).select("chunk_id", "reused")
+    return index.embed(docs, known, lambda x: F.array(F.length(x).cast("float"))).select("chunk_id", "reused")
 
 
 @query(
@@ -571,8 +573,7 @@ def reachable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("src"))
     n = v.count()
     links = v.select("src", ((F.col("src") * 2 + 1) % n).alias("dst")).unionByName(v.select("src", ((F.col("src") * 3) % n).alias("dst")))
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+    shared_folder(spark)
     return index.reachable(spark, spark.range(1, 2).select(F.col("id").alias("page")), links, F.col("dst") % 10 == 7)
 
 
@@ -583,6 +584,7 @@ SELECT * FROM e UNION ALL SELECT f.lang, path, 'P-' || f.lang || '-' || lpad(CAS
 )
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of two collections: those of the first keep their ids."""
+    shared_folder(spark)
     paths = _read(spark, sf_dir, "documents").select("lang", F.col("source").alias("path")).distinct()
     none = paths.filter("false").select("lang", "path", F.lit("").alias("id"))
     first = index.stable_ids(none, paths.filter("path < 'src2'"), "P")
@@ -617,3 +619,6 @@ SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 6 HOUR AS "end", count(*)
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ev.sessions(_read(spark, sf_dir, "events"), "6 hours", "user_id")
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+from lodestone.plans import answers, layouts, storage, texts  # noqa: E402, F401  they register their queries
