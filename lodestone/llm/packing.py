@@ -15,12 +15,13 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BITS = 256
 _OUT = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("piece_start", pa.int64()), ("piece_size", pa.int64()), ("bin_id", pa.string()), ("bin_offset", pa.int64())]
 )
@@ -40,40 +41,82 @@ def copy_cluster(text: str = "text") -> Column:
 class Packer:
     """Bins of one window."""
 
-    def __init__(self, capacity: int):
-        self.capacity = capacity
-        self.open: list[tuple[int, int]] = []  # (left, bin), ordered
-        self.sources: list[int] = []
-        self.clusters: list[int] = []
-        self.members: list[set] = []
+    def __init__(self, capacity: int, group: int = 128):
+        self.capacity, self.group = capacity, group
+        self.have: list[int] = []  # by bin: the bits of its sources and clusters
+        self.groups: list[list[tuple[int, int]]] = []  # (left, bin), ordered within and across groups
+        self.lasts: list[tuple[int, int]] = []  # of each group
+        self.common: list[int | None] = []  # of each group: the bits that all its bins have; None if not known
+        self.left: list[int] = []
+        self.bits: dict[tuple[str, int], int] = {}  # of what occurred twice
+        self.once: dict[tuple[str, int], int] = {}  # the only bin of what occurred once
+
+    def _bit(self, key: tuple[str, int]) -> int:
+        """The bit of a source or cluster, exact; 0 if it is new."""
+        bit = self.bits.get(key, 0)
+        if not bit and key in self.once:
+            bit = self.bits[key] = 1 << len(self.bits)
+            b = self.once.pop(key)
+            self.have[b] |= bit
+            self.common[bisect_left(self.lasts, (self.left[b], b))] = None
+        return bit
+
+    def _in_all(self, g: int) -> int:
+        if self.common[g] is None:
+            self.common[g] = reduce(and_, (self.have[b] for _, b in self.groups[g]))
+        return self.common[g]
+
+    def _tightest(self, size: int, want: int) -> tuple[int, int] | None:
+        """Group and place of the first bin with room and none of the wanted bits."""
+        for g in range(bisect_left(self.lasts, (size, -1)), len(self.groups)):
+            if want and self._in_all(g) & want:
+                continue
+            group = self.groups[g]
+            for i in range(bisect_left(group, (size, -1)), len(group)):
+                if not self.have[group[i][1]] & want:
+                    return g, i
+        return None
+
+    def _take(self, g: int, i: int) -> int:
+        group = self.groups[g]
+        _, b = group.pop(i)
+        if group:
+            self.lasts[g], self.common[g] = group[-1], None
+        else:
+            del self.groups[g], self.lasts[g], self.common[g]
+        return b
+
+    def _put(self, entry: tuple[int, int]) -> None:
+        if not self.groups:
+            self.groups, self.lasts, self.common = [[entry]], [entry], [None]
+            return
+        g = min(bisect_left(self.lasts, entry), len(self.groups) - 1)
+        group = self.groups[g]
+        insort(group, entry)
+        self.lasts[g], self.common[g] = group[-1], None
+        if len(group) > self.group:
+            half = len(group) // 2
+            self.groups[g : g + 1], self.lasts[g : g + 1], self.common[g : g + 1] = [group[:half], group[half:]], [group[half - 1], group[-1]], [None, None]
 
     def place(self, size: int, source: int, cluster: int | None) -> tuple[int, int]:
-        """The bin for a piece and its offset there.  A cluster of None conflicts with nothing.
-
-        The bitmaps are over hashes; where their bits meet, the exact members decide."""
-        source_bit = 1 << (source % _BITS)
-        cluster_bit = 0 if cluster is None else 1 << (cluster % _BITS)
-        bins, sources, clusters, members = self.open, self.sources, self.clusters, self.members
-        i = bisect_left(bins, (size, -1))
-        while i < len(bins):
-            b = bins[i][1]
-            if (not sources[b] & source_bit or ("s", source) not in members[b]) and (not clusters[b] & cluster_bit or ("c", cluster) not in members[b]):
-                break
-            i += 1
-        if i < len(bins):
-            left, b = bins.pop(i)
+        """The bin for a piece and its offset there.  A cluster of None conflicts with nothing."""
+        keys = [("s", source)] if cluster is None else [("s", source), ("c", cluster)]
+        want = 0
+        for key in keys:
+            want |= self._bit(key)
+        at = self._tightest(size, want)
+        if at is None:
+            b = len(self.have)
+            self.have.append(0)
+            self.left.append(self.capacity)
         else:
-            left, b = self.capacity, len(sources)
-            sources.append(0)
-            clusters.append(0)
-            members.append(set())
-        sources[b] |= source_bit
-        clusters[b] |= cluster_bit
-        members[b].add(("s", source))
-        if cluster is not None:
-            members[b].add(("c", cluster))
-        insort(bins, (left - size, b))
-        return b, self.capacity - left
+            b = self._take(*at)
+        self.have[b] |= want
+        self.once |= {key: b for key in keys if key not in self.bits}
+        offset = self.capacity - self.left[b]
+        self.left[b] -= size
+        self._put((self.left[b], b))
+        return b, offset
 
 
 def best_fit_pack(

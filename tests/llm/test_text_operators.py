@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -318,7 +319,7 @@ def test_packer_finds_the_tightest_compatible_bin():
     rng, packer = random.Random(5), packing.Packer(100)
     bins = []
     for _ in range(600):
-        size, source, cluster = rng.randint(0, 60), rng.randint(0, 700) * packing._BITS if rng.random() < 0.5 else 1, rng.choice((None, rng.randint(0, 40)))
+        size, source, cluster = rng.randint(0, 60), rng.randint(0, 700) * 256 if rng.random() < 0.5 else 1, rng.choice((None, rng.randint(0, 40)))
         fits = [(b["left"], i) for i, b in enumerate(bins) if b["left"] >= size and source not in b["s"] and (cluster is None or cluster not in b["c"])]
         at, offset = packer.place(size, source, cluster)
         if fits:
@@ -352,6 +353,19 @@ def check_bins(docs, got, capacity):
     return bins
 
 
+@pytest.mark.parametrize("sources, clusters", [(1, None), (2, None), (16384, 1), (3, 2), (16384, None)])
+def test_a_window_of_few_sources_or_clusters_is_packed_fast(sources, clusters):
+    rng, packer, took = random.Random(6), packing.Packer(2048), time.perf_counter()
+    sizes = sorted((rng.randint(1, 2047) for _ in range(16384)), reverse=True)
+    seen = set()
+    for i, size in enumerate(sizes):
+        source, cluster = rng.randrange(sources), None if clusters is None else rng.randrange(clusters)
+        b, offset = packer.place(size, source, cluster)
+        assert offset + size <= 2048 and (b, "s", source) not in seen and (cluster is None or (b, "c", cluster) not in seen)
+        seen |= {(b, "s", source)} | (set() if cluster is None else {(b, "c", cluster)})
+    assert time.perf_counter() - took < 10  # 2 s on an idle machine
+
+
 def test_packing_tables(spark, odd, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     got = packing.best_fit_pack(docs, 300, shard_rows=64).cache()
@@ -420,8 +434,79 @@ def test_each_language_has_its_own_threshold(spark):
     assert len(set(net.shift[:4])) == 4
     scored = toxicity.toxicity_scores(table, net, "toxic").toPandas()
     assert (scored.predicted == scored.toxic).mean() > 0.95
-    few = toxicity.train_toxicity(table.drop("toxic"), table.filter("doc_id < 300").select("doc_id", "toxic"), how=how)
-    assert len(set(few.shift)) == 1
+    few = toxicity.train_toxicity(table.drop("toxic"), table.filter("doc_id < 300").select("doc_id", "toxic"), how=how)  # none beyond the sample
+    assert len(set(few.shift[:4])) == 4
+    scored = toxicity.toxicity_scores(table, few, "toxic").toPandas()
+    for i in range(4):
+        own = scored[(scored.doc_id % 4 == i) & (scored.toxic == 0)]
+        assert own.predicted.mean() < 0.02
+    bounded = toxicity.train_toxicity(table.drop("toxic"), table.select("doc_id", "toxic"), how=toxicity.ConvFit(sample=300, words=4000))
+    assert len(set(bounded.shift)) > 1
+
+
+def test_gradients_are_differences():
+    rng = np.random.default_rng(5)
+    size, counts = 3, np.array([4, 1, 7])
+    p = {"words": rng.normal(size=(6, 4)), "begins": rng.normal(size=(5, 4)), "out": rng.normal(size=9), "offset": np.zeros(1)}
+    for w in toxicity.WIDTHS:
+        p[f"w{w}"], p[f"b{w}"] = rng.normal(size=(w, 4, size)), rng.normal(size=size)
+    whole, begin, spared = rng.integers(0, 6, 12), rng.integers(0, 5, 12), rng.random(12) > 0.3
+    y, weight = np.array([1, 0, 1]), np.array([2.0, 1.0, 0.5])
+    found = {k: np.zeros_like(v) for k, v in p.items()}
+
+    def record(name, grad, rows=None):
+        found[name] += grad if rows is None else 0
+        if rows is not None:
+            np.add.at(found[name], rows, grad)
+
+    def loss():
+        x, total, at = (p["words"][whole] + p["begins"][begin]) * spared[:, None], 0.0, 0
+        for d, n in enumerate(counts):
+            maxima = []
+            for w in toxicity.WIDTHS:
+                z = [p[f"b{w}"] + sum(x[at + i + j] @ p[f"w{w}"][j] for j in range(w) if i + j < n) for i in range(n)]
+                maxima.append(np.maximum(np.max(z, axis=0), 0))
+            logit = np.concatenate(maxima) @ p["out"] + p["offset"][0]
+            total += weight[d] * np.logaddexp(0, -logit if y[d] else logit) / len(y)
+            at += n
+        return total
+
+    toxicity._learn(p, record, whole, begin, counts, spared, y, weight)
+    for name, values in p.items():
+        for at in np.ndindex(values.shape):
+            was = values[at]
+            values[at] = was + 1e-5
+            up = loss()
+            values[at] = was - 1e-5
+            down, values[at] = loss(), was
+            assert abs((up - down) / 2e-5 - found[name][at]) < 1e-3, (name, at)
+
+
+def test_cuts_are_those_of_a_search():
+    rng = np.random.default_rng(6)
+    for share in (0.0, 0.05, 0.5):
+        for _ in range(30):
+            y = (rng.random(40) < 0.3).astype(int)
+            logit = np.round(rng.normal(size=40) + y, 1)
+            y[:2] = 0, 1
+
+            def f1(cut):
+                above = logit > cut
+                return 2 * (above & (y == 1)).sum() / (above.sum() + y.sum()) if (above & (y == 0)).sum() <= share * (y == 0).sum() else -1
+
+            best = max([f1(c) for c in np.unique(logit) - 0.05] + [f1(logit.max() + 1)])
+            assert abs(max(f1(toxicity._best_cut(logit, y, share)), 0) - max(best, 0)) < 1e-12
+            assert (logit[y == 0] >= toxicity._least_cut(logit[y == 0], share)).sum() <= share * (y == 0).sum()
+
+
+def test_languages_are_guessed_by_their_words():
+    texts = [toxicity.FUNCTION_WORDS[k] for k in toxicity.FUNCTION_WORDS] + ["zq zx", "", "der hund UND die Katze", "il est dans la maison avec un chat", "El perro, y los gatos por la casa", "x the y of z"]
+    block = next(blocks(pa.array(texts)))
+    whole, _, counts = toxicity.word_ids(block, 1 << 19)
+    found = toxicity.guess_language(whole, counts, toxicity._function_tables(1 << 19))
+    assert [toxicity.LANGUAGES[i] for i in found] == ["en", "fr", "de", "es", "other", "other", "de", "fr", "es", "en"]
+    begins = toxicity.word_ids(next(blocks(pa.array(["éàüöx éàüöy", "abcd"]))), 1 << 19)[1]
+    assert begins[0] == begins[1] != begins[2]
 
 
 def test_network_is_a_convolution():
