@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -34,17 +35,23 @@ _BLOCK = frozenset(
 )
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th figure figcaption caption hr article main body html".split())
 _CHROME = frozenset(
-    "head title script style noscript template iframe object embed svg canvas math nav footer aside form button select option input textarea label dialog menu search video audio map".split()
+    "head title script style noscript template iframe object embed svg canvas nav footer aside form button select option input textarea label dialog menu search video audio map".split()
 )
+#: Names of furniture: words that say so alone, and pairs of a kind of furniture and a kind of part or place.
+#: Longer names, such as comment-on-law or market-share, are none.
+_KIND = "ads?|adverts?|cookies?|comments?|nav|navigation|menu|footer|sidebar|share|sharing|social|newsletter|promo|sponsored|related|breadcrumbs?"
 _CHROME_NAME = re.compile(
-    r"^(?:ads?|adverts?|advertisements?|adsbygoogle|banners?|sponsor(?:ed|s)?|promos?|nav(?:bar|igation)?|menus?|breadcrumbs?|header|site-?header|page-?header|"
-    r"footer|site-?footer|page-?footer|sidebars?|side-?bar|aside|widgets?|related|recommend(?:ed|ations)?|shar(?:e|ing)|social|subscribe|subscription|newsletter|"
-    r"cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|comments?|comment-?list|replies|respond|disqus(?:_thread)?|pagination|pager|login|signup|search|skip-?link|"
-    r"(?:ad|ads|advert|cookie|comment|comments|nav|menu|footer|sidebar|share|social|newsletter|promo|sponsored|related)[-_].*|.*[-_](?:ad|ads|advert|advertisement|nav|menu|sidebar|comments|"
-    r"cookie|banner|newsletter|share|promo))$",
-    re.IGNORECASE,
+    rf"""(?:ads?|adverts?|advertisements?|adsbygoogle|banners?|sponsor(?:ed|s)?|promos?|nav(?:bar|igation)?|menus?|breadcrumbs?|header|footer|sidebars?|side-bar|aside|widgets?|related|
+    recommend(?:ed|ations)?|shar(?:e|ing)|subscribe|subscription|newsletter|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|comments?|replies|respond|
+    disqus(?:_thread)?|pagination|pager|login|signup|search|skip-?link|(?:site|page)-?(?:header|footer)
+    |(?:{_KIND})[-_](?:box|bar|wrap|wrapper|container|list|section|banner|block|area|form|links?|buttons?|icons?|items?|menu|nav|widget|panel|content|inner|outer|notice|consent|popup|
+    overlay|thread|slot|unit|top|bottom|left|right|posts?|articles?|stories|signup|media|[0-9]+)
+    |(?:top|left|right|bottom|side|main|site|page|header|footer|sticky|inline|post|article|user|reader|mobile|global|primary|secondary)[-_](?:{_KIND}|banner|advertisement))""",
+    re.IGNORECASE | re.VERBOSE,
 )
-_HEADINGS, _TITLES = frozenset(("h1", "h2", "h3", "h4", "h5", "h6")), frozenset(("h1",))
+#: A style that hides an element.
+_HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _CHROME_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _CONTENT_NAME = re.compile(r"^(?:(?:article|post|entry|story|page|main)[-_]?(?:body|content|text)|articlebody|main-?content|content)$", re.IGNORECASE)
 #: Elements that an opening tag closes, up to the nearest of the second set.
@@ -66,27 +73,20 @@ class Element:
     hidden: bool = False
     content: bool = False
     children: list = field(default_factory=list)  # texts and elements
-
-    def holds(self, tags: frozenset[str], content: bool = False) -> bool:
-        """Whether there is an element of ``tags`` below, or a content element if that is asked for."""
-        todo = [c for c in self.children if isinstance(c, Element)]
-        while todo:
-            e = todo.pop()
-            if e.tag in tags or content and e.content:
-                return True
-            todo += [c for c in e.children if isinstance(c, Element)]
-        return False
+    #: Whether there is a heading below; an h1 or a content element.
+    has_heading: bool = False
+    has_content: bool = False
 
     def furniture(self, within: bool = False) -> bool:
         """By its tag, role or name no part of an article.  A header is, unless it is ``within`` a
         content element and has a heading; a form is, unless it is around a page's content or title."""
         if self.tag in ("html", "body"):
             return False
-        if self.tag == "header" and not (within and self.holds(_HEADINGS)):
+        if self.tag == "header" and not (within and self.has_heading):
             return True
-        if self.tag == "form" and self.holds(_TITLES, content=True):
+        if self.tag == "form" and self.has_content:
             return False
-        return self.tag in _CHROME or self.hidden or self.role in _CHROME_ROLE or any(_CHROME_NAME.match(n) for n in self.names)
+        return self.tag in _CHROME or self.hidden or self.role in _CHROME_ROLE or any(_CHROME_NAME.fullmatch(n) for n in self.names)
 
 
 def _open(tag: str, attributes: str) -> Element:
@@ -104,16 +104,30 @@ def _open(tag: str, attributes: str) -> Element:
                 element.content |= value.lower() == "articlebody"
             elif name in ("hidden", "aria-hidden"):
                 element.hidden |= name == "hidden" or value.lower() == "true"
+            elif name == "style":
+                element.hidden |= bool(_HIDING.search(value))
         element.names = tuple(names)
         element.content |= any(_CONTENT_NAME.match(n) for n in names)
     return element
 
 
 def parse(page: str) -> Element:
-    """The tree of a page; unclosed elements end with their parents, an unfinished tag is left out."""
+    """The tree of a page; unclosed elements end with their parents, an unfinished tag is left out.
+
+    The places of open elements are kept by tag, so a page takes time in proportion to its length."""
     root = Element("html")
     stack = [root]
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of each tag, in the stack
     at, n = 0, len(page)
+
+    def close(to: int) -> None:
+        """Ends the element at this place and those in it."""
+        while len(stack) > to:
+            places[stack.pop().tag].pop()
+
+    def innermost(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -126,29 +140,30 @@ def parse(page: str) -> Element:
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(e.tag == tag for e in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
+            if places[tag]:
+                close(places[tag][-1])
             elif tag == "p":
                 stack[-1].children.append(Element("p"))
             continue
         if not m[4] or tag == "html":
             continue
-        if tag in _CLOSES_P and any(e.tag == "p" for e in stack):
+        if tag in _CLOSES_P and places["p"]:
             # An open paragraph ends here; inline elements that are open in it end with it.
-            while stack.pop().tag != "p":
-                pass
+            close(places["p"][-1])
         if tag in _CLOSES:
             closed, within = _CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in within:
+            bound = innermost(within)
+            while (place := innermost(closed)) > bound:
+                close(place)
+                if tag in ("li", "dt", "dd", "option", "body"):
                     break
-                if stack[i].tag in closed:
-                    del stack[i:]
-                    if tag in ("li", "dt", "dd", "option", "body"):
-                        break
         element = _open(tag, m[3])
         stack[-1].children.append(element)
+        for flag, marks in (("has_heading", tag in _HEADINGS), ("has_content", tag == "h1" or element.content)):
+            for e in reversed(stack) if marks else ():
+                if getattr(e, flag):
+                    break
+                setattr(e, flag, True)
         if tag in _RAW_END:
             end = _RAW_END[tag].search(page, at)
             at = page.find(">", end.start()) + 1 or n
@@ -157,6 +172,7 @@ def parse(page: str) -> Element:
             if tag == "title":
                 element.children.append(page[m.end() : end.start()])
         elif tag not in _VOID and not (m[3].endswith("/") and tag in ("svg", "path", "use")):
+            places[tag].append(len(stack))
             stack.append(element)
     return root
 
@@ -251,7 +267,7 @@ def _text(roots: list[Element], cut: set[int], within: bool = False) -> str:
     run: list[str] = []
 
     def close() -> None:
-        block = " ".join(html.unescape("".join(run)).split())
+        block = " ".join("".join(run).split())
         if block:
             blocks.append(block)
         run.clear()
@@ -264,7 +280,7 @@ def _text(roots: list[Element], cut: set[int], within: bool = False) -> str:
         if x is None:
             close()
         elif isinstance(x, str):
-            run.append(x)
+            run.append(html.unescape(x))
         elif x.tag == "br":
             run.append(" ")
         elif id(x) not in cut and not (x.furniture(within) and not x.content):
@@ -276,10 +292,11 @@ def _text(roots: list[Element], cut: set[int], within: bool = False) -> str:
     return "\n".join(blocks)
 
 
-def extract_pages(pages: DataFrame, least_pages: int = 20, salts: int = 8, sent_templates: int = 100_000) -> DataFrame:
+def extract_pages(pages: DataFrame, least_pages: int = 20, least_share: float = 0.005, salts: int = 8, sent_templates: int = 100_000) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
-    A subtree is part of a template if ``least_pages`` rows of its host have it.  Up to
+    A subtree is part of a template if ``least_pages`` rows of its host have it, and of a
+    host with many pages at least the share ``least_share`` of them.  Up to
     ``sent_templates`` of them are counted and sent to the tasks, more are joined to
     their pages; the rows are the same.  A page
     without content element gives what its body has left; if the templates leave
@@ -312,7 +329,12 @@ def extract_pages(pages: DataFrame, least_pages: int = 20, salts: int = 8, sent_
         .select("page", "host", F.explode("hashes").alias("hash"), F.pmod("page", F.lit(salts)).cast("int").alias("salt"))
     )
     spark = pages.sparkSession
-    templates = Scratch(spark, "templates").cut(trees.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages).select("host", "hash"))
+    scratch = Scratch(spark, "templates")
+    # Only on hosts with more pages than these is the share more than least_pages.
+    large = scratch.cut(rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") * least_share > least_pages))
+    side = F.broadcast(large) if large.count() <= sent_templates else large
+    counted = trees.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages)
+    templates = scratch.cut(counted.join(side, "host", "left").filter(F.col("n") >= F.coalesce(F.col("pages") * least_share, F.lit(0.0))).select("host", "hash"))
     if templates.count() <= sent_templates:
         known: dict[str, set[int]] = {}
         for r in templates.collect():
