@@ -141,8 +141,8 @@ def render(turns: DataFrame, controls: tuple[str, ...] = CONTROLS) -> DataFrame:
     ``loss_mask`` has, for each assistant turn, its number in the conversation and
     the start and length, in code points, of its text within the turn.  Null roles
     and texts count as empty.  Rows go by turn (null first), equal turns by role
-    and text, repeated rows are repeated turns.  Null conversation ids are one
-    conversation.  A conversation is one row, as its digest needs its whole text."""
+    and text, repeated rows are repeated turns.  A row without a conversation id is a
+    conversation of its own.  A conversation is one row, as its digest needs its whole text."""
     role, text = F.url_encode(F.coalesce(F.col("role"), F.lit(""))), escape(F.coalesce(F.col("text"), F.lit("")), controls)
     parts = turns.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), role.alias("head"), text.alias("body"), F.coalesce("text", F.lit("")).alias("text")
@@ -154,7 +154,8 @@ def render(turns: DataFrame, controls: tuple[str, ...] = CONTROLS) -> DataFrame:
             F.col("turn"), F.col("role"), F.col("text"), piece.alias("piece"), (F.length("head") + len(TURN) + 1).alias("start"), F.length("body").alias("length")
         ).alias("t"),
     )
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    known = rows.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    grouped = known.unionByName(rows.filter("conv_id IS NULL").select("conv_id", F.array("t").alias("ts")))
     mask = F.transform("ts", lambda t, i: F.when(t["role"] == "assistant", F.struct(i.alias("turn"), t["start"].alias("start"), t["length"].alias("length"))))
     return grouped.select("conv_id", F.array_join("ts.piece", "").alias("formatted"), F.filter(mask, lambda m: m.isNotNull()).alias("loss_mask"))
 

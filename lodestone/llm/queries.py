@@ -130,26 +130,25 @@ WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), w AS (
-  SELECT *, {len(chat.TURN) + len(chat.END) + 2} + len(r) + len(x) + len(x) - len(replace(x, chr(92), '')) + 2 * ({_CONTROL_COUNT}) AS n FROM turns
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, {len(chat.TURN) + len(chat.END) + 2} + len(r) + len(x) + len(x) - len(replace(x, chr(92), '')) + 2 * ({_CONTROL_COUNT}) AS n FROM turns
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
   CAST(sum(CASE WHEN r = 'assistant' THEN len(x) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN r = 'assistant' THEN x END, '' ORDER BY turn NULLS FIRST, r, x), '')) AS loss_sha256,
   CAST(sum(n) AS BIGINT) AS formatted_chars
-FROM w GROUP BY conv_id
+FROM w GROUP BY conv_id, alone
 """
 
 _OP7 = """
 WITH v AS (
-  SELECT vec_id, min([CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding]) AS e
+  SELECT row_number() OVER () AS k, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
-  GROUP BY vec_id
 ), s AS (
-  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum([q.e[i] * v.e[i] for i in range(1, len(q.e) + 1)]) AS BIGINT) AS score
-  FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)
-), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+  SELECT q.k, q.vec_id AS query_id, v.vec_id, CAST(list_sum([q.e[i] * v.e[i] for i in range(1, len(q.e) + 1)]) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND q.k <> v.k AND len(q.e) = len(v.e)
+), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5
 """
 
