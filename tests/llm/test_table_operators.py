@@ -7,13 +7,14 @@ import math
 import random
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, components, queries, simjoin, topk, webpages
+from lodestone.llm import chat, components, queries, simjoin, tables, topk, webpages
 from lodestone.llm.tables import Scratch
 
 # The join.
@@ -344,3 +345,92 @@ def test_pipeline(spark, sf_dir):
             assert all(n == 0 for _, _, n in by_brute_force(rows))
     bins = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in bins.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_with_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty and long texts, ties, repeated rows, and columns named like the operators' own."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    names = ["row", "node", "n", "k", "k.dot", "words", "label", "size", "shard", "clash", "check"]
+    text = lambda i: " ".join(rng.choice(("the", "port", "sea", "ship", "crane", "pier", "buoy", f"x{i}", "mail a@b.org", "4111 1111 1111 1111")) for _ in range(60))
+    rows = [(i, text(i), "en", "s", 9, *["c"] * len(names)) for i in range(60)] + [(None, "null id " * 8, None, None, None, *[None] * len(names))] * 2
+    rows += [(100, None, None, None, None, *[None] * len(names)), (101, "", "en", "s", 0, *["c"] * len(names)), (102, "q " * 60_000, "en", "s", 1, *["c"] * len(names)), (103, rows[0][1], "fr", "s", 1, *["d"] * len(names))] + [rows[5]] * 2
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    for name, docs, labels in (("odd", rows, [(1, 1, 0), (1, 0, 0), (2, None, 0), (None, 1, 1), (3, 1, 0), (4, 1, None), (5, 1, 0)]), ("empty", [], [])):
+        folder = f"file://{tmp_path}/{name}"
+        spark.createDataFrame(docs, schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        bins = corpus_pipeline.run(spark, folder)
+        got = bins.collect()
+        assert bins.columns == ["doc_id", "piece", "piece_start", "piece_size", "bin_id", "bin_offset"] and (not docs) == (not got)
+    stage = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, schema), "")
+    kept = Counter(r.doc_id for r in stage.collect())
+    assert stage.columns == spark.createDataFrame([], schema).columns and kept[None] == 1 and kept[103] == 0 and kept[5] == 1 and kept[100] == kept[101] == kept[102] == 1
+
+
+def test_one_label_an_id_and_one_shared_folder(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(40)] + [(7, "a")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(7, 0), (9, 0), (9, 1), (None, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: (r.label, r.text) for r in tables.labelled_sample(docs, labels, "toxic", 100).collect()}
+    assert got[7] == (0, "a") and got[9][0] == 0 and got[11][0] == 1 and None not in got
+    assert not any(zlib.crc32(str(i).encode()) % 5 == 0 for i in got)
+    first = [r.doc_id for r in tables.labelled_sample(docs, labels, "toxic", 10).collect()]
+    rest = [r.doc_id for r in tables.labelled_sample(docs, labels, "toxic", 100, 10).collect()]
+    assert len(first) == 10 and sorted(first + rest) == sorted(got)
+
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("S", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_folder(Elsewhere())
+    scratch = Scratch(spark, "test")
+    a, b = scratch.cut(spark.range(3)), scratch.cut(spark.range(4))
+    scratch.clear(keep=1)
+    assert b.count() == 4
+    with pytest.raises(Exception, match="(?i)exist"):
+        a.count()
+
+
+def test_spread_join_is_a_join(spark):
+    rng = random.Random(15)
+    rows = [(rng.choice((1, 1, 1, 2, 3, None, 9)), i) for i in range(400)]
+    left = spark.createDataFrame(rows, "k long, node long")
+    for how in ("inner", "left"):
+        facts = Scratch(spark, "test").cut(left.filter("k < 9").groupBy("k").agg(F.count(F.lit(1)).alias("n")))
+        want = Counter(map(tuple, left.join(facts, "k", how).select("k", "node", "n").collect()))
+        for hot, keys in ((5, 100), (5, 0), (10_000, 0), (0, 0), (0, 100)):
+            assert Counter(map(tuple, tables.spread_join(left, facts, "k", "node", how, hot, keys).select("k", "node", "n").collect())) == want
+
+
+def extracted_by_marks(page):
+    """The text of a page made by the next test: what stands between kept marks, block by block."""
+    return "\n".join(" ".join(x.split()) for x in re.findall(r"\x01(.*?)\x02", page, re.DOTALL) if x.strip())
+
+
+def test_made_pages_against_their_marks(spark):
+    """Pages of three hosts with templates, furniture by names and prose that recurs; kept blocks carry marks."""
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    some = lambda n: " ".join(word() for _ in range(n))
+    quoted = some(20)
+    rows, want = [], {}
+    for i in range(150):
+        host = ("a.org", "b.org", "c.org")[i % 3]
+        keep = lambda x: f"\x01{x}\x02"
+        blocks_ = [f"<h2>{keep(some(3))}</h2>", f"<p>{keep(some(12))}</p>", f"<ul><li>{keep(some(2))}</li><li>{keep(some(2))}</li></ul>", f"<p>{keep(quoted)}</p>", f"<table><tr><td>{keep(some(1))}</td><td>{keep(some(1))}</td></tr></table>",
+                   f"<p class='market-share'>{keep(some(6))}</p>", f"<blockquote>{keep(some(5))}</blockquote>"]
+        junk = [f"<div class='{c}'><p>{some(4)}</p></div>" for c in ("ad", "share-buttons", "newsletter", "comments", "post-nav")] + [f"<nav>{some(3)}</nav>", f"<aside>{some(3)}</aside>", f"<form>{some(2)}<input></form>", "<script>var x='<p>';</script>"]
+        if i % 2 == 0:
+            del blocks_[3]  # without a content element nothing tells a quoted passage from a template
+        body = rng.sample(blocks_, 5) + rng.sample(junk, 4)
+        rng.shuffle(body)
+        title = f"<h1>{keep(some(4))}</h1>"
+        box = f"<div class='box'><p>about {host}</p><div>more of {host}</div></div>"
+        inner = "".join([title, *body])
+        page = f"<html><head><title>t</title></head><body><div>menu of {host}</div>" + (f"<article>{inner}</article>" if i % 2 else inner) + box + f"<footer>{some(2)}</footer></body></html>"
+        want[i] = extracted_by_marks(page)
+        rows.append((i, f"https://{host}/{i}", page.replace("\x01", "").replace("\x02", "")))
+    got = {r.page_id: r.text for r in webpages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want

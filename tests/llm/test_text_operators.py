@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import time
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -553,3 +554,41 @@ def test_quality_rules(spark, odd):
     assert ruleset.good_documents(odd, rules).columns == odd.columns
     none = ruleset.train_quality(table, table.select("doc_id", "quality").filter("false"))
     assert ruleset.quality_scores(table, none).filter("predicted = 1").count() == 1200
+
+
+def counted_by_loop(text):
+    """The statistics of operator 8, by loops over the text."""
+    t = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    pieces, lines = re.split("[ \n]+", t), t.split("\n")
+    again, at = 0, 0
+    tokens = [(m.start(), m.end()) for m in re.finditer(r"[^ \n]+", t)]
+    i = 0
+    while i + 1 < len(tokens):  # a pair is counted once, and its words are not in the next pair
+        (a, b), (c, d) = tokens[i], tokens[i + 1]
+        if c == b + 1 and t[a:b] == t[c:d]:
+            again, i = again + 1, i + 2
+        else:
+            i += 1
+    of = lambda chars: sum(t.count(c) for c in chars)
+    n, m = len(words), len(t)
+    per = lambda x, y: x / max(y, 1.0)
+    upper = sum(unicodedata.category(c) == "Lu" for c in t)
+    return [np.log1p(n), per(m, n), per(again, n), per(upper, m), per(len(set(pieces)), n), per(len(set(lines)), len(lines)), per(of("#*$%&<>@=~^{}[]\\"), n), per(of("|"), n), per(of("!?"), n), per(of(".,;:"), n), per(of("0123456789"), m), per(len(lines), n)]
+
+
+def test_quality_statistics_are_the_loop(spark, odd, sf_dir):
+    docs = odd.select("doc_id", "text").unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) < 20000").select("doc_id", "text"))
+    docs = docs.unionByName(spark.createDataFrame([(900, "a a a a b b\nb c"), (901, "É É ß ẞ Ω\n\n\n!?|{}\\")], "doc_id long, text string"))
+    for r in docs.select("text", ruleset.statistics(F.col("text")).alias("s")).collect():
+        want = counted_by_loop(r.text)
+        assert np.allclose([r.s[n] for n in ruleset.NAMES], want, atol=1e-12), (r.text, dict(zip(ruleset.NAMES, want)))
+
+
+def test_empty_tables(spark, odd):
+    none = odd.filter("false")
+    rules = ruleset.train_quality(none, spark.createDataFrame([], "doc_id long, quality int"))
+    assert ruleset.quality_scores(none, rules).count() == 0 and ruleset.good_documents(none, rules).count() == 0
+    assert ruleset.quality_scores(odd, rules).filter("score = 0.5 and predicted = 1").count() == len(ODD)
+    assert bytepairs.encode_documents(none, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+    assert repetition.repetition_rules(none).count() == 0 and packing.best_fit_pack(none.withColumn("source", F.lit("s")), 10).count() == 0
