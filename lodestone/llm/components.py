@@ -24,6 +24,13 @@ def _stars(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
     return scratch.cut(out.filter("a <> b").distinct())
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller node, and those have none: the roots are found."""
+    own = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    inner = own.join(edges.select("b").distinct(), F.col("a") == F.col("b"), "left_semi").select("n")
+    return own.filter("n > 1").select("n").unionByName(inner).isEmpty()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) for each node of the edges (a, b): root is the least node of its component.
 
@@ -31,13 +38,8 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
     spread over tasks.  Each step is a written table of ``scratch``; the number of rounds
     grows with the logarithm of the largest component."""
     scratch = scratch or Scratch(edges.sparkSession, "components")
-    edges = scratch.cut(edges.filter("a <> b").select("a", "b").distinct())
-    before = None
-    while True:
+    edges = scratch.cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not _are_stars(edges):
         edges = _stars(_stars(edges, True, scratch), False, scratch)
-        state = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if state == before:
-            break
-        before = state
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select("root", "root").distinct().toDF("node", "root"))

@@ -337,7 +337,7 @@ class _Join:
             told = self.cut(self.spread(signed.drop("n"), self.cut(split), "path"))
             children = told.filter(F.col("together") < plan.alike).select("node", F.explode(F.array(*child)).alias("path"))
             alike.append(told.filter(F.col("together") >= plan.alike).select("path", "node"))
-            level = self.cut(self._shared(children.distinct()))
+            level = self.cut(self._shared(self.cut(children.distinct())))
             done.append(level.filter(F.col("n") <= plan.small).select("path", "node"))
             large = level.filter(F.col("n") > plan.small)
         else:
@@ -361,7 +361,6 @@ class _Join:
 
     def _shared(self, rows: DataFrame) -> DataFrame:
         """The rows of paths that two texts or more have, with their number n."""
-        rows = self.cut(rows)
         return self.spread(rows, self.cut(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")), "path")
 
     def compared(self, nodes: DataFrame, leaves: DataFrame) -> DataFrame:
