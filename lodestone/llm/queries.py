@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bytepairs, chat, packing, pseudonyms, repetition, ruleset, simjoin, topk, toxicity, webpages
-from lodestone.llm.tables import held_out, read
+from lodestone.llm import bytepairs, chat, packing, pseudonyms, repetition, ruleset, simjoin, topk, toxicity, turnrepair, webpages
+from lodestone.llm.tables import Scratch, held_out, read
 
 #: The key of the registered query; a real one comes from a secret store.
 PSEUDONYM_KEY = "registered query"
@@ -65,6 +65,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(documents, net).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations with planted faults, repaired."""
+    turns = turnrepair.damaged(read(spark, sf_dir, "conversations"))
+    return turnrepair.repair_digests(turnrepair.repair(turns, Scratch(spark, "repair")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_repetition_rules": op9_repetition_rules,
     "op10_toxicity": op10_toxicity,
+    "op11_turn_repair": op11_turn_repair,
 }
 
 _WINDOW = """
@@ -152,4 +159,74 @@ WITH v AS (
 SELECT * FROM r WHERE rank <= 5
 """
 
-SQL: dict[str, str] = {"op1_chat_format": _OP1, "op7_exact_topk": _OP7, "op9_repetition_rules": _OP9}
+_WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _least(*ways: str) -> str:
+    return f"least({', '.join(ways)})"
+
+
+def _step(state: str, cost: str, letter: str) -> str:
+    """A state's cost and audit, the cost in ten digits, with one more edit; null stays null."""
+    return f"lpad(CAST(CAST(left({state}, 10) AS BIGINT) + {cost} AS VARCHAR), 10, '0') || substr({state}, 11) || '{letter}'"
+
+
+_I = [f"q{i}" for i in range(4)]  # the states with insertions made before the turn
+_INSERTED = {
+    "q0": "s0", "q1": "s1", "q2": _least("s2", *(_step(x, "2", "I") for x in ("s0", "s1", "s3"))),
+    "q3": _least("s3", _step("s2", "2", "I"), *(_step(_step(x, "2", "I"), "2", "I") for x in ("s0", "s1"))),
+}
+_KEEPS = {0: [], 1: [("q0", "s")], 2: [("q0", "u"), ("q1", "u"), ("q3", "u")], 3: [("q2", "a")]}
+_REROLES = {0: [], 1: [], 2: ["q0", "q1", "q3"], 3: ["q2"]}
+_EDITED = {
+    j: _least(
+        _step(f"q{j}", "3", "D"),
+        *(f"CASE WHEN NOT gone AND initial = '{c}' THEN {_step(i, 'more', 'K')} END" for i, c in _KEEPS[j]),
+        *(f"CASE WHEN NOT gone THEN {_step(i, '2 + more', 'R')} END" for i in _REROLES[j]),
+    )
+    for j in range(4)
+}
+_OP11 = f"""
+WITH RECURSIVE given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+codes AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+kinds AS (
+  SELECT g.*, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(k, ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, b: xor(c // 256, t[CAST(xor(c, b) % 256 AS BIGINT) + 1])), 4294967295) % 20 AS kind
+  FROM given g, codes
+), harmed AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM kinds
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), copy) AS i, rtrim(text, {_WS}) AS t FROM harmed
+), judged AS (
+  SELECT conv_id, turn, i, role, text, left(role, 1) AS initial, t = '' AS blank, t <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    right(t, 1) NOT IN ('.', '!', '?') AS open, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au') AS broken
+  FROM placed
+), turns AS (SELECT *, blank OR again AS gone, CASE WHEN NOT blank AND NOT again AND open THEN 1 ELSE 0 END AS more FROM judged),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate,
+    sum(more) AS truncated, count(*) FILTER (broken) AS illegal, count(*) AS n
+  FROM turns GROUP BY conv_id
+), scan AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, '0000000000' AS s0, CAST(NULL AS VARCHAR) AS s1, CAST(NULL AS VARCHAR) AS s2, CAST(NULL AS VARCHAR) AS s3 FROM facts
+  UNION ALL
+  SELECT conv_id, i, {', '.join(f'{_EDITED[j]} AS s{j}' for j in range(4))}
+  FROM (SELECT t.conv_id, t.i, t.initial, t.gone, t.more, {', '.join(f'{v} AS {k}' for k, v in _INSERTED.items())} FROM scan s JOIN turns t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.i = s.i + 1)
+), ends AS (
+  SELECT s.conv_id, least(s0, {_INSERTED['q3']}) AS best
+  FROM scan s JOIN facts f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.n = s.i
+), edits AS (
+  SELECT conv_id, e, j, CAST(sum(CASE WHEN e <> 'I' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS i, sum(CASE WHEN e <> 'D' THEN 1 ELSE 0 END) OVER w AS made
+  FROM (SELECT conv_id, unnest(string_split(substr(best, 11), '')) AS e, unnest(range(length(best) - 10)) AS j FROM ends WHERE length(best) > 10)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY j)
+), roles AS (
+  SELECT e.conv_id, e.j, CASE WHEN e.e = 'K' THEN t.role WHEN (made + bool_or(e.e = 'K' AND t.initial = 's') OVER (PARTITION BY e.conv_id)::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END AS role, CASE WHEN e.e = 'I' THEN '' ELSE t.text END AS text
+  FROM edits e LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM e.conv_id AND t.i = e.i WHERE e.e <> 'D'
+), texts AS (SELECT conv_id, sha256(string_agg(role || ':' || text, chr(10) ORDER BY j)) AS h FROM roles GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(left(best, 10), '0') AS BIGINT) AS cost, coalesce(substr(best, 11), '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN texts x ON x.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+SQL: dict[str, str] = {"op11_turn_repair": _OP11, "op1_chat_format": _OP1, "op7_exact_topk": _OP7, "op9_repetition_rules": _OP9}
