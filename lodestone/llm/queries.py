@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bytepairs, chat, packing, pseudonyms, repetition, ruleset, simjoin, topk, toxicity, turnrepair, webpages
+from lodestone.llm import bytepairs, chat, curvepack, packing, pseudonyms, repetition, ruleset, simjoin, topk, toxicity, turnrepair, webpages
 from lodestone.llm.tables import Scratch, held_out, read
 
 #: The key of the registered query; a real one comes from a secret store.
@@ -71,6 +71,11 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turnrepair.repair_digests(turnrepair.repair(turns, Scratch(spark, "repair")))
 
 
+def op13_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return curvepack.pack(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, Scratch(spark, "curve"), 1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repetition_rules": op9_repetition_rules,
     "op10_toxicity": op10_toxicity,
     "op11_turn_repair": op11_turn_repair,
+    "op13_curve_packing": op13_curve_packing,
 }
 
 _WINDOW = """
