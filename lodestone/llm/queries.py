@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bytepairs, chat, curvepack, packing, pseudonyms, repetition, ruleset, simjoin, topk, toxicity, turnrepair, webpages
+from lodestone.llm import bytepairs, chat, curvepack, packing, phrases, pseudonyms, repetition, ruleset, simjoin, topk, toxicity, turnrepair, webpages
 from lodestone.llm.tables import Scratch, held_out, read
 
 #: The key of the registered query; a real one comes from a secret store.
@@ -71,6 +71,10 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turnrepair.repair_digests(turnrepair.repair(turns, Scratch(spark, "repair")))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"), Scratch(spark, "phrases"))
+
+
 def op13_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return curvepack.pack(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, Scratch(spark, "curve"), 1024)
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repetition_rules": op9_repetition_rules,
     "op10_toxicity": op10_toxicity,
     "op11_turn_repair": op11_turn_repair,
+    "op12_collocations": op12_collocations,
     "op13_curve_packing": op13_curve_packing,
 }
 
@@ -235,4 +240,29 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c
 LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN texts x ON x.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
-SQL: dict[str, str] = {"op11_turn_repair": _OP11, "op1_chat_format": _OP1, "op7_exact_topk": _OP7, "op9_repetition_rules": _OP9}
+_OP12 = """
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS k, piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)
+), lists AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM lists, (SELECT unnest([1, 2, 3, 4]) AS m))
+), f AS (SELECT lang, m, g, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, g, f AS a, string_split(g, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+cuts AS (
+  SELECT lang, m, g, a, k, array_to_string(w[:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c)
+), scores AS (
+  SELECT t.lang, t.m, t.g, t.a, k, l.f AS l, r.f AS r, CAST((CAST(2000000 AS HUGEINT) * t.a) // (l.f + r.f) AS BIGINT) AS score
+  FROM cuts t JOIN f l ON l.lang = t.lang AND l.g = t.x AND l.m = t.k JOIN f r ON r.lang = t.lang AND r.g = t.y AND r.m = t.m - t.k
+), lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM lowest s WHERE NOT EXISTS (
+    SELECT 1 FROM c WHERE c.lang = s.lang AND c.m > s.m AND contains(' ' || c.g || ' ', ' ' || s.g || ' ') AND 100 * c.a >= 80 * s.a)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
+SELECT lang, rank, g AS phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+SQL: dict[str, str] = {"op12_collocations": _OP12, "op11_turn_repair": _OP11, "op1_chat_format": _OP1, "op7_exact_topk": _OP7, "op9_repetition_rules": _OP9}
