@@ -49,6 +49,10 @@ _CHROME_NAME = re.compile(
     |(?:top|left|right|bottom|side|main|site|page|header|footer|sticky|inline|post|article|user|reader|mobile|global|primary|secondary)[-_](?:{_KIND}|banner|advertisement))""",
     re.IGNORECASE | re.VERBOSE,
 )
+#: Elements of prose: an id, as it is made of their own text, never makes them furniture.
+_ID_IS_OWN = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th blockquote pre figure figcaption caption".split())
+#: Ids that make a section furniture although it begins with a heading: what readers say, and offers.
+_STRICT_ID = re.compile(r"comments?|replies|respond|disqus(?:_thread)?|related|recommend(?:ed|ations)?|newsletter|subscribe|subscription|login|signup|cookies?|consent|gdpr|[a-z]+[-_][a-z0-9]+(?:[-_][a-z0-9]+)*", re.IGNORECASE)
 #: A style that hides an element.
 _HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -69,6 +73,7 @@ _CLOSES["body"] = ({"head"}, {"html"})
 class Element:
     tag: str
     names: tuple[str, ...] = ()
+    ids: tuple[str, ...] = ()  # of the names, those of its id
     role: str = ""
     hidden: bool = False
     content: bool = False
@@ -86,17 +91,31 @@ class Element:
             return True
         if self.tag == "form" and self.has_content:
             return False
-        return self.tag in _CHROME or self.hidden or self.role in _CHROME_ROLE or any(_CHROME_NAME.fullmatch(n) for n in self.names)
+        return self.tag in _CHROME or self.hidden or self.role in _CHROME_ROLE or any(_CHROME_NAME.fullmatch(n) for n in self.telling(within))
+
+    def telling(self, within: bool) -> tuple[str, ...]:
+        """The names that may make it furniture.  Ids are often made of headings: ``within`` a content element that
+        of a piece of prose says nothing, and that of a section that begins with its own heading little."""
+        if not (within and self.ids):
+            return self.names
+        ids = () if self.tag in _ID_IS_OWN else tuple(i for i in self.ids if _STRICT_ID.fullmatch(i)) if self.headed() else self.ids
+        return self.names[: len(self.names) - len(self.ids)] + ids
+
+    def headed(self) -> bool:
+        """Whether a section's first element is its heading, before any text."""
+        first = next((c for c in self.children if not isinstance(c, str) or c.strip()), None)
+        return self.tag in ("section", "div") and isinstance(first, Element) and (first.tag in _HEADINGS or first.tag in ("header", "hgroup") and first.has_heading)
 
 
 def _open(tag: str, attributes: str) -> Element:
     element = Element(tag, content=tag in ("article", "main"))
     if attributes:
         names: list[str] = []
+        ids: list[str] = []
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), html.unescape(value.strip("\"'")) if value else ""
             if name in ("class", "id"):
-                names += value.split()
+                (ids if name == "id" else names).extend(value.split())
             elif name == "role":
                 element.role = value.lower()
                 element.content |= element.role in ("main", "article")
@@ -106,8 +125,8 @@ def _open(tag: str, attributes: str) -> Element:
                 element.hidden |= name == "hidden" or value.lower() == "true"
             elif name == "style":
                 element.hidden |= bool(_HIDING.search(value))
-        element.names = tuple(names)
-        element.content |= any(_CONTENT_NAME.match(n) for n in names)
+        element.names, element.ids = (*names, *ids), tuple(ids)
+        element.content |= any(_CONTENT_NAME.match(n) for n in element.names)
     return element
 
 
@@ -253,7 +272,7 @@ def _articles(e: Element, cut: set[int]) -> list[Element]:
     out, todo = [], [e]
     while todo:
         x = todo.pop()
-        if x is not e and (x.furniture() or id(x) in cut):
+        if x is not e and (x.furniture(True) or id(x) in cut):
             continue
         if x.tag == "article":
             out.append(x)

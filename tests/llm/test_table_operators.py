@@ -421,8 +421,11 @@ def test_made_pages_against_their_marks(spark):
         keep = lambda x: f"\x01{x}\x02"
         blocks_ = [f"<h2>{keep(some(3))}</h2>", f"<p>{keep(some(12))}</p>", f"<ul><li>{keep(some(2))}</li><li>{keep(some(2))}</li></ul>", f"<p>{keep(quoted)}</p>", f"<table><tr><td>{keep(some(1))}</td><td>{keep(some(1))}</td></tr></table>",
                    f"<p class='market-share'>{keep(some(6))}</p>", f"<blockquote>{keep(some(5))}</blockquote>"]
-        junk = [f"<div class='{c}'><p>{some(4)}</p></div>" for c in ("ad", "share-buttons", "newsletter", "comments", "post-nav")] + [f"<nav>{some(3)}</nav>", f"<aside>{some(3)}</aside>", f"<form>{some(2)}<input></form>", "<script>var x='<p>';</script>"]
-        if i % 2 == 0:
+        junk = ["<section id='comments'><h2>Said</h2><p>by readers</p></section>", f"<ul id='menu'><li>{some(2)}</li></ul>", f"<div id='sidebar'>{some(2)}</div>"] + [f"<div class='{c}'><p>{some(4)}</p></div>" for c in ("ad", "share-buttons", "newsletter", "comments", "post-nav")] + [f"<nav>{some(3)}</nav>", f"<aside>{some(3)}</aside>", f"<form>{some(2)}<input></form>", "<script>var x='<p>';</script>"]
+        if i % 2:  # in an article, ids are made of headings
+            name = rng.choice(("search", "comments", "notices", "related", "menu", "banner"))
+            blocks_ += [f"<h3 id='{name}'>{keep(some(2))}</h3>", f"<section id='{rng.choice(('overlay', 'navigation', 'search', 'alerts'))}'><h2>{keep(some(2))}</h2><p>{keep(some(9))}</p></section>", f"<p id='{name}'>{keep(some(7))}</p>"]
+        else:
             del blocks_[3]  # without a content element nothing tells a quoted passage from a template
         body = rng.sample(blocks_, 5) + rng.sample(junk, 4)
         rng.shuffle(body)
