@@ -133,10 +133,10 @@ def _ssn(f: Feistel, text: str, back: bool) -> str | None:
 
 
 def _phone(f: Feistel, text: str, back: bool) -> str | None:
-    """Ten national digits are valid if neither area nor exchange begins with 0 or 1, and stay so;
-    those that are not need a leading +1.  Others keep the digits of their country code."""
+    """Ten North American digits are valid if neither area nor exchange begins with 0 or 1, and stay so;
+    those that are not need a leading +1.  Others keep their first three digits: the country code or the area."""
     d = _digits(text)
-    if not text.startswith("+") or d[:1] == "1":
+    if not text.startswith(("+", "0", "00")) and not (len(d) == 9 and text[0] in "6789") or d[:1] == "1":
         national = d[-10:]
         if len(d) not in (10, 11) or len(d) == 11 and d[0] != "1":
             return None
@@ -225,8 +225,17 @@ def _email(f: Feistel, text: str, back: bool) -> str | None:
     return "".join(reversed(out)) + "@" + domain
 
 
-_PHONE = r"""(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}
-        |\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{1,8}){1,5})(?![0-9A-Za-z]|[.-][0-9])"""
+#: What stands between groups of digits: one or two spaces, which may be no-break ones, or a hyphen.
+_SPACE = r"[ \xa0\u2007\u202f]"
+_GAP = rf"(?:{_SPACE}{{1,2}}|-)"
+#: Fixed values, of the national plans: North American numbers; + or 00 and a country code; ten French digits in pairs;
+#: German area codes of two to five digits and a number; nine Spanish digits.  Without any gap only the first of these are read.
+_PHONE = rf"""(?:(?:\+?1(?:{_SPACE}{{1,2}}|[.-])?)?(?:\([0-9]{{3}}\)(?:{_SPACE}{{1,2}}|[.-])?|[0-9]{{3}}(?:{_SPACE}{{1,2}}|[.-]))[0-9]{{3}}(?:{_SPACE}{{1,2}}|[.-])[0-9]{{4}}
+        |\+[0-9]{{1,3}}(?:(?:{_SPACE}{{1,2}}|[.-])?\([0-9]{{1,4}}\))?(?:(?:{_SPACE}{{1,2}}|[.-])?[0-9]{{1,8}}){{1,5}}
+        |00[1-9][0-9](?:(?:{_SPACE}{{1,2}}|[.-])[0-9]{{1,8}}){{1,5}}
+        |0[1-9](?P<fr>{_SPACE}{{1,2}}|[.-])[0-9]{{2}}(?P=fr)[0-9]{{2}}(?P=fr)[0-9]{{2}}(?P=fr)[0-9]{{2}}
+        |0[1-9][0-9]{{1,3}}(?:{_SPACE}{{1,2}}|[/-])[0-9]{{3,8}}(?:(?:{_SPACE}|-)[0-9]{{2,4}})?
+        |[6-9][0-9]{{2}}(?P<es>{_SPACE}|[.-])(?:[0-9]{{3}}(?P=es)[0-9]{{3}}|[0-9]{{2}}(?P=es)[0-9]{{2}}(?P=es)[0-9]{{2}}))(?![0-9A-Za-z]|[.,-][0-9])"""
 #: Where a value may be; what may begin there; what an e-mail may begin with.
 _HIT = re.compile("[0-9]+|@", re.ASCII)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -235,20 +244,33 @@ _BEGIN = re.compile(
     r"""(?P<ipv4>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))
     |(?P<date>(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]|\.[0-9]))
     |(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))
-    |(?P<card>(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9]))
-    |(?P<phone>(?<![0-9A-Za-z.+-])"""
+    |(?P<card>(?<![0-9+-])(?<![0-9]\.)[0-9](?:"""
+    + _GAP
+    + r"""?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9]))
+    |(?P<phone>(?<![0-9A-Za-z+-])(?<![0-9]\.)"""
     + _PHONE
     + ")",
     re.ASCII | re.VERBOSE,
 )
+_KINDS_HERE = ("ipv4", "date", "ssn", "card", "phone")
+
+
+def _word_before(text: str, at: int, longest: int = 20) -> bool:
+    """Whether what touches the digits at ``at`` is nothing, or a word of letters only, such as VISA."""
+    start = at
+    while start > max(0, at - longest) and text[start - 1].isalpha():
+        start -= 1
+    return start == at or start > at - longest and (not start or text[start - 1] not in "0123456789_.@%+-")
+
+
 #: A run of digit groups, without the beginning of an address or date; its groups, and what can begin at one.
-_RUN = re.compile(r"[0-9](?:[ -]?[0-9])*(?![0-9A-Za-z@_%+]|[.-][0-9]|/[0-9]{2}/)", re.ASCII)
+_RUN = re.compile(rf"[0-9](?:{_GAP}?[0-9])*(?![0-9A-Za-z@_%+]|[.-][0-9]|/[0-9]{{2}}/)", re.ASCII)
 _GROUP = re.compile(r"[0-9]+", re.ASCII)
 _IN_RUN = {
     "date": re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9/-]|\.[0-9])", re.ASCII), "ssn": re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", re.ASCII), "phone": re.compile(_PHONE, re.ASCII | re.VERBOSE),
 }
 #: How cards are usually grouped; as such they come before phones, in other groups after them.
-_CARD_GROUPS = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}", re.ASCII)
+_CARD_GROUPS = re.compile(rf"\d{{13,19}}|\d{{4}}({_GAP})\d{{4}}\1\d{{4}}\1\d{{1,4}}(?:\1\d{{1,3}})?|\d{{4}}({_GAP})\d{{6}}\2\d{{4,5}}", re.ASCII)
 #: A value changes only how values are read that begin at most so many values before it: cards have 19 digits at most, dates 8.
 _NEAR = 3
 _MAKE: dict[str, Callable[[Feistel, str, bool], str | None]] = {
@@ -311,7 +333,9 @@ class Pseudonymizer:
             m = _BEGIN.match(text, start)
             if m is None:
                 continue
-            kind, end = m.lastgroup, m.end()
+            kind, end = next(k for k in _KINDS_HERE if m[k] is not None), m.end()
+            if kind == "card" and not _word_before(text, start):
+                continue
             if kind == "card":
                 run = _RUN.match(text, start)
                 end = run.end() if run else end

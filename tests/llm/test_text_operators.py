@@ -204,6 +204,26 @@ def test_values_next_to_words_and_dates(text, value):
     assert pseudonyms.Pseudonymizer(b"k", back=True).text(new)[0] == text
 
 
+@pytest.mark.parametrize(
+    "text, value, kind",
+    [
+        ("nr.4111111111111111.", "4111111111111111", "card"), ("VISA4111111111111111 ok", "4111111111111111", "card"), ("4111\xa01111\xa01111\xa01111", "4111\xa01111\xa01111\xa01111", "card"),
+        ("4111  1111  1111  1111", "4111  1111  1111  1111", "card"), ("4111\u202f1111\u202f1111\u202f1111 12/27", "4111\u202f1111\u202f1111\u202f1111", "card"),
+        ("01 23 45 67 89", "01 23 45 67 89", "phone"), ("tel.06.12.34.56.78", "06.12.34.56.78", "phone"), ("(030 12345678)", "030 12345678", "phone"), ("089/1234567", "089/1234567", "phone"), ("0049 30 123456", "0049 30 123456", "phone"),
+        ("612 345 678", "612 345 678", "phone"), ("01\xa023\xa045\xa067\xa089", "01\xa023\xa045\xa067\xa089", "phone"), ("912 34 56 78", "912 34 56 78", "phone"),
+    ],
+)
+def test_borders_white_space_and_national_phones(text, value, kind):
+    new, counts = pseudonyms.Pseudonymizer(b"k").text(f"x {text} y")
+    assert counts == {kind: 1} and value not in new and shape(new) == shape(f"x {text} y")
+    assert pseudonyms.Pseudonymizer(b"k", back=True).text(new)[0] == f"x {text} y"
+
+
+@pytest.mark.parametrize("text", ["ab12cd4111111111111111", "3.4111111111111111", "+4111111111111111111", "0 12 345", "2024 01 02"])
+def test_numbers_in_other_borders_stay(text):
+    assert pseudonyms.Pseudonymizer(b"k").text(f"x {text} y") == (f"x {text} y", {})
+
+
 def test_equal_values_are_linked_in_every_notation():
     p = pseudonyms.Pseudonymizer(b"k")
     for month, day in ((12, 25), (7, 4), (2, 28)):
@@ -228,6 +248,47 @@ def test_long_runs_of_numbers():
         assert pseudonyms.Pseudonymizer(b"k").text(text) == (text, {})
 
 
+def national_phones(text):
+    """French, German and Spanish numbers by their groups, without patterns."""
+    spaces = " \xa0\u202f"
+    words, found = [], set()
+    for i, c in enumerate(text):  # runs of digits with their places
+        if c in "0123456789":
+            if not words or words[-1][1] != i:
+                words.append([i, i])
+            words[-1][1] = i + 1
+    for k, (a, _) in enumerate(words):
+        if a and (text[a - 1].isalnum() or text[a - 1] in ".+-/" or text[a - 1] in spaces and a > 1 and text[a - 2].isdigit()):
+            continue
+        for m, want in ((5, [2] * 5), (2, None), (3, [3] * 3)):
+            own = words[k : k + m]
+            if len(own) < m or any(b[0] - a[1] != 1 or text[a[1]] not in spaces for a, b in zip(own, own[1:])):
+                continue
+            end, sizes, first = own[-1][1], [b - a for a, b in own], text[a : own[0][1]]
+            if text[end : end + 1].isalnum() or text[end : end + 1] in tuple("-.,/" + spaces) and text[end + 1 : end + 2].isdigit():
+                continue
+            if want and sizes == want and (first[0] == "0" and first[1] != "0" if m == 5 else first[0] in "6789") or m == 2 and first[0] == "0" and first[1:2] not in ("", "0") and 3 <= sizes[0] <= 5 and 6 <= sizes[1] <= 8:
+                found.add(text[a:end])
+    return found
+
+
+def test_national_phones_of_a_made_corpus_are_found():
+    rng = random.Random(7)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    maker, back = pseudonyms.Pseudonymizer(b"k"), pseudonyms.Pseudonymizer(b"k", back=True)
+    n = 0
+    for _ in range(400):
+        gap = rng.choice(" \xa0\u202f")
+        number = rng.choice([gap.join(["0" + rng.choice("123456789"), *(digits(2) for _ in range(4))]), gap.join(["0" + rng.choice("123456789") + digits(rng.randint(1, 3)), digits(rng.randint(6, 8))]), gap.join([rng.choice("6789") + digits(2), digits(3), digits(3)])])
+        text = f"word {rng.choice(['', 'tel: ', '(', '« '])}{number}{rng.choice(['', '.', ')', ' and', ', 12 pages'])}"
+        new, _ = maker.text(text)
+        for value in national_phones(text):
+            n += 1
+            assert value not in new, text
+        assert back.text(new)[0] == text
+    assert n > 350
+
+
 def seen_personal(text):
     """Cards, e-mails, phones, IBANs, public addresses by a loop over all places, written without the operator's patterns."""
     found = set()
@@ -251,6 +312,7 @@ def seen_personal(text):
             if len(s) in range(15, 35) and s[:2].isalpha() and s.isascii() and s.isalnum() and s[2:4].isdigit() and pseudonyms.IBAN_LENGTHS.get(s[:2].upper()) == len(s):
                 if int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1:
                     found.add(x)
+    found |= national_phones(text)
     found |= {w.strip(".,;:!?()*#&%$|<>\"'") for w in text.split() if "@" in w[1:-1] and "." in w.split("@")[-1][1:-1]}
     for a in range(len(text) - 13):
         x = text[a : a + 17]
