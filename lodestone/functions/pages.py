@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import html
-import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -70,10 +70,20 @@ def body_or_content(c: Column, start: str, end: str, content: str, least: int =
     return F.coalesce(body_text(c, start, end, least)["text"], F.nullif(markup_text(F.regexp_extract(c, content, 1)), F.lit("")))
 
 
-def without_leading(lines: Column, furniture: Column) -> Column:
-    """Lines without those at the start that are in ``furniture``."""
-    first = F.array_position(F.transform(lines, lambda x: F.array_contains(furniture, x)), False)
-    return F.when(first > 0, F.slice(lines, first.cast("int"), F.size(lines))).otherwise(F.slice(lines, 1, 0))
+def without_leading(lines: Column, furniture: Column | Callable[[Column], Column]) -> Column:
+    """Lines without those at the start that are in ``furniture``, an array or what makes one of the lines.
+
+    Lines and furniture are bound once, so a text takes time in proportion to its lines."""
+
+    def kept(own: Column) -> Column:
+        wanted = furniture(own) if callable(furniture) else furniture
+        return tx.bound(wanted, lambda names: _from_first(own, F.array_position(F.transform(own, lambda x: F.array_contains(names, x)), False)))
+
+    return tx.bound(lines, kept)
+
+
+def _from_first(lines: Column, first: Column) -> Column:
+    return tx.bound(first, lambda at: F.when(at > 0, F.slice(lines, at.cast("int"), F.size(lines))).otherwise(F.slice(lines, 1, 0)))
 
 
 def phones(c: Column) -> Column:
@@ -100,36 +110,34 @@ def answer_blocks(c: Column) -> Column:
     return F.transform(own, lambda x: F.struct(kind(x).alias("kind"), plain(x).alias("text"), tx.citations(x).alias("cited")))
 
 
-@F.pandas_udf(StringType())
-def _merged(c: pd.Series) -> pd.Series:
-    def pairs(items: list) -> dict:
-        out: dict = {}
-        for key, value in items:
-            if key in out and isinstance(out[key], list) and isinstance(value, list):
-                out[key] = out[key] + value
-            else:
-                out.setdefault(key, value)
-        return out
-
-    def first(x: str | None) -> str | None:
-        start = -1 if x is None else x.find("{")
-        if start < 0:
-            return None
-        try:
-            return json.dumps(json.JSONDecoder(object_pairs_hook=pairs).raw_decode(x, start)[0], ensure_ascii=False)
-        except (ValueError, RecursionError):
-            return None
-
-    return c.map(first)
-
-
-def trailer(c: Column) -> Column:
-    """The first JSON object of a trailer: type, options, actions, forms.  Lists under one key are
-    joined, of other repeated values the first counts; what is no list of the right kind is empty."""
-    parsed = F.from_json(_merged(c), "type string, options array<string>, actions array<string>, forms array<string>")
-    some = lambda x: F.coalesce(x, F.array().cast("array<string>"))
-    forms = F.filter(F.transform(some(parsed["forms"]), lambda x: F.regexp_extract(x, r"\d+", 0).try_cast("int")), lambda x: x.isNotNull())
-    return F.struct(
-        F.when(parsed["type"].isin("answer", "clarify", "unknown"), parsed["type"]).otherwise("answer").alias("type"),
-        F.slice(F.array_distinct(some(parsed["options"])), 1, 4).alias("options"), F.array_distinct(some(parsed["actions"])).alias("actions"), F.array_distinct(forms).alias("forms"),
-    )
+def _members(c: Column, key: str) -> Column:
+    """The values (variants) that the first JSON object in a text has under a key, in order; null if it has no whole object."""
+    start = F.instr(c, F.lit("{"))
+    own = F.when(start > 0, F.substring(c, start, F.length(c)))
+    entries = F.map_entries(F.from_json(own, "map<string,variant>"))  # a key that is repeated is there as often
+    return F.transform(F.filter(entries, lambda e: e["key"] == key), lambda e: e["value"])
+
+
+def _elements(c: Column, key: str) -> Column:
+    """The elements of the lists under a key, if the first value under it is a list."""
+    lists = F.transform(_members(c, key), lambda v: F.try_variant_get(v, "$", "array<variant>"))
+    return F.when(F.get(lists, F.lit(0)).isNotNull(), F.flatten(F.filter(lists, lambda x: x.isNotNull()))).otherwise(F.array().cast("array<variant>"))
+
+
+def trailer(c: Column, actions: tuple[str, ...] | None = None, most: int = 4, longest: int = 50, kinds: tuple[str, ...] = ("answer", "clarify", "unknown")) -> Column:
+    """The first JSON object of a trailer: type, options, actions, forms, all read in the JVM.
+
+    Lists under one key are joined if the first value is one, of other repeated values the first counts.  Options are texts
+    of 1 to ``longest`` characters without the space around them, ``most`` at most, and only a question back has them;
+    without any it is an answer, as is another type or no whole object.  Actions are texts, of ``actions`` if given; forms
+    are whole numbers or texts of digits.  Repeated elements count once."""
+    texts = lambda key: F.transform(F.filter(_elements(c, key), lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.variant_get(v, "$", "string"))
+    options = F.slice(F.array_distinct(F.filter(F.transform(texts("options"), tx.strip), lambda x: F.length(x).between(1, longest))), 1, most)
+    kind = F.try_variant_get(F.get(_members(c, "type"), F.lit(0)), "$", "string")
+    kind = F.when(kind.isin(*kinds), kind).otherwise("answer")
+    kind = F.when((kind == "clarify") & (F.coalesce(F.size(options), F.lit(0)) == 0), "answer").otherwise(kind)
+    named = F.filter(texts("actions"), lambda x: x.isin(*actions)) if actions is not None else texts("actions")
+    number = lambda v: F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get(v, "$", "int")).when(F.schema_of_variant(v) == "STRING", F.regexp_extract(F.variant_get(v, "$", "string"), r"^\s*(\d+)\s*$", 1).try_cast("int"))
+    forms = F.filter(F.transform(_elements(c, "forms"), number), lambda x: x.isNotNull())
+    none = F.array().cast("array<string>")
+    return F.struct(kind.alias("type"), F.when(kind == "clarify", options).otherwise(none).alias("options"), F.array_distinct(named).alias("actions"), F.array_distinct(forms).alias("forms"))

@@ -72,13 +72,11 @@ def image_states(images: DataFrame, references: DataFrame, noise: str, repeated:
 def transcript_route(text: Column, finish: Column, repeats: Column, about: Column, decor: str, maps: str, gaps: str) -> Column:
     """(route, text) of a machine transcript: 'review' if cut or repeating or of a map, 'none' if decoration or
     under 20 characters, else 'auto'.  Lines of ``decor`` and what ``gaps`` matches are not in the text."""
-    kept = F.array_join(F.filter(tx.lines(tx.strip(text)), lambda x: ~x.rlike(decor)), "\n")
-    clean = tx.strip(F.regexp_replace(kept, gaps, ""))
-    route = (
-        F.when((finish == "length") | (repeats >= 3), "review").when(tx.strip(text).rlike(decor), "none").when(about.rlike(maps), "review")
-        .when(tx.dense_length(clean) < 20, "none").otherwise("auto")
-    )
-    return F.struct(route.alias("route"), F.when(route == "auto", clean).otherwise("").alias("text"))
+    clean = lambda own: tx.strip(F.regexp_replace(F.array_join(F.filter(tx.lines(own), lambda x: ~x.rlike(decor)), "\n"), gaps, ""))
+    routed = lambda name, kept="": F.struct(F.lit(name).alias("route"), (F.lit(kept) if isinstance(kept, str) else kept).alias("text"))
+    judged = lambda own: tx.bound(clean(own), lambda kept: F.when(tx.dense_length(kept) < 20, routed("none")).otherwise(routed("auto", kept)))
+    route = lambda own: F.when(own.rlike(decor), routed("none")).when(about.rlike(maps), routed("review")).otherwise(judged(own))
+    return F.when((finish == "length") | (repeats >= 3), routed("review")).otherwise(tx.bound(tx.strip(text), route))
 
 
 def once_in_order(documents: DataFrame, shortest: int = 4) -> DataFrame:

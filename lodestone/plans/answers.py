@@ -10,7 +10,7 @@ from lodestone.operators import conversation, evaluation, evidence, retrieval
 from lodestone.plans.registry import query, read
 from lodestone.sources import readers
 from lodestone.streaming import events as ev
-from lodestone.streaming import filters
+from lodestone.streaming import filters, gate
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,16 +80,41 @@ def token_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.agg(F.count(F.lit(1)).alias("n"), F.sha2(text, 256).alias("text_sha256"), F.count_if("done").cast("int").alias("ends"))
 
 
+_MESSAGES = """
+m AS (SELECT *, user_id || '/' || strftime(ts, '%Y-%m-%d') AS message_id FROM events),
+t AS (SELECT * FROM m WHERE event_type IN ('view', 'click', 'purchase'))"""
+
+
 @query(
-    """WITH v AS (SELECT user_id, min(ts) AS v_ts, user_id % 3 <> 0 AS allowed FROM events GROUP BY user_id)
-SELECT e.user_id AS message_id, event_id AS seq FROM events e LEFT JOIN v ON e.user_id = v.user_id AND v_ts >= ts - INTERVAL 2 HOUR AND v_ts <= ts + INTERVAL 2 HOUR WHERE coalesce(allowed, TRUE)"""
+    f"""WITH {_MESSAGES},
+v AS (SELECT message_id, ts AS v_ts, event_type = 'signup' AS allowed FROM m WHERE event_type IN ('signup', 'error') QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY ts, event_type) = 1),
+refused AS (SELECT message_id FROM (SELECT message_id, min(ts) AS started FROM t GROUP BY 1) JOIN v USING (message_id) WHERE NOT allowed AND v_ts <= started + INTERVAL 6 HOUR)
+SELECT message_id, event_id AS seq, event_type AS text FROM t WHERE message_id NOT IN (SELECT message_id FROM refused)"""
 )
 def gated_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens that a gate's verdict lets through; without a verdict near them they pass."""
+    """A user's day is a message, its errors refuse it, its signups let it through; a refused one shows nothing."""
+    e = _user_days(spark, sf_dir)
+    tokens = e.filter("event_type IN ('view', 'click', 'purchase')").select("message_id", F.col("event_id").alias("seq"), F.col("event_type").alias("text"), "ts")
+    verdicts = e.filter("event_type IN ('signup', 'error')").select("message_id", (F.col("event_type") == "signup").alias("allowed"), "ts")
+    return gate.released(tokens, verdicts, within="6 hours").select("message_id", "seq", "text")
+
+
+@query(
+    f"""WITH {_MESSAGES},
+r AS (SELECT message_id, ts, event_type = 'purchase' AS done, coalesce(lag(ts) OVER w + INTERVAL 8 HOUR < ts, FALSE) AS quiet FROM m WINDOW w AS (PARTITION BY message_id ORDER BY ts, event_type = 'purchase')),
+n AS (SELECT *, coalesce(sum((done OR quiet)::INT) OVER (PARTITION BY message_id ORDER BY ts, done ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r),
+k AS (SELECT message_id, count(*) FILTER (NOT done AND NOT quiet) AS n_shown, max(CASE WHEN quiet THEN 'idle' WHEN done THEN 'done' END) AS ending, max(ts) FILTER (NOT quiet) AS last FROM n WHERE before = 0 GROUP BY 1)
+SELECT message_id, n_shown, coalesce(ending, 'ended') AS ending, round(epoch(CASE WHEN ending = 'idle' THEN last + INTERVAL 8 HOUR ELSE last END), 3) AS at_s FROM k"""
+)
+def message_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a user's day as a message ends: by a purchase, by hours of silence, or without a mark."""
+    rows = _user_days(spark, sf_dir).select("message_id", F.when(F.col("event_type") == "purchase", "done").otherwise("token").alias("kind"), "ts")
+    return gate.endings(rows, "8 hours").select("message_id", "n_shown", "ending", F.round(F.col("at").cast("double"), 3).alias("at_s"))
+
+
+def _user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    tokens = e.select(F.col("user_id").alias("message_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("text"), "ts")
-    verdicts = e.groupBy(F.col("user_id").alias("message_id")).agg(F.min("ts").alias("ts")).withColumn("allowed", F.col("message_id") % 3 != 0)
-    return ev.released(tokens, verdicts, within="2 hours").select("message_id", "seq")
+    return e.withColumn("message_id", F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")))
 
 
 @query("SELECT user_id AS message_id, round(epoch(min(ts)) - epoch(TIMESTAMP '2024-01-01'), 3) AS first_token_s, round(epoch(max(ts)) - epoch(TIMESTAMP '2024-01-01'), 3) AS total_s FROM events GROUP BY user_id")
@@ -191,23 +216,28 @@ def answer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "pos", "b.kind", "b.text", F.size("b.cited").alias("n_cited"))
 
 
+_ONCE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+
+
 @query(
-    """SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'clarify' WHEN 1 THEN 'unknown' ELSE 'answer' END AS type, CASE WHEN conv_id % 2 = 0 THEN 'a,b' || turn || ',c,d' ELSE '' END AS options,
-  CASE WHEN turn % 2 = 1 THEN CASE WHEN conv_id % 9 = 2 THEN '2,3' ELSE '2,3,' || (conv_id % 9) END ELSE '' END AS forms FROM conversations WHERE role = 'assistant' AND turn % 4 <> 3
-UNION ALL SELECT conv_id, turn, 'answer', '', '' FROM conversations WHERE role = 'assistant' AND turn % 4 = 3"""
+    f"""WITH a AS (SELECT conv_id, turn, text, string_split(text, ' ') AS w, length(text) AS n FROM conversations WHERE role = 'assistant'),
+k AS (SELECT *, CASE n % 4 WHEN 0 THEN 'clarify' WHEN 1 THEN 'unknown' WHEN 2 THEN 'answer' ELSE 'shout' END AS said, n % 7 <> 0 AS whole,
+  CASE WHEN n % 3 = 0 THEN [] ELSE [trim(x, ' ' || chr(10)) for x in list_concat(w[1:3], w[3:8]) if length(trim(x, ' ' || chr(10))) BETWEEN 1 AND 50] END AS o,
+  list_concat([n], [CAST(x AS BIGINT) for x in w if regexp_full_match(x, '[0-9]{{1,9}}')], [len(w)]) AS f FROM a)
+SELECT conv_id, turn, CASE WHEN NOT whole OR said = 'shout' OR said = 'clarify' AND len(o) = 0 THEN 'answer' ELSE said END AS type,
+  CASE WHEN whole AND said = 'clarify' THEN array_to_string(({_ONCE.format('o')})[1:4], ',') ELSE '' END AS options, CASE WHEN whole THEN array_to_string({_ONCE.format('f')}, ',') ELSE '' END AS forms FROM k"""
 )
 def answer_trailers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trailers with repeated keys, repeated options, forms as texts and broken JSON."""
-    c, t = F.col("conv_id"), F.col("turn")
-    kind = F.when(c % 3 == 0, "clarify").when(c % 3 == 1, "unknown").otherwise("shout")
-    options = F.when(c % 2 == 0, F.concat(F.lit('"options":["a","a","b'), t.cast("string"), F.lit('"],"options":["c","d","e"],'))).otherwise('"options":"a",')
-    number = F.when(c % 9 == 3, 3).when(c % 9 == 2, 2).otherwise(c % 9).cast("string")
-    forms = F.when(t % 2 == 1, F.concat(F.lit('"forms":["[2]",3],"forms":['), number, F.lit(',"x"]'))).otherwise('"forms":null')
-    whole = F.concat(F.lit('@@META {"type":"'), kind, F.lit('",'), options, forms, F.lit('} rest {"type":"clarify"}'))
-    rows = _replies(spark, sf_dir).select("conv_id", "turn", pg.trailer(F.when(t % 4 == 3, F.lit('@@META {"type":"clarify"')).otherwise(whole)).alias("t"))
-    forms_of = F.transform("t.forms", lambda x: x.cast("string"))
-    fixed = F.when((c % 9 == 3) & (F.size("t.forms") == 2), F.concat(F.array_join(forms_of, ","), F.lit(",3"))).otherwise(F.array_join(forms_of, ","))
-    return rows.select("conv_id", "turn", "t.type", F.array_join("t.options", ",").alias("options"), fixed.alias("forms"))
+    """Trailers of an answer's own words: lists under repeated keys, texts and numbers as forms, unknown types, objects without an end."""
+    n, w = F.length("text"), F.split("text", " ")
+    of = lambda key, value: F.concat(F.lit(f'"{key}":'), value)
+    kind = F.get(F.array(*map(F.lit, ('"clarify"', '"unknown"', '"answer"', '"shout"'))), n % 4)
+    options = F.when(n % 3 == 0, of("options", F.lit('"no list"'))).otherwise(F.concat_ws(",", of("options", F.to_json(F.slice(w, 1, 3))), of("options", F.to_json(F.slice(w, 3, 6)))))
+    numbers = F.filter(w, lambda x: x.rlike("^[0-9]{1,9}$"))
+    forms = F.concat_ws(",", of("forms", F.concat(F.lit("["), n.cast("string"), F.lit(',"x1",true]'))), of("forms", F.to_json(numbers)), of("forms", F.concat(F.lit('[" '), F.size(w).cast("string"), F.lit('"]'))))
+    whole = F.concat(F.lit("@@META {"), F.concat_ws(",", of("type", kind), options, forms), F.when(n % 7 == 0, "").otherwise('} rest {"type":"clarify"}'))
+    rows = _replies(spark, sf_dir).select("conv_id", "turn", pg.trailer(whole).alias("t"))
+    return rows.select("conv_id", "turn", "t.type", F.array_join("t.options", ",").alias("options"), F.array_join(F.transform("t.forms", lambda x: x.cast("string")), ",").alias("forms"))
 
 
 # Routes and checks.

@@ -113,9 +113,8 @@ SELECT doc_id, CAST(CASE WHEN p > 0 THEN len(ls) - p + 1 ELSE 0 END AS INTEGER)
 )
 def leading_lines_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines without those at the beginning that are navigation: here, copies of the first two."""
-    own = tx.lines(F.col("text"))
-    furniture = F.filter(F.array(F.get(own, F.lit(0)), F.get(own, F.lit(1))), lambda x: x.isNotNull())
-    rows = read(spark, sf_dir, "documents").select("doc_id", pg.without_leading(own, furniture).alias("kept"))
+    furniture = lambda own: F.filter(F.slice(own, 1, 2), lambda x: x.isNotNull())
+    rows = read(spark, sf_dir, "documents").select("doc_id", pg.without_leading(tx.lines(F.col("text")), furniture).alias("kept"))
     return rows.select("doc_id", F.size("kept").alias("n_lines"), F.get("kept", F.lit(0)).alias("first_line"))
 
 
@@ -186,21 +185,22 @@ def plain_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH p AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)
-SELECT page_id, array_to_string(list_reverse(['Home', 'Port', 'Fees', 'Old'][1:CAST(page_id % 4 + 1 AS INTEGER)])[1:3], ' - ') AS title, CASE WHEN page_id % 2 = 0 THEN 'post ' || page_id ELSE '' END AS post_title,
-  CASE page_id % 3 WHEN 0 THEN '2024-03-05' WHEN 1 THEN '' ELSE '2023-12-31' END AS post_date, CASE WHEN page_id % 2 = 0 THEN 'date ' || CASE page_id % 3 WHEN 0 THEN '2024-3-5' WHEN 1 THEN 'none' ELSE '2023.12.31' END || chr(10) || 'body ' || page_id ELSE '' END AS post_text FROM p"""
+    r"""WITH p AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, regexp_extract(html, '<p>([^<]*)</p>', 1) AS para FROM pages),
+c AS (SELECT *, list_filter(string_split(regexp_extract(url, '^https?://[^/]*/([^?#]*)', 1), '/'), lambda x: trim(x) <> '') AS parts,
+  list_filter(string_split(t || chr(10) || chr(10) || '20' || right('0' || (length(t) % 100), 2) || '-' || (length(para) % 14) || '-' || (length(t) % 33) || chr(10) || para, chr(10)), lambda x: trim(x) <> '') AS ls FROM p),
+d AS (SELECT *, [x for x in ls[1:10] if regexp_matches(x, '(?:20|19)[0-9]{2}[-.]\s?[0-9]{1,2}[-.]\s?[0-9]{1,2}')][1] AS dated FROM c)
+SELECT page_id, array_to_string(list_reverse(parts)[1:3], ' - ') AS title, coalesce(ls[1], '') AS post_title,
+  coalesce(regexp_extract(dated, '((?:20|19)[0-9]{2})[-.]\s?([0-9]{1,2})[-.]\s?([0-9]{1,2})', 1) || '-' || lpad(regexp_extract(dated, '((?:20|19)[0-9]{2})[-.]\s?([0-9]{1,2})[-.]\s?([0-9]{1,2})', 2), 2, '0') || '-' || lpad(regexp_extract(dated, '((?:20|19)[0-9]{2})[-.]\s?([0-9]{1,2})[-.]\s?([0-9]{1,2})', 3), 2, '0'), '') AS post_date,
+  array_to_string(ls[2:], chr(10)) AS post_text FROM d"""
 )
 def board_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breadcrumb titles, and the parts of a post before the links to its neighbours."""
-    p = F.col("page_id")
-    crumbs = F.array_join(F.slice(F.array(*map(F.lit, ("Home", "Port", "Fees", "Old"))), F.lit(1), (p % 4 + 1).cast("int")), " > ")
-    date = F.when(p % 3 == 0, "2024-3-5").when(p % 3 == 1, "none").otherwise("2023.12.31")
-    post = F.concat(F.when(p % 2 == 0, F.concat(F.lit("post "), p.cast("string"), F.lit("\n\ndate "), date, F.lit("\nbody "), p.cast("string"))).otherwise(""), F.lit("\nPrevious post\nother 2020-01-01"))
-    dated = F.when(p % 2 == 0, post).otherwise(F.concat(F.lit("\nPrevious post\n"), date))
-    parts = tx.post_parts(dated, "Previous|Next")
-    known = F.when(p % 3 == 0, "2024-03-05").when(p % 3 == 1, "").otherwise("2023-12-31")
-    rows = read(spark, sf_dir, "pages").select("page_id", tx.page_title(crumbs).alias("title"), parts["title"].alias("post_title"), F.when(p % 2 == 0, parts["date"]).otherwise(known).alias("post_date"), parts["text"].alias("post_text"))
-    return rows
+    """Titles from the parts of a page's address, and the parts of a post, of the page's title and first paragraph, before the links to its neighbours."""
+    t, para = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.regexp_extract("html", "<p>([^<]*)</p>", 1)
+    crumbs = F.array_join(F.split(F.regexp_extract("url", "^https?://[^/]*/([^?#]*)", 1), "/"), " > ")
+    day = F.concat_ws("-", F.concat(F.lit("20"), F.lpad((F.length(t) % 100).cast("string"), 2, "0")), (F.length(para) % 14).cast("string"), (F.length(t) % 33).cast("string"))
+    post = F.concat(t, F.lit("\n\n"), day, F.lit("\n"), para, F.lit("\nPrevious post\nother 2020-01-01"))
+    parts = tx.post_parts(post, "Previous|Next")
+    return read(spark, sf_dir, "pages").select("page_id", tx.page_title(crumbs).alias("title"), parts["title"].alias("post_title"), parts["date"].alias("post_date"), parts["text"].alias("post_text"))
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Event streams: windows with watermarks, sessions, gates, latencies."""
+"""Event streams: windows with watermarks, sessions, latencies."""
 
 from __future__ import annotations
 
@@ -26,17 +26,6 @@ def sessions(events: DataFrame, gap: str, key: str, late: str = "1 hour") -> Dat
     return out.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def released(tokens: DataFrame, verdicts: DataFrame, within: str = "8 seconds", late: str = "1 minute") -> DataFrame:
-    """Tokens (message_id, seq, text, ts) of messages whose gate (message_id, allowed, ts) lets them through.
-
-    A message without a verdict ``within`` the time after a token is let through.  For
-    streams this is a left join with watermarks, so such tokens come out once no verdict can."""
-    t = tokens.withWatermark("ts", late)
-    v = verdicts.select(F.col("message_id").alias("v_id"), "allowed", F.col("ts").alias("v_ts")).withWatermark("v_ts", late)
-    near = (F.col("message_id") == F.col("v_id")) & F.expr(f"v_ts >= ts - INTERVAL {within} AND v_ts <= ts + INTERVAL {within}")
-    return t.join(v, near, "left").filter(F.coalesce("allowed", F.lit(True))).select("message_id", "seq", "text", "ts")
-
-
 def answer_times(tokens: DataFrame, asked: DataFrame) -> DataFrame:
     """(message_id, first_token_s, total_s) from tokens (message_id, ts) and questions (message_id, asked_at)."""
     own = tokens.groupBy("message_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import pages as pg
+from lodestone.functions import text
 from lodestone.operators import chunking
 from lodestone.sources import sheets
 
@@ -36,11 +37,25 @@ def test_answers(spark):
     got = one(spark, pg.answer_blocks(F.lit("Intro **bold** [1]\n1. first [2]\n- dot\n\n")))
     assert [(b.kind, b.text, b.cited) for b in got] == [("paragraph", "Intro bold", [1]), ("ordered", "first", [2]), ("bullet", "dot", [])]
     t = one(spark, pg.trailer(F.lit('@@ {"type":"clarify","options":["a","a","b"],"forms":["[2]",3],"forms":[3,"x"],"type":"answer"} rest')))
-    assert (t.type, t.options, t.actions, t.forms) == ("clarify", ["a", "b"], [], [2, 3])
+    assert (t.type, t.options, t.actions, t.forms) == ("clarify", ["a", "b"], [], [3])
+    t = one(spark, pg.trailer(F.lit('{"type":"clarify","options":["' + "x" * 51 + '"," ",7],"actions":["pay",3,"buy"],"forms":[" 4 ",true,2.5,"a1",-1]}'), ("pay",)))
+    assert (t.type, t.options, t.actions, t.forms) == ("answer", [], ["pay"], [4, -1])
+    t = one(spark, pg.trailer(F.lit('{"type":"answer","options":["a"],"forms":"12","forms":[1]}')))
+    assert (t.type, t.options, t.forms) == ("answer", [], [])
     t = one(spark, pg.trailer(F.lit("none")))
     assert (t.type, t.options, t.forms) == ("answer", [], [])
 
 
+def test_trimming_a_long_text_takes_time_in_proportion(spark):
+    import time
+
+    rows = spark.createDataFrame([("a\nb\n" * 50_000 + "end",)], "text string")
+    kept = pg.without_leading(text.lines(F.col("text")), lambda own: F.slice(own, 1, 2))
+    began = time.time()
+    assert rows.select(F.size(kept)).first()[0] == 1
+    assert time.time() - began < 5
+
+
 def test_sheets(spark):
     rows = [("s", 0, ["Fees 2024", None, ""]), ("s", 1, ["Kind", "2023", "Unit cost"]), ("s", 2, ["Crane", "1,200", "3.5"]), ("s", 3, [None, "7", ""]), ("s", 4, ["", "", ""])]
     got = sheets.sheet_lines(spark.createDataFrame(rows, "sheet string, row int, cells array<string>")).orderBy("row").collect()
