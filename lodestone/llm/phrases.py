@@ -97,9 +97,6 @@ class Words:
         same = (piece[self.starts[1:]] == piece[self.starts[:-1]]) & (self.doc[1:] == self.doc[:-1]) if len(self.starts) else np.zeros(0, bool)
         self.linked = same
 
-    def text(self, i: int) -> str:
-        return self.data[self.starts[i] : self.ends[i]].tobytes().decode()
-
     def grams(self, seed: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For m from 2: hashes of the first and the last m - 1 words at each place, and where the m words are in one piece."""
         own, linked = self.hashes, self.linked
@@ -126,35 +123,56 @@ def _table(columns: dict[str, np.ndarray | list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: v.view(np.int64) if isinstance(v, np.ndarray) and v.dtype == np.uint64 else v for k, v in columns.items()})
 
 
-def _word_counts(seed: int, held: int = 1 << 18) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Words of each language with their hash and count, summed over as many slices as ``held`` different words allow."""
+def _spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of spans, one after another."""
+    ends = np.cumsum(sizes)
+    return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, str], list[int]] = {}
 
-        def out() -> pa.RecordBatch:
-            langs, words = [k[0] for k in known], [k[1] for k in known]
-            values = list(known.values())
-            known.clear()
-            return pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "word": pa.array(words, pa.string()), "h": pa.array([v[0] for v in values], pa.int64()), "f": pa.array([v[1] for v in values], pa.int64())})
+class _WordTable:
+    """Different words of some slices: hash, language, size, count, and their bytes one after another."""
+
+    def __init__(self, h: np.ndarray, lang: np.ndarray, size: np.ndarray, n: np.ndarray, data: np.ndarray, starts: np.ndarray):
+        order = np.argsort(h, kind="stable")
+        h, lang, size, starts = h[order], lang[order], size[order], starts[order]
+        like = np.flatnonzero((h[1:] == h[:-1]) & (lang[1:] == lang[:-1]) & (size[1:] == size[:-1]))
+        # Words of one hash need not be one word: their bytes are compared with those of the one before.
+        differ = _spans(data, starts[like], size[like]) != _spans(data, starts[like + 1], size[like])
+        new = np.ones(len(h), bool)
+        new[like + 1] = np.add.reduceat(differ, np.cumsum(size[like]) - size[like]) if len(like) else False
+        at = np.flatnonzero(new)
+        self.h, self.lang, self.size = h[at], lang[at], size[at]
+        self.n = np.add.reduceat(n[order], at) if len(at) else n[:0]
+        self.data = _spans(data, starts[at], self.size)
+
+    @classmethod
+    def joined(cls, tables: list[_WordTable]) -> _WordTable:
+        h, lang, size, n, data = (np.concatenate([getattr(t, name) for t in tables]) for name in ("h", "lang", "size", "n", "data"))
+        return cls(h, lang, size, n, data, np.cumsum(size) - size)
+
+    def rows(self, langs: list[str]) -> pa.RecordBatch:
+        ends = np.concatenate(([0], np.cumsum(self.size))).astype(np.int64)
+        words = pa.LargeStringArray.from_buffers(len(self.h), pa.py_buffer(ends.tobytes()), pa.py_buffer(self.data.tobytes())).cast(pa.string())
+        names = pa.array(langs, pa.string()).take(pa.array(self.lang))
+        return pa.RecordBatch.from_pydict({"lang": names, "word": words, "h": pa.array(self.h.view(np.int64)), "f": pa.array(self.n)})
 
+
+def _word_counts(seed: int, held: int = 1 << 19) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Words of each language with their hash and count, summed over as many slices as ``held`` different words allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[str, int] = {}
+        tables: list[_WordTable] = []
         for words, langs in _slices(batches, seed):
-            order = np.argsort(words.hashes, kind="stable")
-            ranked = words.hashes[order]
-            # Words of one hash need not be one word: runs are cut wherever the bytes differ in length or in a second hash.
-            second = mix(span_hashes(words.data, words.starts, words.ends) ^ BASE)[order]
-            doc_lang = langs[words.doc[order]] if len(order) else np.zeros(0, str)
-            size = (words.ends - words.starts)[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (ranked[1:] != ranked[:-1]) | (second[1:] != second[:-1]) | (size[1:] != size[:-1]) | (doc_lang[1:] != doc_lang[:-1])
-            firsts = np.flatnonzero(new)
-            for at, n in zip(firsts.tolist(), np.diff(np.append(firsts, len(order))).tolist()):
-                i = int(order[at])
-                entry = known.setdefault((str(doc_lang[at]), words.text(i)), [int(ranked[at].view(np.int64)), 0])
-                entry[1] += n
-            if len(known) >= held:
-                yield out()
-        yield out()
+            own = np.array([codes.setdefault(x, len(codes)) for x in langs.tolist()], np.int64)
+            size = words.ends - words.starts
+            tables.append(_WordTable(words.hashes, own[words.doc], size, np.ones(len(size), np.int64), words.data, words.starts))
+            if sum(len(t.h) for t in tables) >= held:
+                tables = [_WordTable.joined(tables)]
+                if len(tables[0].h) >= held // 2:
+                    yield tables.pop().rows(list(codes))
+        if tables:
+            yield _WordTable.joined(tables).rows(list(codes))
 
     return run
 

@@ -77,6 +77,17 @@ def test_the_hash_is_perfect_and_minimal():
     assert len(phrases.Hash(keys[:0]).slots(keys)) == 5000
 
 
+def test_words_of_one_hash_stay_apart():
+    data = np.frombuffer(b"onetwoonetwosix", np.uint8)
+    starts, size = np.arange(0, 15, 3), np.full(5, 3)
+    table = phrases._WordTable(np.zeros(5, np.uint64), np.zeros(5, np.int64), size, np.ones(5, np.int64), data, starts)
+    rows = phrases._WordTable.joined([table, table]).rows(["en"]).to_pylist()
+    counts = Counter()
+    for r in rows:
+        counts[r["word"]] += r["f"]
+    assert counts == {"one": 4, "two": 4, "six": 2}
+
+
 def test_a_seed_that_lets_words_meet_is_not_taken(spark, monkeypatch):
     docs = corpus(4)
     frame = spark.createDataFrame(docs, "lang string, text string")
