@@ -6,11 +6,14 @@ are joined for the k rows that are left.
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
@@ -80,6 +83,34 @@ def _cap(config: RetrievalConfig) -> Column:
     return cap
 
 
+def _unit_caps(pairs: DataFrame, config: RetrievalConfig, capped_kinds: bool) -> DataFrame:
+    """The k best units of each question: a unit's best chunk, at most ``per_doc`` units of a document and, in what is left, the caps of the kinds."""
+    held = F.max("held") if "held" in pairs.columns else F.lit(None).cast("int")
+    best = pairs.groupBy("qid", "unit").agg(F.min(F.struct("dist", "chunk_id", "doc_id", "kind")).alias("b"), held.alias("held")).select("qid", "unit", "b.*", "held")
+    by = lambda *keys: Window.partitionBy("qid", *keys).orderBy("dist", "unit")
+    few = best.withColumn("rn", F.row_number().over(by("doc_id"))).filter(F.col("rn") <= config.per_doc).drop("rn")
+    if capped_kinds and config.kind_caps:
+        # No kind can have more than k, so that each side of a shuffle keeps k rows of a kind at most.
+        few = few.withColumn("rg", F.row_number().over(by("kind"))).filter(F.col("rg") <= config.k).filter(F.col("rg") <= F.coalesce(_cap(config), F.lit(config.k))).drop("rg")
+    return few.withColumn("rank", F.row_number().over(by())).filter(F.col("rank") <= config.k)
+
+
+def _capped(rows: list[Row], config: RetrievalConfig, capped_kinds: bool) -> list[tuple]:
+    """What ``_unit_caps`` says, of the nearest chunks of one question in order."""
+    units, docs, kinds = set(), Counter(), Counter()
+    out: list[tuple] = []
+    for r in rows:
+        if r.unit in units or len(out) == config.k:
+            continue
+        units.add(r.unit)
+        docs[r.doc_id] += 1
+        if docs[r.doc_id] <= config.per_doc:
+            kinds[r.kind] += 1
+            if not capped_kinds or kinds[r.kind] <= config.kind_caps.get(r.kind, config.k):
+                out.append((r.qid, r.unit, r.dist, r.chunk_id, r.doc_id, r.kind, len(out) + 1))
+    return out
+
+
 def top_k(chunks: DataFrame, questions: DataFrame, config: RetrievalConfig | None = None, capped_kinds: bool = True, one: bool = False) -> DataFrame:
     """The best chunks of each question: qid, rank, chunk_id (the unit), part_id, doc_id, kind, score.
 
@@ -87,20 +118,40 @@ def top_k(chunks: DataFrame, questions: DataFrame, config: RetrievalConfig | Non
     won, null if the parent did); then at most ``per_doc`` units of a document and, in what is
     left, the caps of the kinds; then k.  Ties go to the smaller unit, then chunk.  Without
     ``capped_kinds`` the candidates of a later re-ranking come out.  ``one`` says that there is
-    only one question, so that it need not be counted."""
+    only one question, so that it need not be counted.
+
+    Each task keeps the ``heap`` nearest chunks of a question, and these are all that a shuffle moves: of
+    any unit among the nearest its best chunk is, and no unit further away can displace one of them.  So k
+    units from them are the answer, and so are fewer if all its chunks were among them.  Questions that the caps
+    leave short (all near chunks are of a few documents) are answered from all chunks.  What comes of the heaps, k rows
+    a question, is computed here and kept in Spark's cache; for one question the driver gets the heap, 1,000 rows at most."""
     config = config or RetrievalConfig()
-    best = (
-        _scored(chunks, questions, config, one)
-        .groupBy("qid", "unit")
-        .agg(F.min(F.struct("dist", "chunk_id", "doc_id", "kind")).alias("b"))
-        .select("qid", "unit", "b.*")
-    )
-    by = lambda *keys: Window.partitionBy("qid", *keys).orderBy("dist", "unit")
-    few = best.withColumn("rn", F.row_number().over(by("doc_id"))).filter(F.col("rn") <= config.per_doc).drop("rn")
-    if capped_kinds and config.kind_caps:
-        # No kind can have more than k, so that each side of the shuffle keeps k rows of a kind at most.
-        few = few.withColumn("rg", F.row_number().over(by("kind"))).filter(F.col("rg") <= config.k).filter(F.col("rg") <= F.coalesce(_cap(config), F.lit(config.k))).drop("rg")
-    ranked = few.withColumn("rank", F.row_number().over(by())).filter(F.col("rank") <= config.k)
+    heap = min(1000, max(64, 4 * config.k * (config.per_doc + len(config.kind_caps))))
+    pairs = _scored(chunks, questions, config, one)
+    rest_of = lambda asked: _unit_caps(_scored(chunks, asked, config, one), config, capped_kinds).drop("held")
+    if one:
+        spark = chunks.sparkSession
+        nearest = pairs.orderBy("dist", "unit", "chunk_id").limit(heap)
+        rows = nearest.collect()
+        found = _capped(rows, config, capped_kinds)
+        if len(rows) == heap and len(found) < config.k:
+            return _hits(rest_of(questions))
+        kinds = {f.name: f.dataType for f in nearest.schema}
+        schema = StructType([StructField(n, IntegerType() if n == "rank" else kinds[n]) for n in ("qid", "unit", "dist", "chunk_id", "doc_id", "kind", "rank")])
+        return _hits(spark.createDataFrame(found, schema))
+    near = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "unit", "chunk_id"))).filter(F.col("rn") <= heap)
+    # Of the same rows of a question, in the same task: whether the heap was full, and how many units the caps left.
+    held = near.withColumn("held", F.max("rn").over(Window.partitionBy("qid"))).drop("rn")
+    first = _unit_caps(held, config, capped_kinds).withColumn("got", F.max("rank").over(Window.partitionBy("qid")))
+    first = first.withColumn("run", F.lit(uuid.uuid4().hex)).persist()  # kept for this call, not for later ones
+    short = first.filter((F.col("held") == heap) & (F.col("got") < config.k)).select("qid").distinct()
+    ranked = first.drop("held", "got", "run")
+    if not short.isEmpty():
+        ranked = ranked.join(short, "qid", "left_anti").unionByName(rest_of(questions.join(short, "qid", "left_semi")))
+    return _hits(ranked)
+
+
+def _hits(ranked: DataFrame) -> DataFrame:
     return ranked.select(
         "qid",
         "rank",
@@ -138,7 +189,8 @@ def select_capped(hits: DataFrame, key: Column, config: RetrievalConfig | None =
     order = Window.partitionBy("qid").orderBy(F.desc("key"), "chunk_id")
     within = Window.partitionBy("qid", "kind").orderBy(F.desc("key"), "chunk_id")
     cap = _cap(config)
-    kept = hits.withColumn("key", key).withColumn("own", F.row_number().over(within)).filter(cap.isNull() | (F.col("own") <= cap)).drop("own")
+    own = hits.withColumn("key", key).withColumn("own", F.row_number().over(within)).filter(F.col("own") <= config.k)  # pushed below the shuffle
+    kept = own.filter(F.col("own") <= F.coalesce(cap, F.lit(config.k))).drop("own")
     return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= config.k)
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -298,3 +301,41 @@ def test_html_tables(spark):
     assert set(rows(links.select("kind", "url", "label"))) == {("link", "https://a.org/d/f.pdf", "the file"), ("image", "https://a.org/i.png", "pic")}
     wanted = spark.createDataFrame([(1, "https://a.org/d/f.pdf"), (1, "https://a.org/g.pdf")], "parent_id long, url string")
     assert rows(htmltables.attested(wanted, links).select("url")) == [("https://a.org/d/f.pdf",)]
+
+
+def test_heaps_that_caps_leave_short_are_answered_from_all_chunks(spark):
+    """The nearest chunks are all of one document or parts of one unit, more than a heap holds; ties all over."""
+    import random
+
+    rng = random.Random(5)
+    chunk = lambda i, parent, doc, x: (f"c{i:04}", parent, doc, rng.choice(["law", "form", "other"]), None, [x, 1.0])
+    data = [chunk(i, "c0000" if i < 120 else None, "near" if i < 200 else f"d{i % 40}", 0.9 if i < 200 else rng.choice([0.1, 0.2, 0.3, 0.3])) for i in range(600)]
+    chunks = spark.createDataFrame(data, "chunk_id string, parent_chunk_id string, doc_id string, kind string, language string, embedding array<float>").repartition(5)
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, [0.0, 0.0])], "qid int, vector array<float>")
+    config = retrieval.RetrievalConfig(k=6)
+    want = []
+    for qid, vector in ((1, 1.0), (2, -1.0), (3, 0.0)):
+        units = {}
+        for cid, parent, doc, kind, _, e in data:
+            key = (1.0 - float(np.float32(e[0])) * vector, parent or cid)
+            units[key[1]] = min(units.get(key[1], (9.0,)), (key[0], cid, doc, kind))
+        docs, kinds, out = Counter(), Counter(), []
+        for dist, unit, cid, doc, kind in sorted((v[0], u, *v[1:]) for u, v in units.items()):
+            docs[doc] += 1
+            if docs[doc] <= config.per_doc:
+                kinds[kind] += 1
+                if kinds[kind] <= config.kind_caps.get(kind, config.k) and len(out) < config.k:
+                    out.append((qid, len(out) + 1, unit, cid if cid != unit else None))
+        want += out
+    hits = retrieval.top_k(chunks, asked, config).select("qid", "rank", "chunk_id", "part_id")
+    assert sorted(map(tuple, hits.collect())) == want
+    for q in (1, 2, 3):
+        one = retrieval.top_k(chunks, asked.filter(f"qid = {q}"), config, one=True).select("qid", "rank", "chunk_id", "part_id")
+        assert sorted(map(tuple, one.collect())) == [w for w in want if w[0] == q]
+
+
+def test_only_heaps_cross_the_shuffle(spark):
+    chunks = spark.range(5000).select(F.col("id").cast("string").alias("chunk_id"), F.lit(None).cast("string").alias("parent_chunk_id"), F.col("id").cast("string").alias("doc_id"), F.lit("other").alias("kind"), F.lit(None).cast("string").alias("language"), F.array(F.rand(1).cast("float"), F.rand(2).cast("float")).alias("embedding")).repartition(4)
+    asked = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)], "qid int, vector array<float>")
+    hits = retrieval.top_k(chunks, asked)
+    assert "WindowGroupLimit" in hits._jdf.queryExecution().executedPlan().toString() and hits.count() == 15
