@@ -4,10 +4,15 @@ A check that does not apply is null and counts nowhere."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.operators.index import numbered
+from lodestone.operators.quantiles import exact_quantiles
 
 
 def first_gold_ranks(hits: DataFrame, gold: DataFrame, by: str) -> DataFrame:
@@ -33,23 +38,20 @@ def rates(rows: DataFrame, group: str, checks: str = "checks") -> DataFrame:
 
 def latency(rows: DataFrame, seconds: str, within: float, *groups: str) -> DataFrame:
     """n, mean, median, nearest-rank 95th percentile, max and the share within a limit; null times count nowhere."""
-    s = F.col(seconds)
-    return rows.filter(s.isNotNull()).groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(s).alias("mean"),
-        F.median(s).alias("median"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY `{seconds}`)").alias("p95"),
-        F.max(s).alias("max"),
-        F.avg((s <= within).cast("int")).alias("share_within"),
-    )
+    own = exact_quantiles(rows, seconds, list(groups), {"median": ("cont", 0.5), "p95": ("disc", 0.95)})
+    s = F.col(seconds).cast("double")
+    good = rows.filter(s.isNotNull() & ~F.isnan(s) & (F.abs(s) != F.lit(float("inf")))).groupBy(*(F.col(g).alias(f"of {g}") for g in groups)).agg(F.avg((s <= within).cast("int")).alias("share_within"))
+    same = reduce(and_, (F.col(g).eqNullSafe(F.col(f"of {g}")) for g in groups), F.lit(True))
+    return own.join(good, same).select(*groups, "n", "mean", "median", "p95", "max", "share_within")
 
 
 def threshold(scores: DataFrame, low: str, high: str) -> DataFrame:
     """From (grp, score): min, median and max of two groups, whether they are apart, and the midpoint between them."""
-    of = lambda g, f: f(F.when(F.col("grp") == g, F.col("score")))
-    own = scores.agg(
-        *(of(g, f).alias(f"{name}_{n}") for g, name in ((low, "low"), (high, "high")) for n, f in (("min", F.min), ("median", F.median), ("max", F.max)))
-    )
+    medians = exact_quantiles(scores.filter(F.col("grp").isin(low, high)), "score", ["grp"], {"median": ("cont", 0.5)})
+    ends = scores.filter(F.col("grp").isin(low, high)).groupBy(F.col("grp").alias("of")).agg(F.min("score").alias("min"))
+    facts = medians.join(ends, F.col("grp") == F.col("of"), "left")
+    of = lambda g, c: F.max(F.when(F.col("grp") == g, F.col(c)))
+    own = facts.agg(*(of(g, n).alias(f"{name}_{n}") for g, name in ((low, "low"), (high, "high")) for n in ("min", "median", "max")))
     return own.withColumn("apart", F.col("low_max") < F.col("high_min")).withColumn("midpoint", F.when(F.col("apart"), (F.col("low_max") + F.col("high_min")) / 2))
 
 
@@ -141,9 +143,8 @@ def compare_runs(answers: DataFrame, *values: str, most: int = 100) -> DataFrame
 
 
 def every_nth(rows: DataFrame, n: int, group: str, *order: str) -> DataFrame:
-    """A systematic sample: of each group the first row of every n."""
-    w = Window.partitionBy(group).orderBy(*order)
-    return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") % n == (1 % n)).drop("_r")
+    """A systematic sample: of each group the first row of every n.  No task numbers a whole group."""
+    return numbered(rows, group, *order).filter(F.col("number") % n == (1 % n)).drop("number")
 
 
 def with_gold(answers: DataFrame, golden: DataFrame) -> tuple[DataFrame, DataFrame]:

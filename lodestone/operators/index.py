@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import bitmaps
+from lodestone.sources.work import Scratch
+
 
 def input_text(title: Column, sections: Column, text: Column) -> Column:
     """What an encoder reads: title, section titles, text."""
@@ -18,29 +21,36 @@ def token_guard(tokens: Column, most: int, chunk_id: Column) -> Column:
     return F.when(tokens <= most, tokens).otherwise(F.raise_error(F.concat(F.lit("too many tokens: "), chunk_id.cast("string"))))
 
 
-def embed(chunks: DataFrame, known: DataFrame, encode: Callable[[Column], Column]) -> DataFrame:
+def embed(chunks: DataFrame, known: DataFrame, encode: Callable[[Column], Column], bits: int = bitmaps.BITS) -> DataFrame:
     """(chunk_id, embedding, reused): the vector of each chunk's ``input``, from ``known`` (input_hash,
-    embedding) where that has it, else by ``encode``, the column expression of an encoder.  Each new input is encoded once, however many chunks have it."""
+    embedding) where that has it, else by ``encode``, the column expression of an encoder.  Each new input is encoded once, however many chunks have it.
+
+    A bitmap of the known hashes goes to the scan of the chunks: an input that is not in it is new without a join, and
+    only inputs that must be encoded move with their texts."""
     keyed = chunks.select("chunk_id", "input", F.sha2("input", 256).alias("input_hash"))
     old = known.select("input_hash", "embedding").dropDuplicates(["input_hash"])
-    new = keyed.join(old, "input_hash", "left_anti").groupBy("input_hash").agg(F.min("input").alias("input"))
+    place = bitmaps.bucket(F.xxhash64("input_hash"), bits)
+    marked = bitmaps.asked(keyed, bitmaps.of_buckets(known.select(place.alias("bucket")), "bucket", bits)).withColumn("maybe", bitmaps.may_hold(place)).drop("bitmap")
+    by_chance = marked.filter("maybe").select("input_hash").distinct().join(old.select("input_hash"), "input_hash", "left_anti")
+    texts = marked.filter("not maybe").select("input_hash", "input").unionByName(marked.filter("maybe").select("input_hash", "input").join(by_chance, "input_hash", "left_semi"))
+    new = texts.groupBy("input_hash").agg(F.min("input").alias("input"))
     made = new.select("input_hash", encode(F.col("input")).alias("embedding"), F.lit(False).alias("reused"))
     every = old.withColumn("reused", F.lit(True)).unionByName(made)
     return keyed.select("chunk_id", "input_hash").join(every, "input_hash").select("chunk_id", "embedding", "reused")
 
 
-def version_digest(chunks: DataFrame, revision: str, buckets: int = 4096) -> DataFrame:
-    """(n, digest) over the ids and text hashes of all chunks, whatever their order.
+def version_digest(chunks: DataFrame, revision: str, fan_in: int = 4096) -> DataFrame:
+    """(n, digest) of a version: a tree of digests over its rows in the order of their ids.
 
-    Rows go to buckets by the beginning of their hashes; a bucket's digest is over the sums of
-    their parts, so it needs no order; the bucket digests, a fixed number, make the digest of the version."""
-    row = F.sha2(F.concat_ws("\u001f", F.col("chunk_id").cast("string"), "chunk_text_sha256"), 256)
-    rows = chunks.select(row.alias("h")).withColumn("b", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
-    part = lambda i: F.sum(F.conv(F.substring("h", 12 * i + 1, 12), 16, 10).cast("decimal(38,0)"))
-    own = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"), *(part(i).alias(f"p{i}") for i in range(5)))
-    digests = own.select("n", F.struct("b", F.sha2(F.concat_ws(":", "b", "n", *(f"p{i}" for i in range(5))), 256).alias("d")).alias("x"))
-    every = F.array_join(F.array_sort(F.collect_list("x"))["d"], "")
-    return digests.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.substring(F.sha2(F.concat(F.lit(revision), every), 256), 1, 12).alias("digest"))
+    Rows (chunk_id, chunk_text_sha256) are numbered in order; every ``fan_in`` of them are a leaf, every ``fan_in``
+    leaves a node, and so on for three levels; what is left then, one node for 2.8e14 rows, makes the digest.  No task has more
+    than ``fan_in`` digests of a level.  It is the same for any partitioning, and another if two ids change places."""
+    line = F.concat_ws("\u001f", F.col("chunk_id").cast("string"), F.col("chunk_text_sha256"))
+    nodes = numbered(chunks.select("chunk_id", line.alias("d"), F.lit(0).alias("all")), "all", "chunk_id", "d").select((F.col("number") - 1).alias("i"), "d", F.lit(1).cast("long").alias("n"))
+    joined = F.array_join(F.array_sort(F.collect_list(F.struct("i", "d")))["d"], "\n")
+    for _ in range(3):
+        nodes = nodes.groupBy(F.expr(f"i div {fan_in}").alias("up")).agg(F.sha2(joined, 256).alias("d"), F.sum("n").alias("n")).withColumnRenamed("up", "i")
+    return nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.substring(F.sha2(F.concat(F.lit(revision), joined), 256), 1, 12).alias("digest"))
 
 
 def manifest(chunks: DataFrame) -> DataFrame:
@@ -54,22 +64,24 @@ def reachable(spark: SparkSession, roots: DataFrame, links: DataFrame, blocked:
     """(page, depth) of the pages that links (src, dst) reach from roots (page), each at its least depth.
 
     One join of the frontier a step; pages whose ``blocked`` expression (over dst) holds are not
-    entered.  Each frontier is cut with a checkpoint, and their union at every eighth step."""
+    entered.  Each frontier is a written table, and their union at every eighth step."""
     edges = links.select("src", "dst")
     if blocked is not None:
         edges = edges.filter(~F.coalesce(blocked, F.lit(False)))
-    edges = edges.distinct().checkpoint()
-    seen = roots.select("page").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    scratch = Scratch(spark, "reachable")
+    edges = scratch.cut(edges.distinct())
+    seen = scratch.cut(roots.select("page").distinct().withColumn("depth", F.lit(0)))
     frontier, depth = seen, 0
     while True:
         depth += 1
         found = edges.join(frontier.select(F.col("page").alias("src")), "src").select(F.col("dst").alias("page")).distinct()
-        frontier = found.join(seen, "page", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        frontier = found.join(seen, "page", "left_anti").withColumn("depth", F.lit(depth))
+        frontier = scratch.cut(frontier)
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
         if depth % 8 == 0:
-            seen = seen.checkpoint()
+            seen = scratch.cut(seen)
 
 
 def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
@@ -77,7 +89,7 @@ def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
 
     Rows are sorted by ranges; each range's first place of a group is known from counts, of which
     there is one for each group and range.  Rows that are equal in group and order are in any order."""
-    placed = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    placed = Scratch(rows.sparkSession, "numbered").cut(rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     counts = placed.groupBy(group, part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

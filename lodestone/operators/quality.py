@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.operators import bitmaps
 
 
 def line_frequencies(documents: DataFrame, longest: int = 60) -> DataFrame:
@@ -14,16 +15,25 @@ def line_frequencies(documents: DataFrame, longest: int = 60) -> DataFrame:
     return documents.select("lang", F.explode(own).alias("line")).groupBy("lang", "line").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def without_repeated_lines(documents: DataFrame, least_docs: int = 5, longest: int = 60, spare: str = r"[|—]") -> DataFrame:
+def without_repeated_lines(documents: DataFrame, least_docs: int = 5, longest: int = 60, spare: str = r"[|—]", bits: int = bitmaps.BITS) -> DataFrame:
     """(doc_id, text): without the lines that ``least_docs`` documents of the language have,
     but for those that match ``spare``.
 
-    Only short lines are looked up, and a line that many documents have is joined in parts by
+    First hashes of short lines are counted in 2**bits buckets, once a document; a line whose bucket has fewer can't
+    be in so many documents.  Only lines that may be are made rows: counted exactly, looked up, and joined in parts by
     salt.  The texts move once, to the positions that are dropped from them."""
     salts = 16
-    listed = documents.select("doc_id", "lang", F.posexplode(tx.lines(F.col("text"))).alias("pos", "line"))
-    candidates = listed.filter((F.length("line") < longest) & ~F.col("line").rlike(spare)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    repeated = line_frequencies(documents, longest).filter(F.col("n_docs") >= least_docs).select("lang", "line", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    place = lambda x: bitmaps.bucket(F.xxhash64("lang", x), bits)
+    short = F.filter(tx.lines(F.col("text")), lambda x: F.length(x) < longest)
+    buckets = documents.select(F.explode(F.array_distinct(F.transform(short, place))).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    bitmap = bitmaps.of_buckets(buckets.filter(F.col("n") >= least_docs), "bucket", bits)
+    numbered = F.transform(tx.lines(F.col("text")), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+    likely = F.filter(numbered, lambda e: (F.length(e["line"]) < longest) & bitmaps.may_hold(place(e["line"])))
+    rows = bitmaps.asked(documents.select("doc_id", "lang", "text"), bitmap).select("doc_id", "lang", likely.alias("likely"))
+    counted = rows.select("lang", F.explode(F.array_distinct(F.col("likely")["line"])).alias("line")).groupBy("lang", "line").agg(F.count(F.lit(1)).alias("n_docs"))
+    listed = rows.select("doc_id", "lang", F.explode("likely").alias("e")).select("doc_id", "lang", "e.pos", "e.line")
+    candidates = listed.filter(~F.col("line").rlike(spare)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    repeated = counted.filter(F.col("n_docs") >= least_docs).select("lang", "line", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     dropped = candidates.join(repeated, ["lang", "line", "salt"], "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("dropped"))
     kept = F.filter(tx.lines(F.col("text")), lambda x, i: ~F.coalesce(F.array_contains("dropped", i), F.lit(False)))
     return documents.join(dropped, "doc_id", "left").select("doc_id", F.array_join(kept, "\n").alias("text"))
