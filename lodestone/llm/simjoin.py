@@ -276,14 +276,15 @@ class _Join:
             return rows
         side = F.broadcast(self.clashes) if self.clashes.count() <= self.plan.broadcast_keys else self.clashes
         again = F.when(F.col("clash").isNotNull(), F.xxhash64("node", _check(F.col("text")))).otherwise(F.col("node"))
-        return rows.join(side, F.col("node") == F.col("clash"), "left").withColumn("node", again).drop("clash")
+        none = rows.filter(F.col("node").isNull())  # many rows may have none; they must not meet in a task
+        return rows.filter(F.col("node").isNotNull()).join(side, F.col("node") == F.col("clash"), "left").withColumn("node", again).drop("clash").unionByName(none)
 
     def nodes(self) -> DataFrame:
         """node, rep (least id), copies, n_shingles, sig: one row for each different text with words."""
         found = self.cut(self._nodes())
         clashes = found.filter("check_min <> check_max").select(F.col("node").alias("clash"))
         if not clashes.isEmpty():
-            self.clashes = Scratch(self.spark, "jaccard").cut(clashes)
+            self.clashes = Scratch(self.spark, "clashes").cut(clashes)
             found = self.cut(self._nodes())
         return found.drop("check_min", "check_max")
 
@@ -433,12 +434,10 @@ def jaccard_join(documents: DataFrame, plan: JoinPlan | None = None) -> DataFram
     result; other columns are not read."""
     join = _Join(documents, plan or JoinPlan())
     classes = join.classes().withColumn("n", F.col("copies"))
-    found = F.col("rep_node").isNotNull()
-    return join.spread(join.keyed(join.documents).select("doc_id", "node"), classes, "node", "left").select(
-        "doc_id",
-        F.when(found, F.col("rep_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
-    )
+    rows = join.keyed(join.documents).select("doc_id", "node")
+    none = rows.filter(F.col("node").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    some = join.spread(rows.filter(F.col("node").isNotNull()), classes, "node", "left")
+    return some.select("doc_id", F.col("rep_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links")).unionByName(none)
 
 
 def one_of_each_class(documents: DataFrame, plan: JoinPlan | None = None) -> DataFrame:

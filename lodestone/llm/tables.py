@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.work import Scratch, shared_folder
+
+__all__ = ["SALTS", "Scratch", "held_out", "labelled_sample", "read", "row_of", "shared_folder", "spread_join", "text_or_empty"]
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, by Spark's reader only (the folder may be remote)."""
@@ -27,38 +29,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, for checkpoints and written tables: that of
-    ``spark.checkpoint.dir``.  Without the setting a local session uses its warehouse; a cluster has no such folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-    return folder.rstrip("/")
-
-
-class Scratch:
-    """Tables in the shared folder that cut lineage: a lost executor costs tasks of one step only,
-    and Spark knows their sizes.  ``clear`` removes them when what was made of them is written."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", []
-
-    def cut(self, rows: DataFrame) -> DataFrame:
-        """``rows``, written and to be read from there."""
-        self.paths.append(f"{self.folder}/{len(self.paths)}")
-        rows.write.parquet(self.paths[-1])
-        return self.spark.read.schema(rows.schema).parquet(self.paths[-1])
-
-    def clear(self, keep: int = 0) -> None:
-        """Removes the tables but for the last ``keep``."""
-        jvm = self.spark.sparkContext._jvm
-        for path in self.paths[: len(self.paths) - keep]:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 SALTS = 64
 
 
