@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import pages as pg
 from lodestone.operators import conversation, evaluation, evidence, retrieval
 from lodestone.plans.registry import query, read
-from lodestone.sources import readers
+from lodestone.sources import readers, streams
+from lodestone.sources.work import remove_at_exit, shared_folder
 from lodestone.streaming import events as ev
 from lodestone.streaming import filters, gate
 
@@ -68,6 +71,21 @@ def stream_events_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col("message_id").alias("conv_id"), place.alias("place"), "event", "data")
 
 
+@query(
+    """SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'message' ELSE 'token' END AS event, sha256(text) AS text_sha256, length(text) AS n_chars FROM conversations"""
+)
+def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as files of server-sent events with comments, empty events and an unfinished one at the end of each, read by the event source."""
+    name = F.when(F.col("role") == "user", "").otherwise("event: token\n")
+    data = F.to_json(F.struct("conv_id", "turn", "text"))
+    block = F.concat(F.lit(": note\n"), name, F.lit("data: "), data, F.lit("\n\nevent: none\n"))
+    path = remove_at_exit(spark, f"{shared_folder(spark)}/events-{uuid.uuid4().hex}")
+    read(spark, sf_dir, "conversations").select(block.alias("value")).write.text(path)
+    events = streams.message_files(spark, path if "://" in path else path.replace("file:", "file://", 1), part_bytes=1 << 20)
+    said = F.from_json("data", "conv_id long, turn long, text string")
+    return events.select(said.alias("s"), "event").select("s.conv_id", "s.turn", "event", F.sha2("s.text", 256).alias("text_sha256"), F.length("s.text").cast("long").alias("n_chars"))
+
+
 @query("SELECT conv_id, count(*) + 1 AS n, sha256(string_agg(text, '' ORDER BY turn)) AS text_sha256, 1 AS ends FROM conversations GROUP BY conv_id")
 def token_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NDJSON lines of tokens, read and joined."""

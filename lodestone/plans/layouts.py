@@ -76,17 +76,16 @@ def rendered_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT l_orderkey % 50 AS section, l_partkey % 20 AS r, l_suppkey % 3 AS t FROM lineitem WHERE l_orderkey % 50 < 30 AND l_partkey % 20 <> 7 AND l_linenumber = 1), q AS (SELECT section, r, count(*) AS np, min(t) AS pt FROM p GROUP BY 1, 2),
-b AS (SELECT s.range AS section, r.range AS r, s.range % 3 AS bt FROM range(40) s, range(20) r WHERE s.range % 10 <> 9)
-SELECT coalesce(q.section, b.section) AS section, coalesce(q.r, b.r) AS record_number, CASE WHEN np IS NULL THEN 'left over' WHEN bt IS NULL THEN 'no block' WHEN np > 1 THEN 'repeated' WHEN pt = bt THEN 'linked' ELSE 'other text' END AS state
-FROM q FULL JOIN b ON q.section = b.section AND q.r = b.r"""
+    """WITH p AS (SELECT l_orderkey AS section, l_linenumber // 2 AS r, count(*) AS np, min(l_returnflag) AS pt FROM lineitem GROUP BY 1, 2),
+b AS (SELECT o_orderkey AS section, unnest(range(3)) AS r, CASE WHEN o_orderstatus = 'O' THEN 'N' ELSE 'R' END AS bt FROM orders)
+SELECT coalesce(p.section, b.section) AS section, CAST(coalesce(p.r, b.r) AS INTEGER) AS record_number, CASE WHEN np IS NULL THEN 'left over' WHEN bt IS NULL THEN 'no block' WHEN np > 1 THEN 'repeated' WHEN pt = bt THEN 'linked' ELSE 'other text' END AS state
+FROM p FULL JOIN b ON p.section = b.section AND p.r = b.r"""
 )
 def linked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cell paragraphs against the blocks of a document."""
-    li = read(spark, sf_dir, "lineitem").filter("l_orderkey % 50 < 30 and l_partkey % 20 <> 7 and l_linenumber = 1")
-    paragraphs = li.select((F.col("l_orderkey") % 50).alias("section"), (F.col("l_partkey") % 20).alias("record_number"), (F.col("l_suppkey") % 3).cast("string").alias("text"))
-    n = F.col("id")
-    blocks = spark.range(800).select(F.floor(n / 20).alias("section"), (n % 20).alias("record_number")).filter("section % 10 <> 9").withColumn("text", (F.col("section") % 3).cast("string"))
+    """Cell paragraphs against the blocks of a document: an order is a section, its lines are paragraphs, two to a record."""
+    paragraphs = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("section"), F.floor(F.col("l_linenumber") / 2).cast("int").alias("record_number"), F.col("l_returnflag").alias("text"))
+    orders = read(spark, sf_dir, "orders").withColumn("text", F.when(F.col("o_orderstatus") == "O", "N").otherwise("R"))
+    blocks = orders.select(F.col("o_orderkey").alias("section"), F.explode(F.array(*map(F.lit, range(3)))).alias("record_number"), "text")
     return htmltables.linked_cells(paragraphs, blocks)
 
 
@@ -112,16 +111,16 @@ def rowspan_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT c_nationkey AS sheet, CAST(c_custkey + 2 AS INTEGER) AS row, c_name || ' ' || c_mktsegment || ' — Nation: ' || c_nationkey || '; column: ' || c_custkey AS text FROM customer WHERE c_custkey >= 25
-UNION ALL SELECT n_nationkey, 0, 'Customers of ' || n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey >= 25)"""
+    """SELECT c_nationkey AS sheet, CAST(c_custkey + 102 AS INTEGER) AS row, c_name || ' ' || c_mktsegment || ' — Nation: ' || c_nationkey || '; column: ' || c_custkey AS text FROM customer
+UNION ALL SELECT n_nationkey, 100, 'Customers of ' || n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)"""
 )
 def sheet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spreadsheet rows as text, with the headers of their numbers."""
-    c = read(spark, sf_dir, "customer").filter("c_custkey >= 25")
-    rows = c.select(F.col("c_nationkey").alias("sheet"), (F.col("c_custkey") + 2).cast("int").alias("row"), F.array("c_name", "c_mktsegment", F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string")).alias("cells"))
+    """Spreadsheet rows as text, with the headers of their numbers; the sheets begin at row 100."""
+    c = read(spark, sf_dir, "customer")
+    rows = c.select(F.col("c_nationkey").alias("sheet"), (F.col("c_custkey") + 102).cast("int").alias("row"), F.array("c_name", "c_mktsegment", F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string")).alias("cells"))
     some = read(spark, sf_dir, "nation").join(c.select(F.col("c_nationkey").alias("n_nationkey")).distinct(), "n_nationkey")
-    title = some.select(F.col("n_nationkey").alias("sheet"), F.lit(0).alias("row"), F.array(F.concat(F.lit("Customers of "), "n_name"), F.lit(None).cast("string")).alias("cells"))
-    heads = some.select(F.col("n_nationkey").alias("sheet"), F.lit(1).alias("row"), F.array(*map(F.lit, ("Name", "Segment", "Nation", ""))).alias("cells"))
+    title = some.select(F.col("n_nationkey").alias("sheet"), F.lit(100).alias("row"), F.array(F.concat(F.lit("Customers of "), "n_name"), F.lit(None).cast("string")).alias("cells"))
+    heads = some.select(F.col("n_nationkey").alias("sheet"), F.lit(101).alias("row"), F.array(*map(F.lit, ("Name", "Segment", "Nation", ""))).alias("cells"))
     return sheets.sheet_lines(rows.unionByName(title).unionByName(heads))
 
 

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from lodestone.operators import approval
 from lodestone.plans.registry import query, read
 from lodestone.sources import readers, sinks
-from lodestone.sources.work import shared_folder
+from lodestone.sources.work import remove_at_exit, shared_folder
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/query-{uuid.uuid4().hex}"
+    return remove_at_exit(spark, f"{shared_folder(spark)}/query-{uuid.uuid4().hex}")
 
 
 def _narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,14 +29,18 @@ def written_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.read_version(spark, path).select("chunk_id", "lang", "chunk_text_sha256", F.lit(states[0]).alias("first"), F.lit(states[1]).alias("second"))
 
 
-@query("SELECT CASE WHEN vec_id % 3 = 1 THEN 'v1' ELSE 'v2' END AS index_version, vec_id AS chunk_id FROM embeddings WHERE vec_id % 3 <> 0 AND (vec_id % 3 = 1 AND vec_id % 2 = 0 OR vec_id % 3 = 2)")
+@query("SELECT CASE WHEN vec_id % 3 = 1 THEN 'v1' ELSE 'v2' END AS index_version, vec_id AS chunk_id, label FROM embeddings WHERE vec_id % 3 <> 1 OR label % 2 = 0")
 def replaced_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index versions, one of which is replaced as a whole."""
+    """Two index versions of all vectors, one of which is replaced as a whole by its even labels; what no commit names is removed."""
     path, v = _folder(spark), F.col("vec_id")
-    vectors = read(spark, sf_dir, "embeddings").select(F.when(v % 3 == 1, "v1").otherwise("v2").alias("index_version"), v.alias("chunk_id"), F.array(v.cast("float")).alias("embedding")).filter("chunk_id % 3 <> 0")
-    sinks.replace_version(vectors, path, 1)
-    sinks.replace_version(vectors.filter("index_version = 'v1' and chunk_id % 2 = 0"), path, 1)
-    return sinks.read_current(spark, path, verify=True).select("index_version", "chunk_id")
+    vectors = read(spark, sf_dir, "embeddings").select(F.when(v % 3 == 1, "v1").otherwise("v2").alias("index_version"), v.alias("chunk_id"), "label", "embedding")
+    dim = vectors.select(F.size("embedding")).first()[0]
+    sinks.replace_version(vectors.filter("index_version = 'v1'"), path, dim)
+    sinks.replace_version(vectors.filter("index_version = 'v2'"), path, dim)
+    sinks.replace_version(vectors.filter("index_version = 'v1' and label % 2 = 0"), path, dim)
+    if sinks.remove_unnamed(spark, path, hours=0) != 1:
+        raise RuntimeError("the replaced version has left other than one folder")
+    return sinks.read_current(spark, path, verify=True).select("index_version", "chunk_id", "label")
 
 
 @query("SELECT CAST(lang AS VARCHAR) AS lang, count(*) FILTER (doc_id % 2 = 0 OR lang <> 'en') AS n FROM documents GROUP BY lang HAVING n > 0")

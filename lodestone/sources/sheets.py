@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NUMBER = r"^[-\d,.%]+$"
@@ -16,8 +16,9 @@ def sheet_lines(rows: DataFrame, head_rows: int = 8) -> DataFrame:
     cells = F.transform("cells", lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " ")))
     own = rows.select("sheet", "row", cells.alias("cells")).filter(F.exists("cells", lambda c: c != ""))
     worded = F.size(F.filter("cells", lambda c: (c != "") & ~c.rlike(NUMBER)))
-    starts = own.groupBy("sheet").agg(F.slice(F.array_sort(F.collect_list(F.when(F.col("row") < 64, F.struct("row", worded.alias("n"), "cells")))), 1, head_rows).alias("first"))
-    # The first rows number at most 64, whatever a sheet's length.
+    # Each task keeps the first rows of a sheet, and only these meet.
+    firsts = own.withColumn("place", F.row_number().over(Window.partitionBy("sheet").orderBy("row"))).filter(F.col("place") <= head_rows)
+    starts = firsts.groupBy("sheet").agg(F.collect_list(F.struct("row", worded.alias("n"), "cells")).alias("first"))
     best = F.array_sort(F.transform("first", lambda r: F.struct((-r["n"]).alias("n"), r["row"].alias("row"), r["cells"].alias("cells"))))[0]
     heads = starts.select("sheet", best["row"].alias("head_row"), best["cells"].alias("head"))
     label = F.array_join(F.filter("cells", lambda c: (c != "") & ~c.rlike(NUMBER)), " ")

@@ -1,17 +1,19 @@
 """Writing: once-only versions, replaced versions, appends without repeats, feedback.
 
-A version is a folder of Parquet files and, written last, a manifest; without it
+A version is a folder of Parquet files and a small file, put last, that names it; without it
 the version is unfinished.  All paths go through Spark, so they may be remote.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.sources.work import exists
+from lodestone.sources import commits
+from lodestone.sources.work import ages, exists, remove
 
 
 class VersionConflict(Exception):
@@ -29,35 +31,32 @@ def content_digest(rows: DataFrame) -> str:
     return f"{n}:{total or 0}:{xor or 0}"
 
 
-def _manifest(spark: SparkSession, path: str) -> str | None:
-    if not exists(spark, f"{path}/manifest"):
-        return None
-    rows = spark.read.schema("digest string").json(f"{path}/manifest").limit(2).collect()
-    return rows[0]["digest"] if rows else None
-
-
 def write_once(rows: DataFrame, path: str, *partitions: str) -> str:
     """'written', or 'existing' if the version is there with the same contents.
 
     A version with other contents, in its files or its manifest, raises
-    VersionConflict and is not touched; an unfinished one is written anew."""
+    VersionConflict and is not touched.  Rows go to a folder of their own, and the manifest that names it is put
+    only if there is none: of two writers at once one has written, for the other the version exists."""
     spark, digest = rows.sparkSession, content_digest(rows)
-    known = _manifest(spark, path)
-    if known is not None:
-        stored = content_digest(spark.read.parquet(f"{path}/data").select(*rows.columns))
-        if known != digest or stored != digest:
-            raise VersionConflict(f"{path} exists with other contents")
-        return "existing"
-    rows.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/data")
-    spark.createDataFrame([(digest,)], "digest string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
-    return "written"
+    known = commits.read_json(spark, f"{path}/manifest.json")
+    if known is None:
+        folder = f"{path}/data/{uuid.uuid4().hex}"
+        rows.write.partitionBy(*partitions).parquet(folder)
+        if commits.put_if_absent(spark, f"{path}/manifest.json", json.dumps({"digest": digest, "folder": folder})):
+            return "written"
+        remove(spark, folder)
+        known = commits.read_json(spark, f"{path}/manifest.json")
+    stored = content_digest(spark.read.parquet(known["folder"]).select(*rows.columns))
+    if known["digest"] != digest or stored != digest:
+        raise VersionConflict(f"{path} exists with other contents")
+    return "existing"
 
 
 def read_version(spark: SparkSession, path: str) -> DataFrame:
     """A finished version whose files still match its manifest."""
-    known = _manifest(spark, path)
-    rows = spark.read.parquet(f"{path}/data") if known else None
-    if rows is None or content_digest(rows) != known:
+    known = commits.read_json(spark, f"{path}/manifest.json")
+    rows = spark.read.parquet(known["folder"]) if known else None
+    if rows is None or content_digest(rows) != known["digest"]:
         raise VersionConflict(f"{path} is unfinished or changed")
     return rows
 
@@ -67,33 +66,29 @@ def replace_partitions(rows: DataFrame, path: str, *partitions: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
-def replace_version(vectors: DataFrame, path: str, dim: int) -> None:
+def replace_version(vectors: DataFrame, path: str, dim: int) -> int:
     """The index versions in ``vectors`` (index_version, chunk_id, embedding, ...), after a check of the dimension.
 
-    The rows are written to a folder of their own; then one line for each version, in one small file, names that
-    folder, so that a reader sees a version as it was or as it is, and a job that fails changes nothing."""
+    The rows are written to a folder of their own; then a numbered commit names the folder of each version, so that a
+    reader sees all versions as they were or as they are, and a job that fails changes nothing.  Two writers at once
+    both end, the later one on top of the other.  Returns the commit's number."""
     spark, folder = vectors.sparkSession, f"{path}/data/{uuid.uuid4().hex}"
     checked = F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(F.raise_error(F.lit(f"a vector has not {dim} components")))
     vectors.withColumn("embedding", checked).write.partitionBy("index_version").parquet(folder)
     written = spark.read.parquet(folder)
-    known = _pointers(spark, path).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] if exists(spark, f"{path}/current") else 0
-    lines = written.groupBy("index_version").agg(F.count(F.lit(1)).alias("n")).select(
-        F.col("index_version").cast("string").alias("index_version"), F.lit(folder).alias("folder"), "n", F.lit(known + 1).alias("seq"), F.lit(content_digest(written)).alias("digest")
-    )
-    lines.coalesce(1).write.mode("append").json(f"{path}/current")
-
+    digest = content_digest(written)
+    counts = written.groupBy(F.col("index_version").cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()  # as many as there are versions
+    own = {r["v"]: {"folder": folder, "n": r["n"], "digest": digest} for r in counts}
+    return commits.commit(spark, f"{path}/commits", lambda state: state | own)
 
-def _pointers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("index_version string, folder string, n long, seq long, digest string").json(f"{path}/current")
 
-
-def read_current(spark: SparkSession, path: str, verify: bool = False) -> DataFrame:
-    """The rows of all index versions as they are now; ``verify`` compares the folders with their digests."""
-    last = _pointers(spark, path).groupBy("index_version").agg(F.max(F.struct("seq", "folder", "digest")).alias("p")).select("index_version", "p.folder", "p.digest")
+def read_current(spark: SparkSession, path: str, verify: bool = False) -> DataFrame | None:
+    """The rows of all index versions as the last commit has them; ``verify`` compares the folders with their digests."""
+    _, state = commits.latest(spark, f"{path}/commits")
     out = None
     folders: dict[tuple[str, str], list[str]] = {}
-    for r in last.collect():  # as many as there are versions
-        folders.setdefault((r["folder"], r["digest"]), []).append(r["index_version"])
+    for version, of in state.items():
+        folders.setdefault((of["folder"], of["digest"]), []).append(version)
     for (folder, digest), versions in sorted(folders.items()):
         rows = spark.read.parquet(folder)
         if verify and content_digest(rows) != digest:
@@ -103,6 +98,16 @@ def read_current(spark: SparkSession, path: str, verify: bool = False) -> DataFr
     return out
 
 
+def remove_unnamed(spark: SparkSession, path: str, keep: int = 1, hours: float = 24) -> int:
+    """Removes all but the last ``keep`` commits, and the data folders that none of these names and that nothing has
+    been written to for ``hours``, so that a writer at work keeps its own.  How many folders went."""
+    named = {of["folder"].rsplit("/", 1)[-1] for state in commits.forget(spark, f"{path}/commits", keep) for of in state.values()}
+    old = [name for name, age in ages(spark, f"{path}/data") if name not in named and age >= 3600 * hours]
+    for name in old:
+        remove(spark, f"{path}/data/{name}")
+    return len(old)
+
+
 def differences(stored: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     """(key, state): rows that are missing, extra or different."""
     columns = sorted(c for c in expected.columns if c != key)

@@ -39,6 +39,13 @@ def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     return sorted((s.getPath().getName(), s.getLen()) for s in store.listStatus(where)) if store.exists(where) else []
 
 
+def ages(spark: SparkSession, path: str) -> list[tuple[str, float]]:
+    """Names of what is in a folder, and for how many seconds it has not been changed."""
+    where, store = _path(spark, path)
+    now = spark.sparkContext._jvm.System.currentTimeMillis()
+    return sorted((s.getPath().getName(), (now - s.getModificationTime()) / 1000) for s in store.listStatus(where)) if store.exists(where) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Removes a file or a folder with all in it, if it is there."""
     where, store = _path(spark, path)
