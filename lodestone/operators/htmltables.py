@@ -10,13 +10,14 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_BLOCKS = frozenset("p div section article header footer ul ol li table tr h1 h2 h3 h4 h5 h6 dl dt dd blockquote pre br hr nav form".split())
-_HIDDEN = frozenset(("script", "style", "template", "noscript"))
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+from lodestone.functions.pages import markup_text
+from lodestone.operators import tablelex
+
 
 
 class _Links(HTMLParser):
@@ -52,90 +53,53 @@ class _Links(HTMLParser):
         return out
 
 
-class _Cells(HTMLParser):
-    """The cells of the tables of a page; a nested table makes its outer table invalid."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.tables: list[dict] = []
-        self.depth, self.hidden, self.cell = 0, 0, None
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        own = dict(attrs)
-        if tag in _HIDDEN:
-            self.hidden += 1
-        elif tag == "table":
-            self.depth += 1
-            if self.depth == 1:
-                self.tables.append({"rows": [], "nested": False})
-            elif self.tables:
-                self.tables[-1]["nested"] = True
-        elif self.depth == 1 and tag == "tr":
-            self.tables[-1]["rows"].append([])
-        elif self.depth == 1 and tag in ("td", "th"):
-            rows = self.tables[-1]["rows"]
-            if not rows:
-                rows.append([])
-            # The limits are those of the HTML standard.
-            span = lambda k, most: min(max(int(own[k]), 1), most) if str(own.get(k) or "").isdecimal() else 1
-            self.cell = {"header": tag == "th", "rowspan": span("rowspan", 65534), "colspan": span("colspan", 1000), "text": []}
-            rows[-1].append(self.cell)
-        elif tag == "br" and self.cell:
-            self.cell["text"].append(" ")
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in _HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag == "table":
-            self.depth = max(0, self.depth - 1)
-            self.cell = None
-        elif tag in ("td", "th"):
-            self.cell = None
-
-    def handle_data(self, data: str) -> None:
-        if self.cell is not None and not self.hidden and self.depth == 1:
-            self.cell["text"].append(data)
+#: The widest spans of a table that is laid out.
+MOST_ROWS, MOST_COLUMNS = 2000, 64
+_CELLS = pa.list_(
+    pa.struct(
+        [(n, pa.int32()) for n in ("table", "n_rows", "row", "cell", "col", "rowspan", "colspan")] + [("table_begin", pa.int64()), ("table_end", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())]
+        + [("fault", pa.string()), ("header", pa.bool_()), ("text", pa.string())]
+    )
+)
+_CELL = "array<struct<table:int,n_rows:int,row:int,cell:int,col:int,rowspan:int,colspan:int,table_begin:long,table_end:long,begin:long,end:long,fault:string,header:boolean,text:string>>"
 
 
-def place_cells(rows: list[list[dict]]) -> list[dict]:
-    """Each cell with the row and column where it stands once spans are laid out."""
-    taken: set[tuple[int, int]] = set()
-    out = []
-    for r, row in enumerate(rows):
-        c = 0
-        for cell in row:
-            while (r, c) in taken:
-                c += 1
-            taken |= {(r + i, c + j) for i in range(min(cell["rowspan"], len(rows) - r)) for j in range(cell["colspan"])}
-            text = " ".join("".join(cell["text"]).split())
-            out.append({"row": r, "col": c, "rowspan": cell["rowspan"], "colspan": cell["colspan"], "header": cell["header"], "text": text})
-            c += cell["colspan"]
-    return out
+def table_cells(pages: DataFrame, most_rows: int = MOST_ROWS, most_columns: int = MOST_COLUMNS) -> DataFrame:
+    """The cells of all tables of pages (page_id, html), a row each: page_id, table, n_rows, row, cell (its place in the
+    row's source), col, rowspan, colspan, header, text, where table and cell begin and end in the html, in
+    characters, and the table's fault.  A table with a fault is not laid out: its cells have no ``col``.
 
+    Null and empty pages have no tables; only pages with a table go to Python."""
 
-def _parsed(page: str) -> list[dict]:
-    parser = _Cells()
-    parser.feed(page)
-    parser.close()
-    return [{"table": i, "nested": t["nested"], "n_rows": len(t["rows"]), "cells": place_cells(t["rows"])} for i, t in enumerate(parser.tables)]
+    def parsed(page: str) -> list[dict]:
+        out = []
+        for i, t in enumerate(tablelex.tables(page, most_rows, most_columns)):
+            places = None if t.fault else tablelex.columns(t.rows)
+            of = {"table": i, "n_rows": len(t.rows), "table_begin": t.begin, "table_end": t.end, "fault": t.fault}
+            for r, row in enumerate(t.rows):
+                for k, c in enumerate(row):
+                    col = None if places is None else places[r][k]
+                    out.append(of | {"row": r, "cell": k, "col": col, "rowspan": c.rowspan, "colspan": c.colspan, "begin": c.begin, "end": c.end, "header": c.header, "text": c.text})
+        return out
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parsed(x) for x in batch.column(1).to_pylist()], _CELLS)], names=["page_id", "cells"])
 
-_CELL = "struct<row:int,col:int,rowspan:int,colspan:int,header:boolean,text:string>"
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").filter(F.col("html").rlike("(?i)<table"))
+    return own.mapInArrow(run, f"page_id long, cells {_CELL}").select("page_id", F.explode("cells").alias("c")).select("page_id", "c.*")
 
 
-def table_cells(pages: DataFrame) -> DataFrame:
-    """The cells of all tables of pages (page_id, html), a row each: page_id, table, nested, n_rows, row, col,
-    rowspan, colspan, header, text."""
-    schema = f"page_id long, tables array<struct<table:int,nested:boolean,n_rows:int,cells:array<{_CELL}>>>"
+def text_with_tables(pages: DataFrame) -> DataFrame:
+    """(page_id, text): a page's blocks as lines, its tables in their places as lines 'first — header: value; ...' where a
+    row is as wide as the first one, else with bars; a caption is left out.  Only pages with a table go to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell = pa.struct([("row", pa.int32()), ("col", pa.int32()), ("rowspan", pa.int32()), ("colspan", pa.int32()), ("header", pa.bool_()), ("text", pa.string())])
-        kind = pa.list_(pa.struct([("table", pa.int32()), ("nested", pa.bool_()), ("n_rows", pa.int32()), ("cells", pa.list_(cell))]))
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_parsed(x or "") for x in batch.column(1).to_pylist()], kind)], names=["page_id", "tables"])
+    @F.pandas_udf("string")
+    def lined(page: pd.Series) -> pd.Series:
+        return page.map(lambda x: None if x is None else tablelex.with_lines(x))
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, schema).select("page_id", F.explode("tables").alias("t"))
-    return rows.select("page_id", "t.table", "t.nested", "t.n_rows", F.explode("t.cells").alias("c")).select("page_id", "table", "nested", "n_rows", "c.*")
+    has = F.col("html").rlike("(?i)<table")
+    return pages.select("page_id", markup_text(F.when(has, lined(F.when(has, F.col("html")))).otherwise(F.col("html"))).alias("text"))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -163,20 +127,18 @@ def attested(attachments: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def grid_faults(cells: DataFrame) -> DataFrame:
-    """(page_id, table, fault) of tables that are no full grid: nested, out of bounds, overlapping, with gaps."""
+    """(page_id, table, fault) of tables that are no full grid: those that could not be laid out, and by their
+    spans out of bounds, overlapping, with gaps."""
     keys = ["page_id", "table"]
-    spots = cells.select(
-        *keys, "nested", "n_rows",
-        F.explode(F.sequence("row", F.col("row") + F.col("rowspan") - 1)).alias("r"), F.col("col").alias("c0"), (F.col("col") + F.col("colspan") - 1).alias("c1"),
-    ).select(*keys, "nested", "n_rows", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
-    own = spots.groupBy(*keys).agg(
-        F.bool_or("nested").alias("nested"), F.max("n_rows").alias("n_rows"), F.max("r").alias("r"), F.max("c").alias("c"), F.count(F.lit(1)).alias("n"), F.countDistinct("r", "c").alias("d")
-    )
+    spots = cells.filter("fault IS NULL").select(
+        *keys, "n_rows", F.explode(F.sequence("row", F.col("row") + F.col("rowspan") - 1)).alias("r"), F.col("col").alias("c0"), (F.col("col") + F.col("colspan") - 1).alias("c1"),
+    ).select(*keys, "n_rows", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
+    own = spots.groupBy(*keys).agg(F.max("n_rows").alias("n_rows"), F.max("r").alias("r"), F.max("c").alias("c"), F.count(F.lit(1)).alias("n"), F.countDistinct("r", "c").alias("d"))
     fault = (
-        F.when(F.col("nested"), "nested table").when(F.col("r") >= F.col("n_rows"), "span out of bounds").when(F.col("n") > F.col("d"), "overlap")
-        .when(F.col("d") < F.col("n_rows") * (F.col("c") + 1), "gaps")
+        F.when(F.col("r") >= F.col("n_rows"), "span out of bounds").when(F.col("n") > F.col("d"), "overlap").when(F.col("d") < F.col("n_rows") * (F.col("c") + 1), "gaps")
     )
-    return own.select(*keys, fault.alias("fault")).filter("fault is not null")
+    laid_out = own.select(*keys, fault.alias("fault")).filter("fault is not null")
+    return laid_out.unionByName(cells.filter("fault IS NOT NULL").select(*keys, "fault").distinct())
 
 
 def table_text(cells: DataFrame) -> DataFrame:
@@ -185,7 +147,7 @@ def table_text(cells: DataFrame) -> DataFrame:
     top = heads.groupBy("page_id", "table", "col").agg(F.array_join(F.array_distinct(F.array_sort(F.collect_list(F.struct("row", "head")))["head"]), " / ").alias("head"))
     body = cells.filter("not header").join(top, ["page_id", "table", "col"], "left")
     value = F.when(F.col("head").isNotNull() & (F.col("head") != ""), F.concat("head", F.lit(": "), "text")).otherwise(F.col("text"))
-    rows = body.filter("text <> ''").groupBy("page_id", "table", "row").agg(F.array_sort(F.collect_list(F.struct("col", value.alias("v")))).alias("vs"))
+    rows = body.filter("text <> ''").groupBy("page_id", "table", "row").agg(F.array_sort(F.collect_list(F.struct("col", "cell", value.alias("v")))).alias("vs"))
     return rows.select("page_id", "table", "row", F.array_join("vs.v", "; ").alias("text"))
 
 
@@ -208,7 +170,7 @@ def rendered_groups(cells: DataFrame) -> DataFrame:
     head = F.when(F.size("heads") > 0, F.concat(F.lit(" ["), F.array_join("heads", " / "), F.lit("]"))).otherwise("")
     line = F.concat(F.lit("- row "), span("row", "rowspan"), F.lit(", column "), span("col", "colspan"), head, F.lit(": "), F.when(F.col("text") == "", "(blank)").otherwise(F.col("text")))
     body = cells.filter("not header").join(top, [*keys, "col"], "left").join(spanned_groups(cells), [*keys, "row"])
-    lines = F.array_sort(F.collect_list(F.struct("row", "col", line.alias("line"))))["line"]
+    lines = F.array_sort(F.collect_list(F.struct("row", "col", "cell", line.alias("line"))))["line"]
     return body.groupBy(*keys, "row_group").agg(F.array_join(lines, "\n").alias("text"))
 
 
@@ -228,6 +190,6 @@ def linked_cells(paragraphs: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def duty_rows(cells: DataFrame, dept: str, phone: str = r"\d{2,3}-\d{3,4}-\d{4}") -> DataFrame:
     """(page_id, pos, task, phone) of the table rows of a department: three cells, the first its name, the last a phone number."""
-    rows = cells.filter("not header").groupBy("page_id", "table", "row").agg(F.array_sort(F.collect_list(F.struct("col", "text")))["text"].alias("c"))
+    rows = cells.filter("not header").groupBy("page_id", "table", "row").agg(F.array_sort(F.collect_list(F.struct("col", "cell", "text")))["text"].alias("c"))
     own = rows.filter((F.size("c") == 3) & (F.col("c")[0] == dept) & F.col("c")[2].rlike(f"^(?:{phone})$"))
     return own.select("page_id", F.col("row").alias("pos"), F.col("c")[1].alias("task"), F.col("c")[2].alias("phone"))

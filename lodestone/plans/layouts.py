@@ -269,6 +269,49 @@ def limited_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.within_limits(chunks, {"whole_form": 3000}, other=1000).select("doc_id", "reason", "status")
 
 
+# Pages of orders, with a table of their lines.
+
+
+def _order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order is a page: its comment, a table of its lines, of which those with a discount have a cell over two columns, and its status."""
+    td = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    wide = F.concat(td(F.col("l_linenumber").cast("string")), F.lit("<td colspan='2'>"), F.concat_ws("-", "l_linestatus", F.col("l_partkey").cast("string")), F.lit("<br>"), F.col("l_returnflag"), F.lit("</td>"))
+    full = F.concat(td(F.col("l_linenumber").cast("string")), td(F.concat_ws("-", "l_linestatus", F.col("l_partkey").cast("string"))), td(F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag"))))
+    row = F.concat(F.lit("<tr>"), F.when(F.col("l_discount") > 0.05, wide).otherwise(full), F.lit("</tr>\n"))
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", row.alias("r")))), lambda x: x["r"]), "").alias("rows"))
+    head = "<table><caption>Lines</caption><!-- <td>none</td> --><tr><th>No</th><th>Mode &amp; way</th><th>Flag</th></tr>"
+    page = F.concat(F.lit("<h1>Order</h1><p>"), F.col("o_orderpriority"), F.lit("</p>" + head), "rows", F.lit("</table><p>"), F.col("o_orderstatus"), F.lit("</p>"))
+    return read(spark, sf_dir, "orders").join(rows, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("page_id"), page.alias("html"))
+
+
+_ORDER_LINES = "SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_linestatus || chr(45) || l_partkey AS m, l_returnflag AS f, l_discount > 0.05 AS wide FROM lineitem"
+
+
+@query(
+    f"""WITH l AS ({_ORDER_LINES}),
+t AS (SELECT k, string_agg(CASE WHEN wide THEN n || ' | ' || m || ' ' || f ELSE n || ' — Mode & way: ' || m || '; Flag: ' || CASE f WHEN 'N' THEN '-' ELSE f END END, chr(10) ORDER BY n, p, s) AS x FROM l GROUP BY k)
+SELECT o_orderkey AS page_id, 'Order' || chr(10) || o_orderpriority || chr(10) || 'No | Mode & way | Flag' || chr(10) || x || chr(10) || o_orderstatus AS text FROM orders JOIN t ON k = o_orderkey"""
+)
+def texts_with_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as lines, with the rows of their tables in place as 'first — header: value' where the widths agree."""
+    return htmltables.text_with_tables(_order_pages(spark, sf_dir))
+
+
+@query(
+    f"""WITH l AS ({_ORDER_LINES}),
+r AS (SELECT k, n, p, s, unnest(CASE WHEN wide THEN ['<td>' || n || '</td>', '<td colspan=''2''>' || m || '<br>' || f || '</td>'] ELSE ['<td>' || n || '</td>', '<td>' || m || '</td>', '<td>' || CASE f WHEN 'N' THEN '' ELSE f END || '</td>'] END) AS src,
+  unnest(CASE WHEN wide THEN ['' || n, m || ' ' || f] ELSE ['' || n, m, CASE f WHEN 'N' THEN '' ELSE f END] END) AS text, unnest(CASE WHEN wide THEN [0, 1] ELSE [0, 1, 2] END) AS col FROM l)
+SELECT k AS page_id, count(*) + 3 AS n_cells, sha256('<th>No</th><th>Mode &amp; way</th><th>Flag</th>' || string_agg(src, '' ORDER BY n, p, s, col)) AS source_sha256, 'No,Mode & way,Flag,' || string_agg(text, ',' ORDER BY n, p, s, col) AS texts FROM r GROUP BY k"""
+)
+def cell_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of a page's source that its cells are, one after another, and their texts."""
+    pages = _order_pages(spark, sf_dir)
+    cells = htmltables.table_cells(pages).join(pages.withColumnRenamed("page_id", "of"), F.col("page_id") == F.col("of"))
+    part = F.substring(F.col("html"), (F.col("begin") + 1).cast("int"), (F.col("end") - F.col("begin")).cast("int"))
+    own = cells.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("begin", part.alias("src"), "text"))).alias("c"))
+    return own.select("page_id", F.size("c").cast("long").alias("n_cells"), F.sha2(F.array_join("c.src", ""), 256).alias("source_sha256"), F.array_join("c.text", ",").alias("texts"))
+
+
 # Pages.
 
 

@@ -48,10 +48,57 @@ def test_currentness_of_nothing(spark):
 
 
 def test_tables_with_wide_spans(spark):
-    page = "<table><tr><td colspan=5000 rowspan=0>a</td><td colspan=x>b</td></tr></table>"
-    cells = htmltables.table_cells(spark.createDataFrame([(1, page), (2, ""), (3, None)], "page_id long, html string")).orderBy("col").collect()
-    assert [(r.col, r.rowspan, r.colspan, r.text) for r in cells] == [(0, 1, 1000, "a"), (1000, 1, 1, "b")]
-    assert htmltables.grid_faults(htmltables.table_cells(spark.createDataFrame([(1, page)], "page_id long, html string"))).count() == 0
+    """Spans beyond the limits are a fault, found before anything is laid out; others that are no number are 1."""
+    wide = "<table><tr>" + "<td colspan=60000 rowspan=60000>a</td>" * 1000 + "</tr></table>"
+    pages = spark.createDataFrame([(1, wide), (2, ""), (3, None), (4, "<table><tr><td colspan=64 rowspan=0>a</td><td colspan=x>b</td></tr></table>")], "page_id long, html string")
+    cells = htmltables.table_cells(pages)
+    assert {(r.page_id, r.fault) for r in cells.collect()} == {(1, "span beyond limit"), (4, None)}
+    assert [(r.col, r.rowspan, r.colspan, r.text) for r in cells.filter("page_id = 4").orderBy("col").collect()] == [(0, 1, 64, "a"), (64, 1, 1, "b")]
+    assert [tuple(r) for r in htmltables.grid_faults(cells).collect()] == [(1, 0, "span beyond limit")]
+
+
+def test_cells_tile_the_text_of_their_table(spark):
+    """Made tables in any notation: the parts of the source outside cells have no text, and a cell's part has its own."""
+    import html
+    import random
+    import re
+
+    rng = random.Random(8)
+    tags = re.compile(r"""<!--.*?-->|<(script|style)\b.*?</\1>|<(?:[^>"']|"[^"]*"|'[^']*')*>""", re.DOTALL | re.IGNORECASE)
+    bare = lambda x: " ".join(html.unescape(tags.sub(" ", x)).split())
+    pages = []
+    for i in range(60):
+        def cell():
+            tag = rng.choice(["td", "th", "TD"])
+            inner = rng.choice(["", "x", "a &amp; b", "<b>é</b> c", "<p>l</p>m", "1<br>2", "<!-- <td>no</td> -->v", "w<script>'<td>'</script>", "<a title='</td>'>t</a>"])
+            return f"<{tag}{rng.choice(['', ' rowspan=2', ' colspan=" + chr(34) + "3" + chr(34) + "', ' data-colspan=9'])}>{inner}{rng.choice([f'</{tag}>', ''])}"
+        body = "".join(f"<tr>{''.join(cell() for _ in range(rng.randint(0, 4)))}{rng.choice(['</tr>', ''])}" for _ in range(rng.randint(1, 4)))
+        pages.append((i, f"<p>漢 before</p><table>{body}</table> after <table><tr><td>z</table>"))
+    cells = htmltables.table_cells(spark.createDataFrame(pages, "page_id long, html string")).collect()
+    for i, page in pages:
+        own = sorted((c for c in cells if c.page_id == i), key=lambda c: c.begin)
+        assert [c.text for c in own] == [bare(page[c.begin : c.end]) for c in own]
+        for t in {c.table for c in own}:
+            at, rest, of = None, [], [c for c in own if c.table == t]
+            at = of[0].table_begin
+            for c in of:
+                assert c.begin >= at
+                rest.append(page[at : c.begin])
+                at = c.end
+            assert bare("".join([*rest, page[at : of[0].table_end]])) == ""
+            assert page[of[0].table_begin :].startswith("<table") and page[: of[0].table_end].endswith("</table>")
+
+
+def test_faults_of_the_lexer(spark):
+    pages = [(1, "<table><tr><td><table><tr><td>in</td></tr></table>out</td></tr></table>"), (2, "<table><tr><td>x"), (3, "<table></table><table><td>no row</td></table>")]
+    cells = htmltables.table_cells(spark.createDataFrame(pages, "page_id long, html string")).orderBy("page_id").collect()
+    assert [(c.page_id, c.table, c.fault, c.text, c.col) for c in cells] == [(1, 0, "nested table", "out", None), (2, 0, "table not closed", "x", None), (3, 1, None, "no row", 0)]
+
+
+def test_texts_with_tables_in_their_places(spark):
+    page = "<p>a &amp; b</p><table><caption>cap</caption><tr><th>K</th><th>Fee</th><th>By</th></tr><tr><td>x</td><td>1 &lt; 2</td><td></td></tr><tr><td colspan=2>wide</td><td>z</td></tr></table>c<table><tr><td>one</td></tr><tr><td>two</td></tr></table>"
+    got = {r.page_id: r.text for r in htmltables.text_with_tables(spark.createDataFrame([(1, page), (2, "<p>plain</p>"), (3, None)], "page_id long, html string")).collect()}
+    assert got == {1: "a & b\nK | Fee | By\nx — Fee: 1 < 2; By: -\nwide | z\nc\none\ntwo", 2: "plain", 3: None}
 
 
 def test_texts_without_content(spark):
