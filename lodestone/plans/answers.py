@@ -262,31 +262,35 @@ def answer_trailers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id AS qid, CASE WHEN user_id % 3 = 0 AND user_id % 2 = 0 THEN value / 2 ELSE value END AS top_score, CASE WHEN user_id % 3 = 0 AND user_id % 2 <> 0 THEN 'unknown' ELSE 'answer' END AS route, user_id % 3 = 0 AND user_id % 2 = 0 AS joined FROM events"""
+    """WITH e AS (SELECT event_id AS qid, value, coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS before FROM events),
+s AS (SELECT *, value >= 50 AS good, greatest(value, before) * 0.75 AS both_score, greatest(value, before) * 0.75 >= 50 AS both_good FROM e)
+SELECT qid, round(CASE WHEN NOT good AND both_good THEN both_score ELSE value END, 6) AS top_score, CASE WHEN good OR both_good THEN 'answer' ELSE 'unknown' END AS route, NOT good AND both_good AS joined FROM s"""
 )
 def two_stage_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question that finds nothing is asked again with the one before it."""
-    e, u = read(spark, sf_dir, "events"), F.col("user_id")
-    first = e.select(F.col("event_id").alias("qid"), F.col("value").alias("top_score"), F.when(u % 3 == 0, "unknown").otherwise("answer").alias("route"))
-    second = e.select(F.col("event_id").alias("qid"), (F.col("value") / 2).alias("top_score"), F.when(u % 2 == 0, "answer").otherwise("unknown").alias("route"))
-    return retrieval.two_stage(first, second)
+    """Questions (events with a score) that are weak are asked again with the one that their user asked before."""
+    before = F.coalesce(F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.lit(0.0))
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("qid"), F.col("value").alias("top_score"), (F.greatest("value", before) * 0.75).alias("both"))
+    routed = lambda score: F.when(score >= 50, "answer").otherwise("unknown").alias("route")
+    out = retrieval.two_stage(e.select("qid", "top_score", routed(F.col("top_score"))), e.select("qid", F.col("both").alias("top_score"), routed(F.col("both"))))
+    return out.withColumn("top_score", F.round("top_score", 6))
+
 
 
 @query(
-    """SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 AND conv_id % 3 = 0 THEN 'unknown' ELSE 'answer' END AS answer_type,
-  CASE WHEN conv_id % 2 = 0 AND conv_id % 3 = 0 THEN 'There is nothing about it.' ELSE CASE WHEN conv_id % 3 = 0 THEN 'There is nothing about it.' ELSE 'It costs 5.' END
-    || CASE WHEN turn % 3 = 0 OR turn % 2 = 1 THEN chr(10) || chr(10) ELSE '' END || array_to_string([x for x in [CASE WHEN turn % 3 = 0 THEN 'Dates may change.' END, CASE WHEN turn % 2 = 1 THEN 'Fees may change.' END] if x IS NOT NULL], chr(10)) END AS answer,
-  CASE WHEN conv_id % 5 = 0 THEN 'unavailable' ELSE 'answer' END AS route, CASE WHEN conv_id % 5 = 0 THEN 'Please call.' ELSE 'It costs 5.' END AS shown FROM conversations WHERE role = 'assistant'"""
+    """WITH a AS (SELECT conv_id, turn, text, length(text) AS n, length(text) - length(replace(text, ',', '')) AS cited, regexp_matches(text, 'ing|ung|tion') AS nothing FROM conversations WHERE role = 'assistant'),
+k AS (SELECT *, n <= 200 AND nothing AND cited = 0 AS unknown, array_to_string([x for x in [CASE WHEN contains(text, 'the') THEN 'Dates may change.' END, CASE WHEN n % 2 = 1 THEN 'Fees may change.' END] if x IS NOT NULL], chr(10)) AS notes FROM a)
+SELECT conv_id, turn, CASE WHEN unknown THEN 'unknown' ELSE 'answer' END AS answer_type, sha256(CASE WHEN unknown OR notes = '' THEN text ELSE text || chr(10) || chr(10) || notes END) AS answer_sha256,
+  CASE WHEN n % 5 < 2 THEN 'unavailable' ELSE 'answer' END AS route, sha256(CASE WHEN n % 5 < 2 THEN 'Please call.' ELSE text END) AS shown_sha256 FROM k"""
 )
 def reclassified_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers that say there is nothing become unknown, others get notes; a model that can't be reached has a route of its own."""
-    c, t = F.col("conv_id"), F.col("turn")
-    answer = F.when(c % 3 == 0, "There is nothing about it.").otherwise("It costs 5.")
-    notes = {"Dates may change.": t % 3 == 0, "Fees may change.": t % 2 == 1}
-    after = conversation.reclassified(F.lit("answer"), answer, F.when(c % 2 == 0, 0).otherwise(1), "nothing about", notes)
-    route = conversation.backend_route(F.when(c % 5 == 0, F.when(c % 2 == 0, "timeout").otherwise("refused")), F.lit("It costs 5."), "Please call.")
+    """Short answers whose words say that there is nothing, and that cite nothing, become unknown, others get notes; a model that can't be reached has a route of its own."""
+    text, n = F.col("text"), F.length("text")
+    notes = {"Dates may change.": F.contains(text, F.lit("the")), "Fees may change.": n % 2 == 1}
+    after = conversation.reclassified(F.lit("answer"), text, F.regexp_count(text, F.lit(",")), "ing|ung|tion", notes)
+    route = conversation.backend_route(F.when(n % 5 == 0, "timeout").when(n % 5 == 1, "reset"), text, "Please call.")
     rows = _replies(spark, sf_dir).select("conv_id", "turn", after.alias("a"), route.alias("r"))
-    return rows.select("conv_id", "turn", "a.answer_type", "a.answer", "r.route", F.col("r.answer").alias("shown"))
+    return rows.select("conv_id", "turn", "a.answer_type", F.sha2("a.answer", 256).alias("answer_sha256"), "r.route", F.sha2("r.answer", 256).alias("shown_sha256"))
+
 
 
 @query(

@@ -421,18 +421,22 @@ a AS (SELECT conv_id, turn, 'Fee ' || (conv_id * 1000 + turn) || ' [' || (conv_i
   'Fee ' || (conv_id * 1000) || ' or 2' || lpad(CAST(conv_id % 900 + 100 AS VARCHAR), 3, '0') AS evidence FROM conversations WHERE role = 'assistant')"""
 
 
+BROKEN = {"contact": r"https?://|[a-z]+@[a-z]+\.[a-z]+", "key": r"\[[a-z_]+\]"}
+
+
 @query(
     rf"""WITH {_ANSWERS},
 n AS (SELECT *, list_distinct([regexp_replace(x, '[,.]+$', '') for x in regexp_extract_all(regexp_replace(answer, '\[\d+\]', ' ', 'g'), '\d[\d,.]*')]) AS ns FROM a)
 SELECT conv_id, turn, array_to_string(regexp_extract_all(answer, '\[(\d+)\]', 1), ',') AS cited,
-  (CASE WHEN conv_id % 7 = 0 OR conv_id % 7 > 3 THEN 'bad_citation,action_name' ELSE 'action_name' END) AS broken,
+  array_to_string([x for x in [CASE WHEN regexp_matches(answer, 'https?://|[a-z]+@[a-z]+\.[a-z]+') THEN 'contact' END, CASE WHEN regexp_matches(answer, '\[[a-z_]+\]') THEN 'key' END,
+    CASE WHEN len([1 for y in regexp_extract_all(answer, '\[(\d+)\]', 1) if CAST(y AS BIGINT) NOT BETWEEN 1 AND 3]) > 0 THEN 'no such source' END] if x IS NOT NULL], ',') AS broken,
   len([1 for x in ns if NOT contains(evidence, x) AND NOT contains(replace(evidence, ',', ''), replace(x, ',', ''))]) AS n_unsupported,
   len([1 for x in string_split(answer, chr(10)) if trim(x) <> '' AND NOT regexp_matches(x, '\[\d+\]')]) AS n_uncited FROM n"""
 )
 def citations_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("answer")
     return _answers(spark, sf_dir).select(
-        "conv_id", "turn", F.array_join(tx.citations(a).cast("array<string>"), ",").alias("cited"), F.array_join(tx.violations(a, F.lit(3), r"https?://|[a-z]+@[a-z]+\.[a-z]+"), ",").alias("broken"),
+        "conv_id", "turn", F.array_join(tx.citations(a).cast("array<string>"), ",").alias("cited"), F.array_join(tx.violations(a, F.lit(3), BROKEN, "no such source"), ",").alias("broken"),
         F.size(tx.unsupported_numbers(a, F.col("evidence"))).cast("long").alias("n_unsupported"), F.size(tx.uncited_lines(a)).cast("long").alias("n_uncited"),
     )
 

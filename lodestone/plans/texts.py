@@ -80,19 +80,29 @@ def source_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'form' WHEN doc_id % 5 = 0 THEN 'law' ELSE 'other' END AS kind,
-  CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'pdf' ELSE 'hwp' END END AS format, CASE WHEN doc_id % 3 = 0 THEN source END AS label FROM documents"""
+    """WITH d AS (SELECT *, length(text) < 600 AS form, len(string_split(text, chr(10))) AS n_lines FROM documents)
+SELECT doc_id, CASE WHEN form THEN 'form' WHEN lang = 'de' THEN 'law' ELSE 'other' END AS kind, CASE WHEN form THEN CASE WHEN n_lines > 1 THEN 'pdf' ELSE 'hwp' END END AS format, CASE WHEN form THEN source END AS label FROM d"""
 )
 def form_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds of chunks, and the download of those that are whole forms."""
-    d = F.col("doc_id")
-    chunk_kind = F.when(d % 3 == 0, "whole_form").otherwise("page")
-    pages = F.when(d % 2 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    form = evidence.form_download(chunk_kind, F.col("source"), F.lit("https://a.org"), pages)
-    kind = retrieval.kind_of(chunk_kind, F.concat(F.when(d % 5 == 0, "LAW-").otherwise("D-"), d.cast("string")))
+    """Kinds of chunks, and the download of those that are whole forms: short texts are forms, and their lines pages."""
+    n_lines = F.size(F.split("text", "\n", -1))
+    chunk_kind = F.when(F.length("text") < 600, "whole_form").otherwise("page")
+    form = evidence.form_download(chunk_kind, F.col("source"), F.lit("https://a.org"), F.when(n_lines > 1, F.sequence(F.lit(1), n_lines)).otherwise(F.array().cast("array<int>")))
+    kind = retrieval.kind_of(chunk_kind, F.concat(F.when(F.col("lang") == "de", "LAW-").otherwise("D-"), F.col("doc_id").cast("string")))
     return read(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), form["format"].alias("format"), form["label"].alias("label"))
 
 
+@query(
+    """SELECT doc_id, source || '/' || left(text, 12) AS name, source || '/' || left(text, 12) AS repaired, NOT regexp_full_match(source || '/' || left(text, 12), '(?s)[\\x00-\\x7F]*') AS was_broken FROM documents"""
+)
+def repaired_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names whose UTF-8 was read as Latin-1, read again; right names stay."""
+    name = F.concat_ws("/", "source", F.substring("text", 1, 12))
+    broken = F.decode(F.encode(name, "UTF-8"), "ISO-8859-1")
+    return read(spark, sf_dir, "documents").select("doc_id", tx.repaired_name(name).alias("name"), tx.repaired_name(broken).alias("repaired"), (broken != name).alias("was_broken"))
+
+
+
 @query(
     rf"""WITH t AS (SELECT doc_id, text, trim(text, {_STRIP}) AS s, length(regexp_replace(text, '\s', '', 'g')) AS n, length(regexp_replace(text, '[^가-힣A-Za-z0-9]', '', 'g')) AS a FROM documents),
 k AS (SELECT *, trim(regexp_replace(array_to_string([x for x in string_split(s, chr(10)) if NOT regexp_matches(x, '^The')], chr(10)), '\[none:[^\]]*\]', '', 'g'), {_STRIP}) AS clean FROM t),
@@ -149,23 +159,22 @@ def past_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.array_sort(F.transform(past, lambda x: x.cast("string"))), ",").alias("past"))
 
 
-RELATIVE = {"last year": ("year", -1), "this year": ("year", 0), "last month": ("month", -1), "tomorrow": ("day", 1)}
+RELATIVE = {"the": ("year", -1), "de": ("year", 0), "ion": ("month", -1), "ung": ("day", 1)}
 SHOWN = {"year": "yyyy", "month": "yyyy-MM", "day": "yyyy-MM-dd"}
 
 
 @query(
-    """SELECT conv_id, turn, array_to_string([x for x in [CASE WHEN conv_id % 2 = 0 THEN 'last year=2023' END, CASE WHEN conv_id % 3 = 0 THEN 'this year=2024' END, CASE WHEN turn % 2 = 0 THEN 'last month=2024-02' END, CASE WHEN conv_id % 5 = 0 THEN 'tomorrow=2024-04-01' END] if x IS NOT NULL], ';') AS dates
+    """SELECT conv_id, turn, array_to_string([x for x in [CASE WHEN contains(text, 'the') THEN 'the=2023' END, CASE WHEN contains(text, 'de') THEN 'de=2024' END, CASE WHEN contains(text, 'ion') THEN 'ion=2024-02' END, CASE WHEN contains(text, 'ung') THEN 'ung=2024-04-01' END] if x IS NOT NULL], ';') AS dates
 FROM conversations WHERE role = 'user'"""
 )
 def relative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of a question that name a time by its distance from today."""
-    c = F.col("conv_id")
-    said = F.concat_ws(" ", F.when(c % 2 == 0, "fees of last year"), F.when(c % 3 == 0, "and this year"), F.when(F.col("turn") % 2 == 0, "or last month"), F.when(c % 5 == 0, "by tomorrow"), F.lit("?"))
-    found = tx.relative_dates(said, F.lit("2024-03-31").cast("date"), RELATIVE, SHOWN)
+    """Words of a question that name a time by its distance from today; frequent syllables stand for such words."""
+    found = tx.relative_dates(F.col("text"), F.lit("2024-03-31").cast("date"), RELATIVE, SHOWN)
     asked = read(spark, sf_dir, "conversations").filter("role = 'user'")
     return asked.select("conv_id", "turn", F.array_join(F.transform(found, lambda x: F.concat_ws("=", x["word"], x["value"])), ";").alias("dates"))
 
 
+
 @query(
     """SELECT p_partkey, p_partkey % 3 = 0 AS submitted, p_partkey % 4 = 1 AS elsewhere, CASE p_partkey % 5 WHEN 0 THEN '「' || p_name || '」' WHEN 1 THEN '' || chr(57345) || p_name || chr(57345) || chr(57346) ELSE p_name END AS title FROM part"""
 )
@@ -213,24 +222,31 @@ def notice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT conv_id, turn, (turn % 2 = 0) AND conv_id % 3 <> 0 AS missing_date, conv_id % 4 = 0 AS no_evidence, CASE conv_id % 5 WHEN 0 THEN '25:10' WHEN 1 THEN '' WHEN 2 THEN '12:75,24:01' ELSE '' END AS bad_times,
-  CASE conv_id % 3 WHEN 0 THEN '061-123-4567' WHEN 1 THEN '02-999-8888,061-123-4567' ELSE '' END AS phones FROM conversations WHERE role = 'assistant'"""
+    r"""WITH a AS (SELECT r.conv_id, r.turn, r.text, length(r.text) AS n, coalesce(u.text, '') AS q FROM conversations r LEFT JOIN conversations u ON u.conv_id = r.conv_id AND u.turn = r.turn - 1 AND u.role = 'user' WHERE r.role = 'assistant'),
+s AS (SELECT *, [(n % 28) || ':' || lpad('' || (n % 65), 2, '0'), (length(q) % 26) || ':' || lpad('' || (length(q) % 61), 2, '0')] AS ts,
+  '0' || (n % 100) || '-' || (100 + n % 900) || '-' || lpad('' || (n * 7 % 10000), 4, '0') || CASE WHEN n % 5 = 0 THEN '1' ELSE '' END || ' / 0' || (length(q) % 100) || '-' || (100 + length(q) % 9900) || '-' || lpad('' || (length(q) * 3 % 10000), 4, '0') AS tel FROM a),
+p AS (SELECT *, regexp_extract_all(tel, '\b0\d{1,2}-\d{3,4}-\d{4}\b') AS ps FROM s)
+SELECT conv_id, turn, regexp_matches(q, 'the|de') AND NOT regexp_matches(regexp_replace(text, '(?m)\[\d+\]|^\s*\d+\.\s', '', 'g'), '\d') AS missing_date, n <= 200 AND regexp_matches(text, 'ing|ung') AS no_evidence,
+  array_to_string([x for x in ts if CAST(split_part(x, ':', 1) AS INT) > 24 OR CAST(split_part(x, ':', 2) AS INT) > 59 OR split_part(x, ':', 1) = '24' AND split_part(x, ':', 2) <> '00'], ',') AS bad_times,
+  array_to_string(list_filter(ps, lambda x, i: list_position(ps, x) = i), ',') AS phones FROM p"""
 )
 def answer_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A time that was asked for and is not told, words that say there is nothing, times that no clock shows, phones."""
-    c, t = F.col("conv_id"), F.col("turn")
-    question = F.when(t % 2 == 0, "when does it close?").otherwise("what is it?")
-    answer = F.when(c % 3 == 0, "1. It closes at 6 [1]").otherwise("1. It closes soon [12]")
-    nothing = F.when(c % 4 == 0, "There is nothing about it.").when(c % 4 == 1, F.concat(F.lit("There is nothing about it. "), F.repeat(F.lit("x"), 200))).otherwise("Here it is.")
-    times = F.when(c % 5 == 0, "9:00 to 25:10").when(c % 5 == 1, "24:00 and 1:23").when(c % 5 == 2, "12:75 or 24:01").otherwise("none 123:456")
-    told = F.when(c % 3 == 0, "061-123-4567 or 061-123-4567").when(c % 3 == 1, "02-999-8888, 061-123-4567").otherwise("1061-123-45678")
-    rows = read(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    """Replies against the question before: a time that was asked for and is not told, words that say there is nothing; clock times and phones, of lengths of texts, that are none."""
+    said = read(spark, sf_dir, "conversations")
+    asked = said.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("q"))
+    rows = said.filter("role = 'assistant'").join(asked, ["conv_id", "turn"], "left").withColumn("q", F.coalesce("q", F.lit("")))
+    n, m = F.length("text"), F.length("q")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    times = F.concat((n % 28).cast("string"), F.lit(":"), two(n % 65), F.lit(" or "), (m % 26).cast("string"), F.lit(":"), two(m % 61), F.lit(" 123:456"))
+    tel = lambda a, b, c: F.concat(F.lit("0"), a.cast("string"), F.lit("-"), b.cast("string"), F.lit("-"), F.lpad(c.cast("string"), 4, "0"))
+    told = F.concat(tel(n % 100, 100 + n % 900, n * 7 % 10000), F.when(n % 5 == 0, "1").otherwise(""), F.lit(" / "), tel(m % 100, 100 + m % 9900, m * 3 % 10000))
     return rows.select(
-        "conv_id", "turn", tx.missing_date(question, answer, "^when", r"\d").alias("missing_date"), pg.says_no_evidence(nothing, "nothing about").alias("no_evidence"),
+        "conv_id", "turn", tx.missing_date(F.col("q"), F.col("text"), "the|de", r"\d").alias("missing_date"), pg.says_no_evidence(F.col("text"), "ing|ung").alias("no_evidence"),
         F.array_join(pg.impossible_times(times), ",").alias("bad_times"), F.array_join(pg.phones(told), ",").alias("phones"),
     )
 
 
+
 # Index input and rows of images.
 
 
