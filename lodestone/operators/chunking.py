@@ -117,13 +117,6 @@ def with_headings(lines: DataFrame, chapter: str, section: str) -> DataFrame:
     return rows.withColumn("section", F.last(F.when(F.col("line").rlike(section), F.col("line")), ignorenulls=True).over(inside)).drop("_c", "_n")
 
 
-def merge_short(pieces: Column, least: int) -> Column:
-    """Pieces shorter than ``least`` joined to the one before; the first stays."""
-    empty = F.array().cast("array<string>")
-    joined = lambda out, x: F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat(F.element_at(out, -1), F.lit("\n"), x)))
-    return F.aggregate(pieces, empty, lambda out, x: F.when((F.size(out) > 0) & (F.length(x) < least), joined(out, x)).otherwise(F.array_append(out, x)))
-
-
 def rowspan_groups(rows: DataFrame) -> DataFrame:
     """Table rows (table_id, row, row_end: the last row that a cell of it reaches) with the group
     of rows that spans tie together: gaps and islands over a running maximum."""
@@ -202,6 +195,28 @@ def within_limits(chunks: DataFrame, limits: Mapping[str, int], other: int) -> D
     return chunks.withColumn("reason", reason).withColumn("status", F.when(reason.isNull(), "ready").otherwise("held"))
 
 
+def emitted(units: DataFrame, limits: Mapping[str, int], other: int, context: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The chunks of a document's units (doc_id, unit, chunk_kind, text), and what became of every unit: (doc_id, unit,
+    chunk_kind, status, reason, chunk_id).
+
+    A unit of a ``context`` kind is 'held' as 'context only', a blank one as 'blank', one that is longer than its kind may be
+    with its limit; the others are 'chunk'.  A chunk's id is of its document, unit and text."""
+    judged = within_limits(units, limits, other)
+    reason = F.when(F.col("chunk_kind").isin(*context), "context only").otherwise(F.col("reason")) if context else F.col("reason")
+    marked = judged.withColumn("reason", reason).withColumn("status", F.when(reason.isNull(), "chunk").otherwise("held"))
+    marked = marked.withColumn("chunk_id", F.when(reason.isNull(), chunk_id(F.col("doc_id"), F.col("unit"), F.sha2("text", 256))))
+    chunks = marked.filter("status = 'chunk'").drop("status", "reason")
+    return chunks, marked.select("doc_id", "unit", "chunk_kind", "status", "reason", "chunk_id")
+
+
+def emit_manifest(coverage: DataFrame) -> DataFrame:
+    """(doc_id, chunk_count, held_count, reasons) of what ``emitted`` says became of the units: ``reasons`` counts each."""
+    counts = coverage.groupBy("doc_id", "status", "reason").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda status: F.coalesce(F.sum(F.when(F.col("status") == status, F.col("n"))), F.lit(0))
+    reasons = F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", "n"))))
+    return counts.groupBy("doc_id").agg(of("chunk").alias("chunk_count"), of("held").alias("held_count"), reasons.alias("reasons"))
+
+
 def law_chunks(units: DataFrame, laws: DataFrame, most: int = 2500) -> DataFrame:
     """(serial, chunk_id, article, chunk_index, text): the units of an article (serial, article, unit, text), packed under its
     heading: the law's name (``laws``: serial, name) and the article."""
@@ -211,6 +226,19 @@ def law_chunks(units: DataFrame, laws: DataFrame, most: int = 2500) -> DataFrame
     return rows.select("serial", chunk_id(F.col("serial"), F.col("article"), F.col("chunk_index")).alias("chunk_id"), "article", "chunk_index", "text")
 
 
+def law_manifest(units: DataFrame, chunks: DataFrame, laws: DataFrame) -> DataFrame:
+    """(serial, name, article_count, chunk_count, chars, split_articles) of ``law_chunks``: how many articles have units, and
+    which of them are more than one chunk.  A law without units has zeros."""
+    articles = units.groupBy("serial").agg(F.count_distinct("article").alias("article_count"))
+    by_article = chunks.groupBy("serial", "article").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    own = by_article.groupBy("serial").agg(F.sum("n").alias("chunk_count"), F.sum("chars").alias("chars"), F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.col("article")))).alias("split_articles"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    none = F.array().cast("array<string>")
+    return laws.select("serial", "name").join(articles, "serial", "left").join(own, "serial", "left").select(
+        "serial", "name", zero("article_count"), zero("chunk_count"), zero("chars"), F.coalesce("split_articles", none).alias("split_articles")
+    )
+
+
 def flat_fields(text: Column, most: int = 700, cut: str = " …") -> Column:
     """The lines of a form's fields as one text, joined by commas, without ruled borders and blanks; cut at ``most`` characters."""
     fields = F.filter(F.transform(tx.lines(text), lambda x: tx.squeeze(F.regexp_replace(x, r"[│┃|─━┌┐└┘├┤┬┴┼+_]+", " "))), lambda x: x != "")

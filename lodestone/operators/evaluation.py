@@ -77,10 +77,6 @@ def parity(a: DataFrame, b: DataFrame, tolerance: float = 1e-5, top: int = 5) ->
     )
 
 
-def logistic(x: Column) -> Column:
-    return 1.0 / (1.0 + F.exp(-x))
-
-
 def gate_confusion(rows: DataFrame) -> DataFrame:
     """(outcome, n, median_s, max_s) of an answerability gate's verdicts (answerable, allowed, seconds)."""
     outcome = (

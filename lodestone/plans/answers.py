@@ -294,28 +294,30 @@ def reclassified_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH i AS (SELECT conv_id AS id, turn, conv_id % 3 AS m, conv_id % 2 AS p FROM conversations WHERE role = 'assistant'),
+    r"""WITH a AS (SELECT r.conv_id AS id, r.turn, r.text AS a, string_split(r.text, ' ') AS aw, string_split(u.text, ' ') AS qw, length(r.text) AS n FROM conversations r JOIN conversations u ON u.conv_id = r.conv_id AND u.turn = r.turn - 1 AND u.role = 'user' WHERE r.role = 'assistant'),
+w AS (SELECT *, CASE WHEN n % 3 = 0 THEN 'clarify' ELSE 'answer' END AS kind, string_split_regex(a, '\n\s*\n')[1] AS lead, list_filter(qw, lambda x: length(x) > 9) AS need, list_filter(aw, lambda x: length(x) > 9) AS got FROM a),
 k AS (
-  SELECT id, turn, 'type' AS "check", m = 0 AS ok FROM i UNION ALL SELECT id, turn, 'retrieval', p = 0 OR m = 1 FROM i UNION ALL SELECT id, turn, 'retrieval_at_1', p = 0 FROM i
-  UNION ALL SELECT id, turn, 'mention', m <> 2 FROM i UNION ALL SELECT id, turn, 'no_mention', p = 1 FROM i WHERE m = 0 UNION ALL SELECT id, turn, 'no_lead', TRUE FROM i
-  UNION ALL SELECT id, turn, 'contact', m = 1 FROM i WHERE p = 1 UNION ALL SELECT id, turn, 'forms', m <> 2 FROM i WHERE p = 0)
+  SELECT id, turn, 'type' AS "check", kind = 'answer' AS ok FROM w UNION ALL SELECT id, turn, 'retrieval', list_has_any(qw, aw) FROM w UNION ALL SELECT id, turn, 'retrieval_at_1', list_contains(qw, aw[1]) FROM w
+  UNION ALL SELECT id, turn, 'mention', regexp_matches(a, 'the|de') AND contains(a, 'ion') FROM w UNION ALL SELECT id, turn, 'no_mention', NOT contains(a, 'ung') AND NOT contains(a, 'ing') FROM w WHERE n % 2 = 0
+  UNION ALL SELECT id, turn, 'no_lead', NOT contains(lead, 'and') FROM w UNION ALL SELECT id, turn, 'contact', len(list_filter(aw, lambda x: contains(x, qw[1]))) > 0 FROM w WHERE n % 2 = 1
+  UNION ALL SELECT id, turn, 'forms', list_has_all(got, need) AND list_has_all(qw, got) FROM w)
 SELECT * FROM k"""
 )
 def answer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The checks of evaluated answers, those that apply, a row each."""
-    m, p = F.col("conv_id") % 3, F.col("conv_id") % 2
-    some = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
-    items = _replies(spark, sf_dir).select(
-        F.struct("conv_id", "turn").alias("id"), F.lit("g").alias("grp"), F.lit("q").alias("question"), some("answer").alias("expect_type"), some("d1").alias("expect_docs"), some("fee|cost", "day").alias("must_mention"),
-        F.when(m == 0, some("port")).alias("must_not_mention"), some("later").alias("must_not_lead"), F.when(p == 1, some("Ann", "12")).alias("must_contact"),
-        F.when(p == 0, some("f1")).alias("forms_required"), some("f2").alias("forms_allowed"),
-        F.concat(F.when(m == 2, "no words").otherwise("The cost of a day"), F.when(p == 0, " at the port").otherwise(""), F.lit("\n \nmaybe later")).alias("answer"),
-        F.when(m == 0, "answer").otherwise("clarify").alias("answer_type"), F.when(p == 0, some("d1", "d2")).when(m == 1, some("d2", "d1")).otherwise(some("d2")).alias("top_docs"),
-        F.when(m == 1, some("Ann 12", "Bob")).otherwise(some("Ann", "12")).alias("contacts"), F.when(m == 0, some("f1", "f2")).when(m == 1, some("f1")).otherwise(some("f2")).alias("downloads"),
+    """The checks of replies against what their questions say, those that apply, a row each: words stand for documents, contacts and forms."""
+    asked = read(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.split("text", " ").alias("qw"))
+    n, aw = F.length("text"), F.split("text", " ")
+    some = lambda *xs: F.array(*map(F.lit, xs))
+    long = lambda words: F.filter(words, lambda x: F.length(x) > 9)
+    items = _replies(spark, sf_dir).join(asked, ["conv_id", "turn"]).select(
+        F.struct("conv_id", "turn").alias("id"), F.lit("g").alias("grp"), F.lit("q").alias("question"), some("answer").alias("expect_type"), F.col("qw").alias("expect_docs"), some("the|de", "ion").alias("must_mention"),
+        F.when(n % 2 == 0, some("ung", "ing")).alias("must_not_mention"), some("and").alias("must_not_lead"), F.when(n % 2 == 1, F.slice("qw", 1, 1)).alias("must_contact"), long(F.col("qw")).alias("forms_required"),
+        F.col("qw").alias("forms_allowed"), F.col("text").alias("answer"), F.when(n % 3 == 0, "clarify").otherwise("answer").alias("answer_type"), aw.alias("top_docs"), aw.alias("contacts"), long(aw).alias("downloads"),
     )
     return evaluation.answer_checks(items).select("id.*", F.explode("checks").alias("check", "ok")).select(F.col("conv_id").alias("id"), "turn", "check", "ok")
 
 
+
 @query("SELECT event_id // 3 AS id, max(event_type) FILTER (event_id % 3 = 0) AS c0, max(event_type) FILTER (event_id % 3 = 1) AS c1, max(event_type) FILTER (event_id % 3 = 2) AS c2 FROM events GROUP BY 1")
 def compared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of three configurations side by side."""

@@ -225,19 +225,42 @@ def law_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.law_units(parsed).select("serial", "article", "unit", F.sha2("text", 256).alias("text_sha256"))
 
 
+_LAWS = """
+u AS (SELECT CAST(o_custkey AS VARCHAR) AS serial, o_orderstatus AS article, o_orderkey AS unit, strftime(o_orderdate, '%Y-%m-%d') AS text, 'Law ' || o_custkey AS name FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY serial, article ORDER BY unit) - 1 AS i, (79 - length(name) - length(article)) // 11 AS c1, (71 - length(name) - length(article)) // 11 AS c2 FROM u),
+p AS (SELECT *, CASE WHEN i < c1 THEN 0 ELSE 1 + (i - c1) // c2 END AS chunk_index FROM r)"""
+
+
+def _laws(spark: SparkSession, sf_dir: str):
+    """A customer is a law, a status an article, an order a unit."""
+    orders = read(spark, sf_dir, "orders").withColumn("serial", F.col("o_custkey").cast("string"))
+    units = orders.select("serial", F.col("o_orderstatus").alias("article"), F.col("o_orderkey").alias("unit"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("text"))
+    return units, read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("serial"), F.concat_ws(" ", F.lit("Law"), F.col("c_custkey").cast("string")).alias("name"))
+
+
 @query(
-    """WITH o AS (SELECT o_orderkey % 500 AS serial, CAST(o_orderkey % 7 AS VARCHAR) AS article, o_orderkey AS unit, o_orderpriority AS text FROM orders)
-SELECT CAST(serial AS VARCHAR) AS serial, article, 0 AS chunk_index, 'Law ' || serial || ' ' || article || chr(10) || string_agg(text, chr(10) ORDER BY unit) AS text,
-  serial || '-' || left(sha256(article || chr(31) || '0'), 24) AS chunk_id FROM o GROUP BY serial, article"""
+    f"""WITH {_LAWS}
+SELECT serial, article, CAST(chunk_index AS INTEGER) AS chunk_index, name || ' ' || article || CASE WHEN chunk_index > 0 THEN ' (cont.)' ELSE '' END || chr(10) || string_agg(text, chr(10) ORDER BY unit) AS text, serial || '-' || left(sha256(article || chr(31) || chunk_index), 24) AS chunk_id
+FROM p GROUP BY serial, name, article, chunk_index"""
 )
 def law_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The units of articles as chunks under the law's name."""
-    k = F.col("o_orderkey")
-    serial = (k % 500).cast("string")
-    orders = read(spark, sf_dir, "orders")
-    units = orders.select(serial.alias("serial"), (k % 7).cast("string").alias("article"), k.alias("unit"), F.col("o_orderpriority").alias("text"))
-    laws = orders.select(serial.alias("serial"), F.concat(F.lit("Law "), serial).alias("name")).distinct()
-    return chunking.law_chunks(units, laws, most=1_000_000).select("serial", "article", "chunk_index", "text", "chunk_id")
+    """The units of articles as chunks of at most 80 characters under the law's name."""
+    units, laws = _laws(spark, sf_dir)
+    return chunking.law_chunks(units, laws, most=80).select("serial", "article", "chunk_index", "text", "chunk_id")
+
+
+@query(
+    f"""WITH {_LAWS}, c AS (SELECT serial, article, chunk_index, length(any_value(name)) + 1 + length(article) + CASE WHEN chunk_index > 0 THEN 8 ELSE 0 END + sum(length(text) + 1) AS n FROM p GROUP BY 1, 2, 3),
+a AS (SELECT serial, article, count(*) AS k, sum(n) AS chars FROM c GROUP BY 1, 2)
+SELECT CAST(c_custkey AS VARCHAR) AS serial, 'Law ' || c_custkey AS name, count(article) AS article_count, CAST(coalesce(sum(k), 0) AS BIGINT) AS chunk_count, CAST(coalesce(sum(chars), 0) AS BIGINT) AS chars, coalesce(string_agg(CASE WHEN k > 1 THEN article END, ',' ORDER BY article), '') AS split_articles
+FROM customer LEFT JOIN a ON a.serial = CAST(c_custkey AS VARCHAR) GROUP BY c_custkey"""
+)
+def law_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a law's chunks add up to, and the articles that had to be split; laws without units have zeros."""
+    units, laws = _laws(spark, sf_dir)
+    manifest = chunking.law_manifest(units, chunking.law_chunks(units, laws, most=80), laws)
+    return manifest.withColumn("split_articles", F.array_join("split_articles", ","))
+
 
 
 @query("SELECT c_custkey, 'Rule 1' || chr(10) || '① ' || c_mktsegment || chr(10) || '② ' || c_name || ' x' || chr(10) || '1. one' || chr(10) || '12. ' || lower(c_mktsegment) AS text FROM customer")
@@ -260,13 +283,20 @@ def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT doc_id, CASE WHEN trim(text, E' \t\r\n') = '' THEN 'blank' WHEN doc_id % 3 = 0 AND length(text) > 3000 THEN 'longer than 3000' WHEN doc_id % 3 <> 0 AND length(text) > 1000 THEN 'longer than 1000' END AS reason,
-  CASE WHEN trim(text, E' \t\r\n') = '' OR length(text) > CASE WHEN doc_id % 3 = 0 THEN 3000 ELSE 1000 END THEN 'held' ELSE 'ready' END AS status FROM documents"""
+    r"""WITH u AS (SELECT doc_id, i - 1 AS unit, ls[i] AS text, CASE WHEN i = 1 THEN 'heading' WHEN length(ls[i]) % 3 = 0 THEN 'whole_form' ELSE 'page' END AS kind
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+r AS (SELECT *, CASE WHEN kind = 'heading' THEN 'context only' WHEN trim(text, E' \t\r\n') = '' THEN 'blank' WHEN kind = 'whole_form' AND length(text) > 400 THEN 'longer than 400' WHEN kind = 'page' AND length(text) > 200 THEN 'longer than 200' END AS reason FROM u),
+c AS (SELECT doc_id, reason, count(*) AS n FROM r GROUP BY 1, 2)
+SELECT doc_id, CAST(coalesce(sum(n) FILTER (reason IS NULL), 0) AS BIGINT) AS chunk_count, CAST(coalesce(sum(n) FILTER (reason IS NOT NULL), 0) AS BIGINT) AS held_count, coalesce(string_agg(reason || '=' || n, ';' ORDER BY reason) FILTER (reason IS NOT NULL), '') AS reasons FROM c GROUP BY doc_id"""
 )
 def limited_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that are too long for their kind, or blank, are held with a reason."""
-    chunks = read(spark, sf_dir, "documents").withColumn("chunk_kind", F.when(F.col("doc_id") % 3 == 0, "whole_form").otherwise("page"))
-    return chunking.within_limits(chunks, {"whole_form": 3000}, other=1000).select("doc_id", "reason", "status")
+    """Lines of texts as units: what becomes of them, and why others are held, by document."""
+    kind = F.when(F.col("pos") == 0, "heading").when(F.length("line") % 3 == 0, "whole_form").otherwise("page")
+    units = _lines(spark, sf_dir).select("doc_id", F.col("pos").alias("unit"), kind.alias("chunk_kind"), F.col("line").alias("text"))
+    _, coverage = chunking.emitted(units, {"whole_form": 400}, 200, context=("heading",))
+    reasons = F.array_join(F.transform("reasons", lambda r: F.concat_ws("=", r["reason"], r["n"].cast("string"))), ";")
+    return chunking.emit_manifest(coverage).withColumn("reasons", reasons)
+
 
 
 # Pages of orders, with a table of their lines.

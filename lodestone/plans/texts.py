@@ -10,6 +10,7 @@ from lodestone.functions import text as tx
 from lodestone.functions import vectors as vx
 from lodestone.operators import evidence, index, quality, retrieval
 from lodestone.plans.registry import query, read
+from lodestone.sources import readers
 
 _STRIP = r"E' \t\r\n'"
 
@@ -18,21 +19,27 @@ def _count(chars: str) -> str:
     return f"length(regexp_replace(x, '[^{chars}]', '', 'g'))"
 
 
+#: Letters of texts as those of another script, by the length of a text modulo 5.
+_OTHER_SCRIPTS = {1: ("aeioutn", "가나다라마바사"), 2: ("aeiou", "アイウエオ"), 3: ("aeioustr", "日月水火木金土人"), 4: ("ae", "가나")}
+_MADE = "CASE length(text) % 5 " + " ".join(f"WHEN {k} THEN translate(text, '{a}', '{b}')" for k, (a, b) in _OTHER_SCRIPTS.items()) + " ELSE text END"
+
+
 @query(
-    rf"""WITH q AS (SELECT conv_id, turn, CASE conv_id % 6 WHEN 1 THEN '항만 출입증 안내' WHEN 2 THEN '港湾施設使用料について' WHEN 3 THEN '港口费用表' WHEN 4 THEN 'DWT?' WHEN 5 THEN '' ELSE text END AS x FROM conversations WHERE role = 'user'),
+    rf"""WITH q AS (SELECT conv_id, turn, {_MADE} AS x FROM conversations WHERE role = 'user'),
 n AS (SELECT *, {_count('가-힣ㄱ-ㆎ')} AS h, {_count('぀-ヿㇰ-ㇿ')} AS k, {_count('一-鿿㐀-䶿')} AS z, {_count('A-Za-z')} AS l, len(string_split(trim(regexp_replace(x, '\s+', ' ', 'g')), ' ')) AS w FROM q),
 f AS (SELECT *, CASE WHEN h + k + z + l < 2 THEN NULL WHEN h > 0 AND 2 * h >= l AND h >= k + z THEN 'ko' WHEN k > 0 THEN 'ja' WHEN z > 0 AND z >= h THEN 'zh' WHEN l > 0 AND w > 1 THEN 'en' WHEN l > 0 THEN NULL ELSE 'ko' END AS found FROM n)
 SELECT conv_id, turn, found AS language, CASE WHEN trim(x) = '' OR found = 'ko' THEN 'ko' WHEN found = 'zh' THEN 'ko,zh,ja' WHEN found IN ('en', 'ja') THEN 'ko,' || found ELSE 'ko,en,ja,zh' END AS admitted FROM f"""
 )
 def language_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The languages of chunks that a question may see, questions of five scripts among them."""
-    made = F.when(F.col("conv_id") % 6 == 0, F.col("text"))
-    for i, x in enumerate(("항만 출입증 안내", "港湾施設使用料について", "港口费用表", "DWT?", ""), 1):
-        made = made.when(F.col("conv_id") % 6 == i, x)
+    """The languages of chunks that a question may see; some questions have letters of another script, more or fewer of them."""
+    made = F.when(F.length("text") % 5 == 0, F.col("text"))
+    for i, (a, b) in _OTHER_SCRIPTS.items():
+        made = made.when(F.length("text") % 5 == i, F.translate("text", a, b))
     asked = read(spark, sf_dir, "conversations").filter("role = 'user'").withColumn("x", made)
     return asked.select("conv_id", "turn", tx.language(F.col("x")).alias("language"), F.array_join(tx.admitted_languages(F.col("x")), ",").alias("admitted"))
 
 
+
 SCOPE = {"d1": ("the", "les"), "d2": ("der",), "d3": ("que", "el "), "d4": ("zzz",), "d5": (".",)}
 _SCOPED = ", ".join(f"CASE WHEN NOT ({' OR '.join(f"contains(text, '{w}')" for w in words)}) THEN '{doc}' END" for doc, words in sorted(SCOPE.items()))
 
@@ -93,13 +100,14 @@ def form_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, source || '/' || left(text, 12) AS name, source || '/' || left(text, 12) AS repaired, NOT regexp_full_match(source || '/' || left(text, 12), '(?s)[\\x00-\\x7F]*') AS was_broken FROM documents"""
+    """SELECT doc_id, sha256(source || '/' || text) AS name_sha256, sha256(source || '/' || text) AS repaired_sha256, NOT regexp_full_match(source || '/' || text, '(?s)[\\x00-\\x7F]*') AS was_broken FROM documents"""
 )
 def repaired_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File names whose UTF-8 was read as Latin-1, read again; right names stay."""
-    name = F.concat_ws("/", "source", F.substring("text", 1, 12))
+    """Names whose UTF-8 was read as Latin-1, read again; right names stay.  Whole texts stand for names."""
+    name = F.concat_ws("/", "source", "text")
     broken = F.decode(F.encode(name, "UTF-8"), "ISO-8859-1")
-    return read(spark, sf_dir, "documents").select("doc_id", tx.repaired_name(name).alias("name"), tx.repaired_name(broken).alias("repaired"), (broken != name).alias("was_broken"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.repaired_name(name), 256).alias("name_sha256"), F.sha2(tx.repaired_name(broken), 256).alias("repaired_sha256"), (broken != name).alias("was_broken"))
+
 
 
 
@@ -288,3 +296,28 @@ def image_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     manual, machine = (part.filter(k % m == 0).select(sha("p_partkey").alias("sha256"), F.lit("some text").alias("text")) for m in (11, 6))
     origin = quality.with_transcripts(images, ("manual", manual), ("machine", machine), ("ocr", ocr.withColumnRenamed("read", "text")))
     return states.join(origin, "sha256").select("sha256", "n_refs", "state", "wanted", "origin")
+
+
+@query(
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, CAST(lead(embedding) OVER (ORDER BY vec_id) AS DOUBLE[]) AS b FROM embeddings)
+SELECT vec_id, round(sqrt(list_dot_product(a, a)), 6) AS norm, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) AS cosine FROM v WHERE b IS NOT NULL"""
+)
+def neighbour_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length of each vector, and its cosine with the vector of the next id."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    ahead = index.numbered(e.withColumn("all", F.lit(0)), "all", "vec_id")
+    pairs = ahead.join(ahead.select((F.col("number") - 1).alias("number"), F.col("embedding").alias("b")), "number")
+    return pairs.select("vec_id", F.round(vx.norm(F.col("embedding")), 6).alias("norm"), F.round(vx.cosine(F.col("embedding"), F.col("b")), 6).alias("cosine"))
+
+
+@query(
+    """WITH e AS (SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
+SELECT user_id, count(*) AS n_events, sum(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END) AS n_values, sum(CASE WHEN event_id % 2 = 0 THEN k + event_id ELSE k END) AS total FROM e GROUP BY user_id HAVING count(*) > 1"""
+)
+def repeated_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that more than one row has, and JSON values that are a list or one element without its list."""
+    e = read(spark, sf_dir, "events")
+    listed = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"a":['), "props", F.lit(',{"k":'), F.col("event_id").cast("string"), F.lit("}]}"))).otherwise(F.concat(F.lit('{"a":'), "props", F.lit("}")))
+    values = F.transform(readers.as_list(listed, "$.a", "struct<k:long>"), lambda x: x["k"])
+    sums = e.select("user_id", values.alias("v")).groupBy("user_id").agg(F.sum(F.size("v")).alias("n_values"), F.sum(F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x)).alias("total"))
+    return readers.repeated_keys(e, "user_id").withColumnRenamed("n", "n_events").join(sums, "user_id")

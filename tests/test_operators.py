@@ -62,9 +62,17 @@ def test_paragraph_parts(spark):
     assert chunking.with_parts(chunks, TITLE).count() == 7
 
 
-def test_merge_short(spark):
-    got = spark.range(1).select(chunking.merge_short(F.array(*map(F.lit, ("aaaa", "b", "c", "dddd"))), 3).alias("x")).first()["x"]
-    assert got == ["aaaa\nb\nc", "dddd"]
+def test_emitted_units_and_manifests(spark):
+    units = spark.createDataFrame([("d", 0, "context_only", "x"), ("d", 1, "page", " "), ("d", 2, "page", "y" * 30), ("d", 3, "form", "y" * 30), ("e", 0, "page", None)], "doc_id string, unit int, chunk_kind string, text string")
+    chunks, coverage = chunking.emitted(units, {"form": 50}, 20, ("context_only",))
+    assert {(r.doc_id, r.unit): r.reason for r in coverage.collect()} == {("d", 0): "context only", ("d", 1): "blank", ("d", 2): "longer than 20", ("d", 3): None, ("e", 0): "blank"}
+    assert [r.unit for r in chunks.collect()] == [3] and chunks.first().chunk_id.startswith("d-")
+    got = {r.doc_id: (r.chunk_count, r.held_count, [tuple(x) for x in r.reasons]) for r in chunking.emit_manifest(coverage).collect()}
+    assert got == {"d": (1, 3, [("blank", 1), ("context only", 1), ("longer than 20", 1)]), "e": (0, 1, [("blank", 1)])}
+    laws = spark.createDataFrame([("1", "A"), ("2", "B")], "serial string, name string")
+    parts = spark.createDataFrame([("1", "x", i, "w" * 30) for i in range(4)] + [("1", "y", 0, "w")], "serial string, article string, unit int, text string")
+    own = {r.serial: tuple(r)[2:] for r in chunking.law_manifest(parts, chunking.law_chunks(parts, laws, 80), laws).collect()}
+    assert own["1"][0] == 2 and own["1"][1] > 2 and own["1"][3] == ["x"] and own["2"] == (0, 0, 0, [])
 
 
 def test_overlapping_is_the_loop(spark):
