@@ -29,7 +29,11 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_pack(read(spark, sf_dir, "documents"), BIN_WORDS)
+    """Bins without two documents of a source or of a class of near copies (operator 2)."""
+    documents = read(spark, sf_dir, "documents")
+    rows = simjoin.with_class(documents, doc_id=F.col("doc_id"), source=F.col("source"), size=packing.words(), text_hash=F.xxhash64("text"))
+    own = Scratch(spark, "classes").cut(rows.withColumnRenamed("text_hash", "text"))  # the hash is only to deal rows out
+    return packing.best_fit_pack(own, BIN_WORDS, size=F.col("size"), cluster=F.col("class_node"))
 
 
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -313,7 +313,7 @@ class _Join:
         )
 
     def spread(self, rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
-        return spread_join(rows, facts, key, "node", how, self.plan.hot, self.plan.broadcast_keys)
+        return spread_join(rows, facts, key, "doc_id" if key == "node" else "node", how, self.plan.hot, self.plan.broadcast_keys)
 
     def leaves(self, nodes: DataFrame) -> DataFrame:
         """(leaf, node): the buckets of two texts or more that are compared; of buckets with the same members one."""
@@ -440,6 +440,16 @@ def jaccard_join(documents: DataFrame, plan: JoinPlan | None = None) -> DataFram
     return some.select("doc_id", F.col("rep_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links")).unionByName(none)
 
 
+def with_class(documents: DataFrame, plan: JoinPlan | None = None, **keep: Column) -> DataFrame:
+    """The columns ``keep`` (name -> expression, ``doc_id`` among them) of every row of ``documents`` (doc_id, text), and
+    ``class_node``: one value for the rows of a class, null for texts without words.  Texts do not move with it."""
+    join = _Join(documents, plan or JoinPlan())
+    classes = join.classes().select("node", F.col("copies").alias("n"), F.col("rep_node").alias("class_node"))
+    rows = join.keyed(documents.select(*(c.alias(name) for name, c in keep.items()), F.coalesce(F.col("text"), F.lit("")).alias("text"))).drop("text")
+    none = rows.filter(F.col("node").isNull()).select(*keep, F.lit(None).cast("long").alias("class_node"))
+    return join.spread(rows.filter(F.col("node").isNotNull()), classes, "node", "left").select(*keep, "class_node").unionByName(none)
+
+
 def one_of_each_class(documents: DataFrame, plan: JoinPlan | None = None) -> DataFrame:
     """The rows of ``documents``, all columns, but of each class only one row: the one with
     the least id.  Texts without words are kept all."""

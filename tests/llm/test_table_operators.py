@@ -70,6 +70,24 @@ def near_copies(seed, groups=25, most=30):
     return docs
 
 
+def test_no_bin_has_two_near_copies(spark, tmp_path):
+    """The registered packing over near copies of different sources, texts without words, repeated rows."""
+    docs = near_copies(12, groups=10, most=12) + STRANGE
+    rows = [(i, t, f"s{k % 9}") for k, (i, t) in enumerate(docs)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    classes = {i: c for (i, _), (_, c, _) in zip(docs, by_brute_force(docs))}
+    bins, seen = defaultdict(list), Counter()
+    for r in queries.op3_best_fit_packing(spark, f"file://{tmp_path}").collect():
+        bins[r.bin_id].append(r)
+        seen[r.doc_id] += r.piece == 0
+    assert seen == Counter(i for i, _ in docs)
+    texts = {i: t for i, t in docs}
+    for own in bins.values():
+        of = [classes[r.doc_id] for r in own if r.doc_id is not None and (texts[r.doc_id] or "").strip()]
+        assert len(of) == len(set(of)) and sum(r.piece_size for r in own) <= queries.BIN_WORDS
+    assert len(set(classes.values())) < 0.6 * len(docs)
+
+
 STRANGE = [(900, None), (901, ""), (902, " \n"), (903, " \n"), (904, "a b"), (905, "a b"), (906, "a  b"), (None, "a b c d e f g"), (None, "a b c d e f g"), (907, "a b c d e f g"), (908, "q " * 40_000), (909, "q " * 40_001)]
 
 
