@@ -314,12 +314,13 @@ def _order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").join(rows, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("page_id"), page.alias("html"))
 
 
-_ORDER_LINES = "SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_linestatus || chr(45) || l_partkey AS m, l_returnflag AS f, l_discount > 0.05 AS wide FROM lineitem"
+_ORDER_LINES = """SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, p, s, wide DESC, m, CASE WHEN wide OR f <> 'N' THEN f ELSE '' END) AS i
+  FROM (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_linestatus || chr(45) || l_partkey AS m, l_returnflag AS f, l_discount > 0.05 AS wide FROM lineitem)"""
 
 
 @query(
     f"""WITH l AS ({_ORDER_LINES}),
-t AS (SELECT k, string_agg(CASE WHEN wide THEN n || ' | ' || m || ' ' || f ELSE n || ' — Mode & way: ' || m || '; Flag: ' || CASE f WHEN 'N' THEN '-' ELSE f END END, chr(10) ORDER BY n, p, s) AS x FROM l GROUP BY k)
+t AS (SELECT k, string_agg(CASE WHEN wide THEN n || ' | ' || m || ' ' || f ELSE n || ' — Mode & way: ' || m || '; Flag: ' || CASE f WHEN 'N' THEN '-' ELSE f END END, chr(10) ORDER BY i) AS x FROM l GROUP BY k)
 SELECT o_orderkey AS page_id, 'Order' || chr(10) || o_orderpriority || chr(10) || 'No | Mode & way | Flag' || chr(10) || x || chr(10) || o_orderstatus AS text FROM orders JOIN t ON k = o_orderkey"""
 )
 def texts_with_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,9 +330,9 @@ def texts_with_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH l AS ({_ORDER_LINES}),
-r AS (SELECT k, n, p, s, unnest(CASE WHEN wide THEN ['<td>' || n || '</td>', '<td colspan=''2''>' || m || '<br>' || f || '</td>'] ELSE ['<td>' || n || '</td>', '<td>' || m || '</td>', '<td>' || CASE f WHEN 'N' THEN '' ELSE f END || '</td>'] END) AS src,
+r AS (SELECT k, i, n, unnest(CASE WHEN wide THEN ['<td>' || n || '</td>', '<td colspan=''2''>' || m || '<br>' || f || '</td>'] ELSE ['<td>' || n || '</td>', '<td>' || m || '</td>', '<td>' || CASE f WHEN 'N' THEN '' ELSE f END || '</td>'] END) AS src,
   unnest(CASE WHEN wide THEN ['' || n, m || ' ' || f] ELSE ['' || n, m, CASE f WHEN 'N' THEN '' ELSE f END] END) AS text, unnest(CASE WHEN wide THEN [0, 1] ELSE [0, 1, 2] END) AS col FROM l)
-SELECT k AS page_id, count(*) + 3 AS n_cells, sha256('<th>No</th><th>Mode &amp; way</th><th>Flag</th>' || string_agg(src, '' ORDER BY n, p, s, col)) AS source_sha256, 'No,Mode & way,Flag,' || string_agg(text, ',' ORDER BY n, p, s, col) AS texts FROM r GROUP BY k"""
+SELECT k AS page_id, count(*) + 3 AS n_cells, sha256('<th>No</th><th>Mode &amp; way</th><th>Flag</th>' || string_agg(src, '' ORDER BY i, col)) AS source_sha256, 'No,Mode & way,Flag,' || string_agg(text, ',' ORDER BY i, col) AS texts FROM r GROUP BY k"""
 )
 def cell_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of a page's source that its cells are, one after another, and their texts."""
