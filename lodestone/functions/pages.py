@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Callable
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,9 +22,22 @@ def _unescaped(c: pd.Series) -> pd.Series:
     return c.map(lambda x: None if x is None else html.unescape(x))
 
 
-def unescaped(c: Column) -> Column:
-    """Character references decoded; only texts that have any go to Python."""
-    return F.when(F.contains(c, F.lit("&")), _unescaped(c)).otherwise(c)
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|([A-Za-z][A-Za-z0-9]*));")
+
+
+def _closed_reference(m: re.Match) -> str:
+    return m[0] if m[1] and m[1] + ";" not in html5 else html.unescape(m[0])
+
+
+@F.pandas_udf(StringType())
+def _closed_unescaped(c: pd.Series) -> pd.Series:
+    return c.map(lambda x: None if x is None else _CLOSED.sub(_closed_reference, x))
+
+
+def unescaped(c: Column, closed: bool = False) -> Column:
+    """Character references decoded, as HTML 5 does also those without a semicolon, or, if ``closed``, only
+    those with one; only texts that have any go to Python."""
+    return F.when(F.contains(c, F.lit("&")), (_closed_unescaped if closed else _unescaped)(c)).otherwise(c)
 
 
 def between(c: Column, start: str, end: str) -> Column:
@@ -32,9 +47,9 @@ def between(c: Column, start: str, end: str) -> Column:
     return F.when(one(start) & one(end) & (last > first), F.substring(c, first + len(start), last - first - len(start)))
 
 
-def markup_text(c: Column) -> Column:
+def markup_text(c: Column, closed: bool = False) -> Column:
     """HTML as lines: scripts, styles and comments gone, blocks on lines of their own, list items after
-    '- ', cells joined by ' | ', an image's alternative text in brackets."""
+    '- ', cells joined by ' | ', an image's alternative text in brackets.  ``closed`` as in ``unescaped``."""
     steps = (
         (r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", ""),
         (r"(?i)<img\b[^>]*?\balt\s*=\s*\"([^\"]+)\"[^>]*>", "[$1]"),
@@ -46,14 +61,14 @@ def markup_text(c: Column) -> Column:
     )
     for pattern, new in steps:
         c = F.regexp_replace(c, pattern, new)
-    own = F.filter(F.transform(F.split(unescaped(c), "\n"), tx.squeeze), lambda x: x != "")
+    own = F.filter(F.transform(F.split(unescaped(c, closed), "\n"), tx.squeeze), lambda x: x != "")
     return F.array_join(own, "\n")
 
 
-def body_text(c: Column, start: str, end: str, least: int = 20) -> Column:
+def body_text(c: Column, start: str, end: str, least: int = 20, closed: bool = False) -> Column:
     """(text, problem) of a page's bounded body: a missing or repeated boundary and a short text are problems."""
     inside = between(c, start, end)
-    text = markup_text(inside)
+    text = markup_text(inside, closed)
     problem = F.when(inside.isNull(), "no single boundary").when(F.length(text) < least, "too short")
     return F.struct(F.when(problem.isNull(), text).alias("text"), problem.alias("problem"))
 
@@ -65,9 +80,10 @@ def page_contact(c: Column, label: str, phone: str = PHONE) -> Column:
     return F.when(own.isNotNull(), F.struct(F.nullif(dept, F.lit("")).alias("department"), F.nullif(F.regexp_extract(own, f"({phone})", 1), F.lit("")).alias("phone")))
 
 
-def body_or_content(c: Column, start: str, end: str, content: str, least: int = 20) -> Column:
-    """The text of a page's bounded body, else (pages of another layout) of what the first group of ``content`` matches."""
-    return F.coalesce(body_text(c, start, end, least)["text"], F.nullif(markup_text(F.regexp_extract(c, content, 1)), F.lit("")))
+def body_or_content(c: Column, start: str, end: str, content: str, least: int = 20, closed: bool = False) -> Column:
+    """The text of a page's bounded body, else (pages of another layout) of what the first group of ``content`` matches.
+    ``closed`` as in ``unescaped``."""
+    return F.coalesce(body_text(c, start, end, least, closed)["text"], F.nullif(markup_text(F.regexp_extract(c, content, 1), closed), F.lit("")))
 
 
 def without_leading(lines: Column, furniture: Column | Callable[[Column], Column]) -> Column:
