@@ -60,8 +60,8 @@ def manifest(chunks: DataFrame) -> DataFrame:
     return sets.agg(F.grouping("chunk_kind").cast("boolean").alias("total"), F.count(F.lit(1)).alias("chunks"), F.max(n).alias("max_chars"), F.avg(n).alias("mean_chars"), F.sum(n).alias("chars"))
 
 
-def reachable(spark: SparkSession, roots: DataFrame, links: DataFrame, blocked: Column | None = None) -> DataFrame:
-    """(page, depth) of the pages that links (src, dst) reach from roots (page), each at its least depth.
+def reachable(spark: SparkSession, roots: DataFrame, links: DataFrame, blocked: Column | None = None, most: int | None = None) -> DataFrame:
+    """(page, depth) of the pages that links (src, dst) reach from roots (page) in at most ``most`` steps (null: any number), each at its least depth.
 
     One join of the frontier a step; pages whose ``blocked`` expression (over dst) holds are not
     entered.  Each frontier is a written table, and their union at every eighth step."""
@@ -72,7 +72,7 @@ def reachable(spark: SparkSession, roots: DataFrame, links: DataFrame, blocked:
     edges = scratch.cut(edges.distinct())
     seen = scratch.cut(roots.select("page").distinct().withColumn("depth", F.lit(0)))
     frontier, depth = seen, 0
-    while True:
+    while most is None or depth < most:
         depth += 1
         found = edges.join(frontier.select(F.col("page").alias("src")), "src").select(F.col("dst").alias("page")).distinct()
         frontier = found.join(seen, "page", "left_anti").withColumn("depth", F.lit(depth))
@@ -82,6 +82,7 @@ def reachable(spark: SparkSession, roots: DataFrame, links: DataFrame, blocked:
         seen = seen.unionByName(frontier)
         if depth % 8 == 0:
             seen = scratch.cut(seen)
+    return seen
 
 
 def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
