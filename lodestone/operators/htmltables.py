@@ -55,39 +55,45 @@ class _Links(HTMLParser):
 
 #: The widest spans of a table that is laid out.
 MOST_ROWS, MOST_COLUMNS = 2000, 64
-_CELLS = pa.list_(
-    pa.struct(
-        [(n, pa.int32()) for n in ("table", "n_rows", "row", "cell", "col", "rowspan", "colspan")] + [("table_begin", pa.int64()), ("table_end", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())]
-        + [("fault", pa.string()), ("header", pa.bool_()), ("text", pa.string())]
-    )
+_CELLS = pa.struct(
+    [(n, pa.int32()) for n in ("table", "n_rows", "row", "cell", "col", "rowspan", "colspan")] + [("table_begin", pa.int64()), ("table_end", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())]
+    + [("fault", pa.string()), ("header", pa.bool_()), ("text", pa.string()), ("source", pa.string())]
 )
-_CELL = "array<struct<table:int,n_rows:int,row:int,cell:int,col:int,rowspan:int,colspan:int,table_begin:long,table_end:long,begin:long,end:long,fault:string,header:boolean,text:string>>"
+_CELL = "array<struct<table:int,n_rows:int,row:int,cell:int,col:int,rowspan:int,colspan:int,table_begin:long,table_end:long,begin:long,end:long,fault:string,header:boolean,text:string,source:string>>"
 
 
-def table_cells(pages: DataFrame, most_rows: int = MOST_ROWS, most_columns: int = MOST_COLUMNS) -> DataFrame:
-    """The cells of all tables of pages (page_id, html), a row each: page_id, table, n_rows, row, cell (its place in the
-    row's source), col, rowspan, colspan, header, text, where table and cell begin and end in the html, in
-    characters, and the table's fault.  A table with a fault is not laid out: its cells have no ``col``.
+def page_cells(pages: DataFrame, most_rows: int = MOST_ROWS, most_columns: int = MOST_COLUMNS, sources: bool = False) -> DataFrame:
+    """(page_id, cells): the cells of all tables of a page (page_id, html) as one array in the order of the page, with the
+    fields of ``table_cells`` and, if ``sources``, with their ``source``, the part of the html that each one is.
 
-    Null and empty pages have no tables; only pages with a table go to Python."""
-
-    def parsed(page: str) -> list[dict]:
-        out = []
-        for i, t in enumerate(tablelex.tables(page, most_rows, most_columns)):
-            places = None if t.fault else tablelex.columns(t.rows)
-            of = {"table": i, "n_rows": len(t.rows), "table_begin": t.begin, "table_end": t.end, "fault": t.fault}
-            for r, row in enumerate(t.rows):
-                for k, c in enumerate(row):
-                    col = None if places is None else places[r][k]
-                    out.append(of | {"row": r, "cell": k, "col": col, "rowspan": c.rowspan, "colspan": c.colspan, "begin": c.begin, "end": c.end, "header": c.header, "text": c.text})
-        return out
+    Null and empty pages have no tables; only pages with a table go to Python.  Pages are dealt by their id first: a file
+    that Spark reads in one task is parsed, and its cells are aggregated, in as many as there are partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parsed(x) for x in batch.column(1).to_pylist()], _CELLS)], names=["page_id", "cells"])
+            rows, ends = [], [0]
+            for page in batch.column(1).to_pylist():
+                for i, t in enumerate(tablelex.tables(page, most_rows, most_columns)):
+                    places, n = None if t.fault else tablelex.columns(t.rows), len(t.rows)
+                    for r, row in enumerate(t.rows):
+                        for k, c in enumerate(row):
+                            col = None if places is None else places[r][k]
+                            rows.append((i, n, r, k, col, c.rowspan, c.colspan, t.begin, t.end, c.begin, c.end, t.fault, c.header, c.text, page[c.begin : c.end] if sources else None))
+                ends.append(len(rows))
+            fields = zip(*rows) if rows else [()] * _CELLS.num_fields
+            cells = pa.StructArray.from_arrays([pa.array(own, f.type) for own, f in zip(fields, _CELLS)], fields=list(_CELLS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)], names=["page_id", "cells"])
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").filter(F.col("html").rlike("(?i)<table"))
-    return own.mapInArrow(run, f"page_id long, cells {_CELL}").select("page_id", F.explode("cells").alias("c")).select("page_id", "c.*")
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said, as joining small partitions goes by bytes, not by the time that parsing takes
+    return own.repartition(tasks, "page_id").mapInArrow(run, f"page_id long, cells {_CELL}")
+
+
+def table_cells(pages: DataFrame, most_rows: int = MOST_ROWS, most_columns: int = MOST_COLUMNS) -> DataFrame:
+    """The cells of all tables of pages (page_id, html), a row each: page_id, table, n_rows, row, cell (its place in the
+    row's source), col, rowspan, colspan, header, text, where table and cell begin and end in the html, in
+    characters, and the table's fault.  A table with a fault is not laid out: its cells have no ``col``."""
+    return page_cells(pages, most_rows, most_columns).select("page_id", F.explode("cells").alias("c")).select("page_id", "c.*").drop("source")
 
 
 def text_with_tables(pages: DataFrame) -> DataFrame:
