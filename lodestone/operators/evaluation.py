@@ -15,11 +15,12 @@ from lodestone.operators.index import numbered
 from lodestone.operators.quantiles import exact_quantiles
 
 
-def first_gold_ranks(hits: DataFrame, gold: DataFrame, by: str) -> DataFrame:
+def first_gold_ranks(hits: DataFrame, gold: DataFrame, by: str, questions: DataFrame | None = None) -> DataFrame:
     """(qid, rank): the first rank of a gold item (qid, ``by``); null if no hit is gold.  Questions
-    without gold items are not there: they can't be scored."""
+    without gold items are not there: they can't be scored.  With ``questions``, those (qid) that have gold items, ``gold``
+    need only have those among the hits."""
     found = hits.join(gold.select("qid", by).distinct(), ["qid", by]).groupBy("qid").agg(F.min("rank").alias("rank"))
-    return gold.select("qid").distinct().join(found, "qid", "left")
+    return (gold if questions is None else questions).select("qid").distinct().join(found, "qid", "left")
 
 
 def retrieval_scores(ranks: DataFrame, at: tuple[int, ...] = (1, 3, 5), cut: int = 5) -> DataFrame:
