@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -435,59 +436,65 @@ def _in_slices(texts: Texts, words: int = 200_000) -> Iterator[np.ndarray]:
     yield from np.split(np.arange(len(texts)), np.flatnonzero(np.diff(slices)) + 1) if texts else ()
 
 
-def _epoch(rows: DataFrame, fit: int, state: tuple[np.ndarray, np.ndarray], index: Broadcast, known: tuple[int, int], how: ConvFit, weights: tuple[float, float], epoch: int) -> float:
-    """One pass over the shards: the loss, mean by label, of the texts that the fit does not learn from, at its state; then
+def _epoch(rows: DataFrame, states: dict, index: Broadcast, known: tuple[int, int], how: ConvFit, weights: tuple[float, float], epoch: int) -> dict[int, float]:
+    """One pass over the shards for each fit: the loss, mean by label, of the texts that it does not learn from, at its state; then
     (unless this is the last pass) its state is moved to what the shards have learnt from the others, where each shard
     that has changed a row counts by how many of its batches did so."""
     dim, learns = how.dim, epoch < how.epochs
     names = [f"v{i}" for i in range(2 * dim)]
-    sent = rows.sparkSession.sparkContext.broadcast(state)
+    sent = rows.sparkSession.sparkContext.broadcast(states)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, seen = sent.value
-        p = _views(values, known, how)
-        for shard, part, y, texts in _shards(batches, index.value):
-            held, sums = _held_by(fit, part, how), np.zeros((2, 1 + 2 * dim), np.int64)
-            unseen = np.flatnonzero(held)
-            for at in _in_slices([texts[j] for j in unseen]) if epoch else ():
-                labels = y[unseen[at]]
-                logit = _logits_at(p, [texts[j] for j in unseen[at]])
-                loss = np.rint(np.logaddexp(0, np.where(labels == 1, -logit, logit)) * _UNIT).astype(np.int64)
-                for c in (0, 1):
-                    sums[c, 0] += (labels == c).sum()
-                    sums[c, 1] += loss[labels == c].sum()
-            at, out = np.array([-1, -2]), sums
-            if learns:
-                train = [j for j in np.flatnonzero(~held) if len(texts[j][0])]
-                after, beyond = values.copy(), seen.copy()
-                touched = _train_on(after, beyond, known, [texts[j] for j in train], y[train], np.where(y[train] == 1, weights[1], weights[0]), how, [how.seed, epoch, shard])
-                changed = np.flatnonzero(touched)
-                moved = np.hstack([after[changed].astype(float) - values[changed], beyond[changed].astype(float) - seen[changed]])
-                moved = np.rint(moved * touched[changed, None] * _UNIT).astype(np.int64)
-                at, out = np.concatenate([at, changed]), np.vstack([out, np.column_stack([touched[changed], moved])])
-            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(np.ascontiguousarray(c)) for c in out.T)], names=["row", "n", *names])
-
-    learnt = rows.mapInArrow(run, "row long, n long, " + ", ".join(f"{c} long" for c in names)).filter("n > 0")
+    def runs(fit: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            values, seen = sent.value[fit]
+            p = _views(values, known, how)
+            for shard, part, y, texts in _shards(batches, index.value):
+                held, sums = _held_by(fit, part, how), np.zeros((2, 1 + 2 * dim), np.int64)
+                unseen = np.flatnonzero(held)
+                for at in _in_slices([texts[j] for j in unseen]) if epoch else ():
+                    labels = y[unseen[at]]
+                    logit = _logits_at(p, [texts[j] for j in unseen[at]])
+                    loss = np.rint(np.logaddexp(0, np.where(labels == 1, -logit, logit)) * _UNIT).astype(np.int64)
+                    for c in (0, 1):
+                        sums[c, 0] += (labels == c).sum()
+                        sums[c, 1] += loss[labels == c].sum()
+                at, out = np.array([-1, -2]), sums
+                if learns:
+                    train = [j for j in np.flatnonzero(~held) if len(texts[j][0])]
+                    after, beyond = values.copy(), seen.copy()
+                    touched = _train_on(after, beyond, known, [texts[j] for j in train], y[train], np.where(y[train] == 1, weights[1], weights[0]), how, [how.seed, epoch, shard])
+                    changed = np.flatnonzero(touched)
+                    moved = np.hstack([after[changed].astype(float) - values[changed], beyond[changed].astype(float) - seen[changed]])
+                    moved = np.rint(moved * touched[changed, None] * _UNIT).astype(np.int64)
+                    at, out = np.concatenate([at, changed]), np.vstack([out, np.column_stack([touched[changed], moved])])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), fit, np.int32)), pa.array(at), *(pa.array(np.ascontiguousarray(c)) for c in out.T)], names=["fit", "row", "n", *names])
+
+        return run
+
+    schema = "fit int, row long, n long, " + ", ".join(f"{c} long" for c in names)
+    learnt = reduce(DataFrame.unionAll, [rows.mapInArrow(runs(fit), schema) for fit in states]).filter("n > 0")
     means = [(F.sum(c) / (F.sum("n") * F.lit(float(_UNIT)))).cast("float").alias(c) for c in names]
-    found = learnt.groupBy("row").agg(*means).toArrow()
+    found = learnt.groupBy("fit", "row").agg(*means).toArrow()
     sent.destroy()
-    row = found.column("row").to_numpy()
-    changed, loss = row >= 0, np.sort(found.column("v0").to_numpy()[row < 0])
-    for k, array in enumerate(state):
-        for i in range(dim):
-            array[row[changed], i] += found.column(names[k * dim + i]).to_numpy()[changed]
-    return float(loss.sum())
-
-
-def _best_state(rows: DataFrame, fit: int, first: np.ndarray, index: Broadcast, known: tuple[int, int], how: ConvFit, weights: tuple[float, float]) -> np.ndarray:
-    """The fit's state after the epoch with the least loss on the texts that it does not learn from."""
-    state, best = (first.copy(), np.full_like(first, 1e-2)), (np.inf, first)
+    fit_of, row, losses = found.column("fit").to_numpy(), found.column("row").to_numpy(), {}
+    for fit, state in states.items():
+        changed = np.flatnonzero((fit_of == fit) & (row >= 0))
+        losses[fit] = float(np.sort(found.column("v0").to_numpy()[(fit_of == fit) & (row < 0)]).sum())
+        for k, array in enumerate(state):
+            for i in range(dim):
+                array[row[changed], i] += found.column(names[k * dim + i]).to_numpy()[changed]
+    return losses
+
+
+def _best_states(rows: DataFrame, fits: list[int], first: np.ndarray, index: Broadcast, known: tuple[int, int], how: ConvFit, weights: tuple[float, float]) -> dict[int, np.ndarray]:
+    """Each fit's state after the epoch with the least loss on the texts that it does not learn from."""
+    states, best = {fit: (first.copy(), np.full_like(first, 1e-2)) for fit in fits}, dict.fromkeys(fits, (np.inf, first))
     for epoch in range(how.epochs + 1):
-        was = state[0].copy()
-        loss = _epoch(rows, fit, state, index, known, how, weights, epoch)
-        if epoch and loss < best[0]:
-            best = (loss, was)
-    return best[1]
+        was = {fit: state[0].copy() for fit, state in states.items()}
+        for fit, loss in _epoch(rows, states, index, known, how, weights, epoch).items():
+            if epoch and loss < best[fit][0]:
+                best[fit] = (loss, was[fit])
+    return {fit: state for fit, (_, state) in best.items()}
 
 
 def _counted(rows: DataFrame, states: dict[int, np.ndarray], index: Broadcast, known: tuple[int, int], how: ConvFit) -> dict[int, Counted]:
@@ -540,11 +547,12 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic"
     known = tuple(int(x.max()) + 1 for x in tables)
     index = documents.sparkSession.sparkContext.broadcast(tables)
     share = total[1] / total.sum()
-    weights, first, states = (0.5 / max(1 - share, 1e-3), 0.5 / max(share, 1e-3)), _first_state(known, how), {}
+    weights, first, fits = (0.5 / max(1 - share, 1e-3), 0.5 / max(share, 1e-3)), _first_state(known, how), []
     for fit in range(how.folds + 1):
         held = _held_by(fit, parts["part"].to_numpy(), how)
         if fit == how.folds or parts["label"][held].nunique() == parts["label"][~held].nunique() == 2:
-            states[fit] = _best_state(rows, fit, first, index, known, how, weights)
+            fits.append(fit)
+    states = _best_states(rows, fits, first, index, known, how, weights)
     counted = _counted(rows, states, index, known, how)
     index.destroy()
     scratch.clear()
