@@ -18,11 +18,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lodestone.llm.tables import Scratch, labelled, row_of
+from lodestone.llm.tables import Scratch, bound_batches, labelled, row_of
 from lodestone.llm.textblocks import Block, blocks, span_hashes
 
 #: Frequent function words by language; a text's language is the one with most of them.
@@ -42,9 +41,6 @@ _LOWER[65:91] += 32
 _CLEAN = _LOWER.copy()
 _CLEAN[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
 
-#: How many bytes a UTF-8 character has, by its first one.
-_WIDTH = np.repeat([1, 2, 3, 4], [0xC0, 0x20, 0x10, 0x10])
-
 
 @dataclass(frozen=True)
 class ConvFit:
@@ -77,11 +73,11 @@ def word_ids(block: Block, buckets: int) -> tuple[np.ndarray, np.ndarray, np.nda
     starts, ends, counts = clean.words()
     mask = np.uint64(buckets - 1)
     whole = (span_hashes(clean.data, starts, ends) & mask).astype(np.int64)
-    first = starts.copy()
-    for _ in range(PREFIX_CHARS):
-        inside = np.flatnonzero(first < ends)
-        first[inside] += _WIDTH[clean.data[first[inside]]]
-    begin = (span_hashes(clean.data, starts, np.minimum(ends, first)) & mask).astype(np.int64)
+    leads = (clean.data & 0xC0) != 0x80
+    chars = np.append(np.flatnonzero(leads), np.full(PREFIX_CHARS, len(clean.data)))
+    first = chars[np.cumsum(leads, dtype=np.int32)[starts] - 1 + PREFIX_CHARS]
+    longer, begin = np.flatnonzero(first < ends), whole.copy()
+    begin[longer] = (span_hashes(clean.data, starts[longer], first[longer]) & mask).astype(np.int64)
     return whole, begin, counts
 
 
@@ -180,13 +176,20 @@ def _first_state(known: tuple[int, int], how: ConvFit) -> np.ndarray:
     return state
 
 
-def _network(p: dict, index: tuple[np.ndarray, np.ndarray], how: ConvFit) -> Network:
-    tables = {w: [(p["words"] @ p[f"w{w}"][j], p["begins"] @ p[f"w{w}"][j]) for j in range(w)] for w in WIDTHS}
-    return Network(tables, {w: p[f"b{w}"].copy() for w in WIDTHS}, index, p["out"].copy(), float(p["offset"][0]), np.zeros(len(LANGUAGES)), how.buckets)
+class TrainedNetwork(Network):
+    """A network whose tables are products of embeddings and filters.  It is kept, sent and read as these, a sixth of the size."""
 
+    def __init__(self, p: dict, index: tuple[np.ndarray, np.ndarray], how: ConvFit):
+        self.p = {name: array.copy() for name, array in p.items()}
+        self.bias, self.rows, self.out, self.offset = {w: self.p[f"b{w}"] for w in WIDTHS}, index, self.p["out"], float(p["offset"][0])
+        self.shift, self.buckets = np.zeros(len(LANGUAGES)), how.buckets
 
-#: Texts as rows of known words and beginnings (0: unknown).
-Texts = list[tuple[np.ndarray, np.ndarray]]
+    @property
+    def tables(self) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+        return {w: [(self.p["words"] @ own, self.p["begins"] @ own) for own in self.p[f"w{w}"]] for w in WIDTHS}
+
+    def maxima(self, whole: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return np.maximum(_peaks(self.p, self.rows[0].take(whole), self.rows[1].take(begin), counts)[0], 0)
 
 
 def _train_on(state: np.ndarray, seen: np.ndarray, known: tuple[int, int], texts: Texts, y: np.ndarray, weight: np.ndarray, how: ConvFit, seed: list[int]) -> np.ndarray:
@@ -202,9 +205,12 @@ def _train_on(state: np.ndarray, seen: np.ndarray, known: tuple[int, int], texts
             p[name] -= how.rate * grad / np.sqrt(s[name])
             return
         rows, grad = rows[rows > 0], grad[rows > 0]
-        own, back = np.unique(rows, return_inverse=True)
-        total = np.zeros((len(own), grad.shape[1]), np.float32)
-        np.add.at(total, back, grad)
+        if not len(rows):
+            return
+        order = np.argsort(rows, kind="stable")
+        ordered = rows[order]
+        firsts = np.flatnonzero(np.diff(ordered, prepend=-1))
+        own, total = ordered[firsts], np.add.reduceat(grad[order], firsts, axis=0)
         s[name][own] += total * total
         p[name][own] -= how.rate * total / np.sqrt(s[name][own])
         places[name][own] += 1
@@ -229,6 +235,8 @@ def _peaks(p: dict, whole: np.ndarray, begin: np.ndarray, counts: np.ndarray, sp
     a text without words has -inf.  Words that are not ``spared`` count as unknown."""
     n, ends = len(whole), np.cumsum(counts)
     starts = ends - counts
+    if spared is not None:
+        spared = spared.astype(p["words"].dtype)[:, None]
     filters = np.concatenate([p[f"w{w}"][j].T for w in WIDTHS for j in range(w)])
     size = len(p["b1"])
     maxima, places = np.full((len(counts), len(WIDTHS) * size), -np.inf, filters.dtype), np.zeros((len(counts), len(WIDTHS) * size), np.int64)
@@ -237,7 +245,7 @@ def _peaks(p: dict, whole: np.ndarray, begin: np.ndarray, counts: np.ndarray, sp
         b, far = min(a + words, n), min(a + words + max(WIDTHS) - 1, n)
         x = p["words"].take(whole[a:far], axis=0) + p["begins"].take(begin[a:far], axis=0)
         if spared is not None:
-            x *= spared[a:far, None]
+            x *= spared[a:far]
         shares, row = filters @ x.T, 0
         total = np.empty((len(every), b - a), filters.dtype)
         for k, w in enumerate(WIDTHS):
@@ -289,7 +297,9 @@ def _learn(p: dict, step, whole: np.ndarray, begin: np.ndarray, counts: np.ndarr
             inside[inside] = spared[at[inside] + place]
             d, f = np.nonzero(inside)
             position, share = at[d, f] + place, g[d, f]
-            np.add.at(grad_w[place].T, f, share[:, None] * (p["words"][whole[position]] + p["begins"][begin[position]]))
+            shares = np.zeros((size, len(f)), g.dtype)
+            shares[f, np.arange(len(f))] = share
+            grad_w[place] += (shares @ (p["words"][whole[position]] + p["begins"][begin[position]])).T
             rows.append(position)
             grads.append(share[:, None] * p[f"w{width}"][place].T[f])
         filters.append((width, grad_w, g.sum(axis=0)))
@@ -364,22 +374,26 @@ _UNIT = 1 << 18
 _PARTS = 15
 #: About how many bytes of text a word takes; only the number of shards depends on it.
 _WORD_BYTES = 6
-_SHARD = "shard int, part int, label int, n long, ids binary"
+_HASHED = "shard int, part int, label int, language int, n long, ids binary"
+#: Texts of one shard: what is of each text (a byte; of ``n``, words, eight) end to end, and their known words and beginnings, compressed.
+_PACKED = "shard int, part binary, label binary, language binary, n binary, ids binary"
 
 
 def _hashed(rows: DataFrame, buckets: int) -> DataFrame:
-    """Rows (shard, part, label, text) with, for the text, its number of words and the hashes of these and of their beginnings, compressed."""
+    """Rows (shard, part, label, text) with, for the text, its guessed language, its number of words and the hashes of these and of their beginnings, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _function_tables(buckets)
         for batch in batches:
             for block in blocks(batch.column(3)):
                 whole, begin, counts = word_ids(block, buckets)
                 cuts = np.cumsum(counts)[:-1]
                 ids = [pa.compress(np.concatenate(x).tobytes(), codec="zstd", asbytes=True) for x in zip(*(np.split(x.astype("<u4"), cuts) for x in (whole, begin)))]
                 own = [batch.column(k)[block.first : block.first + block.n] for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(counts), pa.array(ids, pa.binary())], names=["shard", "part", "label", "n", "ids"])
+                languages = pa.array(guess_language(whole, counts, tables).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*own, languages, pa.array(counts), pa.array(ids, pa.binary())], names=["shard", "part", "label", "language", "n", "ids"])
 
-    return rows.select("shard", "part", "label", "text").mapInArrow(run, _SHARD)
+    return rows.select("shard", "part", "label", "text").mapInArrow(run, _HASHED)
 
 
 def _ids_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -389,6 +403,47 @@ def _ids_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield both[:n], both[n:]
 
 
+def _packed(rows: DataFrame, index: Broadcast, words: int = 100_000) -> DataFrame:
+    """Hashed texts, which come by shard, as rows of about so many words, which are looked up in ``index``: every pass reads them, so
+    this is done once and not text by text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held, shard, size = ["part", "label", "language"], [], None, 0
+
+        def packed() -> pa.RecordBatch:
+            counts = np.array([len(h[3]) for h in held], "<i8")
+            ids = np.concatenate([rows.take(np.concatenate([h[k] for h in held])) for k, rows in enumerate(index.value, 3)]).astype("<i4")
+            own = [np.array([h[k] for h in held], np.uint8).tobytes() for k in range(3)]
+            columns = [*own, counts.tobytes(), pa.compress(ids.tobytes(), codec="zstd", asbytes=True)]
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([c], pa.binary()) for c in columns)], names=["shard", *names, "n", "ids"])
+
+        for batch in batches:
+            for s, *facts, (whole, begin) in zip(*(batch.column(k).to_pylist() for k in ("shard", *names)), _ids_of(batch)):
+                if held and (s != shard or size + len(whole) > words):
+                    yield packed()
+                    held, size = [], 0
+                shard, size = s, size + len(whole)
+                held.append((*facts, whole, begin))
+        if held:
+            yield packed()
+
+    return rows.mapInArrow(run, _PACKED)
+
+
+#: Texts as rows of known words and beginnings (0: unknown).
+Texts = list[tuple[np.ndarray, np.ndarray]]
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, Texts]]:
+    """Shard, parts, labels, guessed languages and texts of each row of packed texts."""
+    for row in batch.to_pylist():
+        part, label, language = (np.frombuffer(row[k], np.uint8).astype(np.int64) for k in ("part", "label", "language"))
+        counts = np.frombuffer(row["n"], "<i8")
+        both = np.frombuffer(pa.decompress(row["ids"], 8 * int(counts.sum()), codec="zstd"), "<i4").reshape(2, -1)
+        cuts = np.cumsum(counts)[:-1]
+        yield row["shard"], part, label, language, list(zip(np.split(both[0], cuts), np.split(both[1], cuts)))
+
+
 def _known(rows: DataFrame, how: ConvFit) -> tuple[np.ndarray, np.ndarray]:
     """By hash of a word and of a beginning the row in the tables, from 1; 0 if fewer than ``least_texts`` of the texts have it,
     as what few texts have says nothing about others."""
@@ -414,18 +469,17 @@ def _held_by(fit: int, part: np.ndarray, how: ConvFit) -> np.ndarray:
     return part % how.folds == fit if fit < how.folds else part % 5 == 4
 
 
-def _shards(batches: Iterator[pa.RecordBatch], index: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, Texts]]:
-    """Number, parts, labels and texts of each shard; rows come by shard."""
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, Texts]]:
+    """Number, parts, labels and texts of each shard; packed texts come by shard."""
     now, held = None, []
-    done = lambda: (now, np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held])
+    done = lambda: (now, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [t for h in held for t in h[2]])
     for batch in batches:
-        shard, part, label = (batch.column(k).to_pylist() for k in ("shard", "part", "label"))
-        for s, k, y, (w, b) in zip(shard, part, label, _ids_of(batch)):
-            if s != now:
-                if held:
-                    yield done()
-                now, held = s, []
-            held.append((k, y, (index[0].take(w), index[1].take(b))))
+        for shard, part, label, _, texts in _unpacked(batch):
+            if held and shard != now:
+                yield done()
+                held = []
+            now = shard
+            held.append((part, label, texts))
     if held:
         yield done()
 
@@ -436,19 +490,19 @@ def _in_slices(texts: Texts, words: int = 200_000) -> Iterator[np.ndarray]:
     yield from np.split(np.arange(len(texts)), np.flatnonzero(np.diff(slices)) + 1) if texts else ()
 
 
-def _epoch(rows: DataFrame, states: dict, index: Broadcast, known: tuple[int, int], how: ConvFit, weights: tuple[float, float], epoch: int) -> dict[int, float]:
+def _epoch(rows: DataFrame, states: dict, known: tuple[int, int], how: ConvFit, weights: tuple[float, float], epoch: int) -> dict[int, float]:
     """One pass over the shards for each fit: the loss, mean by label, of the texts that it does not learn from, at its state; then
     (unless this is the last pass) its state is moved to what the shards have learnt from the others, where each shard
     that has changed a row counts by how many of its batches did so."""
     dim, learns = how.dim, epoch < how.epochs
     names = [f"v{i}" for i in range(2 * dim)]
-    sent = rows.sparkSession.sparkContext.broadcast(states)
+    sent = {fit: rows.sparkSession.sparkContext.broadcast(state) for fit, state in states.items()}  # a worker has that of its fit only
 
-    def runs(fit: int):
+    def runs(fit: int, own: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            values, seen = sent.value[fit]
+            values, seen = own.value
             p = _views(values, known, how)
-            for shard, part, y, texts in _shards(batches, index.value):
+            for shard, part, y, texts in _shards(batches):
                 held, sums = _held_by(fit, part, how), np.zeros((2, 1 + 2 * dim), np.int64)
                 unseen = np.flatnonzero(held)
                 for at in _in_slices([texts[j] for j in unseen]) if epoch else ():
@@ -472,10 +526,11 @@ def _epoch(rows: DataFrame, states: dict, index: Broadcast, known: tuple[int, in
         return run
 
     schema = "fit int, row long, n long, " + ", ".join(f"{c} long" for c in names)
-    learnt = reduce(DataFrame.unionAll, [rows.mapInArrow(runs(fit), schema) for fit in states]).filter("n > 0")
+    learnt = reduce(DataFrame.unionAll, [rows.mapInArrow(runs(fit, own), schema) for fit, own in sent.items()]).filter("n > 0")
     means = [(F.sum(c) / (F.sum("n") * F.lit(float(_UNIT)))).cast("float").alias(c) for c in names]
     found = learnt.groupBy("fit", "row").agg(*means).toArrow()
-    sent.destroy()
+    for own in sent.values():
+        own.destroy()
     fit_of, row, losses = found.column("fit").to_numpy(), found.column("row").to_numpy(), {}
     for fit, state in states.items():
         changed = np.flatnonzero((fit_of == fit) & (row >= 0))
@@ -486,33 +541,29 @@ def _epoch(rows: DataFrame, states: dict, index: Broadcast, known: tuple[int, in
     return losses
 
 
-def _best_states(rows: DataFrame, fits: list[int], first: np.ndarray, index: Broadcast, known: tuple[int, int], how: ConvFit, weights: tuple[float, float]) -> dict[int, np.ndarray]:
+def _best_states(rows: DataFrame, fits: list[int], first: np.ndarray, known: tuple[int, int], how: ConvFit, weights: tuple[float, float]) -> dict[int, np.ndarray]:
     """Each fit's state after the epoch with the least loss on the texts that it does not learn from."""
     states, best = {fit: (first.copy(), np.full_like(first, 1e-2)) for fit in fits}, dict.fromkeys(fits, (np.inf, first))
     for epoch in range(how.epochs + 1):
         was = {fit: state[0].copy() for fit, state in states.items()}
-        for fit, loss in _epoch(rows, states, index, known, how, weights, epoch).items():
+        for fit, loss in _epoch(rows, states, known, how, weights, epoch).items():
             if epoch and loss < best[fit][0]:
                 best[fit] = (loss, was[fit])
     return {fit: state for fit, (_, state) in best.items()}
 
 
-def _counted(rows: DataFrame, states: dict[int, np.ndarray], index: Broadcast, known: tuple[int, int], how: ConvFit) -> dict[int, Counted]:
+def _counted(rows: DataFrame, states: dict[int, np.ndarray], known: tuple[int, int], how: ConvFit) -> dict[int, Counted]:
     """For each fit the texts that it has not learnt from, counted by bin of the logit, guessed language and label."""
     sent = rows.sparkSession.sparkContext.broadcast(states)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _function_tables(how.buckets)
         for batch in batches:
-            hashed = list(_ids_of(batch))
-            part, label = batch.column("part").to_numpy(), batch.column("label").to_numpy()
-            for at in _in_slices(hashed):
-                languages = guess_language(*(_joined([hashed[j] for j in at])[k] for k in (0, 2)), tables)
+            for _, part, label, languages, texts in _unpacked(batch):
                 for fit, state in sent.value.items():
-                    own = np.flatnonzero(_held_by(fit, part[at], how))
-                    logit = _logits_at(_views(state, known, how), [tuple(i.take(x) for i, x in zip(index.value, hashed[j])) for j in at[own]])
+                    own = np.flatnonzero(_held_by(fit, part, how))
+                    logit = _logits_at(_views(state, known, how), [texts[j] for j in own])
                     bins = np.floor(np.clip(logit, -30, 30) * GRID).astype(np.int32)
-                    columns = [np.full(len(own), fit, np.int32), bins, languages[own].astype(np.int32), label[at[own]].astype(np.int32)]
+                    columns = [np.full(len(own), fit, np.int32), bins, languages[own].astype(np.int32), label[own].astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["fit", "bin", "language", "label"])
 
     found = rows.mapInArrow(run, "fit int, bin int, language int, label int").groupBy("fit", "bin", "language", "label").count().toArrow()
@@ -530,6 +581,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic"
     scores of all texts by networks that have not seen their fold (see ``_calibrate``).  The driver has the networks, whose
     size is bounded by ``buckets``, and counts of logits by bin.  Without both labels the score is constantly near 0."""
     how = how or ConvFit()
+    bound_batches(documents.sparkSession)
     texts = labelled(documents, labels, label)
     size = texts.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     n_shards = max(1, -(-size[0] // how.sample), -(-(size[1] or 0) // (_WORD_BYTES * how.words)))
@@ -546,40 +598,40 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic"
     tables = _known(rows, how)
     known = tuple(int(x.max()) + 1 for x in tables)
     index = documents.sparkSession.sparkContext.broadcast(tables)
+    rows = scratch.cut(_packed(rows, index))
+    index.destroy()
+    scratch.clear(keep=1)
     share = total[1] / total.sum()
     weights, first, fits = (0.5 / max(1 - share, 1e-3), 0.5 / max(share, 1e-3)), _first_state(known, how), []
     for fit in range(how.folds + 1):
         held = _held_by(fit, parts["part"].to_numpy(), how)
         if fit == how.folds or parts["label"][held].nunique() == parts["label"][~held].nunique() == 2:
             fits.append(fit)
-    states = _best_states(rows, fits, first, index, known, how, weights)
-    counted = _counted(rows, states, index, known, how)
-    index.destroy()
+    states = _best_states(rows, fits, first, known, how, weights)
+    counted = _counted(rows, states, known, how)
     scratch.clear()
-    net = _network(_views(states[how.folds], known, how), tables, how)
+    net = TrainedNetwork(_views(states[how.folds], known, how), tables, how)
     _calibrate(net, counted[how.folds], [c for fit, c in counted.items() if fit < how.folds], how)
     return net
 
 
-def _scored(documents: DataFrame, net: Network, names: list[str]) -> DataFrame:
-    """(row, score): a struct of the named columns, and the score of ``text``."""
-    within = "text" in names
-    rows = documents.select(row_of(names).alias("row"), *([] if within else ["text"]))
-    schema = StructType([rows.schema["row"], StructField("score", DoubleType())])
-    sent = documents.sparkSession.sparkContext.broadcast(net)
+def _score(spark: SparkSession, net: Network) -> Column:
+    """The score of ``text``.  Only texts go to Python, and only scores come back."""
+    bound_batches(spark)
+    sent = spark.sparkContext.broadcast(net)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scores(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = sent.value
         tables = _function_tables(model.buckets)
-        for batch in batches:
-            texts = batch.column(0).field("text") if within else batch.column(1)
-            scores = np.empty(batch.num_rows)
+        for texts in columns:
+            own = np.empty(len(texts))
             for block in blocks(texts):
                 whole, begin, counts = word_ids(block, model.buckets)
-                scores[block.first : block.first + block.n] = model.scores(whole, begin, counts, guess_language(whole, counts, tables))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["row", "score"])
+                own[block.first : block.first + block.n] = model.scores(whole, begin, counts, guess_language(whole, counts, tables))
+            yield pa.array(own)
 
-    return rows.mapInArrow(run, schema)
+    return scores(F.col("text"))
 
 
 def toxicity_scores(documents: DataFrame, net: Network, *keep: str) -> DataFrame:
@@ -588,9 +640,10 @@ def toxicity_scores(documents: DataFrame, net: Network, *keep: str) -> DataFrame
     Null and empty texts have no words and get the network's score for that.  Null
     ids stay null, repeated rows give repeated results, an empty table an empty result;
     other columns are not read and their names don't matter."""
-    return _scored(documents, net, ["doc_id", *keep]).select("row.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = documents.select(row_of(["doc_id", *keep]).alias("row"), _score(documents.sparkSession, net).alias("score"))
+    return scored.select("row.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(documents: DataFrame, net: Network) -> DataFrame:
     """The rows of ``documents``, all columns, whose score is below 0.5."""
-    return _scored(documents, net, documents.columns).filter("score < 0.5").select("row.*")
+    return documents.filter(_score(documents.sparkSession, net) < 0.5)
