@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.tables import Scratch, bound_batches, labelled, row_of
+from lodestone.llm.tables import Scratch, bound_batches, labelled, read_rows, row_of
 from lodestone.llm.textblocks import Block, blocks, span_hashes
 
 #: Frequent function words by language; a text's language is the one with most of them.
@@ -375,6 +375,11 @@ _PARTS = 15
 #: About how many bytes of text a word takes; only the number of shards depends on it.
 _WORD_BYTES = 6
 _HASHED = "shard int, part int, label int, language int, n long, ids binary"
+#: How packed texts are written: they are compressed already, and a page that is counted after 100 rows only, as is the default, is a whole file,
+#: which the writer and each reader would hold several times.
+_WRITTEN = {"compression": "uncompressed", "parquet.page.size": 256 << 10, "parquet.page.size.row.check.min": 1}
+#: So many of these rows are read at a time.
+_AT_ONCE = 16
 #: Texts of one shard: what is of each text (a byte; of ``n``, words, eight) end to end, and their known words and beginnings, compressed.
 _PACKED = "shard int, part binary, label binary, language binary, n binary, ids binary"
 
@@ -403,7 +408,7 @@ def _ids_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield both[:n], both[n:]
 
 
-def _packed(rows: DataFrame, index: Broadcast, words: int = 100_000) -> DataFrame:
+def _packed(rows: DataFrame, index: Broadcast, words: int = 16_384) -> DataFrame:
     """Hashed texts, which come by shard, as rows of about so many words, which are looked up in ``index``: every pass reads them, so
     this is done once and not text by text."""
 
@@ -598,7 +603,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic"
     tables = _known(rows, how)
     known = tuple(int(x.max()) + 1 for x in tables)
     index = documents.sparkSession.sparkContext.broadcast(tables)
-    rows = scratch.cut(_packed(rows, index))
+    rows = scratch.cut(_packed(rows, index), **_WRITTEN)
     index.destroy()
     scratch.clear(keep=1)
     share = total[1] / total.sum()
@@ -607,8 +612,9 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic"
         held = _held_by(fit, parts["part"].to_numpy(), how)
         if fit == how.folds or parts["label"][held].nunique() == parts["label"][~held].nunique() == 2:
             fits.append(fit)
-    states = _best_states(rows, fits, first, known, how, weights)
-    counted = _counted(rows, states, known, how)
+    with read_rows(documents.sparkSession, _AT_ONCE):
+        states = _best_states(rows, fits, first, known, how, weights)
+        counted = _counted(rows, states, known, how)
     scratch.clear()
     net = TrainedNetwork(_views(states[how.folds], known, how), tables, how)
     _calibrate(net, counted[how.folds], [c for fit, c in counted.items() if fit < how.folds], how)

@@ -72,10 +72,10 @@ class Scratch:
         self.spark, self.paths = spark, []
         self.folder = remove_at_exit(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
 
-    def cut(self, rows: DataFrame) -> DataFrame:
-        """``rows``, written and to be read from there."""
+    def cut(self, rows: DataFrame, **options: str | int) -> DataFrame:
+        """``rows``, written, with ``options`` of the writer, and to be read from there."""
         self.paths.append(f"{self.folder}/{len(self.paths)}")
-        rows.write.parquet(self.paths[-1])
+        rows.write.options(**options).parquet(self.paths[-1])
         return self.spark.read.schema(rows.schema).parquet(self.paths[-1])
 
     def clear(self, keep: int = 0) -> None:
