@@ -5,10 +5,11 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Callable
+from functools import reduce
 from html.entities import html5
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -50,6 +51,10 @@ def between(c: Column, start: str, end: str) -> Column:
 def markup_text(c: Column, closed: bool = False) -> Column:
     """HTML as lines: scripts, styles and comments gone, blocks on lines of their own, list items after
     '- ', cells joined by ' | ', an image's alternative text in brackets.  ``closed`` as in ``unescaped``."""
+    return _as_lines(unescaped(_unmarked(c), closed))
+
+
+def _unmarked(c: Column) -> Column:
     steps = (
         (r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", ""),
         (r"(?i)<img\b[^>]*?\balt\s*=\s*\"([^\"]+)\"[^>]*>", "[$1]"),
@@ -61,8 +66,27 @@ def markup_text(c: Column, closed: bool = False) -> Column:
     )
     for pattern, new in steps:
         c = F.regexp_replace(c, pattern, new)
-    own = F.filter(F.transform(F.split(unescaped(c, closed), "\n"), tx.squeeze), lambda x: x != "")
-    return F.array_join(own, "\n")
+    return c
+
+
+def _as_lines(c: Column) -> Column:
+    """Lines without white space around them and with runs of it as one space; none is empty."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(c, r"(?U)[\s&&[^\n]]+", " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+
+
+#: The references that ``html.escape`` writes; & comes last, as what it gives is no reference.
+_ESCAPES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#x27;": "'", "&amp;": "&"}
+
+
+def markup_texts(rows: DataFrame, name: str, closed: bool = False) -> DataFrame:
+    """``rows`` with the column ``name`` as ``markup_text`` makes it, for large tables: each step is a projection, so that markup is taken
+    out once and not for each use of the text, and only texts with other references than those of ``html.escape`` go to Python."""
+    c = F.col(name)
+    plain = reduce(lambda x, e: F.replace(x, F.lit(e), F.lit(_ESCAPES[e])), _ESCAPES, c)
+    others = c.rlike("&(?!(?:lt|gt|quot|#x27|amp);)")
+    decoded = F.when(F.col("other"), (_closed_unescaped if closed else _unescaped)(F.when(F.col("other"), c))).otherwise(plain)
+    own = rows.withColumn(name, _unmarked(c)).withColumn("other", others).withColumn(name, decoded).drop("other")
+    return own.withColumn(name, _as_lines(c))
 
 
 def body_text(c: Column, start: str, end: str, least: int = 20, closed: bool = False) -> Column:

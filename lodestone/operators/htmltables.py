@@ -10,12 +10,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.pages import markup_text
+from lodestone.functions.pages import markup_texts
 from lodestone.operators import tablelex
 
 
@@ -100,12 +99,14 @@ def text_with_tables(pages: DataFrame) -> DataFrame:
     """(page_id, text): a page's blocks as lines, its tables in their places as lines 'first — header: value; ...' where a
     row is as wide as the first one, else with bars; a caption is left out.  Only pages with a table go to Python."""
 
-    @F.pandas_udf("string")
-    def lined(page: pd.Series) -> pd.Series:
-        return page.map(lambda x: None if x is None else tablelex.with_lines(x))
-
     has = F.col("html").rlike("(?i)<table")
-    return pages.select("page_id", markup_text(F.when(has, lined(F.when(has, F.col("html")))).otherwise(F.col("html"))).alias("text"))
+
+    @F.arrow_udf("string")
+    def lined(page: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else tablelex.with_lines(x) for x in page.to_pylist()], pa.string())
+
+    own = pages.select("page_id", "html", has.alias("has")).select("page_id", F.when(F.col("has"), lined(F.when(F.col("has"), F.col("html")))).otherwise(F.col("html")).alias("text"))
+    return markup_texts(own, "text")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
